@@ -100,9 +100,9 @@ def thresholds(labelled: DataFrame, alpha: float = 0.05, delta: float = 0.05) ->
 
     ``labelled``: the columns of ``signals`` for good documents of the holdout.
     """
-    values, good = rule_values(), labelled.alias("g")
+    values = rule_values()
     counts = [F.sum((values[r] > c).cast("long")).alias(f"{r}_{k}") for r, grid in RULES.items() for k, c in enumerate(grid)]
-    per = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *counts)
+    per = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *counts)
     grid = F.array(
         *(
             F.struct(F.lit(r).alias("rule"), F.lit(k).alias("k"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{k}").alias("n_rejected"))
@@ -110,8 +110,8 @@ def thresholds(labelled: DataFrame, alpha: float = 0.05, delta: float = 0.05) ->
             for k, c in enumerate(cutoffs)
         )
     )
-    n_strata = F.count(F.lit(1)).over(W.partitionBy())
-    rows = per.select("stratum", "n_good", n_strata.alias("n_strata"), F.explode(grid).alias("g")).select("stratum", "n_good", "n_strata", "g.*")
+    per = per.withColumn("n_strata", F.count(F.lit(1)).over(W.partitionBy()))
+    rows = per.select("stratum", "n_good", "n_strata", F.inline(grid))
     risk = alpha / len(RULES)
     n, x = F.col("n_good"), F.col("n_rejected")
     passed = F.when(x < n * risk, binomial_cdf(x, n, risk) <= delta / (F.col("n_strata") * len(RULES))).otherwise(F.lit(False))
