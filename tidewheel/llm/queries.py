@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, packing, pii, quality_rules
+from . import exact_dedup, language, mixing, packing, pii, quality_rules, substrings
 from .base import table
 
 
@@ -30,9 +30,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_exact_dedup, op6_mixing, op7_language, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_exact_dedup, op5_substrings, op6_mixing, op7_language, op8_quality_rules)}
 SQL = {"op3_exact_dedup": exact_dedup.SQL}
