@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, packing, pii, quality_rules, substrings
+from . import exact_dedup, fuzzy_passages, language, mixing, near_dedup, packing, pii, quality_rules, substrings
 from .base import table
 
 
@@ -30,6 +30,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -38,5 +42,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_exact_dedup, op5_substrings, op6_mixing, op7_language, op8_quality_rules)}
+def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_exact_dedup, op4_near_dedup, op5_substrings, op6_mixing, op7_language, op8_quality_rules, op10_fuzzy_passages)}
 SQL = {"op3_exact_dedup": exact_dedup.SQL}
