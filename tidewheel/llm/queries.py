@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fuzzy_passages, language, mixing, near_dedup, packing, pii, quality_rules, substrings
+from . import exact_dedup, fuzzy_passages, language, lm, mixing, near_dedup, packing, pii, quality_rules, substrings
 from .base import table
 
 
@@ -42,9 +42,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_passages.fuzzy_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_exact_dedup, op4_near_dedup, op5_substrings, op6_mixing, op7_language, op8_quality_rules, op10_fuzzy_passages)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_exact_dedup, op4_near_dedup, op5_substrings, op6_mixing, op7_language, op8_quality_rules, op9_lm_scores, op10_fuzzy_passages)}
 SQL = {"op3_exact_dedup": exact_dedup.SQL}
