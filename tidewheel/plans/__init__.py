@@ -1,6 +1,6 @@
 """Registered queries over the operators."""
 
-from . import marts  # noqa: F401
+from . import analytics, marts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -42,7 +42,9 @@ def query(sql: str | None = None, needs: tuple[str, ...] = (), name: str | None
             head = ", ".join(f"{t} as ({CTES[t].strip()})" for t in order)
             body = sql.strip()
             if head:
-                body = f"with {head}, {body[5:]}" if body.startswith("with ") else f"with {head} {body}"
+                recursive = "recursive " if body.startswith("with recursive ") else ""
+                rest = body.removeprefix("with ").removeprefix("recursive ") if body.startswith("with ") else None
+                body = f"with {recursive}{head}, {rest}" if rest else f"with {head} {body}"
             SQL[key] = body
         return f
 
