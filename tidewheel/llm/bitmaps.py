@@ -21,14 +21,14 @@ class Bitmap:
         self.bits, self.data = bits, data
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        x = hashes.view(np.uint64) >> np.uint64(64 - self.bits)
+        x = hashes.view(np.uint64) & np.uint64((1 << self.bits) - 1)
         return (self.data[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def build(hashes: DataFrame, col: str, count: int) -> Bitmap:
     """The bitmap of a column of 64-bit hashes; ``count``: about how many there are."""
     bits = min(MAX_BITS, max(MIN_BITS, (16 * max(1, count)).bit_length()))
-    x = F.shiftrightunsigned(F.col(col), 64 - bits) + 1
+    x = F.col(col).bitwiseAND(F.lit((1 << bits) - 1)) + 1  # the low bits: sampled hashes are small ones
     rows = hashes.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m"))
     data = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows.toLocalIterator():

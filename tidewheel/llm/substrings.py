@@ -184,8 +184,9 @@ def _second_names(width: int, names) -> Callable[[Batches], Batches]:
 
 
 def _places(width: int, names, open_names) -> Callable[[Batches], Batches]:
-    """(ctx, chk, doc, pos, left, right, bytes): every place with a first name that several documents
-    have; bytes only if its context may have to be merged, and only in the batch's smallest document."""
+    """(ctx, chk, doc, pos, left, right, h, bytes): every place with a first name that several documents
+    have; h and bytes only if its context may have to be merged, and only in the batch's smallest
+    document."""
     side = width - CORE
 
     def run(batches: Batches) -> Batches:
@@ -195,16 +196,17 @@ def _places(width: int, names, open_names) -> Callable[[Batches], Batches]:
                 *own, p = _contexts(ids, ends, data, width, names.value)
                 parts.append(own)
                 padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side + CORE, np.uint8)])
-                may = open_names.value.has(own[1])
+                may = open_names.value.has(own[0])
                 texts += [padded[q : q + 2 * side + CORE].tobytes() if m else None for q, m in zip(p, may, strict=True)]
             if parts:
-                _, ctx, chk, doc, pos, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+                h, ctx, chk, doc, pos, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
                 order, start, _ = _first_in_batch(ctx, doc)
                 least = np.repeat(doc[order][start], np.diff(np.append(start, len(order))))
                 smallest = np.zeros(len(ctx), bool)
                 smallest[order] = doc[order] == least
                 raw = [t if s else None for t, s in zip(texts, smallest, strict=True)]
-                yield pd.DataFrame({"ctx": ctx, "chk": chk, "doc": doc, "pos": pos, "left": left, "right": right, "bytes": raw})
+                h = np.where([x is None for x in raw], 0, h) if raw else h
+                yield pd.DataFrame({"ctx": ctx, "chk": chk, "doc": doc, "pos": pos, "left": left, "right": right, "h": h, "bytes": raw})
 
     return run
 
@@ -290,19 +292,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     names = bitmaps.shared(first, "h", first.count())
     second = own.mapInPandas(_second_names(width, names), "h long, ctx long, chk long, doc long")
     second = materialize(second.groupBy("ctx", "chk").agg(F.min("doc").alias("least"), F.first("h").alias("h")), "second-names")
-    counts = second.groupBy("h").count().where("count > 1").withColumnRenamed("count", "n_ctx")
-    second = materialize(second.join(counts, "h", "left").withColumn("n_ctx", F.coalesce("n_ctx", F.lit(1))), "named")
-    open_names = second.where("n_ctx > 1")
-    may_merge = bitmaps.shared(open_names, "ctx", open_names.count())
-    place = own.mapInPandas(_places(width, names, may_merge), "ctx long, chk long, doc long, pos long, left long, right long, bytes binary")
-    place = place.join(second, ["ctx", "chk"])
-    again = place.where("doc > least").select("doc", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right") + CORE).alias("stop"))
-    least = place.where("doc = least and n_ctx > 1").select("h", "n_ctx", "doc", "pos", "left", "right", "bytes")
-    both = materialize(again.select("*", *(F.lit(None).cast(t).alias(c) for c, t in least.dtypes if c != "doc")).unionByName(least, allowMissingColumns=True), "places")
-    again = both.where("start is not null").select("doc", "start", "stop")
-    least = both.where("start is null").drop("start", "stop")
-    few = least.where(F.col("n_ctx") <= HOT_CONTEXTS).repartition("h").sortWithinPartitions("h").mapInPandas(_merge_windows(width), SPANS)
-    many = materialize(least.where(F.col("n_ctx") > HOT_CONTEXTS).repartition(F.xxhash64("doc", "pos")).mapInPandas(_spread_windows(width), "h long, key long, doc long, start long"), "windows")
+    several = materialize(second.groupBy("h").agg(F.count(F.lit(1)).alias("n_ctx")).where("n_ctx > 1"), "open-names")
+    open_names = bitmaps.shared(several, "h", several.count())
+    place = own.mapInPandas(_places(width, names, open_names), "ctx long, chk long, doc long, pos long, left long, right long, h long, bytes binary")
+    raw = F.when(F.col("doc") == F.col("least"), F.col("bytes")).alias("bytes")
+    place = place.join(second.select("ctx", "chk", "least"), ["ctx", "chk"]).where("doc > least or bytes is not null")
+    place = materialize(place.select("doc", "pos", "left", "right", "h", raw), "places")
+    again = place.where("bytes is null").select("doc", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right") + CORE).alias("stop"))
+    least = place.where("bytes is not null").join(several.where(F.col("n_ctx") > HOT_CONTEXTS), "h", "left")
+    few = least.where("n_ctx is null").repartition("h").sortWithinPartitions("h").mapInPandas(_merge_windows(width), SPANS)
+    many = least.where("n_ctx is not null").select("h", "doc", "pos", "left", "right", "bytes").repartition(F.xxhash64("doc", "pos"))
+    many = materialize(many.mapInPandas(_spread_windows(width), "h long, key long, doc long, start long"), "windows")
     shared = many.groupBy("h", "key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     many = many.join(shared, ["h", "key"]).where("doc > least").select("doc", "start", (F.col("start") + width).alias("stop"))
     return again.unionByName(few).unionByName(many)
