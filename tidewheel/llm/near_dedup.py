@@ -9,8 +9,8 @@ above 0.9999 at 0.8 for the values here.
 Candidates are confirmed on full sets. Equal sets are one node from the start. Of a key's documents
 all are first compared with the smallest one, which settles groups of copies in as many
 comparisons as they have members; then, where a key still holds documents of different components, the
-documents of different components are compared with each other. Links inside one component would
-not change the result, and no other candidate is left out.
+documents of different components are compared with each other, block by block of a bounded number. Links
+inside one component would not change the result, and no other candidate is left out.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ SHINGLE = 5
 THRESHOLD = 80
 TUPLES = 10
 ROWS = 2
+#: Tuples of 20 that two documents share at least to be compared: 0.8 alike they share 12.8 on average, fewer than 4 once in 100,000 pairs.
+MIN_SHARED = 4
+#: Documents of a block, of which pairs are compared in one step.
+BLOCK = 128
 U = np.uint64
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 Batches = Iterator[pd.DataFrame]
@@ -47,7 +51,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept in a cache of bounded size."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.known, self.limit = {}, limit
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -87,19 +91,17 @@ def shingles(text: str, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def keys(sets: np.ndarray) -> np.ndarray:
-    """The ``TUPLES ** 2`` table keys of a set."""
-    least = np.empty(len(MULTIPLY), U)
+def tuples(sets: np.ndarray) -> np.ndarray:
+    """The tuples of minhashes of a set: ``TUPLES`` of the first collection, then of the second."""
+    least = np.full(len(MULTIPLY), np.iinfo(np.uint64).max, U)
     step = max(1, 200_000 // len(MULTIPLY))
-    least.fill(np.iinfo(np.uint64).max)
     for at in range(0, len(sets), step):
         np.minimum(least, mix(sets[at : at + step, None] * MULTIPLY + ADD).min(axis=0), out=least)
-    half = least.reshape(2, TUPLES, ROWS)
-    names = np.zeros((2, TUPLES), U)
+    half = least.reshape(2 * TUPLES, ROWS)
+    names = np.arange(1, 2 * TUPLES + 1, dtype=np.uint64)
     for r in range(ROWS):
-        names = mix(names * U(0x9E3779B97F4A7C15) + half[:, :, r])
-    table = np.arange(TUPLES * TUPLES, dtype=np.uint64).reshape(TUPLES, TUPLES)
-    return mix(names[0][:, None] * U(0xC2B2AE3D27D4EB4F) + names[1][None, :] + mix(table)).ravel()
+        names = mix(names * U(0x9E3779B97F4A7C15) + half[:, r])
+    return names
 
 
 def _sets(k: int) -> Callable[[Batches], Batches]:
@@ -115,7 +117,7 @@ def _sets(k: int) -> Callable[[Batches], Batches]:
                         "n_shingles": [len(s) for s in own],
                         "set_id": [int(mix(s).sum(dtype=U).view(np.int64)) for s in own],
                         "set_id2": [int(np.bitwise_xor.reduce(mix(s + U(77))).view(np.int64)) if len(s) else 0 for s in own],
-                        "keys": [keys(s).view(np.int64) if len(s) else None for s in own],
+                        "tuples": [tuples(s).view(np.int64) if len(s) else None for s in own],
                     }
                 )
 
@@ -160,6 +162,54 @@ def _confirm(threshold: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _blocks(threshold: int) -> Callable[[Batches], Batches]:
+    """Rows sorted by (t, lo, hi): the documents of two blocks of those that share the tuple t -> the
+    pairs whose full sets have to be compared.
+
+    A pair is taken once, at the first tuple of the first collection that it shares, if it shares one
+    of the second collection, too (then it shares a table's key), ``MIN_SHARED`` in all, and if sizes
+    and components allow a new link.
+    """
+
+    def solve(t: int, lo: int, hi: int, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        sig = np.stack(part["tuples"].to_numpy())
+        ids, roots, n, mine = (part[c].to_numpy() for c in ("id", "root", "n", "mine"))
+        left = np.flatnonzero(mine == lo)
+        right = np.flatnonzero(mine == hi)
+        same = sig[left][:, None, :] == sig[right][None, :, :]
+        first = same[:, :, :TUPLES].argmax(axis=2)
+        ok = (sig[left][:, None, :TUPLES] == t)[:, 0, :].argmax(axis=1)[:, None] == first
+        ok &= same[:, :, TUPLES:].any(axis=2) & (same.sum(axis=2) >= MIN_SHARED)
+        ok &= (roots[left][:, None] != roots[right]) & (100 * np.minimum(n[left][:, None], n[right]) >= threshold * np.maximum(n[left][:, None], n[right]))
+        if lo == hi:
+            ok &= ids[left][:, None] < ids[right]
+        i, j = np.nonzero(ok)
+        return ids[left][i], ids[right][j]
+
+    def run(batches: Batches) -> Batches:
+        held: pd.DataFrame | None = None
+
+        def groups(rows: pd.DataFrame) -> Batches:
+            k = rows[["t", "lo", "hi"]].to_numpy()
+            cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            out = [solve(*k[s], rows.iloc[s:e]) for s, e in zip([0, *cut], [*cut, len(k)], strict=True)]
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = (rows[["t", "lo", "hi"]] == rows[["t", "lo", "hi"]].iloc[-1]).all(axis=1).to_numpy()
+            held, ready = rows[last], rows[~last]
+            if len(ready):
+                yield from groups(ready)
+        if held is not None:
+            yield from groups(held)
+
+    return run
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(a, b) -> those whose full sets are similar enough."""
     a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"members_{c}")) for c in "ab")
@@ -175,29 +225,41 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHO
     empty result.
     """
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    schema = "doc_id long, n_shingles long, set_id long, set_id2 long, keys array<long>"
+    schema = "doc_id long, n_shingles long, set_id long, set_id2 long, tuples array<long>"
     made = materialize(own.mapInPandas(_sets(shingle), schema), "minhash")
     brief = made.select("doc_id", "n_shingles", "set_id", "set_id2")
     classes = brief.where("n_shingles > 0").groupBy("set_id", "set_id2", "n_shingles").agg(F.min("doc_id").alias("first"))
     classes = materialize(classes, "sets")
-    # one document of each class has its keys looked up
-    firsts = made.where("n_shingles > 0").join(classes.select(F.col("first").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id")
-    rows = firsts.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"), "n").groupBy("key", "id").agg(F.first("n").alias("n"))
-    hubs = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1").drop("c")
-    held = materialize(rows.join(hubs, "key"), "tables")
+    # one document of each class is looked up; a tuple that no other document has leads nowhere
+    firsts = made.where("n_shingles > 0").join(classes.select(F.col("first").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id").dropDuplicates(["doc_id"])
+    firsts = materialize(firsts.select(F.col("doc_id").alias("id"), "n", "tuples"), "firsts")
+    each = firsts.select("id", F.posexplode("tuples").alias("pos", "t"))
+    shared = each.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    found = each.join(shared.select("t"), "t").groupBy("id").agg(F.collect_list(F.struct("pos", "t")).alias("f"))
+    side = lambda test: F.transform(F.filter("f", test), lambda x: x["t"])
+    found = found.select("id", side(lambda x: x["pos"] < TUPLES).alias("one"), side(lambda x: x["pos"] >= TUPLES).alias("two"))
+    # a table's key: a tuple of each collection
+    keyed = found.select("id", F.explode("one").alias("x"), "two").select("id", "x", F.explode("two").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
+    keyed = materialize(keyed, "tables")
+    hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1").select("key", "hub")
+    held = materialize(keyed.join(hubs, "key").select("hub", "id").distinct(), "candidates")
     wanted = held.select("id").distinct()
     sets = materialize(own.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_full_sets(shingle), "id long, members binary").dropDuplicates(["id"]), "members")
-    first = materialize(held.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    first = held.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     links = materialize(confirmed(first, sets, threshold), "links")
     roots = materialize(components(links), "roots")
-    # keys that still hold documents of several components
-    placed = held.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = materialize(placed.join(mixed, "key").select("key", "id", "root", "n"), "open")
-    x, y = (left.select("key", F.col("id").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    fits = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-    second = x.join(y, "key").where(fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(materialize(second, "pairs"), sets, threshold))
+    # tuples whose documents are still in several components: these are compared block by block
+    placed = firsts.join(wanted, "id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n", "tuples")
+    placed = materialize(placed, "placed")
+    by_tuple = placed.select("id", "root", F.explode(F.slice("tuples", 1, TUPLES)).alias("t"))
+    mixed = by_tuple.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    mixed = mixed.select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = by_tuple.select("t", "id").join(mixed, "t").join(placed, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("t", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "n", "tuples")
+    second = rows.repartition("t", "lo", "hi").sortWithinPartitions("t", "lo", "hi").mapInPandas(_blocks(threshold), "a long, b long")
+    second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(confirmed(second, sets, threshold))
     roots = materialize(components(links), "roots")
     by_class = classes.join(roots, F.col("first") == F.col("id"), "left").select("set_id", "set_id2", "n_shingles", F.least(F.coalesce("root", "first"), "first").alias("root"))
     brief = brief.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "set_id", "set_id2")).alias("s")).select("doc_id", "s.*")
