@@ -2,45 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import windows as X
 from ..functions.scalars import garman_klass
 
-W = X.by("symbol")
+def _w() -> WindowSpec:
+    return X.by("symbol")
 
 
 def default() -> dict[str, Column]:
-    out = {f"ret_lag_{k}": F.lag("daily_return", k).over(W) for k in (1, 2, 3, 5)}
-    out |= {f"mean_{n}": F.lag(X.rolling(F.avg, "daily_return", X.last_n(W, n), n)).over(W) for n in (5, 20)}
-    return out | {f"std_{n}": X.rolling(F.stddev_samp, "daily_return", X.before_n(W, n), n) for n in (5, 20)}
+    out = {f"ret_lag_{k}": F.lag("daily_return", k).over(_w()) for k in (1, 2, 3, 5)}
+    out |= {f"mean_{n}": F.lag(X.rolling(F.avg, "daily_return", X.last_n(_w(), n), n)).over(_w()) for n in (5, 20)}
+    return out | {f"std_{n}": X.rolling(F.stddev_samp, "daily_return", X.before_n(_w(), n), n) for n in (5, 20)}
 
 
 def volatility() -> dict[str, Column]:
     """Means of one-bar volatility over 1, 5 and 22 bars before, and trailing deviations; needs ``gk``."""
-    out = {f"har_{n}": X.rolling(F.avg, "gk", X.before_n(W, n), 1) for n in (1, 5, 22)}
-    return out | {f"trail_std_{n}": X.rolling(F.stddev_samp, "daily_return", X.before_n(W, n), 1) for n in (10, 63)}
+    out = {f"har_{n}": X.rolling(F.avg, "gk", X.before_n(_w(), n), 1) for n in (1, 5, 22)}
+    return out | {f"trail_std_{n}": X.rolling(F.stddev_samp, "daily_return", X.before_n(_w(), n), 1) for n in (10, 63)}
 
 
 def momentum() -> dict[str, Column]:
-    out = {f"mom_{n}": X.rolling(F.sum, "daily_return", X.before_n(W, n), n) for n in (21, 63, 126, 252)}
-    out["mom_accel"] = out["mom_63"] - F.lag(X.rolling(F.sum, "daily_return", X.last_n(W, 63), 63), 64).over(W)
-    out["reversal_5"] = -X.rolling(F.sum, "daily_return", X.before_n(W, 5), 5)
-    out["ma_distance"] = F.lag(F.col("close") / F.col("ma_50") - 1).over(W)
+    out = {f"mom_{n}": X.rolling(F.sum, "daily_return", X.before_n(_w(), n), n) for n in (21, 63, 126, 252)}
+    out["mom_accel"] = out["mom_63"] - F.lag(X.rolling(F.sum, "daily_return", X.last_n(_w(), 63), 63), 64).over(_w())
+    out["reversal_5"] = -X.rolling(F.sum, "daily_return", X.before_n(_w(), 5), 5)
+    out["ma_distance"] = F.lag(F.col("close") / F.col("ma_50") - 1).over(_w())
     return out
 
 
 def medium() -> dict[str, Column]:
     """Volatility of volatility, its momentum and ratio."""
-    out = {"vol_of_vol": X.rolling(F.stddev_samp, "vol_20d", X.before_n(W, 20), 10), "vol_mom_5": F.lag(X.change("vol_20d", W, 5)).over(W)}
-    short, long = X.rolling(F.avg, "vol_20d", X.before_n(W, 5), 5), X.rolling(F.avg, "vol_20d", X.before_n(W, 60), 20)
+    out = {"vol_of_vol": X.rolling(F.stddev_samp, "vol_20d", X.before_n(_w(), 20), 10), "vol_mom_5": F.lag(X.change("vol_20d", _w(), 5)).over(_w())}
+    short, long = X.rolling(F.avg, "vol_20d", X.before_n(_w(), 5), 5), X.rolling(F.avg, "vol_20d", X.before_n(_w(), 60), 20)
     return out | {"vol_ratio": F.try_divide(short, long), "vol_trend": short - long}
 
 
 def rich() -> dict[str, Column]:
     """Higher moments of the 20 bars before."""
-    f = X.before_n(W, 20)
+    f = X.before_n(_w(), 20)
     return {"skew_20": X.skew("daily_return", f, 10), "kurt_20": X.kurt("daily_return", f, 10), "max_20": X.rolling(F.max, "daily_return", f, 10)}
 
 
@@ -72,6 +73,6 @@ def target(kind: str) -> Column:
     if kind == "raw":
         return F.col("daily_return")
     if kind == "vol_adjusted":
-        sd = X.rolling(F.stddev_samp, "daily_return", X.last_n(W, 20), 10)
+        sd = X.rolling(F.stddev_samp, "daily_return", X.last_n(_w(), 20), 10)
         return F.col("daily_return") / F.nullif(sd, F.lit(0.0))
-    return F.col("daily_return") - X.rolling(lambda x: F.percentile(x, F.lit(0.5)), "daily_return", X.last_n(W, 60), 20)
+    return F.col("daily_return") - X.rolling(lambda x: F.percentile(x, F.lit(0.5)), "daily_return", X.last_n(_w(), 60), 20)

@@ -308,7 +308,7 @@ BD = "select s.strategy, s.date, s.daily_return, d.i from strat s join (select d
 BOOT = f"select b.rep, d.strategy, d.daily_return from ({boot_sql('500')}) b join ({BD}) d on d.i = b.i"
 
 
-@query(f"select rep, t, i from ({boot_sql('(select cast(count(*) as bigint) from region) * 100')}) x")
+@query(f"select rep, t, i from ({boot_sql('((select cast(count(*) as bigint) from region) * 100)')}) x")
 def bootstrap_indices(spark, sf_dir):
     n = bars.scan(spark, sf_dir, "region").count() * 100
     return P.bootstrap_indices(spark, n, REPS, SEED)
