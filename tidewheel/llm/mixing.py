@@ -165,8 +165,13 @@ def mix(
     fits = F.aggregate(
         "list", start,
         lambda a, x: F.when(x["size"] <= a["room"], F.struct((a["room"] - x["size"]).alias("room"), F.concat(a["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(a),
-    )["ids"]
-    cuts = edge_docs.join(picked.select("source_no", "block", fits.alias("ids")), ["source_no", "block"])
+    )
+    picked = picked.select("source_no", "block", "list", fits.alias("got"))
+    # and one more if that comes nearer to the target than the room that is left
+    near = F.filter("list", lambda x: ~F.coalesce(F.array_contains("got.ids", x["doc_id"]), F.lit(False)) & (x["size"] < 2 * F.col("got.room")))
+    best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x["size"] - F.col("got.room")).alias("off"), x["doc_id"].alias("doc_id"))))
+    ids = F.concat("got.ids", F.array_compact(F.array(best["doc_id"])))
+    cuts = edge_docs.join(picked.select("source_no", "block", ids.alias("ids")), ["source_no", "block"])
     cuts = cuts.withColumn("in_rest", F.coalesce(F.array_contains("ids", F.col("doc_id")), F.lit(False))).drop("ids")
     every = full.where("cut_at is null").withColumn("in_rest", F.lit(True)).unionByName(cuts)
     used = F.filter(F.coalesce("units", F.array().cast("array<struct<pass:bigint,shard:int>>")), lambda u: (u["pass"] < F.col("passes")) | F.col("in_rest"))
