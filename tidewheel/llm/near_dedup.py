@@ -15,10 +15,12 @@ inside one component would not change the result, and no other candidate is left
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ MIN_SHARED = 4
 #: Documents of a block, of which pairs are compared in one step.
 BLOCK = 128
 U = np.uint64
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: What str.split() takes for white space beyond the contract's.
+OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 Batches = Iterator[pd.DataFrame]
 
 _rng = np.random.default_rng(5)
@@ -48,39 +51,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, kept in a cache of bounded size."""
+class WordHashes(dict):
+    """64-bit hashes of words; of two generations of ``limit`` words the older one goes."""
 
     def __init__(self, limit: int = 200_000):
-        self.known, self.limit = {}, limit
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = h
+        return h
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        import xxhash
+        return np.fromiter(map(self.__getitem__, words), U, len(words))
 
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        out = np.empty(len(words), U)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out[i] = h
-        return out
+
+def lower(text: str) -> str:
+    """A-Z in lower case, and no other letter."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def split_words(text: str) -> list[str]:
     """Words of the contract: runs without space, tab, line feed, vertical tab, form feed or return."""
-    if not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        for c in PY_WS[:-1]:
-            text = text.replace(c, " ")
-        return [w for w in text.split(" ") if w]
-    return text.split()
+    if not OTHER_SPACE.search(text):
+        return text.split()
+    for c in PY_WS[:-1]:
+        text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
 
 
 def shingles(text: str, k: int, hashes: WordHashes) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; fewer words than ``k`` are one shingle."""
-    w = split_words(text.translate(LOWER) if text.isascii() else "".join(text).translate(LOWER))
+    w = split_words(lower(text))
     if not w:
         return np.zeros(0, U)
     h = hashes(w)
