@@ -1,6 +1,6 @@
 """Registered queries over the operators."""
 
-from . import analytics, marts, portfolios  # noqa: F401
+from . import analytics, marts, portfolios, research  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -327,9 +327,9 @@ def vol_20d(spark, sf_dir):
     return daily(spark, sf_dir).select("symbol", d().alias("date"), r("vol_20d").alias("vol_20d"))
 
 
-@query("select symbol, cast(date as varchar) as date, round(ma_50, 6) as ma_50 from daily", ("daily",))
+@query("select symbol, cast(date as varchar) as date, round(ma_50 + 1e-9, 6) as ma_50 from daily", ("daily",))
 def ma_50(spark, sf_dir):
-    return daily(spark, sf_dir).select("symbol", d().alias("date"), r("ma_50", 6).alias("ma_50"))
+    return daily(spark, sf_dir).select("symbol", d().alias("date"), r(F.col("ma_50") + 1e-9, 6).alias("ma_50"))  # off the ties
 
 
 @query("select strategy, cast(date as varchar) as date, round(avg(daily_return) over w / nullif(stddev_samp(daily_return) over w, 0) * sqrt(252.0), 6) as rolling_sharpe from strat window w as (partition by strategy order by date rows between 251 preceding and current row)", ("strat",))
