@@ -64,9 +64,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep_id"]), "left_semi").dropDuplicates([id_col])
+    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay, and of rows that repeat
+    an id and its text one stays."""
+    keep = exact_dedup(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__keep_id")).agg(F.count(F.lit(1)).alias("__rows"))
+    keep = materialize(keep, "kept")
+
+    def rows(ids: DataFrame) -> DataFrame:
+        return docs.join(ids, docs[id_col].eqNullSafe(ids["__keep_id"]), "left_semi")
+
+    twice = keep.where("__rows > 1")
+    if twice.isEmpty():  # texts are compared again only where an id occurs twice
+        return rows(keep)
+    return rows(keep.where("__rows = 1")).unionByName(rows(twice).dropDuplicates([id_col]))
 
 
 SQL = r"""
