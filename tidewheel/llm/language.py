@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf as C
-from .base import fold, text_or_empty
+from .base import fold, hashed_sample, text_or_empty
 
 SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 2000
@@ -81,13 +81,9 @@ def training_sequences(texts: list[str], langs: list[str], labels: list[str], se
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> C.Crf:
     """``labelled``: rows with text and language. The sample is the same on every run."""
-    rows = (
-        labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, sample_chars).alias("text"))
-        .orderBy(F.xxhash64(F.lit(seed), "id"), "id", "lang", "text")
-        .limit(sample_docs)
-        .collect()
-    )
+    own = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    own = own.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, sample_chars).alias("text"))
+    rows = hashed_sample(own, sample_docs, "id", seed, "lang", "text").collect()
     labels = sorted({r["lang"] for r in rows})
     if not labels:
         return C.Crf([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
