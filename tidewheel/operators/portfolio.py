@@ -88,6 +88,18 @@ def shrunk(x: np.ndarray) -> np.ndarray:
     return a * mu * np.eye(k) + (1 - a) * s
 
 
+def shrunk_covariances(window: DataFrame) -> DataFrame:
+    """rebalance, a, b, cov: each trailing window's covariance, shrunk."""
+
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        names, _, wide = _matrix(part)
+        s = shrunk(wide.to_numpy())
+        i, j = np.triu_indices(len(names))
+        return pd.DataFrame({"rebalance": key[0], "a": [names[k] for k in i], "b": [names[k] for k in j], "cov": s[i, j]})
+
+    return window.groupBy("rebalance").applyInPandas(solve, "rebalance date, a string, b string, cov double")
+
+
 def _risk_parity(s: np.ndarray) -> np.ndarray:
     """Equal risk contributions by cyclical coordinate descent."""
     k = len(s)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import windows as X
+from ..operators import contracts as C
 from ..operators import evaluation as E
 from ..operators import performance as PF
 from ..operators import portfolio as P
@@ -15,7 +16,7 @@ from ..operators import series
 from ..sources import bars, landing
 from ..streaming.incremental import scratch
 from .analytics import DRAW
-from .portfolios import BD, NUM, REPS, SEED, boot_dates, boot_sql, rows_of
+from .portfolios import BD, NUM, REPS, SEED, boot_dates, boot_sql, rows_of, trailing
 from .registry import d, daily, query, r, strategies
 
 
@@ -244,3 +245,74 @@ def feature_importance(spark, sf_dir):
     weights = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]
     n = test.agg(F.count(F.lit(1)).alias("n_test"))
     return spark.createDataFrame(weights, "feature string, importance double").crossJoin(F.broadcast(n)).select("feature", r("importance", 4).alias("importance"), "n_test")  # one row
+
+
+@query()
+def shrink_covariance(spark, sf_dir):
+    return P.shrunk_covariances(trailing(spark, sf_dir)).select(d("rebalance").alias("rebalance"), "a", "b", r("cov").alias("cov"))
+
+
+@query("select symbol, cast(date as varchar) as date from (select *, abs(high - low - (high - low)) <= 1e-9 as same, (low - 99 > 0 or high - 99 < 0) as expected, close > 99 as flag from prices) p where not same or flag <> expected", ("prices",))
+def check_effect(spark, sf_dir):
+    p = bars.prices(spark, sf_dir).withColumns({"diff": F.col("high") - F.col("low"), "lo": F.col("low") - 99, "hi": F.col("high") - 99, "flag": F.col("close") > 99})
+    return C.pair_consistent(p, "high", "low", "diff", "lo", "hi", "flag").select("symbol", d().alias("date"))
+
+
+@query(
+    f"""select symbol, count(*) as n, round(corr(l, vol_20d), 5) as ic from (select *, lag(vol_20d) over (partition by symbol order by date) as l from (select *, count(*) over (partition by symbol) as n_rows from ({NUM}) x) y) z
+ where i >= n_rows - least(252, floor(n_rows * 0.2)) and l is not null and vol_20d is not null group by symbol""",
+    ("daily",),
+)
+def holdout_readout(spark, sf_dir):
+    rows = E.holdout(rows_of(spark, sf_dir)).withColumn("l", F.lag("vol_20d").over(X.by("symbol"))).where("slice = 'holdout' and l is not null and vol_20d is not null")
+    return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.corr("l", "vol_20d"), 5).alias("ic"))
+
+
+def returns_ahead(spark, sf_dir, horizon: int):
+    w = X.by("symbol")
+    y = X.rolling(F.sum, "daily_return", w.rowsBetween(1, horizon), horizon)
+    return rows_of(spark, sf_dir).withColumns({"y": y, "l1": F.col("daily_return"), "l2": F.lag("daily_return").over(w), "m20": F.avg("daily_return").over(X.last_n(w, 20))})
+
+
+def forecast(spark, sf_dir, horizon: int, train: int, ridge: float = 0.01, lasso: float = 0.0):
+    names, rows = ["l1", "l2", "m20"], returns_ahead(spark, sf_dir, horizon)
+    f = E.folds(rows, train, 100, horizon)
+    return E.predicted(rows, f, E.least_squares(rows, f, names, "y", ridge=ridge, lasso=lasso), names).where("y is not null and pred is not null")
+
+
+@query()
+def lasso_forecast(spark, sf_dir):
+    p = forecast(spark, sf_dir, 1, 250, 0.0, 1e-5)
+    return p.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.corr("pred", "y"), 4).alias("ic"))
+
+
+@query()
+def return_forecast_eval(spark, sf_dir):
+    """Walk-forward return forecasts: accuracy, information coefficient and the share of folds with R squared above 0."""
+    p = forecast(spark, sf_dir, 5, 500)
+    m = F.avg("y").over(W.partitionBy("symbol", "fold"))
+    sq = lambda c: F.sum(F.pow(F.col("y") - F.col(c), F.lit(2.0)))
+    by_fold = p.withColumn("m", m).groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(sq("pred"), sq("m"))).alias("r2"), F.avg((F.signum("pred") == F.signum("y")).cast("double")).alias("hit"))
+    return by_fold.groupBy("symbol").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_folds"), F.sum((F.col("r2") > 0).cast("int")).alias("passed"), r(F.sum(F.col("hit") * F.col("n")) / F.sum("n"), 6).alias("accuracy"))
+
+
+@query()
+def return_sweep(spark, sf_dir):
+    """Horizons and training lengths as a grid, one row of figures for each configuration and symbol."""
+    out = None
+    for h, t in ((1, 250), (5, 250), (5, 500)):
+        p = forecast(spark, sf_dir, h, t).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.corr("pred", "y"), 5).alias("ic"))
+        p = p.select(F.lit(h).alias("horizon"), F.lit(t).alias("train"), "symbol", "n", "ic")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query()
+def robustness_runs(spark, sf_dir):
+    """The information coefficient around a base training length, classified."""
+    out = None
+    for t in (250, 200, 300):
+        p = forecast(spark, sf_dir, 1, t).groupBy("symbol").agg(F.corr("pred", "y").alias("metric_value"))
+        p = p.select("symbol", F.lit("train").alias("dimension"), "metric_value", F.lit(t == 250).alias("is_base"))
+        out = p if out is None else out.unionByName(p)
+    return E.robustness(out, ["symbol", "dimension"]).select("symbol", "dimension", r("base", 5).alias("base"), "n_probes", F.array_join("flags", ",").alias("flags"), "verdict")
