@@ -35,7 +35,9 @@ WIDTH = 50
 CORE = 16
 #: First names with more contexts than this are merged by window over all tasks.
 HOT_CONTEXTS = 1000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Documents that are summed up before rows leave a task.
+AT_ONCE = 2500
 
 U = np.uint64
 LOW = U(0xFFFFFFFF)
@@ -149,11 +151,18 @@ def _first_in_batch(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
 Batches = Iterator[pd.DataFrame]
 
 
+def slices(batches: Batches) -> Batches:
+    """Batches of bounded size: what is held at once in a task doesn't grow with Arrow's batches."""
+    for batch in batches:
+        for at in range(0, len(batch), AT_ONCE):
+            yield batch.iloc[at : at + AT_ONCE]
+
+
 def _core_names(width: int) -> Callable[[Batches], Batches]:
     """The first names of each batch; twice if the batch has them in several documents."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             h, doc = [], []
             for ids, ends, data in chunks(batch["doc_id"].to_numpy(), batch["text"].tolist()):
                 p, own, _ = sampled(data, ends, width)
@@ -172,7 +181,7 @@ def _second_names(width: int, names) -> Callable[[Batches], Batches]:
     """(h, ctx, chk, doc): the smallest document of each second name in a batch."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             parts = [_contexts(*c, width, names.value)[:4] for c in chunks(batch["doc_id"].to_numpy(), batch["text"].tolist())]
             if parts:
                 h, ctx, chk, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -184,13 +193,13 @@ def _second_names(width: int, names) -> Callable[[Batches], Batches]:
 
 
 def _places(width: int, names, open_names) -> Callable[[Batches], Batches]:
-    """(ctx, chk, doc, pos, left, right, h, bytes): every place with a first name that several documents
+    """(ctx, chk, doc, place, h, bytes; place packs position and reach): every place with a first name that several documents
     have; h and bytes only if its context may have to be merged, and only in the batch's smallest
     document."""
     side = width - CORE
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             parts, texts = [], []
             for ids, ends, data in chunks(batch["doc_id"].to_numpy(), batch["text"].tolist()):
                 *own, p = _contexts(ids, ends, data, width, names.value)
@@ -206,7 +215,7 @@ def _places(width: int, names, open_names) -> Callable[[Batches], Batches]:
                 smallest[order] = doc[order] == least
                 raw = [t if s else None for t, s in zip(texts, smallest, strict=True)]
                 h = np.where([x is None for x in raw], 0, h) if raw else h
-                yield pd.DataFrame({"ctx": ctx, "chk": chk, "doc": doc, "pos": pos, "left": left, "right": right, "h": h, "bytes": raw})
+                yield pd.DataFrame({"ctx": ctx, "chk": chk, "doc": doc, "place": pos << 12 | left << 6 | right, "h": h, "bytes": raw})
 
     return run
 
@@ -283,8 +292,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     """(doc, start, stop): bytes of ``width``-byte strings that start in a document with a smaller id.
 
     Spans may overlap or touch. Rows without an id are left out; rows that repeat an id count as
-    one document.
+    one document. ``width`` is from CORE + 1 to CORE + 63.
     """
+    if not 0 < width - CORE < 64:
+        raise ValueError(f"width must be from {CORE + 1} to {CORE + 63}")
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     own = own.where(F.octet_length("text") >= width)
     first = own.mapInPandas(_core_names(width), "h long").repartition("h").groupBy("h").count().where("count > 1").select("h")
@@ -294,10 +305,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     second = materialize(second.groupBy("ctx", "chk").agg(F.min("doc").alias("least"), F.first("h").alias("h")), "second-names")
     several = materialize(second.groupBy("h").agg(F.count(F.lit(1)).alias("n_ctx")).where("n_ctx > 1"), "open-names")
     open_names = bitmaps.shared(several, "h", several.count())
-    place = own.mapInPandas(_places(width, names, open_names), "ctx long, chk long, doc long, pos long, left long, right long, h long, bytes binary")
+    place = own.mapInPandas(_places(width, names, open_names), "ctx long, chk long, doc long, place long, h long, bytes binary")
     raw = F.when(F.col("doc") == F.col("least"), F.col("bytes")).alias("bytes")
     place = place.join(second.select("ctx", "chk", "least"), ["ctx", "chk"]).where("doc > least or bytes is not null")
-    place = materialize(place.select("doc", "pos", "left", "right", "h", raw), "places")
+    pos, left, right = F.shiftright("place", 12), F.shiftright("place", 6).bitwiseAND(F.lit(63)), F.col("place").bitwiseAND(F.lit(63))
+    place = materialize(place.select("doc", "place", "h", raw), "places").select("doc", pos.alias("pos"), left.alias("left"), right.alias("right"), "h", "bytes")
     again = place.where("bytes is null").select("doc", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right") + CORE).alias("stop"))
     least = place.where("bytes is not null").join(several.where(F.col("n_ctx") > HOT_CONTEXTS), "h", "left")
     few = least.where("n_ctx is null").repartition("h").sortWithinPartitions("h").mapInPandas(_merge_windows(width), SPANS)
