@@ -388,6 +388,51 @@ def test_fuzzy_passages(spark):
     assert got[2, 1]["identity"] > 0.85 and got[2, 1]["stop"] - got[2, 1]["start"] >= 75
 
 
+def brute_segments(runs, min_words, identity):
+    """The same by trying every pair of ends, without prefix sums or early stops."""
+    found = []
+    for i in range(len(runs)):
+        for j in range(i, len(runs)):
+            (x, y, n), (ex, ey, en) = runs[i], runs[j]
+            if min(n, en) >= fuzzy_passages.SEED:
+                agree, dx, dy = sum(r[2] for r in runs[i : j + 1]), ex + en - x, ey + en - y
+                if min(dx, dy) >= min_words and agree >= identity * max(dx, dy):
+                    found.append((-agree, i, j))
+    if not found:
+        return set()
+    top, i, j = min(found)
+    own = (runs[i][0], runs[j][0] + runs[j][2], runs[i][1], runs[j][1] + runs[j][2], -top)
+    return {own} | brute_segments(runs[:i], min_words, identity) | brute_segments(runs[j + 1 :], min_words, identity)
+
+
+def test_fuzzy_segments_against_brute_force():
+    rng = np.random.default_rng(3)
+    several = 0
+    for _ in range(300):
+        steps = rng.integers(0, 12, (int(rng.integers(1, 14)), 2)) * rng.integers(0, 4)
+        n = rng.integers(1, 40, len(steps))
+        at = np.cumsum(steps + np.concatenate([[0], n[:-1]])[:, None], axis=0)
+        runs = np.concatenate([at, n[:, None]], 1)
+        got = list(fuzzy_passages.segments(runs))
+        assert set(got) == brute_segments(runs.tolist(), fuzzy_passages.MIN_WORDS, fuzzy_passages.IDENTITY) and len(set(got)) == len(got)
+        several += len(got) > 1
+    assert several > 20
+
+
+def test_fuzzy_passages_two_of_a_pair_and_a_stray_seed(spark):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    head, foot, whole, stray = words(50), words(50), words(60), words(30)
+    df = spark.createDataFrame(
+        [(i, " ".join(m)) for i, m in enumerate([
+            words(7) + head + words(100) + foot + words(5), head + words(100) + foot,  # a header and a footer
+            whole + words(25) + stray + words(9), words(4) + whole + words(31) + stray,  # a short match near a passage
+        ])], "doc_id long, text string",
+    )
+    got = {(r["doc_id"], r["other_id"], r["start"], r["stop"], r["other_start"], r["other_stop"], r["n_agree"]) for r in fuzzy_passages.fuzzy_passages(df).collect()}
+    assert got == {(1, 0, 0, 50, 7, 57, 50), (1, 0, 150, 200, 157, 207, 50), (3, 2, 4, 64, 0, 60, 60)}
+
+
 def test_empty_tables(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert near_dedup.near_dedup(empty).count() == 0
