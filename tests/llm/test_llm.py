@@ -180,6 +180,14 @@ def test_packing_carries_little(spark):
     assert len(got) == 500 and (got.groupby("sequence_id").length.sum() <= 50).all()
 
 
+def test_packing_keeps_every_open_bin(spark):
+    """A stretch of items of 60 % of a bin, whose partners of 40 % lie in other partitions."""
+    items = spark.range(800).select(F.col("id").alias("row"), F.when(F.col("id") < 400, 30).otherwise(20).cast("long").alias("length")).repartitionByRange(8, "row")
+    got = packing.pack(items, capacity=50, carry=32, fan_in=8).join(items, "row").toPandas()
+    assert len(got) == 800 and (got.groupby("sequence_id").length.sum() <= 50).all()
+    assert got.sequence_id.nunique() <= 420  # 400 is the lower bound
+
+
 @pytest.mark.parametrize("text", ["", " a", "a  b", "a\n\nb", "it's 12\t3", "<|endoftext|> x<|endoftext|>", "é ü ç 日本", "a\x1cb c", "x \n y", "A b c"])
 def test_encoder_equals_tokenizer(text):
     e = packing.Encoder(TOKENIZER)

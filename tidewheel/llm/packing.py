@@ -1,12 +1,10 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Texts become token pieces of at most ``capacity`` ids. Every partition packs its pieces best-fit
-(longest first) and emits the bins that are nearly full. Underfull bins travel on as items of
-their own: in each round ``fan_in`` neighbouring nodes meet in one, pack their items best-fit again
-and emit what has become nearly full, until one node is left. A node passes on at most ``carry``
-items, the emptiest ones; the others are emitted as they are, so no task grows with the input and
-no piece is dropped. An item carries its members (at most ``capacity`` pieces of one token each),
-so a bin of bins needs no lookups.
+(longest first) and emits the bins that are nearly full. All other bins are opened again: in each round
+their pieces are dealt by hash over nodes of bounded size and packed best-fit, and what has become nearly
+full is emitted, until one node is left or a round saves next to nothing. No task grows with the input, no
+bin leaves half full while pieces that fill it are left elsewhere, and no piece is dropped.
 """
 
 from __future__ import annotations
@@ -16,6 +14,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +28,7 @@ CAPACITY = 2048
 SLACK = (8, 16, 32, 64)
 CARRY = 4096
 FAN_IN = 8
+LEAST_GAIN = 0.001
 CACHE = 400_000
 #: Fixed value: the splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -170,55 +170,57 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-ITEM = "node long, size long, closed boolean, rows array<long>, lengths array<long>, offsets array<long>"
+BIN = "closed boolean, rows array<long>, lengths array<long>, offsets array<long>"
 
 
-def _pack(sizes: np.ndarray, rows: list, lengths: list, capacity: int, slack: int, carry: int, node: int, last: bool) -> pd.DataFrame:
-    """Bins of one node. ``rows`` and ``lengths``: an array of members for each item."""
-    made = sorted(((int(sizes[b].sum()), b) for b in map(np.asarray, best_fit(sizes, capacity))), key=lambda x: x[0])
+def _pack(part: pd.DataFrame, capacity: int, slack: int) -> pd.DataFrame:
+    """Bins of the pieces that one node meets; nearly full ones are closed."""
+    rows, sizes = part["row"].to_numpy(), part["length"].to_numpy()
     out = []
-    for k, (size, b) in enumerate(made):
-        own, n = (np.concatenate([np.atleast_1d(x[i]) for i in b]) for x in (rows, lengths))
-        out.append((node, size, bool(last or size >= capacity - slack or k >= carry), own, n, np.cumsum(n) - n))
-    return pd.DataFrame(out, columns=["node", "size", "closed", "rows", "lengths", "offsets"])
+    for b in best_fit(sizes, capacity):
+        n = sizes[b]
+        out.append((bool(n.sum() >= capacity - slack), rows[b], n, np.cumsum(n) - n))
+    return pd.DataFrame(out, columns=["closed", "rows", "lengths", "offsets"])
 
 
-def _merge(capacity: int, slack: int, carry: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return _pack(part["size"].to_numpy(), part["rows"].to_list(), part["lengths"].to_list(), capacity, slack, carry, int(key[0]), last)
+def _packs(capacity: int, slack: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def packs(part: pd.DataFrame) -> pd.DataFrame:
+        return _pack(part, capacity, slack)
 
-    return merge
+    return packs
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, slack: tuple[int, ...] = SLACK, carry: int = CARRY, fan_in: int = FAN_IN) -> DataFrame:
     """(row, length) -> (row, sequence_id, offset): a place for every row.
 
-    Rows are numbers that occur once, lengths are from 1 to ``capacity``. An empty table gives an
-    empty result.
+    Rows are numbers that occur once, lengths are from 1 to ``capacity``. The pieces of all bins that
+    aren't nearly full take part in each round, dealt by hash over nodes of about ``carry * fan_in`` pieces, so
+    that each node meets all sizes. Rounds end with a single node, or when one saves less than ``LEAST_GAIN`` of
+    the bins. An empty table gives an empty result.
     """
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        node = TaskContext.get().partitionId()
         for batch in batches:
-            sizes = batch["length"].to_numpy()
-            yield _pack(sizes, batch["row"].to_numpy(), sizes, capacity, slack[0], carry, node, False)
-
-    bins = materialize(items.select("row", "length").mapInPandas(first, ITEM), "bins")
-    closed = [bins.where("closed")]
-    top, level = bins.agg(F.max("node")).first()[0], 0
-    while top is not None:
-        level += 1
-        last = top < fan_in
-        merge = _merge(capacity, slack[min(level, len(slack) - 1)], carry, last)
-        meet = bins.where("not closed").withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
-        bins = materialize(meet.groupBy("node").applyInPandas(merge, ITEM), "bins")
-        closed.append(bins.where("closed"))
-        top = None if last else top // fan_in
-    every = closed[0]
-    for c in closed[1:]:
-        every = every.unionByName(c)
+            yield _pack(batch, capacity, slack[0])
+
+    bins = materialize(items.select("row", "length").mapInPandas(first, BIN), "bins")
+    every, level, load = [], 0, carry * fan_in
+    while True:
+        every.append(bins.where("closed"))
+        rest = bins.where("not closed")
+        n_open, n_pieces = rest.agg(F.count(F.lit(1)), F.sum(F.size("rows"))).first()
+        if not n_open or level and (nodes == 1 or not gained):
+            break
+        level, nodes, room = level + 1, -(-n_pieces // load), slack[min(level + 1, len(slack) - 1)]
+        pieces = rest.select(F.inline(F.arrays_zip(F.col("rows").alias("row"), F.col("lengths").alias("length"))))
+        pieces = pieces.withColumn("node", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(nodes)))
+        bins = materialize(pieces.groupBy("node").applyInPandas(_packs(capacity, room), BIN), "bins")
+        merged = n_open - bins.count()
+        gained = merged >= n_open * LEAST_GAIN
+        if merged < 0:  # the round before was better
+            break
+    every.append(rest)
+    every = reduce(DataFrame.unionByName, every)
     # a sequence's number is its smallest row, which no other sequence has
     places = F.inline(F.arrays_zip(F.col("rows").alias("row"), F.col("offsets").alias("offset")))
     return every.select(F.array_min("rows").alias("sequence_id"), places)
