@@ -206,6 +206,14 @@ def test_mixing(docs, rows):
     assert all(len(r.places) * r["size"] == r.taken for _, r in got.iterrows())
 
 
+def test_mixing_of_mostly_empty_texts(spark):
+    """Blocks without words take no place from the rest's blocks."""
+    rows = [(i, "word " * 30 if i % 20 == 0 else None if i % 2 else "", "a" if i < 1200 else "b") for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_docs=4, shards=5)
+    per = got.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(per) == 2 and all(abs(r["taken"] - r["target"]) <= 30 for r in per), per  # a document at most
+
+
 def test_targets_stop_at_three_times(spark):
     s = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(s).collect()}

@@ -131,12 +131,16 @@ def mix(
     blocks = blocks.withColumn("turn", turn).withColumn("grp", F.floor((F.col("turn").cast("double") / 2.0**64 + 0.5) * groups))
     in_group = W.partitionBy("source_no", "grp").orderBy("turn", "block")
     blocks = blocks.withColumn("before", F.sum("words").over(in_group) - F.col("words")).withColumn("at", F.row_number().over(in_group) - 1)
+    # the rest takes no blocks without words, so its blocks are numbered without them
+    blocks = blocks.withColumn("rest_at", F.sum((F.col("words") > 0).cast("long")).over(in_group) - 1)
     blocks = materialize(blocks, "blocks")
-    heads = blocks.groupBy("source_no", "grp").agg(F.sum("words").alias("gw"), F.count(F.lit(1)).alias("gn"))
+    heads = blocks.groupBy("source_no", "grp").agg(F.sum("words").alias("gw"), F.count(F.lit(1)).alias("gn"), F.sum((F.col("words") > 0).cast("long")).alias("gr"))
     by_grp = W.partitionBy("source_no").orderBy("grp")
     heads = heads.withColumn("g_before", F.sum("gw").over(by_grp) - F.col("gw")).withColumn("g_at", F.sum("gn").over(by_grp) - F.col("gn"))
-    blocks = blocks.join(heads.select("source_no", "grp", "g_before", "g_at"), ["source_no", "grp"]).select(
-        "source_no", "block", "words", "rest", (F.col("before") + F.col("g_before")).alias("before"), (F.col("at") + F.col("g_at")).alias("at")
+    heads = heads.withColumn("g_rest_at", F.sum("gr").over(by_grp) - F.col("gr"))
+    blocks = blocks.join(heads.select("source_no", "grp", "g_before", "g_at", "g_rest_at"), ["source_no", "grp"]).select(
+        "source_no", "block", "words", "rest", (F.col("before") + F.col("g_before")).alias("before"), (F.col("at") + F.col("g_at")).alias("at"),
+        (F.col("rest_at") + F.col("g_rest_at")).alias("rest_at"),
     )
     # the block that crosses the rest is cut at the document nearest to it
     edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
@@ -147,8 +151,8 @@ def mix(
     # each block of each pass, with its shard; the rest is the last pass
     passes = blocks.join(plan.select("source_no", "passes"), "source_no").join(drawn.select("source_no", "n_all"), "source_no")
     taken_rest = F.col("edge") | (F.col("whole") & (F.col("words") > 0))
-    units = passes.select("source_no", "block", "edge", "rest", "before", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: (p < F.col("passes")) | taken_rest)).alias("pass"), "at", "n_all", "passes")
-    units = units.withColumn("rank", F.col("pass") * F.col("n_all") + F.col("at"))
+    units = passes.select("source_no", "block", "edge", "rest", "before", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: (p < F.col("passes")) | taken_rest)).alias("pass"), "at", "rest_at", "n_all", "passes")
+    units = units.withColumn("rank", F.col("pass") * F.col("n_all") + F.when(F.col("pass") < F.col("passes"), F.col("at")).otherwise(F.col("rest_at")))
     hit = [units["source_no"] == stretches["source_no"], units["rank"] >= stretches["first"], units["rank"] < stretches["first"] + stretches["n"]]
     n_stretches = stretches.count()
     placed = units.join(F.broadcast(stretches) if n_stretches <= 1_000_000 else stretches, hit).drop(stretches["source_no"])
