@@ -126,12 +126,52 @@ def test_near_dedup_chains_through_one_text(spark):
     assert got.component_id.tolist() == [0, 0, 0] and reference_near([(i, " ".join(t)) for i, t in enumerate(texts)], 1)[2][1] == 0
 
 
-def test_near_dedup_blocks(spark, monkeypatch):
-    """Blocks of two documents find the same links as one block."""
-    rows = corpus(40, 3)
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)
-    got = by_id(near_dedup.near_dedup(spark.createDataFrame(rows, SCHEMA), shingle=4))
+def near_family(n, seed, words=120, most=0.4):
+    """One text and copies with up to 40 % of the words replaced or dropped: similarities on both sides of the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        share = rng.random() * most * 0.3
+        w = [x if rng.random() > share else f"x{rng.randrange(10**6)}" for x in base if rng.random() > share / 4]
+        out.append((i * 2 + 5, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("small", [2, 4, 32])
+def test_near_dedup_hot_family(spark, small):
+    """Groups of every size are compared by hubs, or pair by pair, with the same links."""
+    rows = near_family(150, 3)
+    got = by_id(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shingle=4, small=small))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.iterrows()} == reference_near(rows, 4)
+    assert 5 < got.component_id.nunique() < 140
+
+
+def test_prefixes_meet():
+    """Sets that are alike and not both like the hub share an element of their prefixes."""
+    rng = np.random.default_rng(0)
+    met = 0
+    for _ in range(4000):
+        base = np.arange(60, dtype=np.uint64)
+        sets = []
+        for _ in range(3):
+            keep = base[rng.random(60) > rng.random() * 0.25]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(60, 75, rng.integers(0, 12)).astype(np.uint64)])))
+        hub, x, y = sets
+        (ax, dx, px), (ay, dy, py) = near_dedup.prefix(hub, x, 80), near_dedup.prefix(hub, y, 80)
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 80 * (len(x) + len(y) - both) and not (ax and ay):
+            met += 1
+            assert len(np.intersect1d(px, py)) and 180 * abs(dx - dy) <= 20 * (len(x) + len(y))
+    assert met > 100
+
+
+def test_near_dedup_rows_with_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(7, text), (7, text), (7, "other words " + "x y z " * 5), (None, text + " more"), (None, "alone in the world here"), (2**53 + 1, text), (None, None), (9, "")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["component_id"] is None else r["component_id"], r["kept"]) for r in got)
+    assert found == [(-1, -1, True), (-1, -1, True), (-1, 7, False), (7, 7, True), (7, 7, True), (7, 7, True), (9, 9, True), (2**53 + 1, 7, False)]
 
 
 def test_components_of_a_long_chain(spark):

@@ -5,9 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The white space of the contracts: space and tab to carriage return.
 WS = r"[\x20\x09-\x0D]+"
@@ -18,10 +22,13 @@ PY_WS = "\t\n\x0b\x0c\r "
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local mode) a local folder is made once and set.
+    Where the session names none, a local folder is made once and set, but only in local mode: on a cluster
+    each executor would write to its own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidewheel.local.checkpoint", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.tidewheel.local.checkpoint", path)
     return path.rstrip("/")
@@ -36,7 +43,37 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_path = path
+    return written
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and that nothing reads any more."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def map_texts(docs: DataFrame, fields: str, start: Callable[[], Callable[[list[str]], dict]], text_col: str = "text", keep_text: bool = False, at_once: int = 500) -> DataFrame:
+    """Adds columns made from texts. ``start()`` gives, once in each task, a function from a list of texts to
+    a list or array for each of ``fields``. The other columns pass through Arrow as they are, so that null
+    and 64-bit ids stay what they are."""
+    added = StructType.fromDDL(fields)
+    kept = [f for f in docs.schema if keep_text or f.name != text_col]
+    types = to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                got = make(part.column(text_col).to_pylist())
+                columns = [part.column(f.name) for f in kept] + [pa.array(got[f.name], f.type) for f in types]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + types.names)
+
+    return docs.mapInArrow(run, StructType(kept + list(added)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

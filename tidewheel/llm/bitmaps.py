@@ -8,10 +8,13 @@ exactly afterwards.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import materialize
+
 MAX_BITS = 28
 MIN_BITS = 18
 
@@ -37,5 +40,40 @@ def build(hashes: DataFrame, col: str, count: int) -> Bitmap:
     return Bitmap(bits, data)
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (column id). Rows without an id stay.
+
+    Exact, and texts stay where they are but for a few: a first bitmap holds the ids that go, a second
+    one the ids that stay although the first has them. Only rows that both have are joined with ``gone``.
+    """
+    gone = gone.where("id is not null").distinct()
+    n = gone.count()
+    if not n:
+        return docs
+    first = shared(gone.select(F.xxhash64("id").alias("x")), "x", n)
+
+    def within(bits: Broadcast):
+        @F.pandas_udf("boolean")
+        def has(x: pd.Series) -> pd.Series:
+            return pd.Series(bits.value.has(x.to_numpy()))
+
+        return has
+
+    alarms = docs.select(F.col(id_col).cast("long").alias("id")).where(F.col("id").isNotNull()).where(within(first)(F.xxhash64("id")))
+    alarms = materialize(alarms.distinct().join(gone.hint("shuffle_hash"), "id", "left_anti"), "alarms")
+    second = shared(alarms.select(F.xxhash64("id").alias("x")), "x", alarms.count())
+
+    @F.pandas_udf("int")
+    def how(x: pd.Series) -> pd.Series:
+        h = x.to_numpy()
+        return pd.Series(first.value.has(h).astype(np.int32) * (1 + second.value.has(h)))
+
+    marked = docs.withColumn("__how", F.when(F.col(id_col).isNotNull(), how(F.xxhash64(F.col(id_col).cast("long")))).otherwise(0))
+    doubt = marked.where("__how = 2").drop("__how")
+    ids = gone.select(F.col("id").alias("__gone"))
+    sure = doubt.join(ids.hint("shuffle_hash"), doubt[id_col].cast("long") == ids["__gone"], "left_anti")
+    return marked.where("__how = 0").drop("__how").unionByName(sure)
+
+
 def shared(hashes: DataFrame, col: str, count: int) -> Broadcast:
     return hashes.sparkSession.sparkContext.broadcast(build(hashes, col, count))

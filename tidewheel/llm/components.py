@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import forget, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,8 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself link to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old = pairs
         pairs = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
+        forget(old)
         if now == before:
             break
         before = now

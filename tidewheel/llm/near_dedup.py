@@ -4,46 +4,51 @@ A document's set is its distinct word shingles. Instead of one hash function for
 small collections of ``TUPLES`` tuples of ``ROWS`` minhashes each; a table's key combines a tuple
 of the first collection with one of the second. ``TUPLES ** 2`` tables thus cost ``2 * TUPLES * ROWS``
 minhashes. Two sets of similarity s share a key with probability ``(1 - (1 - s**ROWS)**TUPLES)**2``:
-above 0.9999 at 0.8 for the values here.
+0.9996 at 0.8 for the values here. Minhashes come from rounds of bins: a round deals the set over all bins, and a
+bin keeps the smallest hash of the first round that reaches it.
 
-Candidates are confirmed on full sets. Equal sets are one node from the start. Of a key's documents
-all are first compared with the smallest one, which settles groups of copies in as many
-comparisons as they have members; then, where a key still holds documents of different components, the
-documents of different components are compared with each other, block by block of a bounded number. Links
-inside one component would not change the result, and no other candidate is left out.
+Candidates are confirmed on full sets; equal sets are one node from the start. A pair that shares a key is found
+without forming all pairs of a key:
+
+1. Every node of a key is compared with the key's hub, the one whose tuples are the most common.
+2. Where nodes of one hub are still in different components, two of them can only be alike if their differences
+   from the hub overlap: both sets differ from each other by at most a ninth of their sizes (at 0.8), so a bound on
+   the overlap follows from sizes alone. By the prefix principle such a pair shares one of the first few
+   elements of both differences, ordered with elements that the hub lacks first. Nodes that share one form smaller
+   groups; small groups are compared pair by pair, large ones with a hub of their own, and so on.
+
+No candidate is left out: whatever is not compared is either in one component already or provably not alike.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import PY_WS, materialize, text_or_empty
+from . import bitmaps
+from .base import PY_WS, map_texts, materialize, text_or_empty
 from .components import components
 
 SHINGLE = 5
 THRESHOLD = 80
-TUPLES = 10
-ROWS = 2
-#: Tuples of 20 that two documents share at least to be compared: 0.8 alike they share 12.8 on average, fewer than 4 once in 100,000 pairs.
-MIN_SHARED = 4
-#: Documents of a block, of which pairs are compared in one step.
-BLOCK = 128
+TUPLES = 12
+ROWS = 3
+#: Nodes of a group that is compared pair by pair; larger groups get a hub.
+SMALL = 32
 U = np.uint64
+GOLD = U(0x9E3779B97F4A7C15)
 #: What str.split() takes for white space beyond the contract's.
-OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 Batches = Iterator[pd.DataFrame]
 
-_rng = np.random.default_rng(5)
-MULTIPLY = _rng.integers(1, 2**63, 2 * TUPLES * ROWS, dtype=np.uint64) * U(2) + U(1)
-ADD = _rng.integers(0, 2**63, 2 * TUPLES * ROWS, dtype=np.uint64)
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -95,187 +100,222 @@ def shingles(text: str, k: int, hashes: WordHashes) -> np.ndarray:
     n = max(1, len(h) - k + 1)
     out = np.full(n, U(min(k, len(h))), U)
     for j in range(min(k, len(h))):
-        out = mix(out * U(0x9E3779B97F4A7C15) + h[j : j + n])
+        out = mix(out * GOLD + h[j : j + n])
     return np.unique(out)
 
 
-def tuples(sets: np.ndarray) -> np.ndarray:
-    """The tuples of minhashes of a set: ``TUPLES`` of the first collection, then of the second."""
-    least = np.full(len(MULTIPLY), np.iinfo(np.uint64).max, U)
-    step = max(1, 200_000 // len(MULTIPLY))
-    for at in range(0, len(sets), step):
-        np.minimum(least, mix(sets[at : at + step, None] * MULTIPLY + ADD).min(axis=0), out=least)
-    half = least.reshape(2 * TUPLES, ROWS)
+BINS = 2 * TUPLES * ROWS
+EDGES = np.arange(BINS + 1, dtype=np.uint64) << U(57)
+
+
+def minhashes(own: np.ndarray) -> np.ndarray:
+    """``BINS`` minhashes of a set that isn't empty. In each round an element has one bin and one value."""
+    least = np.full(BINS, np.iinfo(np.uint64).max, U)
+    first, rounds = 1, -(-9 * BINS // len(own))
+    while True:
+        r = np.arange(first, first + rounds, dtype=np.uint64)[:, None]
+        h = mix(own + r * GOLD)
+        key = ((h >> U(32)) * U(BINS) >> U(32) << U(57)) | (r << U(41)) | ((h & U(0xFFFFFFFF)) << U(9))
+        key = np.sort(key, axis=None)
+        at = np.searchsorted(key, EDGES)
+        some = at[1:] > at[:-1]
+        least[some] = np.minimum(least[some], key[at[:-1][some]])
+        if (least != np.iinfo(np.uint64).max).all():
+            return least
+        first, rounds = first + rounds, 2 * rounds
+
+
+def tuples(own: np.ndarray) -> np.ndarray:
+    """The names of a set's tuples: ``TUPLES`` of the first collection, then of the second; the lowest bit tells which."""
+    half = minhashes(own).reshape(2 * TUPLES, ROWS)
     names = np.arange(1, 2 * TUPLES + 1, dtype=np.uint64)
     for r in range(ROWS):
-        names = mix(names * U(0x9E3779B97F4A7C15) + half[:, r])
-    return names
+        names = mix(names * GOLD + half[:, r])
+    side = np.arange(2 * TUPLES, dtype=np.uint64) // U(TUPLES)
+    return (names & ~U(1) | side).view(np.int64)
 
 
-def _sets(k: int) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
+def set_names(own: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of a set."""
+    return int(mix(own).sum(dtype=U).view(np.int64)), int(np.bitwise_xor.reduce(mix(own + U(77))).view(np.int64)) if len(own) else 0
+
+
+def _sets(k: int) -> Callable[[], Callable[[list[str]], dict]]:
+    def start() -> Callable[[list[str]], dict]:
         hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                own = [shingles(t, k, hashes) for t in part["text"]]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].to_numpy(),
-                        "n_shingles": [len(s) for s in own],
-                        "set_id": [int(mix(s).sum(dtype=U).view(np.int64)) for s in own],
-                        "set_id2": [int(np.bitwise_xor.reduce(mix(s + U(77))).view(np.int64)) if len(s) else 0 for s in own],
-                        "tuples": [tuples(s).view(np.int64) if len(s) else None for s in own],
-                    }
-                )
 
-    return run
+        def make(texts: list[str]) -> dict:
+            own = [shingles(t, k, hashes) for t in texts]
+            one, two = zip(*map(set_names, own), strict=True)
+            return {"n_shingles": [len(s) for s in own], "set_id": one, "set_id2": two, "tuples": [tuples(s) if len(s) else None for s in own]}
 
+        return make
 
-def _full_sets(k: int) -> Callable[[Batches], Batches]:
-    """The sets of texts as bytes: 48 bits of each shingle's hash."""
+    return start
 
-    def run(batches: Batches) -> Batches:
+
+FULL = "n_shingles long, set_id long, set_id2 long, members binary"
+
+
+def _full_sets(k: int, wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sets of texts as bytes, 48 bits of each shingle's hash; of texts whose x the bitmap ``wanted`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                raw = [np.ascontiguousarray(shingles(t, k, hashes).astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for t in part["text"]]
-                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "members": raw})
+            ok = wanted.value.has(batch.column("x").to_numpy())
+            picked = batch.column("text").filter(pa.array(ok))
+            for at in range(0, len(picked), 500):
+                own = [shingles(t, k, hashes) for t in picked.slice(at, 500).to_pylist()]
+                raw = [np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for s in own]
+                one, two = zip(*map(set_names, own), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in own], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(raw, pa.binary())], names=["n_shingles", "set_id", "set_id2", "members"])
 
     return run
 
 
 def _unpack(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
     return out.view("<u8").ravel()
 
 
-def _confirm(threshold: int) -> Callable[[Batches], Batches]:
-    """Pairs with both sets -> the pairs that are similar enough. Sets are sorted."""
+def prefix(hub: np.ndarray, own: np.ndarray, threshold: int) -> tuple[bool, int, np.ndarray]:
+    """Whether two sets are alike, how many elements only one of them has, and the first elements of that
+    difference, one of which ``own`` shares with every set that is like it and not settled by the hub.
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch["members_a"], batch["members_b"], strict=True)):
-                n, m = len(x) // 6, len(y) // 6
-                if 100 * min(n, m) >= threshold * max(n, m):
-                    both = np.concatenate([_unpack(x), _unpack(y)])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep[i] = 100 * common >= threshold * (n + m - common)
-            yield pd.DataFrame({"a": batch["a"][keep], "b": batch["b"][keep]})
-
-    return run
+    With c = (100 - threshold) / (100 + threshold), sets x and y are alike if their difference is at most
+    c (|x| + |y|). The overlap of their differences X and Y from the hub is (|X| + |Y| - |difference of x and y|) / 2.
+    """
+    at = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+    in_hub = hub[at] == own
+    in_own = np.zeros(len(hub), bool)
+    in_own[at[in_hub]] = True
+    n, m, common = len(hub), len(own), int(in_hub.sum())
+    alike = 100 * common >= threshold * (n + m - common)
+    difference = n + m - 2 * common
+    c = (100 - threshold) / (100 + threshold)
+    overlap = difference - c * m * (1 + 100 / threshold)  # a partner's difference is at least as large as the overlap
+    if alike:  # and a partner that the hub doesn't settle isn't like the hub
+        overlap = max(overlap, (difference + c * (n - m)) / 2)
+    k = difference - max(1, int(np.ceil(overlap - 1e-6))) + 1
+    return alike, difference, np.concatenate([own[~in_hub], hub[~in_own]])[: max(0, k)]
 
 
-def _blocks(threshold: int) -> Callable[[Batches], Batches]:
-    """Rows sorted by (t, lo, hi): the documents of two blocks of those that share the tuple t -> the
-    pairs whose full sets have to be compared.
+COMPARED = "a long, b long, alike boolean, n long, d long, first array<long>"
 
-    A pair is taken once, at the first tuple of the first collection that it shares, if it shares one
-    of the second collection, too (then it shares a table's key), ``MIN_SHARED`` in all, and if sizes
-    and components allow a new link.
-    """
 
-    def solve(t: int, lo: int, hi: int, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.stack(part["tuples"].to_numpy())
-        ids, roots, n, mine = (part[c].to_numpy() for c in ("id", "root", "n", "mine"))
-        left = np.flatnonzero(mine == lo)
-        right = np.flatnonzero(mine == hi)
-        same = sig[left][:, None, :] == sig[right][None, :, :]
-        first = same[:, :, :TUPLES].argmax(axis=2)
-        ok = (sig[left][:, None, :TUPLES] == t)[:, 0, :].argmax(axis=1)[:, None] == first
-        ok &= same[:, :, TUPLES:].any(axis=2) & (same.sum(axis=2) >= MIN_SHARED)
-        ok &= (roots[left][:, None] != roots[right]) & (100 * np.minimum(n[left][:, None], n[right]) >= threshold * np.maximum(n[left][:, None], n[right]))
-        if lo == hi:
-            ok &= ids[left][:, None] < ids[right]
-        i, j = np.nonzero(ok)
-        return ids[left][i], ids[right][j]
+def _compare(threshold: int) -> Callable[[Batches], Batches]:
+    """Pairs of a hub a and a node b with both sets -> COMPARED; without ``first`` where it isn't asked for."""
 
     def run(batches: Batches) -> Batches:
-        held: pd.DataFrame | None = None
-
-        def groups(rows: pd.DataFrame) -> Batches:
-            k = rows[["t", "lo", "hi"]].to_numpy()
-            cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            out = [solve(*k[s], rows.iloc[s:e]) for s, e in zip([0, *cut], [*cut, len(k)], strict=True)]
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = (rows[["t", "lo", "hi"]] == rows[["t", "lo", "hi"]].iloc[-1]).all(axis=1).to_numpy()
-            held, ready = rows[last], rows[~last]
-            if len(ready):
-                yield from groups(ready)
-        if held is not None:
-            yield from groups(held)
+            rows = []
+            for a, b, x, y, more in zip(batch["a"], batch["b"], batch["members_a"], batch["members_b"], batch["more"], strict=True):
+                hub, own = _unpack(x), _unpack(y)
+                alike, d, first = prefix(hub, own, threshold)
+                rows.append((a, b, alike, len(own), d, first.view(np.int64) if more else None))
+            yield pd.DataFrame(rows, columns=["a", "b", "alike", "n", "d", "first"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) -> those whose full sets are similar enough."""
-    a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"members_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "members_a", "members_b").mapInPandas(_confirm(threshold), "a long, b long")
-
-
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each id: doc_id, n_shingles, component_id, kept.
-
-    A null text, or one without words, has the empty set and is linked with nothing. A text with
-    fewer words than ``shingle`` has one shingle. Of rows that repeat an id one is read (the first
-    text in order); rows without an id are left out. Other columns are not read. An empty table gives an
-    empty result.
+def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, more) -> COMPARED for each pair."""
+    a, b = (sets.select(F.col("node").alias(c), F.col("members").alias(f"members_{c}")).hint("merge") for c in "ab")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "more", "members_a", "members_b").mapInPandas(_compare(threshold), COMPARED)
+
+
+def may_be_alike(x: Column, y: Column, threshold: int) -> Column:
+    """Of structs of root, n and d (the difference from one hub): different components, sizes and differences that allow a link."""
+    sizes = 100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
+    apart = (100 + threshold) * F.abs(x["d"] - y["d"]) <= (100 - threshold) * (x["n"] + y["n"])
+    return (x["root"] != y["root"]) & sizes & apart
+
+
+def small_pairs(groups: DataFrame, threshold: int) -> DataFrame:
+    """(g, node, root, n, d) of groups of bounded size -> (a, b) that have to be compared."""
+    listed = groups.groupBy("g").agg(F.collect_list(F.struct("node", "root", "n", "d")).alias("l"))
+    pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+    each = F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (x["node"] < y["node"]) & may_be_alike(x, y, threshold)), lambda y: pair(x, y)))
+    return listed.select(F.inline(F.array_distinct(F.flatten(each)))).distinct()
+
+
+def similar_components(keyed: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, small: int = SMALL) -> DataFrame:
+    """(g, node, w) -> (id, root): components of the similar nodes among those that share a group.
+
+    ``sets``: node and members. ``w`` is larger for better hubs. Groups of one hub are one group."""
+    hubs = keyed.groupBy("g").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    held = keyed.select("g", "node").join(hubs.hint("merge"), "g").select(F.col("a").alias("g"), "a", F.col("node").alias("b")).distinct()
+    held = materialize(held.where("a != b"), "candidates")
+    links, roots = [], None
+    while True:
+        # g: the group, a: its hub, b: another node of it
+        level = materialize(compared(held.select("a", "b", F.lit(True).alias("more")).distinct(), sets, threshold), "compared")
+        links.append(level.where("alike").select("a", "b"))
+        roots = materialize(components(reduce(DataFrame.unionByName, links)), "roots")
+        root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
+        placed = level.join(root("b"), "b", "left").withColumn("root_b", F.coalesce("root_b", "b"))
+        hubs = level.select("a").distinct().join(root("a"), "a", "left").withColumn("root_a", F.coalesce("root_a", "a"))
+        # hubs that have nodes of another component; of these, what shares an element of the differences
+        placed = placed.join(hubs, "a")
+        open_hubs = placed.where("root_a != root_b").select("a").distinct()
+        parts = placed.join(open_hubs, "a", "left_semi").join(held, ["a", "b"])
+        parts = parts.select(F.col("b").alias("node"), F.col("root_b").alias("root"), "n", "d", "g", F.explode("first").alias("e")).withColumn("g", F.xxhash64("g", "e")).drop("e")
+        several = parts.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("g", "m")
+        parts = materialize(parts.join(several.hint("merge"), "g"), "parts")
+        pairs = materialize(small_pairs(parts.where(F.col("m") <= small), threshold), "pairs")
+        links.append(materialize(compared(pairs.select("a", "b", F.lit(False).alias("more")), sets, threshold).where("alike").select("a", "b"), "links"))
+        large = parts.where(F.col("m") > small)
+        if large.isEmpty():
+            return components(reduce(DataFrame.unionByName, links))
+        hubs = large.groupBy("g").agg(F.max_by("node", F.struct(-F.col("d"), -F.col("node"))).alias("a"))
+        held = large.select("g", "node").join(hubs, "g").select("g", "a", F.col("node").alias("b"))
+        held = materialize(held.where("a != b"), "candidates")
+
+
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    A null text, or one without words, has the empty set and is linked with nothing: its component is itself. A
+    text with fewer words than ``shingle`` has one shingle. Rows that repeat an id are rows of their own, with the
+    component of their own text. A row without an id belongs to the component of its text; where no row of the
+    component has an id, component_id is null and the rows are kept. Other columns are not read. An empty
+    table gives an empty result.
     """
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    schema = "doc_id long, n_shingles long, set_id long, set_id2 long, tuples array<long>"
-    made = materialize(own.mapInPandas(_sets(shingle), schema), "minhash")
-    brief = made.select("doc_id", "n_shingles", "set_id", "set_id2")
-    classes = brief.where("n_shingles > 0").groupBy("set_id", "set_id2", "n_shingles").agg(F.min("doc_id").alias("first"))
-    classes = materialize(classes, "sets")
-    # one document of each class is looked up; a tuple that no other document has leads nowhere
-    firsts = made.where("n_shingles > 0").join(classes.select(F.col("first").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id").dropDuplicates(["doc_id"])
-    firsts = materialize(firsts.select(F.col("doc_id").alias("id"), "n", "tuples"), "firsts")
-    each = firsts.select("id", F.posexplode("tuples").alias("pos", "t"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    name = ["set_id", "set_id2", "n_shingles"]
+    made = materialize(map_texts(own, "n_shingles long, set_id long, set_id2 long, tuples array<long>", _sets(shingle)), "minhash")
+    brief = made.drop("tuples")
+    classes = brief.where("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("least"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # one row of each class stands for it
+    of_class = classes.withColumnRenamed("least", "doc_id").hint("merge")
+    same = [made[c] == of_class[c] for c in name] + [made["doc_id"].eqNullSafe(of_class["doc_id"])]
+    firsts = materialize(made.join(of_class, same).select("node", "tuples").dropDuplicates(["node"]), "firsts")
+    # a tuple that no other class has leads nowhere
+    each = firsts.select("node", F.explode("tuples").alias("t"))
     shared = each.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    found = each.join(shared.select("t"), "t").groupBy("id").agg(F.collect_list(F.struct("pos", "t")).alias("f"))
-    side = lambda test: F.transform(F.filter("f", test), lambda x: x["t"])
-    found = found.select("id", side(lambda x: x["pos"] < TUPLES).alias("one"), side(lambda x: x["pos"] >= TUPLES).alias("two"))
+    found = each.join(shared.hint("merge"), "t").groupBy("node").agg(F.collect_list("t").alias("t"), F.sum("m").alias("w"))
+    side = lambda bit: F.filter("t", lambda x: x.bitwiseAND(F.lit(1)) == bit)
+    found = materialize(found.select("node", "w", side(0).alias("one"), side(1).alias("two")).where("size(one) > 0 and size(two) > 0"), "tuples")
     # a table's key: a tuple of each collection
-    keyed = found.select("id", F.explode("one").alias("x"), "two").select("id", "x", F.explode("two").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
-    keyed = materialize(keyed, "tables")
-    hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1").select("key", "hub")
-    held = materialize(keyed.join(hubs, "key").select("hub", "id").distinct(), "candidates")
-    wanted = held.select("id").distinct()
-    sets = materialize(own.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_full_sets(shingle), "id long, members binary").dropDuplicates(["id"]), "members")
-    first = held.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = materialize(confirmed(first, sets, threshold), "links")
-    roots = materialize(components(links), "roots")
-    # tuples whose documents are still in several components: these are compared block by block
-    placed = firsts.join(wanted, "id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n", "tuples")
-    placed = materialize(placed, "placed")
-    by_tuple = placed.select("id", "root", F.explode(F.slice("tuples", 1, TUPLES)).alias("t"))
-    mixed = by_tuple.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-    mixed = mixed.select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = by_tuple.select("t", "id").join(mixed, "t").join(placed, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("t", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "n", "tuples")
-    second = rows.repartition("t", "lo", "hi").sortWithinPartitions("t", "lo", "hi").mapInPandas(_blocks(threshold), "a long, b long")
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(confirmed(second, sets, threshold))
-    roots = materialize(components(links), "roots")
-    by_class = classes.join(roots, F.col("first") == F.col("id"), "left").select("set_id", "set_id2", "n_shingles", F.least(F.coalesce("root", "first"), "first").alias("root"))
-    brief = brief.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "set_id", "set_id2")).alias("s")).select("doc_id", "s.*")
-    out = brief.join(by_class, ["set_id", "set_id2", "n_shingles"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    keyed = found.select("node", "w", F.explode("one").alias("x"), "two").select("node", "w", "x", F.explode("two").alias("y")).select("node", "w", F.xxhash64("x", "y").alias("g"))
+    wanted = materialize(classes.join(found.select("node"), "node"), "wanted")
+    bits = bitmaps.shared(wanted.select(F.xxhash64("least").alias("x")), "x", wanted.count())
+    full = own.select(F.xxhash64("doc_id").alias("x"), "text").mapInArrow(_full_sets(shingle, bits), FULL)
+    sets = materialize(full.join(wanted.hint("merge"), name).select("node", "members").dropDuplicates(["node"]), "members")
+    roots = similar_components(keyed, sets, threshold, small)
+    by_class = classes.join(roots, F.col("node") == F.col("id"), "left").withColumn("root", F.coalesce("root", "node")).drop("id")
+    least = by_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = materialize(by_class.join(least, "root").select(*name, "component_id"), "components")
+    out = brief.join(by_class.withColumn("found", F.lit(True)), name, "left").withColumn("component_id", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one document of each component; all columns stay."""
-    keep = near_dedup(docs, id_col=id_col, **how).where("kept").select(F.col("doc_id").alias("__keep_id"))
-    return docs.join(keep, docs[id_col] == keep["__keep_id"], "left_semi")
+    """``docs`` with one document of each component, the one with the smallest id; all columns stay. Rows without an
+    id stay; of rows that repeat an id all stay if one of them is kept."""
+    found = near_dedup(docs, id_col=id_col, **how)
+    kept = found.groupBy(F.col("doc_id").alias("id")).agg(F.max("kept").alias("kept"))
+    return bitmaps.without(docs, kept.where("not kept").select("id"), id_col)
