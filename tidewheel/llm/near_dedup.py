@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,7 +41,7 @@ THRESHOLD = 80
 TUPLES = 12
 ROWS = 3
 #: Nodes of a group that is compared pair by pair; larger groups get a hub.
-SMALL = 32
+SMALL = 64
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
 #: What str.split() takes for white space beyond the contract's.
@@ -248,12 +247,11 @@ def similar_components(keyed: DataFrame, sets: DataFrame, threshold: int = THRES
     hubs = keyed.groupBy("g").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     held = keyed.select("g", "node").join(hubs.hint("merge"), "g").select(F.col("a").alias("g"), "a", F.col("node").alias("b")).distinct()
     held = materialize(held.where("a != b"), "candidates")
-    links, roots = [], None
+    roots = None
     while True:
         # g: the group, a: its hub, b: another node of it
         level = materialize(compared(held.select("a", "b", F.lit(True).alias("more")).distinct(), sets, threshold), "compared")
-        links.append(level.where("alike").select("a", "b"))
-        roots = materialize(components(reduce(DataFrame.unionByName, links)), "roots")
+        roots = linked(roots, level.where("alike").select("a", "b"))
         root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
         placed = level.join(root("b"), "b", "left").withColumn("root_b", F.coalesce("root_b", "b"))
         hubs = level.select("a").distinct().join(root("a"), "a", "left").withColumn("root_a", F.coalesce("root_a", "a"))
@@ -264,16 +262,26 @@ def similar_components(keyed: DataFrame, sets: DataFrame, threshold: int = THRES
         parts = parts.select(F.col("b").alias("node"), F.col("root_b").alias("root"), "n", "d", "g", F.explode("first").alias("e")).withColumn("g", F.xxhash64("g", "e")).drop("e")
         several = parts.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("g", "m")
         parts = materialize(parts.join(several.hint("merge"), "g"), "parts")
-        pairs = materialize(small_pairs(parts.where(F.col("m") <= small), threshold), "pairs")
-        links.append(materialize(compared(pairs.select("a", "b", F.lit(False).alias("more")), sets, threshold).where("alike").select("a", "b"), "links"))
+        pairs = small_pairs(parts.where(F.col("m") <= small), threshold)
+        found = compared(pairs.select("a", "b", F.lit(False).alias("more")), sets, threshold)
+        roots = linked(roots, materialize(found.where("alike").select("a", "b"), "links"))
         large = parts.where(F.col("m") > small)
         if large.isEmpty():
-            return components(reduce(DataFrame.unionByName, links))
+            return roots
         hubs = large.groupBy("g").agg(F.max_by("node", F.struct(-F.col("d"), -F.col("node"))).alias("a"))
         held = large.select("g", "node").join(hubs, "g").select("g", "a", F.col("node").alias("b"))
         held = materialize(held.where("a != b"), "candidates")
 
 
+def linked(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (id, root) after more links."""
+    if roots is None:
+        return materialize(components(links), "roots")
+    if links.isEmpty():
+        return roots
+    return materialize(components(links.unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b")))), "roots")
+
+
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
