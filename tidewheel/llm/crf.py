@@ -12,6 +12,16 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Feature numbers of tokens one after another, and how many each token has (at least one).
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def listed(rows: list) -> Features:
+    """Features of tokens from a list of feature numbers for each; a token without any has number 0."""
+    n = np.array([max(1, len(r)) for r in rows], np.int64)
+    return np.fromiter((f for r in rows for f in (r or (0,))), np.int64, int(n.sum())), n
+
+
 @dataclass
 class Crf:
     """weights: a row of label scores for each feature (row 0: unknown, all zero)."""
@@ -21,9 +31,12 @@ class Crf:
     transitions: np.ndarray
     start: np.ndarray
 
-    def emissions(self, features: np.ndarray) -> np.ndarray:
-        """(tokens, features each) -> (tokens, labels)."""
-        return self.weights[features].sum(axis=1)
+    def emissions(self, features: Features) -> np.ndarray:
+        """Features of tokens -> (tokens, labels)."""
+        flat, n = features
+        if not len(n):
+            return np.zeros((0, len(self.labels)), self.weights.dtype)
+        return np.add.reduceat(self.weights[flat], np.cumsum(n) - n, axis=0)
 
 
 class Layout:
@@ -108,10 +121,38 @@ def viterbi(crf: Crf, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return lay.gather(best)
 
 
+def viterbi_around(crf: Crf, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same as ``viterbi``, for sequences of which most tokens have label 0 whatever their neighbours have.
+
+    Such a token's score for label 0 beats every other label's by more than transitions can give back. Labels
+    between two of them depend on nothing else, so only the stretches of other tokens are decoded.
+    """
+    n, t = len(emissions), crf.transitions
+    if not n:
+        return np.zeros(0, np.int16)
+    into, out = np.vstack([t, crf.start]), np.hstack([t, np.zeros((len(t), 1), t.dtype)])
+    gain = (into - into[:, :1]).max(axis=0) + (out - out[:1]).max(axis=1)
+    free = (emissions[:, 1:] + gain[1:] >= emissions[:, :1]).any(axis=1)
+    first = np.zeros(n, bool)
+    first[np.cumsum(lengths) - lengths] = True
+    last = np.append(first[1:], True)
+    at = np.flatnonzero(free)
+    best = np.zeros(n, np.int16)
+    if not len(at):
+        return best
+    opens = first[at] | ~np.append(False, free[:-1])[at]
+    closes = last[at] | ~np.append(free[1:], False)[at]
+    own = emissions[at].copy()
+    own[opens & ~first[at]] += t[0] - crf.start
+    own[closes & ~last[at]] += t[:, 0]
+    best[at] = viterbi(crf, own, np.diff(np.append(np.flatnonzero(opens), len(at))))
+    return best
+
+
 def train(
-    labels: list[str], n_features: int, features: list[np.ndarray], gold: list[np.ndarray], epochs: int = 20, batch: int = 32, rate: float = 0.1, l2: float = 1e-4, seed: int = 0
+    labels: list[str], n_features: int, features: list[Features], gold: list[np.ndarray], epochs: int = 20, batch: int = 32, rate: float = 0.1, l2: float = 1e-4, seed: int = 0
 ) -> Crf:
-    """Maximum likelihood by Adagrad. ``features``: for each sequence (tokens, features each)."""
+    """Maximum likelihood by Adagrad. ``features``: those of the tokens of each sequence."""
     k = len(labels)
     crf = Crf(labels, np.zeros((n_features, k)), np.zeros((k, k)), np.zeros(k))
     sums = [np.full(x.shape, 1e-8) for x in (crf.weights, crf.transitions, crf.start)]
@@ -120,12 +161,13 @@ def train(
         order = rng.permutation(len(features))
         for i in range(0, len(order), batch):
             pick = order[i : i + batch]
-            f, y = np.concatenate([features[j] for j in pick]), np.concatenate([gold[j] for j in pick])
+            f = tuple(np.concatenate([features[j][side] for j in pick]) for side in (0, 1))
+            y = np.concatenate([gold[j] for j in pick])
             lengths = np.array([len(gold[j]) for j in pick])
             p, counts, first, _ = forward_backward(crf, crf.emissions(f), lengths, pairs=True)
             p[np.arange(len(y)), y] -= 1
             g_w = np.zeros_like(crf.weights)
-            np.add.at(g_w, f, p[:, None, :])
+            np.add.at(g_w, f[0], np.repeat(p, f[1], axis=0))
             inner = np.ones(len(y), bool)
             starts = np.cumsum(lengths) - lengths
             inner[starts] = False

@@ -1,10 +1,12 @@
-"""Exact dedup by a tree merge of digest runs.
+"""Exact dedup by a tree merge of sorted digest runs.
 
-Every input partition first reduces its rows to one run of distinct digests with the smallest id.
-Runs then meet in rounds: in each round ``fan_in`` neighbouring runs become one, and of equal
-digests the smallest id and the summed count survive. A round reads at most one row for each
-digest and run, so a text that a third of all rows hold costs no more than any other. Only
-digests and ids move; texts stay where they are.
+Every input partition first reduces its rows to sorted runs of distinct digests with the smallest id, one run for
+each range of digests. Ranges are as many as partitions, so no task ever holds more than its share of all
+digests. Runs of one range then meet in binomial rounds: in a round the runs whose numbers differ in the lowest
+``bits`` bits go to one task, which merges them in order (a multiway merge of ``2 ** bits`` runs: rows are sorted
+within the partition and neighbours compared); of equal digests the smallest id and the summed count survive. A
+round reads at most one row for each digest and run, so a text that a third of all rows hold costs no more than any
+other. Only digests and ids move; texts stay where they are.
 
 Digests are verified at every level: runs merge on SHA-256, an independent 64-bit hash and the
 length together, so two texts with the same SHA-256 but another check value stay apart.
@@ -13,8 +15,10 @@ length together, so two texts with the same SHA-256 but another check value stay
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .base import WS, materialize, text_or_empty
 
 KEY = ["text_sha256", "check", "length"]
@@ -32,19 +36,27 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def merge_runs(digests: DataFrame, fan_in: int = 8) -> DataFrame:
+def merge_runs(digests: DataFrame, bits: int = 3) -> DataFrame:
     """(digest columns, keep_id, group_size): one row for each distinct text."""
     top = digests.agg(F.max("run")).first()[0] or 0
-    runs = digests.groupBy(*KEY, "run").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    while top > 0:
-        top //= fan_in
-        runs = runs.groupBy(*KEY, F.floor(F.col("run") / fan_in).cast("int").alias("run")).agg(
-            F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
-        )
-    return runs.drop("run")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+    n_ranges = top + 1
+    span = F.floor(F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("double") / 2.0**32 * n_ranges).cast("int").alias("span")
+    packed = digests.select("run", span, F.unhex("text_sha256").alias("digest"), "check", "length", "doc_id")
+    key = ["span", "run", "digest", "check", "length"]
+    runs = packed.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    order = F.col("keep_id").asc_nulls_last()
+    same = W.partitionBy(*key).orderBy(order)
+    while True:
+        top >>= bits
+        # runs meet where their range and what is left of their number are the same; equal digests are neighbours
+        met = runs.withColumn("run", F.shiftright("run", bits)).repartition("span", "run").sortWithinPartitions(*key, order)
+        whole = same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        runs = met.withColumn("nth", F.row_number().over(same)).withColumn("group_size", F.sum("group_size").over(whole)).where("nth = 1").drop("nth")
+        if not top:
+            return runs.select(F.lower(F.hex("digest")).alias("text_sha256"), "check", "length", "keep_id", "group_size")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty, and all empty texts are copies of each other. Rows that repeat an
@@ -53,7 +65,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of ``docs`` are not read, whatever their names.
     """
     digests = materialize(digest_runs(docs, id_col, text_col), "digests")
-    merged = merge_runs(digests, fan_in)
+    merged = merge_runs(digests, bits)
     return digests.drop("run").join(merged, KEY).select(
         "doc_id",
         "keep_id",
@@ -64,18 +76,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay, and of rows that repeat
-    an id and its text one stays."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("__keep_id")).agg(F.count(F.lit(1)).alias("__rows"))
-    keep = materialize(keep, "kept")
-
-    def rows(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, docs[id_col].eqNullSafe(ids["__keep_id"]), "left_semi")
-
-    twice = keep.where("__rows > 1")
-    if twice.isEmpty():  # texts are compared again only where an id occurs twice
-        return rows(keep)
-    return rows(keep.where("__rows = 1")).unionByName(rows(twice).dropDuplicates([id_col]))
+    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay. Of rows that repeat an id and its text one
+    stays. Rows without an id: one of each text that no row with an id has. An empty table stays empty."""
+    found = materialize(exact_dedup(docs, id_col, text_col), "found")
+    per = found.groupBy("doc_id").agg(F.max((~F.col("kept")).cast("int")).alias("some_go"), F.count(F.lit(1)).alias("n"))
+    per = materialize(per.where("some_go = 1 or n > 1 or doc_id is null"), "ids")
+    # ids that stand for one row each, which goes, are told by bitmaps; all rows of other ids are looked at again
+    once = bitmaps.without(docs, per.where("doc_id is not null").select(F.col("doc_id").alias("id")), id_col).where(F.col(id_col).isNotNull())
+    again = per.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    if again.isEmpty():
+        return once
+    rows = docs.join(again, docs[id_col].cast("long").eqNullSafe(again["__id"]), "left_semi").withColumn("__norm", F.sha2(F.regexp_replace(text_or_empty(text_col), WS, " "), 256))
+    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__norm2")).distinct()
+    kept = rows.join(stay, rows[id_col].cast("long").eqNullSafe(stay["__id"]) & (rows["__norm"] == stay["__norm2"]), "left_semi")
+    return once.unionByName(kept.dropDuplicates([id_col, "__norm"]).drop("__norm"))
 
 
 SQL = r"""

@@ -5,28 +5,27 @@ nothing else of the document. Transitions are learned on sequences that switch b
 languages. A text's language is the label with the largest expected number of words by
 forward-backward, and its score that label's mean probability.
 
-The CRF is fitted on the driver from at most ``sample_docs`` labelled rows and ``sample_chars``
-characters of each; both bounds hold for the fit alone. Prediction reads whole texts.
+The CRF is fitted on the driver from at most ``sample_docs`` labelled rows: stretches of words are drawn from
+anywhere in their whole texts, inside tasks. That bound holds for the fit alone. Prediction reads whole texts.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf as C
-from .base import fold, hashed_sample, text_or_empty
+from .base import fold, hashed_sample, map_texts, text_or_empty
 
 SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 2000
 BUCKETS = 1 << 16
-MAX_FEATURES = 16
+#: Stretches drawn from each text of the sample, and the most words of one.
+PER_TEXT, STRETCH = 2, 12
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 STRIP = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -41,30 +40,35 @@ def word_features(word: str) -> list[int]:
         return []
     names = ["w" + w, "p" + w[:2], "q" + w[:3], "s" + w[-2:], "t" + w[-3:]]
     padded = f"<{w}>"
-    names += ["g" + padded[i : i + 3] for i in range(min(len(padded) - 2, MAX_FEATURES - len(names)))]
-    return [1 + zlib.crc32(n.encode()) % (BUCKETS - 1) for n in names]
+    names += ["g" + padded[i : i + 3] for i in range(len(padded) - 2)]
+    return [1 + zlib.crc32(n.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) for n in names]
 
 
-def feature_rows(words: list[str]) -> np.ndarray:
-    out = np.zeros((len(words), MAX_FEATURES), np.int32)
-    for i, w in enumerate(words):
-        f = word_features(w)
-        out[i, : len(f)] = f
-    return out
+def feature_rows(words: list[str]) -> C.Features:
+    return C.listed([word_features(w) for w in words])
 
 
-def training_sequences(texts: list[str], langs: list[str], labels: list[str], seed: int, per_text: int = 2, stretch: int = 12):
-    """Sequences of one to three stretches of words, each from one text: words switch languages."""
+def _stretches(seed: int) -> Callable[[], Callable[[list[str]], dict]]:
+    """Of each text with letters ``PER_TEXT`` stretches of its words, the same on every run."""
+
+    def make(texts: list[str]) -> dict:
+        out = []
+        for text in texts:
+            rng = np.random.default_rng([seed, zlib.crc32(text.encode("utf-8", "surrogatepass"))])
+            w, own = text.split(), []
+            for _ in range(PER_TEXT if LETTER.search(text) else 0):
+                at = int(rng.integers(0, max(1, len(w) - STRETCH)))
+                own.append(w[at : at + int(rng.integers(4, STRETCH + 1))])
+            out.append(own)
+        return {"stretches": out}
+
+    return lambda: make
+
+
+def training_sequences(pools: list[tuple[list[str], int]], seed: int):
+    """``pools``: stretches of words with their label. Sequences of one to three of them: words switch languages."""
     rng = np.random.default_rng(seed)
-    pools = []
-    for text, lang in zip(texts, langs, strict=True):
-        w = text.split()
-        if LETTER.search(text):
-            for _ in range(per_text):
-                at = int(rng.integers(0, max(1, len(w) - stretch)))
-                pools.append((w[at : at + int(rng.integers(4, stretch + 1))], labels.index(lang)))
-    by_label = [[i for i, p in enumerate(pools) if p[1] == k] for k in range(len(labels))]
-    by_label = [b for b in by_label if b]
+    by_label = [[i for i, p in enumerate(pools) if p[1] == k] for k in sorted({k for _, k in pools})]
     features, gold = [], []
     for _ in range(len(pools) // 2):
         words, y = [], []
@@ -73,21 +77,21 @@ def training_sequences(texts: list[str], langs: list[str], labels: list[str], se
             w, k = pools[b[rng.integers(len(b))]]
             words += w
             y += [k] * len(w)
-        if words:
-            features.append(feature_rows(words))
-            gold.append(np.array(y))
+        features.append(feature_rows(words))
+        gold.append(np.array(y))
     return features, gold
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> C.Crf:
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> C.Crf:
     """``labelled``: rows with text and language. The sample is the same on every run."""
     own = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    own = own.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, sample_chars).alias("text"))
-    rows = hashed_sample(own, sample_docs, "id", seed, "lang", "text").collect()
+    own = own.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = map_texts(hashed_sample(own, sample_docs, "id", seed, "lang", "text"), "stretches array<array<string>>", _stretches(seed)).collect()
     labels = sorted({r["lang"] for r in rows})
-    if not labels:
+    pools = sorted((w, labels.index(r["lang"])) for r in rows for w in r["stretches"])
+    if not pools:
         return C.Crf([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    features, gold = training_sequences([r["text"] for r in rows], [r["lang"] for r in rows], labels, seed)
+    features, gold = training_sequences(pools, seed)
     return C.train(labels, BUCKETS, features, gold, epochs=3, batch=64, rate=0.3, l2=0.0, seed=seed)
 
 
@@ -119,45 +123,77 @@ class Labeller:
             yield p[e - n : e]
 
 
+LABELS = "lang_pred string, score double, certainty double, n_switches long"
+
+
+def _predict(shared) -> Callable[[], Callable[[list[str]], dict]]:
+    def some(labeller: Labeller, texts: list[str]) -> Iterator[tuple]:
+        labels = labeller.model.labels
+        for p in labeller.probabilities([t.split() for t in texts]):
+            mean = p.mean(axis=0, dtype=np.float64)
+            best = int(mean.argmax())
+            certainty = p.max(axis=1).mean(dtype=np.float64)
+            yield labels[best], float(min(1.0, max(0.0, mean[best]))), float(min(1.0, certainty)), int((np.diff(p.argmax(axis=1)) != 0).sum())
+
+    def start() -> Callable[[list[str]], dict]:
+        labeller = Labeller(shared.value)
+
+        def make(texts: list[str]) -> dict:
+            rows = [(UNKNOWN, 0.0, 0.0, 0)] * len(texts)
+            todo = [k for k, t in enumerate(texts) if LETTER.search(t)] if labeller.model.labels else []
+            todo.sort(key=lambda k: -len(texts[k]))  # texts of about one length together
+            size, at = np.cumsum([len(texts[k]) // 6 + 1 for k in todo]), 0
+            while at < len(todo):
+                n = max(1, int(np.searchsorted(size, WORDS_AT_ONCE + (size[at - 1] if at else 0))) - at)
+                pick = todo[at : at + n]
+                for k, row in zip(pick, some(labeller, [texts[k] for k in pick]), strict=True):
+                    rows[k] = row
+                at += n
+            return dict(zip(("lang_pred", "score", "certainty", "n_switches"), zip(*rows, strict=True), strict=True))
+
+        return make
+
+    return start
+
+
 def predict(docs: DataFrame, model: C.Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, n_switches (words whose label differs from that before).
+    """doc_id, lang_pred, score (the language's mean probability over all words), certainty (the mean probability
+    of each word's best label, which switches of language don't lower), n_switches (words whose label differs from
+    that before).
 
-    ``und`` with score 0 for a null text or one without letters, and where nothing was learned.
-    Repeated rows are predicted each; other columns are not read; an empty table gives an empty result.
+    ``und`` with score 0 for a null text or one without letters, and where nothing was learned. Repeated rows
+    are predicted each; a null id stays null; other columns are not read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS rows of labels
-    schema = "doc_id long, lang_pred string, score double, n_switches long"
-
-    def some(labeller: Labeller, ids: list, texts: list[str]) -> pd.DataFrame:
-        rows, todo = [(i, UNKNOWN, 0.0, 0) for i in ids], []
-        if labeller.model.labels:
-            todo = [k for k, t in enumerate(texts) if LETTER.search(t)]
-        if todo:
-            for k, p in zip(todo, labeller.probabilities([texts[k].split() for k in todo]), strict=True):
-                mean = p.mean(axis=0, dtype=np.float64)
-                best = int(mean.argmax())
-                rows[k] = (ids[k], labeller.model.labels[best], float(min(1.0, max(0.0, mean[best]))), int((np.diff(p.argmax(axis=1)) != 0).sum()))
-        return pd.DataFrame(rows, columns=["doc_id", "lang_pred", "score", "n_switches"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labeller = Labeller(shared.value)
-        for batch in batches:
-            size = batch["text"].str.len().to_numpy() // 6 + 1
-            order = np.argsort(-size, kind="stable")
-            ids, texts = batch["doc_id"].to_numpy(), batch["text"].to_numpy()
-            at = 0
-            while at < len(order):
-                n = max(1, int(np.searchsorted(np.cumsum(size[order[at:]]), WORDS_AT_ONCE)))
-                pick = order[at : at + n]
-                yield some(labeller, [None if pd.isna(i) else i for i in ids[pick]], [texts[k] for k in pick])
-                at += n
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return map_texts(own, LABELS, _predict(shared), at_once=10_000)
+
+
+def recognised(docs: DataFrame, model: C.Crf, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is recognised, with all their columns: not ``und``, and with a
+    certainty of at least ``least``. Texts in several languages count as recognised if their words do."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    start = _predict(shared)
+
+    def flag() -> Callable[[list[str]], dict]:
+        make = start()
+
+        def run(texts: list[str]) -> dict:
+            got = make([t or "" for t in texts])
+            return {"__stays": [lang != UNKNOWN and c >= least for lang, c in zip(got["lang_pred"], got["certainty"], strict=True)]}
+
+        return run
+
+    return map_texts(docs, "__stays boolean", flag, text_col, keep_text=True, at_once=10_000).where("__stays").drop("__stays")
+
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, schema)
+def fit_training_fold(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> C.Crf:
+    return fit(docs.where(fold(id_col, 4) != 2), id_col=id_col, text_col=text_col, lang_col=lang_col, **how)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
     """Fits on the rows whose fold (crc32 of the id, mod 4) is not 2 and predicts all rows:
-    doc_id, held_out, lang_pred, score, n_switches."""
-    model = fit(docs.where(fold(id_col, 4) != 2), id_col=id_col, text_col=text_col, lang_col=lang_col, **how)
+    doc_id, held_out, lang_pred, score, certainty, n_switches."""
+    model = fit_training_fold(docs, id_col, text_col, lang_col, **how)
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
-    return predict(docs, model, id_col, text_col).select("doc_id", held_out, "lang_pred", "score", "n_switches")
+    return predict(docs, model, id_col, text_col).select("doc_id", held_out, "lang_pred", "score", "certainty", "n_switches")

@@ -104,13 +104,16 @@ def mix(
     places (an array of shard and order, one for each time that the document is taken).
 
     A null source is a source of its own, a null or empty text has size 0 and is taken in each
-    whole pass with 0 words. Rows that repeat a doc_id are dealt alike. Columns besides id, text
+    whole pass with 0 words. Rows that repeat a doc_id are
+    dealt to the same block, and each counts there; rows without an id are dealt by their text. Columns besides id, text
     and source are not read. An empty table gives an empty result.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size")), "sizes")
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("deal")), "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     plan = targets(sums, weights, max_repeat)
+    # numpy draws from at most 10**9 blocks
+    block_docs = max(block_docs, -(-2 * max_repeat * sized.count() // 10**9))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block_docs)).cast("long")
     plan = plan.select(
         "source",
@@ -123,7 +126,7 @@ def mix(
     plan = materialize(plan.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "plan")
     small = F.broadcast(plan) if plan.count() <= 100_000 else plan
     on = sized["source"].eqNullSafe(plan["source"])
-    dealt = sized.join(small, on).drop(plan["source"]).withColumn("block", F.pmod(_mixed(F.lit(seed), F.col("doc_id")), F.col("n_blocks")))
+    dealt = sized.join(small, on).drop(plan["source"]).withColumn("block", F.pmod(_mixed(F.lit(seed), F.col("deal")), F.col("n_blocks")))
     # words before each block in the permuted order, in two levels: groups of blocks, then blocks
     turn = _mixed(F.lit(seed), F.lit("block"), F.col("source_no"), F.col("block"))
     blocks = dealt.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("n_blocks").alias("n_blocks"), F.first("rest").alias("rest"))
@@ -162,21 +165,22 @@ def mix(
     full = dealt.join(placed, ["source_no", "block"], "left")
     # within the block at the edge: documents in hashed order, each that still fits
     edge_docs = full.where("cut_at is not null")
-    turn_doc = _mixed(F.lit(seed), F.lit("doc"), F.col("doc_id"))
-    by_turn = F.sort_array(F.collect_list(F.struct(turn_doc.alias("turn"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))))
+    turn_doc = _mixed(F.lit(seed), F.lit("doc"), F.col("deal"))
+    by_turn = F.sort_array(F.collect_list(F.struct(turn_doc.alias("turn"), F.col("doc_id").alias("id"), F.col("size").alias("size"), F.struct(*full.columns).alias("row"))))
     picked = edge_docs.groupBy("source_no", "block").agg(by_turn.alias("list"), F.first("cut_at").alias("room"))
-    start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("ids"))
+    picked = picked.withColumn("sizes", F.transform("list", lambda x, i: F.struct(x["size"].alias("size"), i.alias("i"))))
+    start = F.struct(F.col("room").alias("room"), F.array().cast("array<int>").alias("at"))
     fits = F.aggregate(
-        "list", start,
-        lambda a, x: F.when(x["size"] <= a["room"], F.struct((a["room"] - x["size"]).alias("room"), F.concat(a["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(a),
+        "sizes", start,
+        lambda a, x: F.when(x["size"] <= a["room"], F.struct((a["room"] - x["size"]).alias("room"), F.concat(a["at"], F.array(x["i"])).alias("at"))).otherwise(a),
     )
-    picked = picked.select("source_no", "block", "list", fits.alias("got"))
+    picked = picked.select("list", "sizes", fits.alias("got"))
     # and one more if that comes nearer to the target than the room that is left
-    near = F.filter("list", lambda x: ~F.coalesce(F.array_contains("got.ids", x["doc_id"]), F.lit(False)) & (x["size"] < 2 * F.col("got.room")))
-    best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x["size"] - F.col("got.room")).alias("off"), x["doc_id"].alias("doc_id"))))
-    ids = F.concat("got.ids", F.array_compact(F.array(best["doc_id"])))
-    cuts = edge_docs.join(picked.select("source_no", "block", ids.alias("ids")), ["source_no", "block"])
-    cuts = cuts.withColumn("in_rest", F.coalesce(F.array_contains("ids", F.col("doc_id")), F.lit(False))).drop("ids")
+    near = F.filter("sizes", lambda x: ~F.coalesce(F.array_contains("got.at", x["i"]), F.lit(False)) & (x["size"] < 2 * F.col("got.room")))
+    best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x["size"] - F.col("got.room")).alias("off"), x["i"].alias("i"))))
+    taken_at = F.concat("got.at", F.array_compact(F.array(best["i"])))
+    cuts = picked.withColumn("at", taken_at).select(F.inline(F.transform("list", lambda x, i: F.struct(x["row"].alias("row"), F.coalesce(F.array_contains("at", i), F.lit(False)).alias("in_rest")))))
+    cuts = cuts.select("row.*", "in_rest")
     every = full.where("cut_at is null").withColumn("in_rest", F.lit(True)).unionByName(cuts)
     used = F.filter(F.coalesce("units", F.array().cast("array<struct<pass:bigint,shard:int>>")), lambda u: (u["pass"] < F.col("passes")) | F.col("in_rest"))
     spot = F.transform("used", lambda u: F.struct(u["shard"].alias("shard"), _mixed(F.lit(seed), F.lit("shuffle"), u["shard"], u["pass"], F.col("doc_id")).alias("order")))
@@ -187,4 +191,4 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 0, id_col
     """``docs`` as the mix takes them: a row for each time that a document is taken, with its shard
     and order. Documents that the mix doesn't take are left out."""
     places = mix(docs, shards=shards, seed=seed, id_col=id_col, **how).select(F.col("doc_id").alias("__mix_id"), F.explode("places").alias("__place"))
-    return docs.join(places, docs[id_col].eqNullSafe(places["__mix_id"])).drop("__mix_id").withColumnRenamed("__place", "place")
+    return docs.join(places.hint("merge"), docs[id_col].eqNullSafe(places["__mix_id"])).drop("__mix_id").withColumnRenamed("__place", "place")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize, text_or_empty
+from .base import map_texts, materialize, text_or_empty
 
 CAPACITY = 2048
 #: A bin with at most this many free places is nearly full, by round; later rounds are less choosy.
@@ -33,8 +33,6 @@ CACHE = 400_000
 #: Fixed value: the splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-
 
 class Cache(dict):
     """Values by key, made on demand; of two generations of ``limit`` keys the older one goes."""
@@ -133,22 +131,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
 
     A document is its text's ids and then id 0, so even a null or empty text has one token.
     """
-    schema = PIECES + (", ids array<long>" if ids else "")
+    fields = "piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if ids else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin() -> Callable[[list[str]], dict]:
         encode = Encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                rows = []
-                for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                    blob = encode(text) + b"\0\0\0\0"
-                    for k, (start, n) in enumerate(cut(len(blob) // 4, capacity)):
-                        own = blob[4 * start : 4 * (start + n)]
-                        rows.append((doc, k, start, n, zlib.crc32(own)) + ((np.frombuffer(own, "<u4").astype("int64"),) if ids else ()))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, schema)
+
+        def make(texts: list[str]) -> dict:
+            out = []
+            for text in texts:
+                blob = encode(text) + b"\0\0\0\0"
+                own = []
+                for k, (start, n) in enumerate(cut(len(blob) // 4, capacity)):
+                    raw = blob[4 * start : 4 * (start + n)]
+                    own.append({"piece": k, "start": start, "length": n, "ids_crc32": zlib.crc32(raw)} | ({"ids": np.frombuffer(raw, "<u4").astype("int64")} if ids else {}))
+                out.append(own)
+            return {"pieces": out}
+
+        return make
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return map_texts(own, f"pieces array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>", begin, at_once=256).select("doc_id", F.inline("pieces"))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
