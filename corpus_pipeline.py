@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from tidewheel.llm import exact_dedup, language, mixing, near_dedup, packing
 from tidewheel.llm.base import materialize
 
-#: A text whose language the model gives less than this mean probability is rejected.
-MIN_SCORE = 0.5
+#: A text is rejected where the probability of its words' best labels is below this on average.
+MIN_CERTAINTY = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
-    good = language.identify(docs).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    good = materialize(good.select(F.col("doc_id").alias("__id")).distinct(), "recognised")
-    return docs.join(good, docs["doc_id"] == good["__id"], "left_semi")
+    """Rows whose language is recognised: texts with letters whose words the labeller is sure of, also where
+    they switch languages. Rows without an id are judged like any other; of rows that repeat an id each on its own."""
+    return language.recognised(docs, language.fit_training_fold(docs), MIN_CERTAINTY)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays, and one of rows that repeat it; of equal texts
+    without any id one row stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; five-word shingles."""
+    """One document of each group stays, the one with the smallest doc_id; five-word shingles. Rows without an id stay."""
     return near_dedup.drop_near_copies(docs)
 
 
