@@ -138,7 +138,7 @@ def near_family(n, seed, words=120, most=0.4):
     return out
 
 
-@pytest.mark.parametrize("small", [4, 64])
+@pytest.mark.parametrize("small", [16, 64])
 def test_near_dedup_hot_family(spark, small):
     """Groups of every size are compared by hubs, or pair by pair, with the same links."""
     rows = near_family(150, 3)
@@ -373,7 +373,7 @@ def test_risk_controlled_cutoffs(spark):
 
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_lm_base_scores(docs, rows, most):
-    got = by_id(lm.lm_scores(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_broadcast=most, sample_docs=20))
+    got = by_id(lm.lm_scores(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, hot_words=most, least_docs=20))
     tokens = {r[0]: [*(w for w in WS.split((r[1] or "").translate(LOWER)) if w), None] for r in rows}
     count = collections.Counter(t for i, ts in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for t in ts)
     total = sum(count.values())

@@ -14,8 +14,9 @@ without forming all pairs of a key:
 2. Where nodes of one hub are still in different components, two of them can only be alike if their differences
    from the hub overlap: both sets differ from each other by at most a ninth of their sizes (at 0.8), so a bound on
    the overlap follows from sizes alone. By the prefix principle such a pair shares one of the first few
-   elements of both differences, ordered with elements that the hub lacks first. Nodes that share one form smaller
-   groups; small groups are compared pair by pair, large ones with a hub of their own, and so on.
+   elements of both differences, ordered with elements that the hub lacks first, and what comes after the first
+   shared one must be enough for the overlap. Nodes that share an element form smaller groups, of which only nodes
+   with a possible partner stay; small groups are compared pair by pair, large ones with a hub of their own, and so on.
 
 No candidate is left out: whatever is not compared is either in one component already or provably not alike.
 """
@@ -225,52 +226,72 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "more", "members_a", "members_b").mapInPandas(_compare(threshold), COMPARED)
 
 
-def may_be_alike(x: Column, y: Column, threshold: int) -> Column:
-    """Of structs of root, n and d (the difference from one hub): different components, sizes and differences that allow a link."""
-    sizes = 100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
-    apart = (100 + threshold) * F.abs(x["d"] - y["d"]) <= (100 - threshold) * (x["n"] + y["n"])
-    return (x["root"] != y["root"]) & sizes & apart
+def small_pairs(groups: DataFrame, threshold: int) -> DataFrame:
+    """(g, node, root, n, s, t) of groups of bounded size -> (a, b) that have to be compared."""
+    listed = groups.groupBy("g").agg(F.collect_list(F.struct("node", "root", "n", "s", "t")).alias("l"))
 
+    def may(x: Column, y: Column) -> Column:
+        sizes = 100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
+        return (x["node"] < y["node"]) & (x["root"] != y["root"]) & (x["s"] <= y["t"]) & (y["s"] <= x["t"]) & sizes
 
-def small_pairs(groups: DataFrame, threshold: int) -> DataFrame:
-    """(g, node, root, n, d) of groups of bounded size -> (a, b) that have to be compared."""
-    listed = groups.groupBy("g").agg(F.collect_list(F.struct("node", "root", "n", "d")).alias("l"))
-    pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
-    each = F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (x["node"] < y["node"]) & may_be_alike(x, y, threshold)), lambda y: pair(x, y)))
+    each = F.transform("l", lambda x: F.transform(F.filter("l", lambda y: may(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
     return listed.select(F.inline(F.array_distinct(F.flatten(each)))).distinct()
 
 
+def promising(parts: DataFrame) -> DataFrame:
+    """(g, node, root, s, t, ...) -> the rows that another row of the group may be alike, with the group's size m.
+
+    Two rows may be alike if s of each is at most t of the other. Rows of a group are summed up by classes of s, of
+    which there are few, so every row is tested against classes and not against rows.
+    """
+    size = F.floor(2 * F.log2(1 + F.abs("s"))).cast("int")
+    by_class = parts.groupBy("g", (F.signum("s") * size).cast("int").alias("k")).agg(F.min("s").alias("lo"), F.max("t").alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    classes = by_class.groupBy("g").agg(F.collect_list(F.struct("lo", "hi", "r1", "r2")).alias("classes"), F.min("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 < r2")
+    fits = F.exists("classes", lambda x: (x["lo"] <= F.col("t")) & (x["hi"] >= F.col("s")) & ((x["r1"] != F.col("root")) | (x["r2"] != F.col("root"))))
+    left = materialize(parts.join(classes.select("g", "classes").hint("merge"), "g").where(fits).drop("classes"), "parts")
+    several = left.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("g", "m")
+    return left.join(several.hint("merge"), "g")
+
+
 def similar_components(keyed: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, small: int = SMALL) -> DataFrame:
     """(g, node, w) -> (id, root): components of the similar nodes among those that share a group.
 
-    ``sets``: node and members. ``w`` is larger for better hubs. Groups of one hub are one group."""
+    ``sets``: node and members. ``w`` is larger for better hubs."""
     hubs = keyed.groupBy("g").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    held = keyed.select("g", "node").join(hubs.hint("merge"), "g").select(F.col("a").alias("g"), "a", F.col("node").alias("b")).distinct()
-    held = materialize(held.where("a != b"), "candidates")
-    roots = None
+    held = keyed.select("g", "node").join(hubs.hint("merge"), "g").select("a", F.col("node").alias("b")).where("a != b").distinct()
+    held = materialize(held, "candidates")
+    roots, used, done = None, None, None
+    either = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
-        # g: the group, a: its hub, b: another node of it
-        level = materialize(compared(held.select("a", "b", F.lit(True).alias("more")).distinct(), sets, threshold), "compared")
+        # a: a hub, b: another node of one of its groups
+        level = materialize(compared(held.withColumn("more", F.lit(True)), sets, threshold), "compared")
         roots = linked(roots, level.where("alike").select("a", "b"))
         root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
         placed = level.join(root("b"), "b", "left").withColumn("root_b", F.coalesce("root_b", "b"))
-        hubs = level.select("a").distinct().join(root("a"), "a", "left").withColumn("root_a", F.coalesce("root_a", "a"))
+        hubs = materialize(level.select("a").distinct(), "hubs")
+        mine = hubs.join(root("a"), "a", "left").withColumn("root_a", F.coalesce("root_a", "a"))
         # hubs that have nodes of another component; of these, what shares an element of the differences
-        placed = placed.join(hubs, "a")
-        open_hubs = placed.where("root_a != root_b").select("a").distinct()
-        parts = placed.join(open_hubs, "a", "left_semi").join(held, ["a", "b"])
-        parts = parts.select(F.col("b").alias("node"), F.col("root_b").alias("root"), "n", "d", "g", F.explode("first").alias("e")).withColumn("g", F.xxhash64("g", "e")).drop("e")
-        several = parts.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("g", "m")
-        parts = materialize(parts.join(several.hint("merge"), "g"), "parts")
-        pairs = small_pairs(parts.where(F.col("m") <= small), threshold)
-        found = compared(pairs.select("a", "b", F.lit(False).alias("more")), sets, threshold)
+        open_hubs = placed.join(mine, "a").where("root_a != root_b").select("a").distinct()
+        parts = placed.join(open_hubs, "a", "left_semi").select("a", F.col("b").alias("node"), F.col("root_b").alias("root"), "n", "d", F.posexplode("first").alias("at", "e"))
+        s = (100 + threshold) * F.col("d") - (100 - threshold) * F.col("n")
+        parts = parts.select(F.xxhash64("a", "e").alias("g"), "node", "root", "n", "d", s.alias("s"), (2 * (100 + threshold) * (F.col("d") - F.col("at")) - s).alias("t"))
+        parts = materialize(promising(parts), "groups")
+        pairs = small_pairs(parts.where(F.col("m") <= small), threshold).join(level.select(*either), ["a", "b"], "left_anti")
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        found = compared(pairs.withColumn("more", F.lit(False)), sets, threshold)
         roots = linked(roots, materialize(found.where("alike").select("a", "b"), "links"))
         large = parts.where(F.col("m") > small)
         if large.isEmpty():
             return roots
-        hubs = large.groupBy("g").agg(F.max_by("node", F.struct(-F.col("d"), -F.col("node"))).alias("a"))
-        held = large.select("g", "node").join(hubs, "g").select("g", "a", F.col("node").alias("b"))
-        held = materialize(held.where("a != b"), "candidates")
+        new = level.select(*either).unionByName(pairs)
+        done, used = (new, hubs) if done is None else (done.unionByName(new), used.unionByName(hubs))
+        # hubs of their own for large groups: the nearest to the old one that hasn't been a hub
+        large = large.join(used.select(F.col("a").alias("node"), F.lit(1).alias("was")).distinct(), "node", "left")
+        hubs = large.groupBy("g").agg(F.max_by("node", F.struct(F.col("was").isNull(), -F.col("d"), -F.col("node"))).alias("a"))
+        held = large.select("g", "node").join(hubs, "g").select("a", F.col("node").alias("b")).where("a != b").distinct()
+        held = materialize(held, "candidates")
 
 
 def linked(roots: DataFrame | None, links: DataFrame) -> DataFrame:
