@@ -41,8 +41,8 @@ SHINGLE = 5
 THRESHOLD = 80
 TUPLES = 12
 ROWS = 3
-#: Nodes of a group that is compared pair by pair; larger groups get a hub.
-SMALL = 64
+#: Nodes of a group whose pairs are tested by sizes and places, and compared where these allow a link; larger groups get a hub.
+SMALL = 512
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
 #: What str.split() takes for white space beyond the contract's.
