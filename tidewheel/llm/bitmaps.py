@@ -40,33 +40,48 @@ def build(hashes: DataFrame, col: str, count: int) -> Bitmap:
     return Bitmap(bits, data)
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in ``gone`` (column id). Rows without an id stay.
+class Told:
+    """Two bitmaps that tell most ids of a table from those that go: one of the ids that go, and one of the ids that
+    stay although the first has them."""
 
-    Exact, and texts stay where they are but for a few: a first bitmap holds the ids that go, a second
-    one the ids that stay although the first has them. Only rows that both have are joined with ``gone``.
-    """
+    def __init__(self, gone: Bitmap, alarms: Bitmap):
+        self.gone, self.alarms = gone, alarms
+
+    def how(self, hashes: np.ndarray) -> np.ndarray:
+        """0: stays for certain, 1: goes for certain, 2: not told."""
+        return self.gone.has(hashes).astype(np.int32) * (1 + self.alarms.has(hashes))
+
+
+def told(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> Broadcast | None:
+    """``Told`` for the ids of ``docs``; ``gone``: ids (id). None if none go."""
     gone = gone.where("id is not null").distinct()
     n = gone.count()
     if not n:
-        return docs
+        return None
     first = shared(gone.select(F.xxhash64("id").alias("x")), "x", n)
 
-    def within(bits: Broadcast):
-        @F.pandas_udf("boolean")
-        def has(x: pd.Series) -> pd.Series:
-            return pd.Series(bits.value.has(x.to_numpy()))
-
-        return has
+    @F.pandas_udf("boolean")
+    def has(x: pd.Series) -> pd.Series:
+        return pd.Series(first.value.has(x.to_numpy()))
 
-    alarms = docs.select(F.col(id_col).cast("long").alias("id")).where(F.col("id").isNotNull()).where(within(first)(F.xxhash64("id")))
+    alarms = docs.select(F.col(id_col).cast("long").alias("id")).where(F.col("id").isNotNull()).where(has(F.xxhash64("id")))
     alarms = materialize(alarms.distinct().join(gone.hint("shuffle_hash"), "id", "left_anti"), "alarms")
-    second = shared(alarms.select(F.xxhash64("id").alias("x")), "x", alarms.count())
+    second = build(alarms.select(F.xxhash64("id").alias("x")), "x", alarms.count())
+    return docs.sparkSession.sparkContext.broadcast(Told(first.value, second))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (column id). Rows without an id stay.
+
+    Exact, and texts stay where they are but for the few rows whose ids the bitmaps don't tell: these are joined with ``gone``.
+    """
+    bits = told(docs, gone, id_col)
+    if bits is None:
+        return docs
 
     @F.pandas_udf("int")
     def how(x: pd.Series) -> pd.Series:
-        h = x.to_numpy()
-        return pd.Series(first.value.has(h).astype(np.int32) * (1 + second.value.has(h)))
+        return pd.Series(bits.value.how(x.to_numpy()))
 
     marked = docs.withColumn("__how", F.when(F.col(id_col).isNotNull(), how(F.xxhash64(F.col(id_col).cast("long")))).otherwise(0))
     doubt = marked.where("__how = 2").drop("__how")

@@ -1,19 +1,21 @@
 """Exact substring dedup: a suffix order of the texts, as deep as the shortest repeat.
 
 Only the order of suffixes by their first ``width`` bytes matters, and of that only where it is
-shared by two documents. So the difference cover is chosen by content: of the cores (strings of
-``CORE`` bytes) that start in a window of ``width`` bytes, the one with the smallest hash is sampled.
+shared by two documents. So the difference cover is chosen by content: every window of ``width`` bytes samples one of
+the cores (strings of ``CORE`` bytes) in it, the one that the smallest hash of shorter strings in the window points at.
 Two equal windows sample the same place, which is what a difference cover is for, and about one suffix
-in seventeen is sampled instead of two in three.
+in thirteen is sampled instead of two in three.
 
-1. Sampled suffixes get a first name, the core's hash. Names of one document only are dropped by a
-   bitmap of bounded size.
+0. Of equal texts only the smallest document is looked at; the others go as a whole.
+1. Sampled suffixes get a first name, the core's hash. Names are sorted within ranges of names, packed as bytes;
+   those of one document only are dropped.
 2. Recursion on names: a sampled suffix's second name is that of the triple left context, core and
    right context, as far as any window with the core reaches. All but the smallest document of a second
    name repeat its whole context.
 3. Where a first name has several second names, the other suffixes (windows that start before
    the sampled place) are merged in: they are sorted by their first ``width`` bytes within the first
-   name, and equal neighbours compared. First names with very many contexts are spread by window.
+   name, and equal neighbours compared. Bytes are read for these places alone. First names with very many contexts are
+   spread by window.
 
 Names are hashes of 64 bits, with a check of 32 more for second names.
 """
@@ -25,23 +27,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .base import materialize, text_or_empty
+from .base import forget, materialize, text_or_empty
 
 WIDTH = 50
-CORE = 16
+CORE = 32
 #: First names with more contexts than this are merged by window over all tasks.
 HOT_CONTEXTS = 1000
 CHUNK = 1 << 19
 #: Documents that are summed up before rows leave a task.
 AT_ONCE = 2500
+#: Bytes of text whose first names are sorted in one task.
+RANGE_BYTES = 1 << 25
 
 U = np.uint64
 LOW = U(0xFFFFFFFF)
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASE = 0x9E3779B97F4A7C15
+CONTEXT = np.random.default_rng(13).integers(0, 2**64, (2, 256), dtype=np.uint64) | U(1)
 BYTES = [np.random.default_rng(11 + k).integers(0, 2**64, 256, dtype=np.uint64) | U(1) for k in (0, 1)]
 
 
@@ -64,18 +70,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-POWERS = [Powers(b) for b in BASES]
-
-
-def prefix_hash(data: np.ndarray, k: int) -> np.ndarray:
-    """Sums from which ``range_hash`` gets the hash of any stretch."""
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTES[k][data] * POWERS[k](len(data))[1], out=out[1:])
-    return out
-
-
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
-    return (sums[end] - sums[start]) * POWERS[k](len(sums))[0][start]
+POWERS = Powers(BASE)
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -84,59 +79,86 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def sampled(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled places of texts that stand one after another, their first names, and the prefix sums."""
+MIX = np.random.default_rng(17).integers(0, 2**64, 8, dtype=np.uint64) | U(1)
+
+
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; ``data`` ends with eight bytes more."""
+    out = np.empty(len(data) - 8, U)
+    for o in range(8):
+        n = (len(data) - o) // 8
+        part = data[o : o + 8 * n].view("<u8")
+        out[o::8] = part[: len(out[o::8])]
+    return out
+
+
+def string_hash(eight: np.ndarray, at: np.ndarray | slice, size: int) -> np.ndarray:
+    """Hashes of the strings of ``size`` (at least 8) bytes from places on."""
+    take = (lambda o: eight[o : len(eight) - size + 8 + o]) if isinstance(at, slice) else (lambda o: eight[at + o])
+    places = [*range(0, size - 8, 8), size - 8]
+    h = take(places[0]) * MIX[0]
+    for k, o in enumerate(places[1:], 1):
+        h = (h ^ (h >> U(29))) + take(o) * MIX[k]
+    return scramble(h)
+
+
+def sampled(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled places of texts that stand one after another, and their first names.
+
+    Of a window's ``width - CORE + 1`` cores the place is that of the smallest hash of its strings of ``short``
+    bytes, modulo the number of cores: fewer places are sampled than by the smallest core.
+    """
     none = np.zeros(0, np.int64)
-    sums = prefix_hash(data, 0)
-    n = len(data) - CORE + 1
-    if n < width - CORE + 1:
-        return none, none.view(U), sums
-    at = np.arange(n)
-    h = scramble(range_hash(sums, at, at + CORE, 0))
-    low = (h & ~LOW) | at.astype(U)  # ties go to the first place
-    span, m, s = width - CORE + 1, low, 1
+    cores = width - CORE + 1
+    if len(data) < width:
+        return none, none.view(U)
+    short = 4 + (CORE - 4) % cores
+    short += cores if short < 8 else 0
+    eight = loads(np.concatenate([data, np.zeros(8, np.uint8)]))
+    h = string_hash(eight, slice(None), short)[: len(data) - short + 1]
+    m, s, span = (h & ~LOW) | np.arange(len(h), dtype=np.uint64), 1, width - short + 1  # ties go to the first place
     while 2 * s <= span:
         m = np.minimum(m[:-s], m[s:])
         s *= 2
     if s < span:
         m = np.minimum(m[: len(m) - (span - s)], m[span - s :])
-    ok = np.ones(len(m), bool)
+    cross = np.zeros(len(m) + 1, np.int64)  # windows that reach from one text into the next
     for e in ends[:-1]:
-        ok[max(0, e - width + 1) : e] = False
-    p = (m[ok] & LOW).astype(np.int64)
-    p = p[np.concatenate([[True], p[1:] != p[:-1]])] if len(p) else p
-    return p, h[p], sums
-
-
-def chunks(docs: np.ndarray, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document ids, ends, bytes) of about CHUNK bytes; a longer text is a chunk of its own."""
-    ids, parts, size = [], [], 0
-    for doc, text in zip(docs, texts, strict=True):
-        b = text.encode("utf-8", "surrogatepass")
-        if parts and size + len(b) > CHUNK:
-            yield np.array(ids), np.cumsum([len(x) for x in parts]), np.frombuffer(b"".join(parts), np.uint8)
-            ids, parts, size = [], [], 0
-        ids.append(doc)
-        parts.append(b)
-        size += len(b)
-    if parts:
-        yield np.array(ids), np.cumsum([len(x) for x in parts]), np.frombuffer(b"".join(parts), np.uint8)
+        if e - width + 1 < len(m):
+            cross[max(0, e - width + 1)] += 1
+            cross[min(len(m), e)] -= 1
+    start = np.flatnonzero(np.cumsum(cross[:-1]) == 0)
+    hit = np.zeros(len(data), bool)
+    hit[start + ((m[start] & LOW).astype(np.int64) - start) % cores] = True
+    p = np.flatnonzero(hit)
+    return p, string_hash(eight, p, CORE)
 
 
-def _contexts(ids: np.ndarray, ends: np.ndarray, data: np.ndarray, width: int, names: bitmaps.Bitmap):
-    """What has a first name that the bitmap holds: (h, ctx, chk, doc, pos, left, right), the place in the chunk."""
-    p, h, sums = sampled(data, ends, width)
-    keep = names.has(h)
-    p, h = p[keep], h[keep]
-    which = np.searchsorted(ends, p, side="right")
-    first = np.concatenate([[0], ends])[which]
-    reach = width - CORE
-    left, right = np.minimum(reach, p - first), np.minimum(reach, ends[which] - p - CORE)
-    a, b = p - left, p + CORE + right
-    edge = (left * 64 + right).astype(U)
-    ctx = scramble(range_hash(sums, a, b, 0) + scramble(edge))
-    chk = (scramble(range_hash(prefix_hash(data, 1), a, b, 1) ^ scramble(edge)) >> U(33)).astype(np.int64)
-    return h.view(np.int64), ctx.view(np.int64), chk, ids[which], p - first, left, right, p
+Batches = Iterator[pd.DataFrame]
+Arrow = Iterator[pa.RecordBatch]
+
+
+def documents(batches: Arrow, skip: bitmaps.Told | None) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Lists of (document ids, ends, bytes): about ``AT_ONCE`` documents, in chunks of about CHUNK bytes; a longer text
+    is a chunk of its own. Documents that ``skip`` tells for certain are left out."""
+    for batch in batches:
+        if skip is not None:
+            stay = skip.how(batch.column("x").to_numpy()) != 1
+            batch = batch.filter(pa.array(stay))
+        for at in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(at, AT_ONCE)
+            ids, texts = part.column("doc_id").to_numpy(), part.column("text")
+            sizes = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
+            _, offsets, raw = sizes.buffers()
+            off = np.frombuffer(offsets, np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
+            data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+            out, lo = [], 0
+            while lo < len(ids):
+                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK, side="right")) - 1)
+                hi = min(hi, len(ids))
+                out.append((ids[lo:hi], off[lo + 1 : hi + 1] - off[lo], data[off[lo] : off[hi]]))
+                lo = hi
+            yield out
 
 
 def _first_in_batch(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,74 +170,94 @@ def _first_in_batch(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, start, several
 
 
-Batches = Iterator[pd.DataFrame]
+def _core_names(width: int, skip, ranges: int) -> Callable[[Arrow], Arrow]:
+    """(range, names as 48 bits each): the first names of each batch; twice if the batch has them in several documents."""
 
+    def run(batches: Arrow) -> Arrow:
+        for chunk in documents(batches, skip and skip.value):
+            h, doc = [], []
+            for ids, ends, data in chunk:
+                p, own = sampled(data, ends, width)
+                h.append(own)
+                doc.append(ids[np.searchsorted(ends, p, side="right")])
+            h, doc = np.concatenate(h), np.concatenate(doc)
+            order, start, several = _first_in_batch(h, doc)
+            own = h[order][start]
+            own = np.sort(np.concatenate([own, own[several]]))
+            cut = np.searchsorted((own >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=np.uint64))
+            raw = np.ascontiguousarray(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+            some = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([raw[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["range", "names"])
 
-def slices(batches: Batches) -> Batches:
-    """Batches of bounded size: what is held at once in a task doesn't grow with Arrow's batches."""
-    for batch in batches:
-        for at in range(0, len(batch), AT_ONCE):
-            yield batch.iloc[at : at + AT_ONCE]
+    return run
 
 
-def _core_names(width: int) -> Callable[[Batches], Batches]:
-    """The first names of each batch; twice if the batch has them in several documents."""
+def _shared_names(part: pd.DataFrame) -> pd.DataFrame:
+    """The names of one range that occur twice."""
+    raw = np.frombuffer(b"".join(part["names"]), np.uint8).reshape(-1, 6)
+    h = np.zeros((len(raw), 8), np.uint8)
+    h[:, :6] = raw
+    h = np.sort(h.view("<u8").ravel())
+    again = h[1:][h[1:] == h[:-1]]
+    return pd.DataFrame({"h": np.unique(again).astype(np.int64)})
 
-    def run(batches: Batches) -> Batches:
-        for batch in slices(batches):
-            h, doc = [], []
-            for ids, ends, data in chunks(batch["doc_id"].to_numpy(), batch["text"].tolist()):
-                p, own, _ = sampled(data, ends, width)
-                h.append(own.view(np.int64))
-                doc.append(ids[np.searchsorted(ends, p, side="right")])
-            if h:
-                h, doc = np.concatenate(h), np.concatenate(doc)
-                order, start, several = _first_in_batch(h, doc)
-                own = h[order][start]
-                yield pd.DataFrame({"h": np.concatenate([own, own[several]])})
 
-    return run
+def _contexts(ids: np.ndarray, ends: np.ndarray, data: np.ndarray, width: int, names: bitmaps.Bitmap):
+    """What has a first name that the bitmap holds: (h, ctx, chk, doc, pos, left, right, bytes); bytes beyond the text are 0."""
+    p, h = sampled(data, ends, width)
+    keep = names.has(h)
+    p, h = p[keep], h[keep]
+    which = np.searchsorted(ends, p, side="right")
+    first = np.concatenate([[0], ends])[which]
+    side = width - CORE
+    left, right = np.minimum(side, p - first), np.minimum(side, ends[which] - p - CORE)
+    padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)])
+    column = np.arange(2 * side + CORE)
+    raw = padded[p[:, None] + column]
+    raw[(column < side - left[:, None]) | (column >= side + CORE + right[:, None])] = 0
+    edge = scramble((left * 64 + right).astype(U))
+    ctx, chk = np.empty(len(p), U), np.empty(len(p), U)
+    for at in range(0, len(p), 1 << 14):
+        part = slice(at, at + (1 << 14))
+        for k, out in ((0, ctx), (1, chk)):
+            out[part] = scramble((BYTES[k][raw[part]] * CONTEXT[k][: len(column)]).sum(axis=1, dtype=U) + edge[part])
+    return h.view(np.int64), ctx.view(np.int64), (chk >> U(33)).astype(np.int64), ids[which], p - first, left, right, raw
 
 
-def _second_names(width: int, names) -> Callable[[Batches], Batches]:
-    """(h, ctx, chk, doc): the smallest document of each second name in a batch."""
+PLACES = "h long, ctx long, chk long, doc long, place long"
 
-    def run(batches: Batches) -> Batches:
-        for batch in slices(batches):
-            parts = [_contexts(*c, width, names.value)[:4] for c in chunks(batch["doc_id"].to_numpy(), batch["text"].tolist())]
-            if parts:
-                h, ctx, chk, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order, start, _ = _first_in_batch(ctx, doc)
-                i = order[start]
-                yield pd.DataFrame({"h": h[i], "ctx": ctx[i], "chk": chk[i], "doc": doc[i]})
 
-    return run
+def _places(width: int, skip, names) -> Callable[[Arrow], Arrow]:
+    """PLACES with a first name that several documents have; place packs position and reach."""
 
+    def run(batches: Arrow) -> Arrow:
+        for chunk in documents(batches, skip and skip.value):
+            h, ctx, chk, doc, pos, left, right = (np.concatenate(x) for x in list(zip(*(_contexts(*c, width, names.value) for c in chunk), strict=True))[:7])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (h, ctx, chk, doc, pos << 12 | left << 6 | right)], names=["h", "ctx", "chk", "doc", "place"])
 
-def _places(width: int, names, open_names) -> Callable[[Batches], Batches]:
-    """(ctx, chk, doc, place, h, bytes; place packs position and reach): every place with a first name that several documents
-    have; h and bytes only if its context may have to be merged, and only in the batch's smallest
-    document."""
-    side = width - CORE
+    return run
 
-    def run(batches: Batches) -> Batches:
-        for batch in slices(batches):
-            parts, texts = [], []
-            for ids, ends, data in chunks(batch["doc_id"].to_numpy(), batch["text"].tolist()):
-                *own, p = _contexts(ids, ends, data, width, names.value)
-                parts.append(own)
-                padded = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(side + CORE, np.uint8)])
-                may = open_names.value.has(own[0])
-                texts += [padded[q : q + 2 * side + CORE].tobytes() if m else None for q, m in zip(p, may, strict=True)]
-            if parts:
-                h, ctx, chk, doc, pos, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order, start, _ = _first_in_batch(ctx, doc)
-                least = np.repeat(doc[order][start], np.diff(np.append(start, len(order))))
-                smallest = np.zeros(len(ctx), bool)
-                smallest[order] = doc[order] == least
-                raw = [t if s else None for t, s in zip(texts, smallest, strict=True)]
-                h = np.where([x is None for x in raw], 0, h) if raw else h
-                yield pd.DataFrame({"ctx": ctx, "chk": chk, "doc": doc, "place": pos << 12 | left << 6 | right, "h": h, "bytes": raw})
+
+def _open_places(width: int, skip, names, contexts) -> Callable[[Arrow], Arrow]:
+    """(ctx, chk, doc, place, bytes) of the contexts that may have to be merged, of a batch's smallest document with each."""
+
+    def run(batches: Arrow) -> Arrow:
+        for chunk in documents(batches, skip and skip.value):
+            parts, raw = [], []
+            for ids, ends, data in chunk:
+                own = _contexts(ids, ends, data, width, names.value)
+                at = np.flatnonzero(contexts.value.has(own[1]))
+                parts.append([c[at] for c in own[1:7]])
+                raw.append(own[7][at])
+            ctx, chk, doc, pos, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+            raw = np.concatenate(raw)
+            order, start, _ = _first_in_batch(ctx, doc)
+            least = np.repeat(doc[order][start], np.diff(np.append(start, len(order))))
+            i = np.sort(order[doc[order] == least])
+            place = pos << 12 | left << 6 | right
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[i].astype(np.int64)) for c in (ctx, chk, doc, place)] + [pa.array([r.tobytes() for r in raw[i]], pa.binary())], names=["ctx", "chk", "doc", "place", "bytes"]
+            )
 
     return run
 
@@ -224,7 +266,7 @@ def _window_hashes(raw: list[bytes], width: int) -> Iterator[tuple[int, np.ndarr
     """(a, hash of the window that starts a bytes before the core) for each a."""
     side = width - CORE
     m = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), 2 * side + CORE)
-    up, down = POWERS[0](m.shape[1] + 1)
+    up, down = POWERS(m.shape[1] + 1)
     sums = np.zeros((len(raw), m.shape[1] + 1), U)
     np.cumsum(BYTES[0][m] * down[: m.shape[1]], axis=1, out=sums[:, 1:])
     for a in range(side + 1):
@@ -288,32 +330,43 @@ def _spread_windows(width: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def copies(own: DataFrame) -> DataFrame:
+    """(doc, n): documents whose whole text a document with a smaller id has, too."""
+    named = own.select("doc_id", F.sha2("text", 256).alias("name"), F.octet_length("text").alias("n"))
+    least = named.groupBy("name", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    return named.join(least, ["name", "n"]).where("doc_id > least").select(F.col("doc_id").alias("doc"), "n")
+
+
+def repeated_spans(own: DataFrame, gone: DataFrame | None, width: int = WIDTH) -> DataFrame:
     """(doc, start, stop): bytes of ``width``-byte strings that start in a document with a smaller id.
 
-    Spans may overlap or touch. Rows without an id are left out; rows that repeat an id count as
-    one document. ``width`` is from CORE + 1 to CORE + 63.
+    ``own``: doc_id and text, as bytes, of at least ``width`` bytes. ``gone``: ids (id) of copies, which are left out as
+    far as bitmaps tell. Spans may overlap or touch; rows that repeat an id count as one document. ``width`` is from
+    CORE + 4 to CORE + 63.
     """
-    if not 0 < width - CORE < 64:
-        raise ValueError(f"width must be from {CORE + 1} to {CORE + 63}")
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    own = own.where(F.octet_length("text") >= width)
-    first = own.mapInPandas(_core_names(width), "h long").repartition("h").groupBy("h").count().where("count > 1").select("h")
-    first = materialize(first, "first-names")
+    if not 4 <= width - CORE < 64:
+        raise ValueError(f"width must be from {CORE + 4} to {CORE + 63}")
+    skip = bitmaps.told(own, gone) if gone is not None else None
+    own = own.select("doc_id", F.xxhash64("doc_id").alias("x"), "text")
+    ranges = max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
+    first = own.mapInArrow(_core_names(width, skip, ranges), "range int, names binary")
+    first = materialize(first.groupBy("range").applyInPandas(_shared_names, "h long"), "first-names")
     names = bitmaps.shared(first, "h", first.count())
-    second = own.mapInPandas(_second_names(width, names), "h long, ctx long, chk long, doc long")
-    second = materialize(second.groupBy("ctx", "chk").agg(F.min("doc").alias("least"), F.first("h").alias("h")), "second-names")
-    several = materialize(second.groupBy("h").agg(F.count(F.lit(1)).alias("n_ctx")).where("n_ctx > 1"), "open-names")
-    open_names = bitmaps.shared(several, "h", several.count())
-    place = own.mapInPandas(_places(width, names, open_names), "ctx long, chk long, doc long, place long, h long, bytes binary")
-    raw = F.when(F.col("doc") == F.col("least"), F.col("bytes")).alias("bytes")
-    place = place.join(second.select("ctx", "chk", "least"), ["ctx", "chk"]).where("doc > least or bytes is not null")
-    pos, left, right = F.shiftright("place", 12), F.shiftright("place", 6).bitwiseAND(F.lit(63)), F.col("place").bitwiseAND(F.lit(63))
-    place = materialize(place.select("doc", "place", "h", raw), "places").select("doc", pos.alias("pos"), left.alias("left"), right.alias("right"), "h", "bytes")
-    again = place.where("bytes is null").select("doc", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right") + CORE).alias("stop"))
-    least = place.where("bytes is not null").join(several.where(F.col("n_ctx") > HOT_CONTEXTS), "h", "left")
-    few = least.where("n_ctx is null").repartition("h").sortWithinPartitions("h").mapInPandas(_merge_windows(width), SPANS)
-    many = least.where("n_ctx is not null").select("h", "doc", "pos", "left", "right", "bytes").repartition(F.xxhash64("doc", "pos"))
+    forget(first)
+    places = materialize(own.mapInArrow(_places(width, skip, names), PLACES), "places")
+    second = materialize(places.groupBy("ctx", "chk").agg(F.min("doc").alias("least"), F.first("h").alias("h")), "second-names")
+    reach = F.shiftright("place", 6).bitwiseAND(F.lit(63)), F.col("place").bitwiseAND(F.lit(63))
+    pos = F.shiftright("place", 12)
+    again = places.select("ctx", "chk", "doc", "place").join(second.select("ctx", "chk", "least"), ["ctx", "chk"]).where("doc > least")
+    again = again.select("doc", (pos - reach[0]).alias("start"), (pos + reach[1] + CORE).alias("stop"))
+    several = second.groupBy("h").agg(F.count(F.lit(1)).alias("n_ctx")).where("n_ctx > 1")
+    several = materialize(second.join(several, "h"), "open-names")
+    contexts = bitmaps.shared(several, "ctx", several.count())
+    opened = own.mapInArrow(_open_places(width, skip, names, contexts), "ctx long, chk long, doc long, place long, bytes binary")
+    opened = opened.join(several.hint("merge"), ["ctx", "chk"]).where("doc = least")
+    opened = materialize(opened.select("h", "n_ctx", "doc", pos.alias("pos"), reach[0].alias("left"), reach[1].alias("right"), "bytes"), "open-places")
+    few = opened.where(F.col("n_ctx") <= HOT_CONTEXTS).repartition("h").sortWithinPartitions("h").mapInPandas(_merge_windows(width), SPANS)
+    many = opened.where(F.col("n_ctx") > HOT_CONTEXTS).select("h", "doc", "pos", "left", "right", "bytes").repartition(F.xxhash64("doc", "pos"))
     many = materialize(many.mapInPandas(_spread_windows(width), "h long, key long, doc long, start long"), "windows")
     shared = many.groupBy("h", "key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     many = many.join(shared, ["h", "key"]).where("doc > least").select("doc", "start", (F.col("start") + width).alias("stop"))
@@ -337,50 +390,57 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return listed.select("doc", merge.alias("spans"))
 
 
-def _cut(batches: Batches) -> Batches:
-    for batch in batches:
-        rows = []
-        for doc, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-            b, at, kept, gone = text.encode("utf-8", "surrogatepass"), 0, [], 0
-            for s in spans if spans is not None else ():
-                kept.append(b[at : s["start"]])
-                at = s["stop"]
-                gone += s["stop"] - s["start"]
-            kept.append(b[at:])
-            rows.append((doc, len(b), gone, 0 if spans is None else len(spans), b"".join(kept)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+def _cut(digest: bool) -> Callable[[Arrow], Arrow]:
+    """Texts with their spans -> what is left of them."""
 
+    def run(batches: Arrow) -> Arrow:
+        for batch in batches:
+            gone, kept = [], []
+            for raw, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                at, parts = 0, []
+                for s in spans or ():
+                    parts.append(raw[at : s["start"]])
+                    at = s["stop"]
+                gone.append(sum(s["stop"] - s["start"] for s in spans or ()))
+                kept.append(b"".join([*parts, raw[at:]]))
+            if digest:
+                kept = [hashlib.sha256(k).hexdigest() for k in kept]
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(gone, pa.int64()), batch.column("n_spans"), pa.array(kept, pa.string() if digest else pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
 
-def _with_digest(batches: Batches) -> Batches:
-    for out in _cut(batches):
-        out["kept_sha256"] = [hashlib.sha256(k).hexdigest() for k in out.pop("kept")]
-        yield out
+    return run
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans and the remaining bytes
     (``kept``, or with ``digest`` their SHA-256 as kept_sha256).
 
-    Null and empty texts, and texts shorter than ``width``, lose nothing. Of rows with one id each is cut
-    alike only if its text is the same: ids are meant to be unique. Other columns are not read. An
+    Null and empty texts, texts shorter than ``width`` and rows without an id lose nothing. Of rows with one id each is
+    cut alike only if its text is the same: ids are meant to be unique. Other columns are not read. An
     empty table gives an empty result.
     """
-    spans = materialize(merged_spans(repeated_spans(docs, width, id_col, text_col)), "spans")
-    n = spans.count()
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    may = bitmaps.shared(spans.select(F.xxhash64("doc").alias("x")), "x", n)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    own = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
+    whole = materialize(copies(own), "copies")
+    gone = whole.select(F.col("doc").alias("id"))
+    spans = materialize(merged_spans(repeated_spans(own, gone, width)), "spans")
+    content = F.sha2("text", 256).alias("kept_sha256") if digest else F.col("text").alias("kept")
+    nothing = F.sha2(F.lit(b""), 256).alias("kept_sha256") if digest else F.lit(b"").alias("kept")
+    zero = F.lit(0).cast("long")
+    # copies need no text; of the others only texts that may lose something move, the rest is finished where it is read
+    size = F.octet_length("text").cast("long").alias("n_bytes")
+    ids = own.select("doc_id", size).join(whole.distinct(), F.col("doc_id") == F.col("doc"), "left_semi")
+    ids = ids.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), nothing)
+    may = bitmaps.shared(spans.select(F.xxhash64("doc").alias("x")), "x", spans.count())
 
     @F.pandas_udf("boolean")
     def may_lose(x: pd.Series) -> pd.Series:
         return pd.Series(may.value.has(x.to_numpy()))
 
-    # only texts that may lose something move; the others are finished where they are read
-    flagged = own.withColumn("may", may_lose(F.xxhash64("doc_id")))
-    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
-    still = flagged.where("not may").select("doc_id", "text", none)
-    moved = flagged.where("may").join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
-    finish, schema = (_with_digest, CUT.replace("kept binary", "kept_sha256 string")) if digest else (_cut, CUT)
-    return still.mapInPandas(finish, schema).unionByName(moved.mapInPandas(finish, schema))
+    rest = bitmaps.without(rows, gone)
+    flagged = rest.withColumn("may", may_lose(F.xxhash64("doc_id")))
+    still = flagged.where("not may").select("doc_id", size, zero.alias("n_removed"), zero.alias("n_spans"), content)
+    moved = flagged.where("may").join(spans.hint("merge"), F.col("doc_id") == F.col("doc"), "left").withColumn("spans", F.when(F.octet_length("text") >= width, F.col("spans")))
+    moved = moved.select("doc_id", size, F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), "text", "spans")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
+    return ids.unionByName(still).unionByName(moved.mapInArrow(_cut(digest), schema))
