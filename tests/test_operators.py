@@ -134,3 +134,112 @@ def test_least_squares_equals_numpy(spark):
     f = evaluation.folds(df, 150, 25)
     got = evaluation.least_squares(df, f, ["a", "b"], "y").where("fold = 0").first()["coefficients"]
     assert np.allclose(got, np.linalg.lstsq(np.c_[np.ones(150), x[:150]], y[:150], rcond=None)[0])
+
+
+def reference_har(v, ridge=0.0, floor=0.002):
+    """Expanding folds, log-space least squares with smearing, EWMA baseline and holdout of one series, by numpy."""
+    v = np.asarray(v)
+    har = np.stack([np.array([v[max(0, t - n) : t].mean() if t else np.nan for t in range(len(v))]) for n in (1, 5, 22)], 1)
+    ok = ~np.isnan(har).any(axis=1)
+    v, har = v[ok], har[ok]
+    hold = min(252, int(0.2 * len(v)))
+    dev = len(v) - hold
+    slices = [slice(0, dev), slice(dev, len(v))]
+    x, y, g = [], [], []
+    for s in slices:
+        own = v[s]
+        n = len(own) - 5
+        y.append(np.array([own[t + 1 : t + 6].mean() for t in range(n)]))
+        x.append(np.log(np.maximum(har[s][:n], floor)))
+        g.append(own[:n])
+    level = []
+    for value in np.concatenate(g):
+        level.append(value if not level else 0.94 * level[-1] + 0.06 * value)
+    level = np.array(level)
+
+    def fit(xs, ys):
+        a, b = np.column_stack([np.ones(len(xs)), xs]), np.log(np.maximum(ys, floor))
+        beta = np.linalg.solve(a.T @ a + ridge * np.diag([0, 1, 1, 1]), a.T @ b)
+        smear = np.exp(b - a @ beta).mean()
+        return lambda q: np.exp(np.column_stack([np.ones(len(q)), q]) @ beta) * smear
+
+    def loss(a, p):
+        r = (np.maximum(p, floor) / np.maximum(a, floor)) ** 2
+        return (r - np.log(r) - 1).mean()
+
+    n, t = len(y[0]), len(y[0]) // 6
+    preds, actual, base, passed = [], [], [], 0
+    for k in range(5):
+        lo, hi = n - (5 - k) * t, n - (4 - k) * t
+        p = fit(x[0][:lo], y[0][:lo])(x[0][lo:hi])
+        preds.append(p)
+        actual.append(y[0][lo:hi])
+        base.append(level[lo:hi])
+        passed += loss(actual[-1], p) < loss(actual[-1], base[-1])
+    a, p, b = map(np.concatenate, (actual, preds, base))
+    h = fit(x[0], y[0])(x[1])
+    r2 = lambda u, w: 1 - ((u - w) ** 2).sum() / ((u - u.mean()) ** 2).sum()
+    return {"n_obs": n, "oos_r2": r2(a, p), "qlike": loss(a, p), "baseline_qlike": loss(a, b), "folds_passed": passed, "holdout_oos_r2": r2(y[1], h), "holdout_qlike": loss(y[1], h), "holdout_baseline_qlike": loss(y[1], level[n:])}
+
+
+def test_vol_backtest_against_numpy(spark):
+    import datetime
+
+    from tidewheel.operators import volatility as V
+
+    rng = np.random.default_rng(3)
+    v = {s: np.exp(np.cumsum(rng.normal(0, 0.1, 400)) * 0.5 - 4.5) for s in ("a", "b")}
+    rows = [(s, datetime.date(2000, 1, 1) + datetime.timedelta(t), float(x[t]), *(float(x[max(0, t - n) : t].mean()) if t else None for n in (1, 5, 22))) for s, x in v.items() for t in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, date date, gk_vol double, har_vol_1d double, har_vol_5d double, har_vol_22d double")
+    for ridge in (0.0, 1.0):
+        got = V.scores(V.forecasts(V.sliced(df), ridge=ridge)).toPandas().set_index("symbol")
+        for s, x in v.items():
+            for k, want in reference_har(x, ridge).items():
+                assert got.loc[s, k] == pytest.approx(want, rel=1e-6), (s, k)
+    assert V.next_forecast(df).count() == 2
+
+
+@pytest.mark.parametrize("decay", [0.2, 0.94, 0.99, 0.999, 0.99999])
+def test_ewma_for_every_decay(spark, decay):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 20, 3000)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "symbol string, date int, v double")
+    got = series.ewma(df, "symbol", "v", decay).orderBy("date").toPandas().ewma.to_numpy()
+    want = [x[0]]
+    for v in x[1:]:
+        want.append(decay * want[-1] + (1 - decay) * v)
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_table_survives_restart_and_repeated_batches(spark, tmp_path):
+    from tidewheel.streaming.incremental import ParquetTable
+
+    make = lambda: ParquetTable(spark, str(tmp_path / "t"), "k int, v int", [F.col("v").desc()])
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k int, v int")
+    make().merge(batch((1, 5), (1, 7)), ["k"])
+    t = make()  # a restart
+    for _ in range(2):  # a repeated batch
+        t.merge(batch((2, 1), (1, 6)), ["k"])
+    (tmp_path / "t" / "v9").mkdir()  # what a failed merge left
+    assert sorted(map(tuple, make().read().collect())) == [(1, 7), (2, 1)]
+    assert len(make().versions()) == 2
+
+
+def test_fixed_weights(spark):
+    from tidewheel.operators import portfolio
+
+    w = spark.createDataFrame([("2020-01-31", "a"), ("2020-01-31", "b"), ("2020-02-28", "a")], "rebalance string, symbol string")
+    got = {(r["rebalance"], r["symbol"]): r["weight"] for r in portfolio.fixed_weights(w, {"a": 1.0}).collect()}
+    assert got == {("2020-01-31", "a"): 1.0, ("2020-01-31", "b"): 0.0, ("2020-02-28", "a"): 1.0}
+    for bad in ({"a": 0.5}, {}, {"a": float("nan"), "b": 1.0}):
+        with pytest.raises(ValueError):
+            portfolio.fixed_weights(w, bad)
+
+
+def test_gate_fails_closed(spark):
+    from tidewheel.operators import evaluation as E
+
+    rows = [("good", 0.2, 0.5, 3.0, 5.0, 300.0), ("few", 0.2, 0.5, 2.0, 5.0, 300.0), ("odd", 1.5, 0.5, 6.0, 5.0, 300.0), ("none", None, 0.5, 3.0, 5.0, None)]
+    df = spark.createDataFrame(rows, "symbol string, oos_r2 double, qlike_skill_ratio double, folds_passed double, n_folds double, n_obs double")
+    got = {r["symbol"]: (r["cleared"], r["reasons"]) for r in E.skill_gate(df).collect()}
+    assert got == {"good": (True, []), "few": (False, ["folds_passed"]), "odd": (False, ["implausible oos_r2", "implausible folds_passed"]), "none": (False, ["missing n_obs", "missing oos_r2"])}

@@ -32,6 +32,14 @@ def holdout(rows: DataFrame, most: int = 252, share: float = 0.2, least: int = 6
     return rows.withColumn("slice", F.when(F.col("i") >= n - size, "holdout").otherwise("dev"))
 
 
+def in_folds(rows: DataFrame, folds: DataFrame, lo: str, hi: str, key: str = "symbol", bucket: int = 128) -> DataFrame:
+    """Rows with each fold whose range from ``lo`` to ``hi`` holds their number i. Both sides meet by stretches of
+    rows, so a row is joined with the folds near it and not with all of its key."""
+    near = F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor((F.col(hi) - 1) / bucket)))
+    own = folds.where(F.col(lo) < F.col(hi)).withColumn("__bucket", near)
+    return rows.withColumn("__bucket", F.floor(F.col("i") / bucket)).join(own, [key, "__bucket"]).where((F.col("i") >= F.col(lo)) & (F.col("i") < F.col(hi))).drop("__bucket")
+
+
 def soft_descent(a: np.ndarray, b: np.ndarray, penalty: float, start: np.ndarray, rounds: int = 500) -> np.ndarray:
     """Minimises x'ax / 2 - b'x + penalty * |x[1:]|; the first coordinate is the intercept."""
     x = start.copy()
@@ -52,7 +60,7 @@ def least_squares(rows: DataFrame, folds: DataFrame, x: list[str], y: str, ridge
     cols = [F.lit(1.0), *map(c, x), c(y)]
     m = len(cols)
     ok = rows.where(" and ".join(f"{v} is not null" for v in [*x, y]))
-    own = ok.join(folds, key).where("i >= train_from and i < train_to")
+    own = in_folds(ok, folds, "train_from", "train_to", key)
     gram = own.groupBy(key, "fold").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(cols[a] * cols[b]) for a in range(m) for b in range(a, m))).alias("g"))
 
     def solve(batches):
@@ -73,7 +81,7 @@ def least_squares(rows: DataFrame, folds: DataFrame, x: list[str], y: str, ridge
 
 def predicted(rows: DataFrame, folds: DataFrame, models: DataFrame, x: list[str], key: str = "symbol") -> DataFrame:
     """Test rows of each fold with ``pred``."""
-    own = rows.join(folds, key).where("i >= test_from and i < test_to").join(models.select(key, "fold", "coefficients"), [key, "fold"])
+    own = in_folds(rows, folds, "test_from", "test_to", key).join(models.select(key, "fold", "coefficients"), [key, "fold"])
     pred = F.col("coefficients")[0]
     for k, v in enumerate(x):
         pred = pred + F.col("coefficients")[k + 1] * c(v)
@@ -103,3 +111,53 @@ def horizon_ensemble(preds: DataFrame) -> DataFrame:
     """(symbol, date, horizon, pred, ic) -> mean, median and weighted by max(ic, 0.01)."""
     w = F.greatest("ic", F.lit(0.01))
     return preds.groupBy("symbol", "date").agg(F.avg("pred").alias("mean"), F.percentile("pred", F.lit(0.5)).alias("median"), (F.sum(w * F.col("pred")) / F.sum(w)).alias("weighted"))
+
+
+def latest_metrics(long: DataFrame, names: list[str], keys: list[str], trained_at: str = "trained_at") -> DataFrame:
+    """(keys, metric, value, trained_at) -> a row for each key with the latest finite value of every metric, else null."""
+    value = F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value"))
+    got = long.groupBy(*keys, "metric").agg(F.max_by(F.struct(value.alias("v")), trained_at).alias("s"))
+    return got.groupBy(*keys).agg(*(F.max(F.when(F.col("metric") == n, F.col("s.v"))).alias(n) for n in names))
+
+
+SKILL = ("oos_r2", "qlike_skill_ratio", "folds_passed", "n_folds", "n_obs")
+RETURN = ("r2", "direction_accuracy", "folds_passed", "n_folds", "n_obs", "annualised_alpha", "turnover_adjusted_sharpe")
+
+
+def skill_gate(metrics: DataFrame) -> DataFrame:
+    """The volatility model's gate on the columns SKILL: it fails closed. Missing metrics are named; if none is missing,
+    implausible ones are; only then the rules are tested."""
+    c_ = {n: F.col(n) for n in SKILL}
+    whole = {n: F.floor(c_[n]) for n in ("folds_passed", "n_folds", "n_obs")}
+    missing = F.array_compact(F.array(*(F.when(c_[n].isNull(), F.lit(f"missing {n}")) for n in sorted(SKILL))))
+    odd = {
+        "implausible oos_r2": c_["oos_r2"] > 1,
+        "implausible qlike_skill_ratio": c_["qlike_skill_ratio"] < 0,
+        "implausible n_folds": whole["n_folds"] < 1,
+        "implausible folds_passed": (whole["folds_passed"] < 0) | (whole["folds_passed"] > whole["n_folds"]),
+        "implausible n_obs": whole["n_obs"] < 0,
+    }
+    odd = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in odd.items())))
+    rules = {
+        "oos_r2": c_["oos_r2"] >= 0.10,
+        "qlike_skill_ratio": c_["qlike_skill_ratio"] < 0.99,
+        "folds_passed": whole["folds_passed"] >= F.ceil(0.6 * whole["n_folds"]),
+        "n_obs": whole["n_obs"] >= 250,
+    }
+    failed = F.array_compact(F.array(*(F.when(~v, F.lit(k)) for k, v in rules.items())))
+    got = metrics.withColumn("reasons", F.when(F.size(missing) > 0, missing).when(F.size(odd) > 0, odd).otherwise(failed))
+    return got.withColumn("cleared", F.size("reasons") == 0)
+
+
+def return_gate(metrics: DataFrame, cost_bps: float = 5.0) -> DataFrame:
+    """The return model's gate on the columns RETURN; a rule that can't be shown to hold fails."""
+    folds = F.floor("n_folds")
+    rules = {
+        "r2": F.col("r2") > 0,
+        "direction_accuracy": F.col("direction_accuracy") > 0.5,
+        "folds_passed": (folds >= 1) & (F.col("folds_passed") >= 0) & (F.floor("folds_passed") >= F.ceil(0.6 * folds)),
+        "n_obs": F.floor("n_obs") >= 252,
+        "annualised_alpha": F.abs("annualised_alpha") > cost_bps / 10000,
+        "turnover_adjusted_sharpe": F.col("turnover_adjusted_sharpe") > 0,
+    }
+    return verdict(metrics, rules)

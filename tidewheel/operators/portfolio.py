@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,20 @@ def calendar_align(asset: DataFrame, spine: DataFrame, value: str = "daily_retur
     return filled.select("date", X.pct_change("wealth", w).alias(value))
 
 
+def calendar_gaps(rows: DataFrame, spine: DataFrame, key: str = "symbol", value: str = "daily_return") -> DataFrame:
+    """(key, leading, trailing, interior, n): dates of the spine without a value, by where they stand. The spine is
+    joined to each key's first and last date with a value, not to all rows."""
+    have = rows.where(F.col(value).isNotNull()).join(spine.distinct(), "date", "left_semi")
+    ends = rows.select(key).distinct().join(have.groupBy(key).agg(F.min("date").alias("f"), F.max("date").alias("l"), F.countDistinct("date").alias("k")), key, "left")
+    days = spine.distinct().agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("date")).alias("days"))  # a calendar: one row
+    got = ends.crossJoin(F.broadcast(days))
+    count = lambda test: F.size(F.filter("days", test)).cast("long")
+    leading, trailing = F.coalesce(count(lambda x: x < F.col("f")), F.lit(0)), F.coalesce(count(lambda x: x > F.col("l")), F.lit(0))
+    none = F.col("f").isNull()
+    got = got.withColumns({"leading": F.when(none, 0).otherwise(leading).cast("long"), "trailing": F.when(none, 0).otherwise(trailing).cast("long")})
+    return got.select(key, "leading", "trailing", F.when(none, 0).otherwise(F.col("n") - F.col("k") - F.col("leading") - F.col("trailing")).cast("long").alias("interior"), "n")
+
+
 def complete_dates(returns: DataFrame) -> DataFrame:
     """Rows of the dates on which every symbol has a return."""
     have = returns.where("daily_return is not null")
@@ -141,6 +157,15 @@ def _max_sharpe(s: np.ndarray, mu: np.ndarray) -> np.ndarray:
     return best
 
 
+def fixed_weights(window: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The same given weights at every rebalance; they must be finite, sum to 1 and name symbols of the window."""
+    if not weights or not all(math.isfinite(w) for w in weights.values()) or abs(sum(weights.values()) - 1) > 1e-6:
+        raise ValueError("weights must be finite and sum to 1")
+    table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+    held = window.select("rebalance", "symbol").distinct()
+    return held.withColumn("weight", F.coalesce(F.element_at(table, F.col("symbol")), F.lit(0.0)))
+
+
 def solved_weights(window: DataFrame, kind: str) -> DataFrame:
     """risk_parity or max_sharpe weights: one small problem for each rebalance, all in parallel."""
 
@@ -233,11 +258,13 @@ def bootstrap_indices(spark, n: int, reps: int, seed: int = 7, block: int = 21)
     return rows.select("rep", "t", ((F.col("start") + F.col("t") - F.col("at")) % n).alias("i"))
 
 
-def resampled(returns: DataFrame, n: int, reps: int, seed: int = 7) -> DataFrame:
-    """(rep, strategy, daily_return): the same rows for every strategy, so pairs stay paired."""
+def resampled(returns: DataFrame, reps: int, seed: int = 7) -> DataFrame:
+    """(rep, strategy, daily_return, ...): the same rows for every strategy, so pairs stay paired. ``returns`` has
+    every strategy on every date."""
+    n = returns.select("date").distinct().count()
     order = returns.select("date").distinct().withColumn("i", (F.row_number().over(W.orderBy("date")) - 1).cast("long"))
     numbered = returns.join(order, "date")
-    return bootstrap_indices(returns.sparkSession, n, reps, seed).join(numbered, "i").select("rep", "strategy", "daily_return")
+    return bootstrap_indices(returns.sparkSession, n, reps, seed).join(numbered, "i").drop("i", "t", "date")
 
 
 def interval(stat: DataFrame, keys: list[str], value: str, level: float = 0.9) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,18 +107,30 @@ def correlations(df: DataFrame, key: str = "symbol", time: str = "date", value:
     return got.where(F.col("n") >= least)
 
 
-def ewma(df: DataFrame, key: str, value: str, decay: float = 0.94, time: str = "date", block: int = 512) -> DataFrame:
-    """e_t = decay * e_{t-1} + (1 - decay) * x_t with e_0 = x_0, by prefix sums within blocks; the
-    two blocks before carry over all that doubles can hold."""
-    w = W.partitionBy(key).orderBy(time)
-    rows = df.withColumn("__i", F.row_number().over(w) - 1)
-    rows = rows.withColumns({"__b": F.floor(F.col("__i") / block), "__k": F.col("__i") % block})
-    term = F.when(F.col("__i") == 0, c(value)).otherwise(c(value) * (1 - decay)) * F.pow(F.lit(decay), -F.col("__k"))
-    inner = X.upto(W.partitionBy(key, "__b").orderBy(time))
-    rows = rows.withColumn("__p", F.sum(term).over(inner) * F.pow(F.lit(decay), F.col("__k")))
-    ends = rows.groupBy(key, "__b").agg(F.max_by("__p", "__k").alias("__end"), F.count(F.lit(1)).alias("__n"))
-    by_block = W.partitionBy(key).orderBy("__b")
-    one, two = F.lag("__end", 1, 0.0).over(by_block), F.lag("__end", 2, 0.0).over(by_block)
-    ends = ends.select(key, "__b", (one + two * decay**block).alias("__carry"))
-    rows = rows.join(ends, [key, "__b"])
-    return rows.withColumn("ewma", F.col("__p") + F.pow(F.lit(decay), F.col("__k") + 1) * F.col("__carry")).drop("__i", "__b", "__k", "__p", "__carry")
+def decayed(df: DataFrame, key: str, term: str, decay: float, order: str, out: str) -> DataFrame:
+    """``out``: y_t = decay * y_{t-1} + term_t for each key, without a loop over rows.
+
+    Prefix sums within blocks whose powers of ``decay`` doubles can hold; the ends of blocks form the same recurrence
+    with decay ** block, 512 times shorter, until one block forgets the one before it.
+    """
+    block = max(1, min(512, int(230 / -math.log(decay)))) if decay > 0 else 1
+    w = W.partitionBy(key).orderBy(order)
+    names = [f"__{n}_{out}" for n in ("i", "b", "k", "p", "carry")]
+    i, b, k, p, carry = names
+    rows = df.withColumn(i, F.row_number().over(w) - 1).withColumns({b: F.floor(F.col(i) / block), k: F.col(i) % block})
+    inner = X.upto(W.partitionBy(key, b).orderBy(order))
+    rows = rows.withColumn(p, F.sum(c(term) * F.pow(F.lit(decay), -F.col(k))).over(inner) * F.pow(F.lit(decay), F.col(k)))
+    ends = rows.groupBy(key, b).agg(F.max_by(p, k).alias("__end"))
+    y = "__end"
+    if decay**block > 1e-18:
+        ends, y = decayed(ends, key, "__end", decay**block, b, f"{out}_"), f"{out}_"
+    ends = ends.select(key, b, F.lag(y, 1, 0.0).over(W.partitionBy(key).orderBy(b)).alias(carry))
+    rows = rows.join(ends, [key, b])
+    return rows.withColumn(out, F.col(p) + F.pow(F.lit(decay), F.col(k) + 1) * F.col(carry)).drop(*names)
+
+
+def ewma(df: DataFrame, key: str, value: str, decay: float = 0.94, time: str = "date") -> DataFrame:
+    """e_t = decay * e_{t-1} + (1 - decay) * x_t with e_0 = x_0, for 0 < decay < 1."""
+    first = F.row_number().over(W.partitionBy(key).orderBy(time)) == 1
+    rows = df.withColumn("__term", F.when(first, c(value)).otherwise((1 - decay) * c(value)))
+    return decayed(rows, key, "__term", decay, time, "ewma").drop("__term")

@@ -465,12 +465,12 @@ def pct_change(spark, sf_dir):
 
 
 @query(
-    """with recursive x as (select symbol, daily_return as v, row_number() over (partition by symbol order by date) as i, date from daily where daily_return is not null and symbol in ('Brand#1', 'Brand#2', 'Brand#5')),
+    """with recursive x as (select symbol, daily_return as v, row_number() over (partition by symbol order by date) as i, date from daily where daily_return is not null),
  e as (select symbol, i, date, v as ewma from x where i = 1 union all select x.symbol, x.i, x.date, 0.94 * e.ewma + 0.06 * x.v from e join x on x.symbol = e.symbol and x.i = e.i + 1) select symbol, cast(date as varchar) as date, round(ewma, 8) as ewma from e""",
     ("daily",),
 )
 def ewma(spark, sf_dir):
-    rows = daily(spark, sf_dir).where("daily_return is not null and symbol in ('Brand#1', 'Brand#2', 'Brand#5')").select("symbol", "date", "daily_return")
+    rows = daily(spark, sf_dir).where("daily_return is not null").select("symbol", "date", "daily_return")
     return series.ewma(rows, "symbol", "daily_return").select("symbol", d().alias("date"), r("ewma").alias("ewma"))
 
 

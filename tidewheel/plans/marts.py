@@ -68,8 +68,9 @@ def normalise_macro(spark, sf_dir):
 def normalise_worldbank(spark, sf_dir):
     a = bars.annual(spark, sf_dir)
     item = F.struct(F.col("country"), F.col("year"), F.col("value").cast("string").alias("value"))
-    payload = a.groupBy("indicator_id").agg(F.to_json(F.collect_list(item)).alias("payload"))
-    rows = landing.flatten_observations(payload, "indicator_id", "payload", "array<struct<country:string,year:int,value:string>>")
+    page = F.concat(F.lit('[{"page":1,"pages":1},'), F.to_json(F.collect_list(item)), F.lit("]"))
+    payload = a.groupBy("indicator_id").agg(page.alias("payload"))
+    rows = landing.flatten_envelope(payload, "indicator_id", "payload", "array<struct<country:string,year:int,value:string>>")
     return rows.select("indicator_id", F.coalesce("country", F.lit("unknown")).alias("country"), "year", "value")
 
 
@@ -91,15 +92,18 @@ def validate_rows(spark, sf_dir):
 
 
 @query(
-    """select symbol, cast(date as varchar) as date, round(case when date >= date '2000-01-01' then close + 1 else close end, 8) as close from prices
- union all select 'New', '2020-01-01', 1.0""",
+    """select symbol, cast(date as varchar) as date, round(case when date >= date '2000-01-01' then close + 1 else close end, 8) as close, case when date >= date '2000-01-01' then '2020-01-02 00:00:00' end as loaded_at from prices
+ union all select 'New', '2020-01-01', 1.0, '2020-01-02 00:00:00'""",
     ("prices",),
 )
 def upsert(spark, sf_dir):
+    """Later rows replace those of their key, a row that comes twice counts once, and what comes in is stamped."""
     p = bars.prices(spark, sf_dir).select("symbol", "date", "close")
     batch = p.where("date >= date '2000-01-01'").withColumn("close", F.col("close") + 1)
-    batch = batch.unionByName(spark.sql("select 'New' as symbol, date '2020-01-01' as date, double(1) as close"))
-    return landing.upsert(p, batch, ["symbol", "date"]).select("symbol", d().alias("date"), r("close").alias("close"))
+    new = spark.sql("select 'New' as symbol, date '2020-01-01' as date, double(1) as close")
+    existing = p.withColumn("loaded_at", F.lit(None).cast("string"))
+    got = landing.upsert(existing, batch.unionByName(new).unionByName(new), ["symbol", "date"], F.lit("2020-01-02 00:00:00"))
+    return got.select("symbol", d().alias("date"), r("close").alias("close"), "loaded_at")
 
 
 @query("select symbol, cast(max(date) as varchar) as mark from prices group by symbol", ("prices",))
@@ -293,16 +297,20 @@ def scenario_shock(spark, sf_dir):
 
 
 @query(
-    f"""select symbol, cast(k as integer) as step, round(pred * t, 8) as centre, round(pred * t + 1.645 * vol / sqrt(252.0) * sqrt(20.0) * sqrt(1 - 0.1) * sqrt(t / 20), 8) as hi
- from (select *, 20.0 * k / 20 as t from ({LAST}) p, range(0, 21) g(k)) x""",
+    f"""select symbol, cast(k as integer) as step, round(pred * t, 8) as centre, round(pred * t + 1.645 * vol / sqrt(252.0) * sqrt(20.0) * sqrt(1 - greatest(0.0, least(1.0, r2))) * sqrt(t / 20), 8) as hi,
+ round(pred * t - 1.645 * vol / sqrt(252.0) * sqrt(20.0) * sqrt(1 - greatest(0.0, least(1.0, r2))) * sqrt(t / 20), 8) as lo
+ from (select p.*, q.r2, 20.0 * k / 20 as t, k from ({LAST}) p join (select symbol, power(coalesce(corr(daily_return, l), 0), 2) as r2 from (select *, lag(daily_return) over (partition by symbol order by date) as l from daily) z group by symbol) q on q.symbol = p.symbol, range(0, 21) g(k)) x""",
     ("daily",),
 )
 def forecast_fan(spark, sf_dir):
-    last = daily(spark, sf_dir).where("daily_return is not null").groupBy("symbol").agg(F.max_by("daily_return", "date").alias("pred"), F.max_by("vol_20d", "date").alias("vol"))
-    rows = last.select("symbol", "pred", "vol", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("step"))
+    """Bands around the forecast, narrower the better it has been: both sides, with R squared between 0 and 1."""
+    x = daily(spark, sf_dir)
+    fit = x.withColumn("l", F.lag("daily_return").over(X.by("symbol"))).groupBy("symbol").agg(F.pow(F.coalesce(F.corr("daily_return", "l"), F.lit(0.0)), F.lit(2.0)).alias("r2"))
+    last = x.where("daily_return is not null").groupBy("symbol").agg(F.max_by("daily_return", "date").alias("pred"), F.max_by("vol_20d", "date").alias("vol")).join(fit, "symbol")
+    rows = last.select("symbol", "pred", "vol", "r2", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("step"))
     t = F.lit(20.0) * F.col("step") / 20
-    band = F.lit(1.645) * F.col("vol") / F.sqrt(F.lit(252.0)) * F.sqrt(F.lit(20.0)) * F.sqrt(F.lit(1 - 0.1)) * F.sqrt(t / 20)
-    return rows.select("symbol", "step", r(F.col("pred") * t).alias("centre"), r(F.col("pred") * t + band).alias("hi"))
+    band = F.lit(1.645) * F.col("vol") / F.sqrt(F.lit(252.0)) * F.sqrt(F.lit(20.0)) * F.sqrt(1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("r2")))) * F.sqrt(t / 20)
+    return rows.select("symbol", "step", r(F.col("pred") * t).alias("centre"), r(F.col("pred") * t + band).alias("hi"), r(F.col("pred") * t - band).alias("lo"))
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,84 +34,33 @@ def feature_sql(parts: dict[str, str], digits: int = 6, rows: str = "daily") ->
     return f"select symbol, cast(date as varchar) as date, {', '.join(f'round({v}, {digits}) as {k}' for k, v in parts.items())} from {rows}"
 
 
-DEFAULT = {f"ret_lag_{k}": f"lag(daily_return, {k}) over {O}" for k in (1, 2, 3, 5)} | {f"mean_{n}": roll("avg", "daily_return", B(n), n) for n in (5, 20)} | {f"std_{n}": roll("stddev_samp", "daily_return", B(n), n) for n in (5, 20)}
-
-
-@query(feature_sql(DEFAULT), ("daily",))
-def features_default(spark, sf_dir):
-    return rounded(FT.with_features(daily(spark, sf_dir), FT.default()))
-
-
-GK = "(select *, case when open > 0 and high > 0 and low > 0 and close > 0 then sqrt(greatest(0, 0.5 * power(ln(high / low), 2) - (2 * ln(2.0) - 1) * power(ln(close / open), 2))) end as gk from daily) g"
-VOLF = {f"har_{n}": roll("avg", "gk", B(n), 1) for n in (1, 5, 22)} | {f"trail_std_{n}": roll("stddev_samp", "daily_return", B(n), 1) for n in (10, 63)}
-
-
-@query(feature_sql(VOLF, rows=GK), ("daily",))
-def features_vol(spark, sf_dir):
-    return rounded(FT.with_features(daily(spark, sf_dir), FT.volatility()))
-
-
-MOM = {f"mom_{n}": roll("sum", "daily_return", B(n), n) for n in (21, 63, 126, 252)}
-MOM["mom_accel"] = f"({MOM['mom_63']}) - (case when count(daily_return) over (partition by symbol order by date rows between 126 preceding and 64 preceding) >= 63 then sum(daily_return) over (partition by symbol order by date rows between 126 preceding and 64 preceding) end)"
-MOM["reversal_5"] = f"-({roll('sum', 'daily_return', B(5), 5)})"
-MOM["ma_distance"] = f"lag(close / ma_50 - 1) over {O}"
-
-
-@query(feature_sql(MOM), ("daily",))
-def features_mom_rev(spark, sf_dir):
-    return rounded(FT.with_features(daily(spark, sf_dir), FT.momentum()))
-
-
-MED = {"vol_of_vol": roll("stddev_samp", "vol_20d", B(20), 10), "vol_mom_5": f"lag(vol_20d, 1) over {O} - lag(vol_20d, 6) over {O}"}
-_S, _L = roll("avg", "vol_20d", B(5), 5), roll("avg", "vol_20d", B(60), 20)
-MED |= {"vol_ratio": f"({_S}) / nullif({_L}, 0)", "vol_trend": f"({_S}) - ({_L})"}
-
-
-@query(feature_sql(MED), ("daily",))
-def features_medium(spark, sf_dir):
-    return rounded(FT.with_features(daily(spark, sf_dir), FT.medium()))
-
-
-@query(feature_sql({"skew_20": roll("skewness", "daily_return", B(20), 10), "kurt_20": roll("kurtosis", "daily_return", B(20), 10), "max_20": roll("max", "daily_return", B(20), 10)}, 4), ("daily",))
-def features_rich(spark, sf_dir):
-    return rounded(FT.with_features(daily(spark, sf_dir), FT.rich()), 4)
-
-
 @query("select cast(date as varchar) as date, count(daily_return) as n, round(stddev_samp(daily_return), 8) as dispersion from daily group by date", ("daily",))
 def feature_dispersion(spark, sf_dir):
     return FT.dispersion(daily(spark, sf_dir)).select(d().alias("date"), "n", r("dispersion").alias("dispersion"))
 
 
 @query(
-    """select p.symbol, cast(p.date as varchar) as date, m.known as vix, v.known as dgs10 from (select * from daily where symbol in ('Brand#1', 'Brand#2')) p
- asof left join (select date, lag(value, 1) over (order by date) as known from macro where series_id = 'VIXCLS') m on m.date <= p.date asof left join (select date, lag(value, 5) over (order by date) as known from macro where series_id = 'DGS10') v on v.date <= p.date""",
-    ("daily", "macro"),
+    feature_sql({"raw": "daily_return", "vol_adjusted": f"daily_return / nullif({roll('stddev_samp', 'daily_return', L(20), 10)}, 0)", "excess": f"daily_return - ({roll('median', 'daily_return', L(60), 20)})"}), ("daily",)
 )
-def features_macro(spark, sf_dir):
-    """Macro values as published: lagged by rows, then looked up as of each date."""
-    known = FT.published(bars.macro(spark, sf_dir), {"DGS10": 5})
-    at = lambda s: F.when(F.col("series_id") == s, F.struct("known"))  # noqa: E731  a published null is a value, too
-    rows = daily(spark, sf_dir).where("symbol in ('Brand#1', 'Brand#2')").select("symbol", "date")
-    got = series.asof_multi(rows, known, {"vix": at("VIXCLS"), "dgs10": at("DGS10")})
-    return got.select("symbol", d().alias("date"), F.col("vix.known").alias("vix"), F.col("dgs10.known").alias("dgs10"))
+def build_target(spark, sf_dir):
+    return rounded(FT.with_features(daily(spark, sf_dir), {k: FT.target(k) for k in ("raw", "vol_adjusted", "excess")}))
 
 
-@query("select series_id, cast(date as varchar) as date, lag(value, case series_id when 'DGS10' then 5 when 'NFCI' then 30 else 1 end) over (partition by series_id order by date) as known from macro", ("macro",))
-def features_extended(spark, sf_dir):
-    return FT.published(bars.macro(spark, sf_dir), {"DGS10": 5, "NFCI": 30}).select("series_id", d().alias("date"), "known")
+KEPT = " || ".join(f"case when max(sd_{c}) > 0 then '{c},' else '' end" for c in ("daily_return", "volume", "vol_20d"))
 
 
 @query(
-    feature_sql({"raw": "daily_return", "vol_adjusted": f"daily_return / nullif({roll('stddev_samp', 'daily_return', L(20), 10)}, 0)", "excess": f"daily_return - ({roll('median', 'daily_return', L(60), 20)})"}), ("daily",)
+    f"""select symbol, fold, {KEPT} as kept from (select n.symbol, f.fold, {', '.join(f'stddev_pop(n.{c}) as sd_{c}' for c in ('daily_return', 'volume', 'vol_20d'))}
+ from (select *, row_number() over (partition by symbol order by date) - 1 as i from daily) n join (select symbol, cast(k as integer) as fold, k * 100 as lo, k * 100 + 250 as hi
+ from (select symbol, count(*) as n from daily group by 1) a, range(0, 400) g(k) where n > 255 and k < ceil((n - 255) / 100.0)) f on f.symbol = n.symbol and n.i >= f.lo and n.i < f.hi
+ where n.daily_return is not null or n.volume is not null or n.vol_20d is not null group by 1, 2) x group by symbol, fold""",
+    ("daily",),
 )
-def build_target(spark, sf_dir):
-    return rounded(FT.with_features(daily(spark, sf_dir), {k: FT.target(k) for k in ("raw", "vol_adjusted", "excess")}))
-
-
-@query("select symbol, cast(sum(case when sd > 0 then 1 else 0 end) as bigint) as kept from (select symbol, extract(year from date) as fold, stddev_pop(volume) as sd from daily group by 1, 2) x group by symbol", ("daily",))
 def drop_constant_columns(spark, sf_dir):
-    sd = daily(spark, sf_dir).groupBy("symbol", F.year("date").alias("fold")).agg(F.stddev_pop("volume").alias("sd"))
-    return sd.groupBy("symbol").agg(F.sum(F.when(F.col("sd") > 0, 1).otherwise(0)).alias("kept"))
+    """Of every fold's training rows with any value, the columns that vary."""
+    rows = E.numbered(daily(spark, sf_dir))
+    kept = FT.informative(rows, ["daily_return", "volume", "vol_20d"], E.folds(rows, 250, 100, 5))
+    return kept.select("symbol", "fold", F.concat_ws("", F.transform("kept", lambda x: F.concat(x, F.lit(",")))).alias("kept"))
 
 
 # --- portfolios ----------------------------------------------------------------------------------
@@ -138,9 +85,16 @@ def calendar_align(spark, sf_dir):
     return P.calendar_align(x.where("symbol = 'Brand#5'"), spine).select(d().alias("date"), r("daily_return").alias("daily_return"))
 
 
-@query("select symbol, cast(sum(case when daily_return is null then 1 else 0 end) as bigint) as n_null, count(*) as n from daily group by symbol", ("daily",))
+@query(
+    """select symbol, count(*) filter (where x is null and date < f) as leading, count(*) filter (where x is null and date > l) as trailing, count(*) filter (where x is null and date between f and l) as interior, count(*) as n
+ from (select *, min(case when x is not null then date end) over (partition by symbol) as f, max(case when x is not null then date end) over (partition by symbol) as l from (select s.symbol, c.date, p.daily_return as x
+ from (select distinct symbol from daily) s cross join (select distinct date from daily where symbol = 'Brand#11') c left join daily p on p.symbol = s.symbol and p.date = c.date) y) z group by symbol""",
+    ("daily",),
+)
 def calendar_gap_report(spark, sf_dir):
-    return daily(spark, sf_dir).groupBy("symbol").agg(F.sum(F.col("daily_return").isNull().cast("int")).alias("n_null"), F.count(F.lit(1)).alias("n"))
+    """Dates of the reference calendar on which a symbol has no return: before its first one, after its last one, between."""
+    x = daily(spark, sf_dir)
+    return P.calendar_gaps(x, x.where("symbol = 'Brand#11'").select("date"))
 
 
 @query("select symbol, cast(date as varchar) as date, round(daily_return, 8) as daily_return from daily where symbol in ('Brand#1', 'Brand#2', 'Brand#3') and date >= (select max(f) from (select min(date) as f from daily where symbol in ('Brand#1', 'Brand#2', 'Brand#3') group by symbol) x)", ("daily",))
@@ -247,11 +201,23 @@ def contributions(spark, sf_dir):
 
 
 @query(
-    f"""with c as materialized (select date, symbol, held * r as c from ({BT}) b), g as (select *, sum(c) over (partition by date) as total from c) select symbol, round(sum(c), 6) as contribution_to_return, round(covar_samp(c, total) / nullif(var_samp(total), 0), 6) as contribution_to_risk from g group by symbol""",
+    f"""with bt as materialized ({BT}), ends as (select rebalance, symbol, arg_max(after, date) as e, max(weight) as w from bt group by 1, 2), drift as (select rebalance, symbol, w, e / sum(e) over (partition by rebalance) as dr from ends),
+ turn as (select sum(0.5 * abs(w - coalesce(p, 0)) * 0.0005) as cost from (select *, lag(dr) over (partition by symbol order by rebalance) as p from drift) z),
+ g as (select date, symbol, held * r as c, sum(held * r) over (partition by date) as total from bt)
+ select symbol, round(sum(c), 6) as contribution_to_return, round(covar_samp(c, total) / nullif(var_samp(total), 0), 6) as contribution_to_risk from g group by symbol
+ union all select '(costs)', round(-cost, 6), 0.0 from turn""",
     ("daily",),
 )
 def attribution_full(spark, sf_dir):
-    return P.attribution(tested(spark, sf_dir)).where("symbol <> '(costs)'").select("symbol", r("contribution_to_return", 6).alias("contribution_to_return"), r("contribution_to_risk", 6).alias("contribution_to_risk"))
+    return P.attribution(tested(spark, sf_dir)).select("symbol", r("contribution_to_return", 6).alias("contribution_to_return"), r("contribution_to_risk", 6).alias("contribution_to_risk"))
+
+
+FIXED = {"Brand#1": 0.5, "Brand#2": 0.3, "Brand#3": 0.2}
+
+
+@query(f"select distinct cast(rebalance as varchar) as rebalance, symbol, case symbol when 'Brand#1' then 0.5 when 'Brand#2' then 0.3 else 0.2 end as weight from ({TRAIL}) t", ("daily",))
+def weights_fixed(spark, sf_dir):
+    return P.fixed_weights(trailing(spark, sf_dir), FIXED).select(d("rebalance").alias("rebalance"), "symbol", "weight")
 
 
 def signals(spark, sf_dir):
@@ -281,7 +247,9 @@ def ml_regime_returns(spark, sf_dir):
     return e.select(d().alias("date"), r(F.col("daily_return") * lever).alias("daily_return"))
 
 
-REPS, SEED = 40, 7
+REPS, SEED = 2000, 7
+#: Replicates of the query that returns the rows of all of them.
+INDEX_REPS = 200
 
 
 def mix_sql(x: str, seed: int) -> str:
@@ -291,45 +259,51 @@ def mix_sql(x: str, seed: int) -> str:
     return f"((({y3} * {y3} + 54321) % 2147483647) / 2147483647.0::double)"
 
 
-def boot_sql(n: str) -> str:
+def boot_sql(n: str, reps: int = REPS) -> str:
     x = f"rep * {n} + t"
     return f"""select rep, t, cast((last_value(s0 ignore nulls) over w + t - last_value(t0 ignore nulls) over w) % {n} as bigint) as i from (select rep, t, case when t = 0 or {mix_sql(x, SEED)} < 1.0::double / 21 then floor({mix_sql(x, SEED + 1)} * {n})::bigint end as s0,
- case when t = 0 or {mix_sql(x, SEED)} < 1.0::double / 21 then t end as t0 from range({REPS}) a(rep), range({n}) b(t)) x window w as (partition by rep order by t rows between unbounded preceding and current row)"""
+ case when t = 0 or {mix_sql(x, SEED)} < 1.0::double / 21 then t end as t0 from range({reps}) a(rep), range({n}) b(t)) x window w as (partition by rep order by t rows between unbounded preceding and current row)"""
 
 
 def boot_dates(spark, sf_dir):
-    """The strategies' first 500 common dates."""
+    """The strategies' common dates."""
     s = strategies(spark, sf_dir)
-    have = s.groupBy("date").agg(F.countDistinct("strategy").alias("k")).where("k = 3").orderBy("date").limit(500)
+    have = s.groupBy("date").agg(F.countDistinct("strategy").alias("k")).where("k = 3")
     return s.join(have.select("date"), "date", "left_semi")
 
 
-BD = "select s.strategy, s.date, s.daily_return, d.i from strat s join (select date, row_number() over (order by date) - 1 as i from (select date from strat group by date having count(distinct strategy) = 3 order by date limit 500) z) d on d.date = s.date"
-BOOT = f"select b.rep, d.strategy, d.daily_return from ({boot_sql('500')}) b join ({BD}) d on d.i = b.i"
+#: The numbered common dates, how many there are, and every strategy's returns on them.
+BOOT_CTES = """common as materialized (select date, row_number() over (order by date) - 1 as i from (select date from strat group by date having count(distinct strategy) = 3) z), size as materialized (select cast(count(*) as bigint) as n from common),
+ returns as materialized (select s.strategy, s.daily_return, d.i from strat s join common d on d.date = s.date)"""
+N = "(select n from size)"
+
+
+def with_boot(body: str, reps: int = REPS) -> str:
+    return f"with {BOOT_CTES}, draws as materialized ({boot_sql(N, reps)}), boot as materialized (select b.rep, d.strategy, d.daily_return from draws b join returns d on d.i = b.i) {body}"
 
 
-@query(f"select rep, t, i from ({boot_sql('((select cast(count(*) as bigint) from region) * 100)')}) x")
+@query(f"with {BOOT_CTES} select rep, t, i from ({boot_sql(N, INDEX_REPS)}) x", ("strat",))
 def bootstrap_indices(spark, sf_dir):
-    n = bars.scan(spark, sf_dir, "region").count() * 100
-    return P.bootstrap_indices(spark, n, REPS, SEED)
+    n = boot_dates(spark, sf_dir).select("date").distinct().count()
+    return P.bootstrap_indices(spark, n, INDEX_REPS, SEED)
 
 
 def boot(spark, sf_dir):
-    return P.resampled(boot_dates(spark, sf_dir), 500, REPS, SEED)
+    return P.resampled(boot_dates(spark, sf_dir), REPS, SEED)
 
 
-SH = f"select rep, strategy, avg(daily_return) / nullif(stddev_samp(daily_return), 0) * sqrt(252.0) as s from ({BOOT}) b group by 1, 2"
+SH = "select rep, strategy, avg(daily_return) / nullif(stddev_samp(daily_return), 0) * sqrt(252.0) as s from boot b group by 1, 2"
 
 
-@query(f"select strategy, round(quantile_cont(s, 0.05), 5) as lo, round(quantile_cont(s, 0.95), 5) as hi, count(*) as n_boot from ({SH}) x group by strategy", ("strat",))
+@query(with_boot(f"select strategy, round(quantile_cont(s, 0.05), 5) as lo, round(quantile_cont(s, 0.95), 5) as hi, count(*) as n_boot from ({SH}) x group by strategy"), ("strat",))
 def bootstrap_sharpe(spark, sf_dir):
     s = boot(spark, sf_dir).groupBy("rep", "strategy").agg(PF.sharpe("daily_return").alias("s"))
     return P.interval(s, ["strategy"], "s").select("strategy", r("lo", 5).alias("lo"), r("hi", 5).alias("hi"), "n_boot")
 
 
 @query(
-    f"""select x.strategy as a, y.strategy as b, round(quantile_cont(x.s - y.s, 0.05), 5) as lo, round(quantile_cont(x.s - y.s, 0.95), 5) as hi, round(least(1.0, 2 * least(avg(case when x.s - y.s <= 0 then 1.0 else 0.0 end), avg(case when x.s - y.s >= 0 then 1.0 else 0.0 end))), 8) as p
- from ({SH}) x join ({SH}) y on x.rep = y.rep and x.strategy < y.strategy group by 1, 2""",
+    with_boot(f"""select x.strategy as a, y.strategy as b, round(quantile_cont(x.s - y.s, 0.05), 5) as lo, round(quantile_cont(x.s - y.s, 0.95), 5) as hi, round(least(1.0, 2 * least(avg(case when x.s - y.s <= 0 then 1.0 else 0.0 end), avg(case when x.s - y.s >= 0 then 1.0 else 0.0 end))), 8) as p
+ from ({SH}) x join ({SH}) y on x.rep = y.rep and x.strategy < y.strategy group by 1, 2"""),
     ("strat",),
 )
 def bootstrap_sharpe_pairs(spark, sf_dir):
@@ -339,7 +313,7 @@ def bootstrap_sharpe_pairs(spark, sf_dir):
     return diff.groupBy("a", "b").agg(q.alias("q"), r(P.p_value(F.col("d"))).alias("p")).select("a", "b", r(F.col("q")[0], 5).alias("lo"), r(F.col("q")[1], 5).alias("hi"), "p")
 
 
-@query(f"select strategy, round(quantile_cont(g, 0.05), 5) as lo, round(quantile_cont(g, 0.95), 5) as hi from (select rep, strategy, exp(sum(ln(1 + daily_return)) * 252 / count(*)) - 1 as g from ({BOOT}) b group by 1, 2) x group by strategy", ("strat",))
+@query(with_boot("select strategy, round(quantile_cont(g, 0.05), 5) as lo, round(quantile_cont(g, 0.95), 5) as hi from (select rep, strategy, exp(sum(ln(1 + daily_return)) * 252 / count(*)) - 1 as g from boot b group by 1, 2) x group by strategy"), ("strat",))
 def bootstrap_return(spark, sf_dir):
     g = boot(spark, sf_dir).groupBy("rep", "strategy").agg(PF.annual_return("daily_return").alias("g"))
     return P.interval(g, ["strategy"], "g").select("strategy", r("lo", 5).alias("lo"), r("hi", 5).alias("hi"))
@@ -406,18 +380,32 @@ def horizon_ensemble(spark, sf_dir):
     return E.horizon_ensemble(every).select("symbol", d().alias("date"), *(r(c).alias(c) for c in ("mean", "median", "weighted")))
 
 
-METRICS = "select symbol, count(*) as n, corr(l, vol_20d) * corr(l, vol_20d) as r2, avg(vol_20d) / nullif(avg(l), 0) as ratio from (select *, lag(vol_20d, 20) over (partition by symbol order by date) as l from daily) x where l is not null and vol_20d is not null group by symbol"
+#: A volatility forecast that SQL can say, too: the mean of the five values before against the one twenty before; a fold is a year.
+VF = "select symbol, date, extract(year from date) as fold, vol_20d as y, avg(vol_20d) over (partition by symbol order by date rows between 5 preceding and 1 preceding) as p, lag(vol_20d, 20) over (partition by symbol order by date) as b from daily where vol_20d is not null"
+QL = lambda x: f"(power(greatest({x}, 0.002) / greatest(y, 0.002), 2) - ln(power(greatest({x}, 0.002) / greatest(y, 0.002), 2)) - 1)"
+VM = f"""select a.*, f.n_folds, f.folds_passed from (select symbol, count(*) as n_obs, 1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0) as oos_r2, avg({QL('p')}) / nullif(avg({QL('b')}), 0) as qlike_skill_ratio from ({VF}) v where p is not null and b is not null group by symbol) a
+ join (select symbol, count(*) as n_folds, sum(case when q < b then 1 else 0 end) as folds_passed from (select symbol, fold, avg({QL('p')}) as q, avg({QL('b')}) as b from ({VF}) v where p is not null and b is not null group by 1, 2) g group by symbol) f on f.symbol = a.symbol"""
 
 
 @query(
-    f"""select symbol, coalesce(r2 >= 0.1, false) and coalesce(ratio < 1.01, false) and n >= 250 as cleared, concat_ws(',', case when coalesce(r2 >= 0.1, false) then null else 'r2' end, case when coalesce(ratio < 1.01, false) then null else 'ratio' end, case when n >= 250 then null else 'n' end) as reasons from ({METRICS}) m""",
+    f"""select symbol, reasons = '' as cleared, reasons from (select symbol, case when n_obs is null or oos_r2 is null or qlike_skill_ratio is null or n_folds is null or folds_passed is null then 'missing' when oos_r2 > 1 or qlike_skill_ratio < 0 or n_folds < 1 or folds_passed < 0 or folds_passed > n_folds or n_obs < 0 then 'implausible'
+ else concat_ws(',', case when oos_r2 >= 0.1 then null else 'oos_r2' end, case when qlike_skill_ratio < 0.99 then null else 'qlike_skill_ratio' end, case when folds_passed >= ceil(0.6 * n_folds) then null else 'folds_passed' end, case when n_obs >= 250 then null else 'n_obs' end) end as reasons from ({VM}) m) x""",
     ("daily",),
 )
 def skill_verdict(spark, sf_dir):
-    rows = daily(spark, sf_dir).withColumn("l", F.lag("vol_20d", 20).over(X.by("symbol"))).where("l is not null and vol_20d is not null")
-    m = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.pow(F.corr("l", "vol_20d"), F.lit(2.0)).alias("r2"), F.try_divide(F.avg("vol_20d"), F.avg("l")).alias("ratio"))
-    got = E.verdict(m, {"r2": F.col("r2") >= 0.1, "ratio": F.col("ratio") < 1.01, "n": F.col("n") >= 250})
-    return got.select("symbol", "cleared", F.array_join("reasons", ",").alias("reasons"))
+    """All rules of the skill gate on a forecast by the mean of the five values before."""
+    from ..operators import volatility as V
+
+    w = X.by("symbol")
+    rows = daily(spark, sf_dir).where("vol_20d is not null").select("symbol", F.year("date").alias("fold"), F.col("vol_20d").alias("y"), F.avg("vol_20d").over(X.before_n(w, 5)).alias("p"), F.lag("vol_20d", 20).over(w).alias("b")).where("p is not null and b is not null")
+    r2 = 1 - F.try_divide(F.sum(F.pow(F.col("y") - F.col("p"), F.lit(2.0))), F.var_pop("y") * F.count("y"))
+    q, b = F.avg(V.qlike("y", "p")), F.avg(V.qlike("y", "b"))
+    whole = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_obs"), r2.alias("oos_r2"), F.try_divide(q, b).alias("qlike_skill_ratio"))
+    folds = rows.groupBy("symbol", "fold").agg((q < b).cast("int").alias("ok")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_folds"), F.sum("ok").alias("folds_passed"))
+    got = E.skill_gate(whole.join(folds, "symbol"))
+    kind = F.get("reasons", F.lit(0))
+    reasons = F.when(F.coalesce(kind.startswith("missing"), F.lit(False)), "missing").when(F.coalesce(kind.startswith("implausible"), F.lit(False)), "implausible").otherwise(F.array_join("reasons", ","))
+    return got.select("symbol", "cleared", reasons.alias("reasons"))
 
 
 @query("select symbol, 'base' as probe, 5 as horizon from (select distinct symbol from prices) s union all select symbol, 'down', 4 from (select distinct symbol from prices) s union all select symbol, 'up', 6 from (select distinct symbol from prices) s", ("prices",))
@@ -448,9 +436,9 @@ def check_unique_grain(spark, sf_dir):
     return C.unique_grain(bars.scan(spark, sf_dir, "events"), ["user_id", "event_type"])
 
 
-@query("select 'value not null' as contract, cast(sum(case when value is null then 1 else 0 end) as bigint) as violations from events union all select 'event_type accepted', cast(sum(case when event_type not in ('click', 'view') then 1 else 0 end) as bigint) from events")
+@query("select 'value not null' as contract, cast(sum(case when value is null then 1 else 0 end) as bigint) as violations from events union all select 'event_type accepted', cast(sum(case when event_type not in ('click', 'view') then 1 else 0 end) as bigint) from events union all select 'user_id unique', count(user_id) - count(distinct user_id) from events union all select 'event_id unique', count(event_id) - count(distinct event_id) from events")
 def check_not_null(spark, sf_dir):
-    return C.column_checks(bars.scan(spark, sf_dir, "events"), ["value"], {"event_type": ["click", "view"]})
+    return C.column_checks(bars.scan(spark, sf_dir, "events"), ["value"], {"event_type": ["click", "view"]}, ["user_id", "event_id"])
 
 
 @query("select symbol, cast(date as varchar) as date, round(daily_return, 8) as daily_return from daily where abs(daily_return) > 0.1", ("daily",))
@@ -496,7 +484,7 @@ def check_freshness(spark, sf_dir):
 def incremental_load(spark, sf_dir):
     """The events as a bounded stream of files, merged batch by batch by type and day; each folder is a
     new one below the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewheel-")
+    base = incremental.shared_folder(spark)
     e = bars.scan(spark, sf_dir, "events").select("event_type", F.to_date("ts").cast("string").alias("day"), "ts", "event_id")
     landing = incremental.scratch(base, "landing")
     e.repartition(3).write.parquet(landing)

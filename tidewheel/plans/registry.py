@@ -26,7 +26,7 @@ from (select case when symbol in ('Brand#1', 'Brand#2', 'Brand#3') then 'equal_w
  from daily where symbol in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#7', 'Brand#8', 'Brand#11', 'Brand#12') and daily_return is not null and extract(dow from date) between 1 and 5) u
 group by strategy, date
 """
-CTES = {"prices": bars.PRICES, "macro": bars.MACRO, "annual": bars.ANNUAL, "daily": DAILY, "strat": STRAT}
+CTES = {"prices": bars.PRICES, "macro": bars.MACRO, "market": bars.MARKET, "annual": bars.ANNUAL, "daily": DAILY, "strat": STRAT}
 NEEDS = {"daily": ("prices", "daily"), "strat": ("prices", "daily", "strat")}
 UNIVERSE = {"equal_weight": ["Brand#1", "Brand#2", "Brand#3"], "tilt": ["Brand#7", "Brand#8"], "regime": ["Brand#11", "Brand#12"]}
 
@@ -55,10 +55,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.daily(bars.prices(spark, sf_dir))
 
 
-def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(window_id, strategy, date, daily_return) of the stand-in strategies."""
+def strategies(spark: SparkSession, sf_dir: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """(window_id, strategy, date, daily_return) of the stand-in strategies, ``without`` some symbols."""
     label = F.lit(None).cast("string")
     for k, symbols in UNIVERSE.items():
+        symbols = [s for s in symbols if s not in without]
         label = F.when(F.col("symbol").isin(symbols), F.lit(k)).otherwise(label)
     rows = daily(spark, sf_dir).withColumn("strategy", label).where("strategy is not null and daily_return is not null and weekday(date) < 5")
     return rows.groupBy("strategy", "date").agg(F.avg("daily_return").alias("daily_return")).select(F.lit("long").alias("window_id"), "strategy", "date", "daily_return")

@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import windows as X
 from ..operators import contracts as C
 from ..operators import evaluation as E
+from ..operators import features as FT
 from ..operators import performance as PF
 from ..operators import portfolio as P
 from ..operators import series
+from ..operators import volatility as V
 from ..sources import bars, landing
-from ..streaming.incremental import scratch
+from ..streaming.incremental import scratch, shared_folder
 from .analytics import DRAW
-from .portfolios import BD, NUM, REPS, SEED, boot_dates, boot_sql, rows_of, trailing
+from .portfolios import NUM, REPS, SEED, N, boot_dates, boot_sql, rows_of, trailing, with_boot
 from .registry import d, daily, query, r, strategies
 
 
 def folder(spark) -> str:
     """A new folder below the shared one."""
-    return scratch(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewheel-"), "tables")
+    return scratch(shared_folder(spark), "tables")
 
 
 @query("select 'macro' as \"table\", count(*) as rows from macro union all select 'prices', count(*) from prices", ("prices", "macro"))
@@ -39,13 +39,19 @@ def replace_table(spark, sf_dir):
     return spark.read.schema(p.schema).parquet(path).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select symbol, cast(count(*) as bigint) as n from prices where 1 = 0 group by symbol", ("prices",))
+@query("select 'prices' as \"table\", count(*) as before, cast(0 as bigint) as after, 'symbol,asset_class,date,open,high,low,close,volume,source' as columns from prices union all select 'macro', count(*), 0, 'series_id,date,value,source' from macro", ("prices", "macro"))
 def reset_tables(spark, sf_dir):
-    """A family of tables is emptied and keeps its schema."""
-    path, p = folder(spark), bars.prices(spark, sf_dir)
-    p.write.mode("overwrite").parquet(path)
-    p.limit(0).write.mode("overwrite").parquet(path)
-    return spark.read.schema(p.schema).parquet(path).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    """A family of tables is emptied and keeps its schema: rows before and after, and the columns that are left."""
+    out = None
+    for name, df in (("prices", bars.prices(spark, sf_dir)), ("macro", bars.macro(spark, sf_dir))):
+        path = f"{folder(spark)}/{name}"
+        df.write.parquet(path)
+        before = spark.read.schema(df.schema).parquet(path).count()
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+        left = spark.read.parquet(path)
+        row = left.agg(F.count(F.lit(1)).alias("after")).select(F.lit(name).alias("table"), F.lit(before).cast("long").alias("before"), "after", F.lit(",".join(left.columns)).alias("columns"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(
@@ -70,38 +76,57 @@ def ml_gate_series(spark, sf_dir):
     return strategies(spark, sf_dir).groupBy("window_id", d().alias("date")).agg(r(F.avg("daily_return")).alias("forecast_skill"), F.count(F.lit(1)).alias("n"))
 
 
-BR = f"select rep, strategy, exp(sum(ln(1 + daily_return)) * 252 / count(*)) - 1 as g from (select b.rep, d.strategy, d.daily_return from ({boot_sql('500')}) b join ({BD}) d on d.i = b.i) z group by 1, 2"
+BR = "select rep, strategy, exp(sum(ln(1 + daily_return)) * 252 / count(*)) - 1 as g from boot group by 1, 2"
 
 
 @query(
-    f"""select x.strategy as a, y.strategy as b, round(quantile_cont(x.g - y.g, 0.05), 5) as lo, round(quantile_cont(x.g - y.g, 0.95), 5) as hi, quantile_cont(x.g - y.g, 0.05) > 0 or quantile_cont(x.g - y.g, 0.95) < 0 as distinguishable,
- round(greatest(1.0 / {REPS}, least(1.0, 2 * least(avg(case when x.g - y.g <= 0 then 1.0 else 0.0 end), avg(case when x.g - y.g >= 0 then 1.0 else 0.0 end)))), 8) as p from ({BR}) x join ({BR}) y on x.rep = y.rep and x.strategy < y.strategy group by 1, 2""",
+    with_boot(f"""select x.strategy as a, y.strategy as b, round(quantile_cont(x.g - y.g, 0.05), 5) as lo, round(quantile_cont(x.g - y.g, 0.95), 5) as hi, quantile_cont(x.g - y.g, 0.05) > 0 or quantile_cont(x.g - y.g, 0.95) < 0 as distinguishable,
+ round(greatest(1.0 / {REPS}, least(1.0, 2 * least(avg(case when x.g - y.g <= 0 then 1.0 else 0.0 end), avg(case when x.g - y.g >= 0 then 1.0 else 0.0 end)))), 8) as p from ({BR}) x join ({BR}) y on x.rep = y.rep and x.strategy < y.strategy group by 1, 2"""),
     ("strat",),
 )
 def bootstrap_return_pairs(spark, sf_dir):
-    g = P.resampled(boot_dates(spark, sf_dir), 500, REPS, SEED).groupBy("rep", "strategy").agg(PF.annual_return("daily_return").alias("g"))
+    g = P.resampled(boot_dates(spark, sf_dir), REPS, SEED).groupBy("rep", "strategy").agg(PF.annual_return("daily_return").alias("g"))
     diff = series.pairs(g, "strategy", "rep", "g").withColumn("d", F.col("x") - F.col("y"))
     got = diff.groupBy("a", "b").agg(F.percentile("d", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.greatest(F.lit(1.0 / REPS), P.p_value(F.col("d"))).alias("p"))
     lo, hi = F.col("q")[0], F.col("q")[1]
     return got.select("a", "b", r(lo, 5).alias("lo"), r(hi, 5).alias("hi"), ((lo > 0) | (hi < 0)).alias("distinguishable"), r("p").alias("p"))
 
 
+#: The universe of each strategy of the second window: one symbol is left out.
+LEFT_OUT = ("Brand#3", "Brand#8", "Brand#12")
+EX = f"""select strategy, date, avg(daily_return) as ex from (select case when symbol in ('Brand#1', 'Brand#2') then 'equal_weight' when symbol = 'Brand#7' then 'tilt' else 'regime' end as strategy, date, daily_return from daily
+ where symbol in ('Brand#1', 'Brand#2', 'Brand#7', 'Brand#11') and daily_return is not null and extract(dow from date) between 1 and 5) u group by 1, 2"""
+
+
 @query(
-    f"""select strategy, round(quantile_cont(inc - ex, 0.05), 5) as diff_lo, round(quantile_cont(inc - ex, 0.95), 5) as diff_hi, count(*) as n_boot from (select b.rep, d.strategy, avg(d.daily_return) / nullif(stddev_samp(d.daily_return), 0) * sqrt(252.0) as ex,
- avg(greatest(d.daily_return, -0.02)) / nullif(stddev_samp(greatest(d.daily_return, -0.02)), 0) * sqrt(252.0) as inc from ({boot_sql('500')}) b join ({BD}) d on d.i = b.i group by 1, 2) x group by strategy""",
+    f"""with ex as materialized ({EX}), pairs as materialized (select s.strategy, s.date, s.daily_return as inc, e.ex from strat s join ex e on e.strategy = s.strategy and e.date = s.date),
+ common as materialized (select date, row_number() over (order by date) - 1 as i from (select date from pairs group by date having count(*) = 3) z), size as materialized (select cast(count(*) as bigint) as n from common),
+ draws as materialized ({boot_sql(N)}), s as (select b.rep, p.strategy, avg(p.inc) / nullif(stddev_samp(p.inc), 0) * sqrt(252.0) - avg(p.ex) / nullif(stddev_samp(p.ex), 0) * sqrt(252.0) as d from draws b join common c on c.i = b.i join pairs p on p.date = c.date group by 1, 2)
+ select strategy, round(quantile_cont(d, 0.05), 5) as diff_lo, round(quantile_cont(d, 0.95), 5) as diff_hi, count(*) as n_boot from s group by strategy""",
     ("strat",),
 )
 def paired_window_effect(spark, sf_dir):
-    """Sharpe ratio with a loss limit less that without, on the same draws."""
-    s = P.resampled(boot_dates(spark, sf_dir), 500, REPS, SEED).withColumn("limited", F.greatest("daily_return", F.lit(-0.02)))
-    both = s.groupBy("rep", "strategy").agg((PF.sharpe("limited") - PF.sharpe("daily_return")).alias("d"))
-    return P.interval(both, ["strategy"], "d").select("strategy", r("lo", 5).alias("diff_lo"), r("hi", 5).alias("diff_hi"), "n_boot")
+    """Sharpe ratio of each strategy with one symbol included less that without it, on common dates and the same draws."""
+    inc = strategies(spark, sf_dir).select("strategy", "date", "daily_return")
+    ex = strategies(spark, sf_dir, LEFT_OUT).select("strategy", "date", F.col("daily_return").alias("ex"))
+    both = inc.join(ex, ["strategy", "date"])
+    full = both.groupBy("date").agg(F.count(F.lit(1)).alias("k")).where("k = 3").select("date")
+    s = P.resampled(both.join(full, "date", "left_semi"), REPS, SEED)
+    diff = s.groupBy("rep", "strategy").agg((PF.sharpe("daily_return") - PF.sharpe("ex")).alias("d"))
+    return P.interval(diff, ["strategy"], "d").select("strategy", r("lo", 5).alias("diff_lo"), r("hi", 5).alias("diff_hi"), "n_boot")
 
 
-@query("select symbol, round(vol_20d, 8) as forecast, cast(date as varchar) as as_of from (select *, row_number() over (partition by symbol order by date desc) as rn from daily where vol_20d is not null) x where rn = 1", ("daily",))
+def vol_rows(spark, sf_dir):
+    """The volatility features of all symbols with their regime, a third of each symbol's days."""
+    x = daily(spark, sf_dir)
+    regimes = series.quantile_labels(x).select("symbol", "date", "regime")
+    return FT.feature_set(x, "vol").join(regimes, ["symbol", "date"], "left").withColumn("regime", F.coalesce("regime", F.lit("Medium")))
+
+
+@query()
 def vol_forecast_value(spark, sf_dir):
-    rows = daily(spark, sf_dir).where("vol_20d is not null")
-    return series.latest_per_key(rows, ["symbol"], [F.col("date").desc()]).select("symbol", r("vol_20d").alias("forecast"), d().alias("as_of"))
+    """The forecast after each symbol's last day, by year."""
+    return V.next_forecast(vol_rows(spark, sf_dir)).select("symbol", d().alias("as_of"), r("forecast").alias("forecast"), r("annualised", 6).alias("annualised"))
 
 
 @query(
@@ -124,19 +149,45 @@ def timeseries_cv_split(spark, sf_dir):
     return f.select("symbol", "fold", (F.col("n") - (5 - F.col("fold")) * F.col("t")).alias("train_to"), (F.col("n") - (4 - F.col("fold")) * F.col("t")).alias("test_to"))
 
 
-@query("select strategy, count(*) as n from strat where date < (select min(date) from strat where daily_return <> 0) group by strategy", ("strat",))
+@query("with s as (select *, row_number() over (partition by strategy order by date) as k from strat) select strategy, count(*) as n from s where k <= case strategy when 'tilt' then 10 when 'regime' then 3 else 0 end group by strategy", ("strat",))
 def check_excludes_warmup(spark, sf_dir):
-    """Days of a strategy before anything was invested: none may be there."""
-    s = strategies(spark, sf_dir)
-    start = s.where("daily_return <> 0").groupBy("window_id").agg(F.min("date").alias("start"))
-    return s.join(start, "window_id").where("date < start").groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
+    """Days of a strategy before anything was invested, which a published table must not have. Two of three strategies are
+    given some, with a return of 0."""
+    cash = F.when(F.col("strategy") == "tilt", 10).when(F.col("strategy") == "regime", 3).otherwise(0)
+    s = strategies(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("strategy").orderBy("date")))
+    s = s.withColumn("daily_return", F.when(F.col("k") <= cash, 0.0).otherwise(F.col("daily_return")))
+    return C.before_start(s, ["strategy"], "daily_return").groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
+
 
+#: A return forecast that SQL can say, too: the mean of the five returns before; a fold is a year.
+RF = "select *, extract(year from date) as fold from (select symbol, date, daily_return as y, case when count(daily_return) over w = 5 then avg(daily_return) over w end as pred from daily window w as (partition by symbol order by date rows between 5 preceding and 1 preceding)) x where y is not null and pred is not null"
+RM = f"""select a.*, f.n_folds, f.folds_passed from (select symbol, count(*) as n_obs, 1 - sum((y - pred) * (y - pred)) / nullif(var_pop(y) * count(*), 0) as r2, avg(case when sign(pred) = sign(y) then 1.0 else 0.0 end) as direction_accuracy, avg(sign(pred) * y) * 252 as annualised_alpha,
+ avg(sign(pred) * y - 0.0005 * t) / nullif(stddev_samp(sign(pred) * y - 0.0005 * t), 0) * sqrt(252.0) as turnover_adjusted_sharpe from (select *, case when sign(pred) <> lag(sign(pred), 1, 0) over (partition by symbol order by date) then 1 else 0 end as t from ({RF}) r) z group by symbol) a
+ join (select symbol, count(*) as n_folds, sum(case when r2 > 0 then 1 else 0 end) as folds_passed from (select symbol, fold, 1 - sum((y - pred) * (y - pred)) / nullif(var_pop(y) * count(*), 0) as r2 from ({RF}) r group by 1, 2) g group by symbol) f on f.symbol = a.symbol"""
 
-@query("select symbol, coalesce(abs(r2) > 0.00005, false) and n >= 252 as cleared from (select symbol, corr(l, daily_return) * corr(l, daily_return) as r2, count(*) as n from (select *, lag(daily_return) over (partition by symbol order by date) as l from daily) x where l is not null group by symbol) y", ("daily",))
+
+@query(
+    f"""select symbol, reasons = '' as cleared, reasons from (select symbol, concat_ws(',', case when coalesce(r2 > 0, false) then null else 'r2' end, case when coalesce(direction_accuracy > 0.5, false) then null else 'direction_accuracy' end,
+ case when coalesce(n_folds >= 1 and folds_passed >= ceil(0.6 * n_folds), false) then null else 'folds_passed' end, case when coalesce(n_obs >= 252, false) then null else 'n_obs' end, case when coalesce(abs(annualised_alpha) > 0.0005, false) then null else 'annualised_alpha' end,
+ case when coalesce(turnover_adjusted_sharpe > 0, false) then null else 'turnover_adjusted_sharpe' end) as reasons from ({RM}) m) x""",
+    ("daily",),
+)
 def return_verdict(spark, sf_dir):
-    rows = daily(spark, sf_dir).withColumn("l", F.lag("daily_return").over(X.by("symbol"))).where("l is not null")
-    m = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.pow(F.corr("l", "daily_return"), F.lit(2.0)).alias("r2"))
-    return E.verdict(m, {"r2": F.abs("r2") > 0.00005, "n": F.col("n") >= 252}).select("symbol", "cleared")
+    """All rules of the return gate on a forecast by the mean of the five returns before."""
+    w = X.by("symbol")
+    f = X.before_n(w, 5)
+    rows = daily(spark, sf_dir).select("symbol", "date", F.col("daily_return").alias("y"), X.rolling(F.avg, "daily_return", f, 5).alias("pred"), F.year("date").alias("fold")).where("y is not null and pred is not null")
+    r2 = 1 - F.try_divide(F.sum(F.pow(F.col("y") - F.col("pred"), F.lit(2.0))), F.var_pop("y") * F.count("y"))
+    turned = (F.signum("pred") != F.lag(F.signum("pred"), 1, 0.0).over(w)).cast("int")
+    own = F.signum("pred") * F.col("y")
+    net = own - 0.0005 * F.col("t")
+    whole = rows.withColumn("t", turned).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_obs"), r2.alias("r2"), F.avg(F.when(F.signum("pred") == F.signum("y"), 1.0).otherwise(0.0)).alias("direction_accuracy"), (F.avg(own) * 252).alias("annualised_alpha"),
+        (F.try_divide(F.avg(net), F.stddev_samp(net)) * F.sqrt(F.lit(252.0))).alias("turnover_adjusted_sharpe"),
+    )
+    folds = rows.groupBy("symbol", "fold").agg(r2.alias("r2")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_folds"), F.sum(F.when(F.col("r2") > 0, 1).otherwise(0)).alias("folds_passed"))
+    got = E.return_gate(whole.join(folds, "symbol"))
+    return got.select("symbol", "cleared", F.array_join("reasons", ",").alias("reasons"))
 
 
 def lagged(spark, sf_dir):
@@ -176,35 +227,40 @@ def tune_grid(spark, sf_dir):
     return series.latest_per_key(got, ["symbol"], [F.col("oos_r2").desc_nulls_last(), F.col("config")])
 
 
+METRICS = ("oos_r2", "qlike", "baseline_qlike", "qlike_skill_ratio", "holdout_oos_r2", "holdout_qlike", "holdout_qlike_skill_ratio")
+
+
+def metrics_of(out):
+    return V.scores(out).select("symbol", F.col("n_obs").cast("long").alias("n_obs"), "n_folds", "folds_passed", "holdout_n_obs", *(r(m, 6).alias(m) for m in METRICS))
+
+
 @query()
 def vol_backtest(spark, sf_dir):
-    """Walk-forward volatility by symbol: R squared and QLIKE of the model and of the naive forecast, folds won."""
-    rows, names = lagged(spark, sf_dir), ["h1", "h5", "h22"]
-    f = E.folds(rows, 250, 100, 1)
-    p = E.predicted(rows, f, E.least_squares(rows, f, names, "y"), names).where("y is not null and pred is not null")
+    """Five expanding folds and a locked holdout of every symbol: the log-space model against the EWMA."""
+    return metrics_of(V.forecasts(V.sliced(vol_rows(spark, sf_dir))))
 
-    def loss(c):
-        rho = F.pow(F.greatest(c, F.lit(0.002)), F.lit(2.0)) / F.pow(F.greatest("y", F.lit(0.002)), F.lit(2.0))
-        return F.avg(rho - F.ln(rho) - 1)
 
-    by_fold = p.groupBy("symbol", "fold").agg(loss("pred").alias("q"), loss("h5").alias("b"))
-    return by_fold.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_folds"), r(F.avg("q")).alias("qlike"), r(F.try_divide(F.avg("q"), F.avg("b")), 6).alias("ratio"), F.sum((F.col("q") < F.col("b")).cast("int")).alias("passed"))
+@query()
+def har_regime(spark, sf_dir):
+    """The same with a model for each regime; regimes with few rows take the model of all."""
+    return metrics_of(V.forecasts(V.sliced(vol_rows(spark, sf_dir)), regime="regime"))
 
 
 @query()
-def har_regime(spark, sf_dir):
-    """Least squares by volatility regime in each fold; folds where a regime has few rows take the global fit."""
-    rows, names = lagged(spark, sf_dir), ["h1", "h5", "h22"]
-    label = F.when(F.col("h1") > F.col("h22"), "rising").otherwise("falling")
-    rows = rows.withColumn("regime", label).withColumn("key", F.concat_ws("|", "symbol", "regime"))
-    f = E.folds(rows, 250, 100, 1)
-    everyone = E.least_squares(rows, f, names, "y").select("symbol", "fold", F.col("coefficients").alias("all_c"))
-    own = E.least_squares(rows.drop("symbol"), f.select("symbol", "fold", "train_from", "train_to", F.explode(F.array(F.lit("rising"), F.lit("falling"))).alias("g")).select(F.concat_ws("|", "symbol", "g").alias("key"), "fold", "train_from", "train_to"), names, "y", key="key")
-    test = rows.join(f, "symbol").where("i >= test_from and i < test_to").join(everyone, ["symbol", "fold"]).join(own.select("key", "fold", F.col("coefficients").alias("own_c"), "n"), ["key", "fold"], "left")
-    c = F.when(F.col("n") >= 30, F.col("own_c")).otherwise(F.col("all_c"))
-    pred = c[0] + sum((c[k + 1] * F.col(v) for k, v in enumerate(names)), F.lit(0.0))
-    p = test.withColumn("pred", pred).where("y is not null and pred is not null")
-    return p.groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("n"), r(F.corr("pred", "y"), 5).alias("ic"))
+def ridge_volatility(spark, sf_dir):
+    return metrics_of(V.forecasts(V.sliced(vol_rows(spark, sf_dir)), ridge=1.0))
+
+
+@query()
+def lasso_volatility(spark, sf_dir):
+    return metrics_of(V.forecasts(V.sliced(vol_rows(spark, sf_dir)), lasso=0.01))
+
+
+@query()
+def vol_gate(spark, sf_dir):
+    """The skill gate on the backtest's own metrics."""
+    got = E.skill_gate(V.scores(V.forecasts(V.sliced(vol_rows(spark, sf_dir)))))
+    return got.select("symbol", "cleared", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query()
@@ -252,10 +308,14 @@ def shrink_covariance(spark, sf_dir):
     return P.shrunk_covariances(trailing(spark, sf_dir)).select(d("rebalance").alias("rebalance"), "a", "b", r("cov").alias("cov"))
 
 
-@query("select symbol, cast(date as varchar) as date from (select *, abs(high - low - (high - low)) <= 1e-9 as same, (low - 99 > 0 or high - 99 < 0) as expected, close > 99 as flag from prices) p where not same or flag <> expected", ("prices",))
+@query(
+    """select symbol, cast(date as varchar) as date from (select *, coalesce(abs(close - open - diff) <= 0.0004, false) as same, coalesce((low - 100 > 0 or high - 100 < 0) = (close > 100), false) as flagged from (select *, round(close - open, 3) as diff from prices) q) p where not same or not flagged""",
+    ("prices",),
+)
 def check_effect(spark, sf_dir):
-    p = bars.prices(spark, sf_dir).withColumns({"diff": F.col("high") - F.col("low"), "lo": F.col("low") - 99, "hi": F.col("high") - 99, "flag": F.col("close") > 99})
-    return C.pair_consistent(p, "high", "low", "diff", "lo", "hi", "flag").select("symbol", d().alias("date"))
+    """The published difference, rounded, must be that of its parts, and the flag say whether the interval leaves out zero."""
+    p = bars.prices(spark, sf_dir).withColumns({"diff": F.round(F.col("close") - F.col("open"), 3), "lo": F.col("low") - 100, "hi": F.col("high") - 100, "flag": F.col("close") > 100})
+    return C.pair_consistent(p, "close", "open", "diff", "lo", "hi", "flag", 0.0004).select("symbol", d().alias("date"))
 
 
 @query(

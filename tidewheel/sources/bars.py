@@ -19,6 +19,15 @@ select case o_orderpriority when '1-URGENT' then 'DGS10' when '2-HIGH' then 'DGS
  cast(o_orderdate as date) as date, cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / cast(count(*) * 10000000 as double) as value, 'sample' as source
 from orders group by o_orderpriority, cast(o_orderdate as date)
 """
+#: Stand-ins for the series of the wide macro table, by priority and customer: the first is T10Y2Y.
+MARKET_SERIES = (
+    "T10Y2Y", "DGS10", "DGS2", "DGS3MO", "FEDFUNDS", "VIXCLS", "DCOILWTICO", "DTWEXBGS", "ICSA", "NFCI", "INDPRO", "CPIAUCSL", "PCEPILFE", "UNRATE", "PAYEMS",
+    "M2SL", "WALCL", "UMCSENT", "SAHMREALTIME", "recession_prob", "cape", "excess_cape_yield", "div_yield", "earn_yield",
+)
+MARKET = f"""
+select case k {' '.join(f"when {i} then '{s}'" for i, s in enumerate(MARKET_SERIES))} else 'OTHER' end as series_id, date, cast(sum(cents) as double) / cast(count(*) * 10000000 as double) as value
+from (select cast(o_custkey % 25 as int) as k, cast(o_orderdate as date) as date, cast(round(o_totalprice * 100) as bigint) as cents from orders ) o group by k, date
+"""
 ANNUAL = """
 select c.c_mktsegment as indicator_id, n.n_name as country, cast(extract(year from o.o_orderdate) as int) as year,
  cast(sum(cast(round(o.o_totalprice * 100) as bigint)) as double) / cast(count(*) * 100 as double) as value, 'sample' as source
@@ -51,5 +60,9 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_sql(spark, sf_dir, MACRO, ("orders",))
 
 
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_sql(spark, sf_dir, MARKET, ("orders",))
+
+
 def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_sql(spark, sf_dir, ANNUAL, ("orders", "customer", "nation"))

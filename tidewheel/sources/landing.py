@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +35,11 @@ def flatten_observations(payload: DataFrame, key: str, column: str, schema: str)
     return rows.withColumn("value", F.expr("try_cast(value as double)"))
 
 
+def flatten_envelope(payload: DataFrame, key: str, column: str, schema: str) -> DataFrame:
+    """A JSON array of page information and records -> the records as rows."""
+    return flatten_observations(payload.withColumn(column, F.get_json_object(column, "$[1]")), key, column, schema)
+
+
 def required(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are all there; a missing key column is an error."""
     if lost := set(keys) - set(df.columns):
@@ -49,8 +56,12 @@ def validated(df: DataFrame, types: dict[str, str], keys: list[str]) -> tuple[Da
     return flagged.where("reason = ''").drop("reason").withColumns(cast), flagged.where("reason != ''")
 
 
-def upsert(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """``existing`` with the rows of ``batch``: a row of the batch replaces the row of its key."""
+def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], loaded_at: Column | None = None) -> DataFrame:
+    """``existing`` with the rows of ``batch``: a row of the batch replaces the row of its key. Of the batch's rows with
+    one key one counts. ``loaded_at`` stamps what comes in; rows that stay keep theirs."""
+    batch = batch.dropDuplicates(keys)
+    if loaded_at is not None:
+        batch = batch.withColumn("loaded_at", loaded_at)
     return existing.join(batch.select(*keys), keys, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
@@ -85,13 +96,26 @@ def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> Data
     return spark.table(name).select(*(F.col(f.name).cast(f.dataType) for f in schema))
 
 
-def export_snapshot(tables: dict[str, DataFrame], path: str, partitions: int = 1) -> DataFrame:
-    """Writes each table as Parquet and returns the manifest: table, rows."""
-    counts = []
+def export_snapshot(tables: dict[str, DataFrame], path: str, partitions: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Writes each table as Parquet beside its place, then renames it there, and returns the manifest: table, rows.
+
+    A failed write leaves the last snapshot of a table. ``partitions``: files of each table; ``max_bytes``: a snapshot
+    that is larger is not published.
+    """
+    counts, staged = [], []
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        counts.append(df.sparkSession.read.parquet(f"{path}/{name}").select(F.lit(name).alias("table")).groupBy("table").agg(F.count(F.lit(1)).alias("rows")))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+        spark, tmp = df.sparkSession, f"{path}/.{name}-{uuid.uuid4().hex}"
+        (df.coalesce(partitions) if partitions else df).write.parquet(tmp)
+        to = spark._jvm.org.apache.hadoop.fs.Path
+        fs = to(tmp).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        staged.append((fs, to(tmp), to(f"{path}/{name}")))
+        counts.append(spark.read.schema(df.schema).parquet(tmp).agg(F.count(F.lit(1)).alias("rows")).first()["rows"])
+    size = sum(fs.getContentSummary(tmp).getLength() for fs, tmp, _ in staged)
+    if max_bytes is not None and size > max_bytes:
+        for fs, tmp, _ in staged:
+            fs.delete(tmp, True)
+        raise ValueError(f"the snapshot has {size} bytes, more than {max_bytes}")
+    for fs, tmp, place in staged:
+        fs.delete(place, True)
+        fs.rename(tmp, place)
+    return spark.createDataFrame(list(zip(tables, counts, strict=True)), "table string, rows long")
