@@ -243,3 +243,19 @@ def test_gate_fails_closed(spark):
     df = spark.createDataFrame(rows, "symbol string, oos_r2 double, qlike_skill_ratio double, folds_passed double, n_folds double, n_obs double")
     got = {r["symbol"]: (r["cleared"], r["reasons"]) for r in E.skill_gate(df).collect()}
     assert got == {"good": (True, []), "few": (False, ["folds_passed"]), "odd": (False, ["implausible oos_r2", "implausible folds_passed"]), "none": (False, ["missing n_obs", "missing oos_r2"])}
+
+
+def test_grid_of_configurations_against_single_fits(spark):
+    from tidewheel.operators import evaluation as E
+
+    rng = np.random.default_rng(2)
+    rows = [(s, DAY(t), t, float(rng.normal()), float(rng.normal()), float(rng.normal())) for s in ("a", "b") for t in range(260)]
+    df = spark.createDataFrame(rows, "symbol string, date date, i long, x1 double, x2 double, y double")
+    got = E.grid_forecasts(df, {2: "y"}, {"one": ["x1"], "both": ["x1", "x2"]}, [100, 150], [0.0, 5.0], test=40)
+    assert got.select("train", "features", "ridge").distinct().count() == 8
+    for train, features, ridge in ((100, ["x1"], 5.0), (150, ["x1", "x2"], 0.0)):
+        f = E.folds(df, train, 40, 2)
+        want = E.predicted(df, f, E.least_squares(df, f, features, "y", ridge=ridge), features).select("symbol", "date", "fold", F.col("pred").alias("want"))
+        label = "one" if features == ["x1"] else "both"
+        both = got.where((F.col("train") == train) & (F.col("features") == label) & (F.col("ridge") == ridge)).join(want, ["symbol", "date", "fold"], "full_outer").toPandas()
+        assert len(both) == want.count() and np.allclose(both.pred, both.want)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +33,12 @@ def holdout(rows: DataFrame, most: int = 252, share: float = 0.2, least: int = 6
     return rows.withColumn("slice", F.when(F.col("i") >= n - size, "holdout").otherwise("dev"))
 
 
-def in_folds(rows: DataFrame, folds: DataFrame, lo: str, hi: str, key: str = "symbol", bucket: int = 128) -> DataFrame:
+def in_folds(rows: DataFrame, folds: DataFrame, lo: str, hi: str, key: str | list[str] = "symbol", bucket: int = 128) -> DataFrame:
     """Rows with each fold whose range from ``lo`` to ``hi`` holds their number i. Both sides meet by stretches of
     rows, so a row is joined with the folds near it and not with all of its key."""
     near = F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor((F.col(hi) - 1) / bucket)))
     own = folds.where(F.col(lo) < F.col(hi)).withColumn("__bucket", near)
-    return rows.withColumn("__bucket", F.floor(F.col("i") / bucket)).join(own, [key, "__bucket"]).where((F.col("i") >= F.col(lo)) & (F.col("i") < F.col(hi))).drop("__bucket")
+    return rows.withColumn("__bucket", F.floor(F.col("i") / bucket)).join(own, [*([key] if isinstance(key, str) else key), "__bucket"]).where((F.col("i") >= F.col(lo)) & (F.col("i") < F.col(hi))).drop("__bucket")
 
 
 def soft_descent(a: np.ndarray, b: np.ndarray, penalty: float, start: np.ndarray, rounds: int = 500) -> np.ndarray:
@@ -161,3 +162,66 @@ def return_gate(metrics: DataFrame, cost_bps: float = 5.0) -> DataFrame:
         "turnover_adjusted_sharpe": F.col("turnover_adjusted_sharpe") > 0,
     }
     return verdict(metrics, rules)
+
+
+def grid_forecasts(
+    rows: DataFrame, targets: dict[int, str], subsets: dict[str, list[str]], trains: list[int], ridges: list[float], test: int = 100, key: str = "symbol"
+) -> DataFrame:
+    """Out-of-sample rows of every configuration in one job: key, date, horizon, train, features, ridge, fold, y, pred.
+
+    ``targets``: horizon -> column; ``subsets``: name -> columns. The Gram sums of a fold are made once, of all columns;
+    subsets and penalties only change the small systems that are solved. A horizon is also the embargo.
+    """
+    names = sorted({x for xs in subsets.values() for x in xs})
+    each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), c(y).cast("double").alias("y")) for h, y in targets.items())))
+    long = rows.dropna("any", subset=names).select(key, "date", "i", *names, each.alias("t")).select("*", "t.*").drop("t").where("y is not null")
+    every = None
+    for h in targets:
+        for n in trains:
+            f = folds(rows, n, test, h, key=key).withColumns({"horizon": F.lit(h), "train": F.lit(n)})
+            every = f if every is None else every.unionByName(f)
+    cols = [F.lit(1.0), *map(c, names), F.col("y")]
+    m = len(cols)
+    sums = F.array(*(F.sum(cols[a] * cols[b]) for a in range(m) for b in range(a, m)))
+    gram = in_folds(long, every, "train_from", "train_to", [key, "horizon"]).groupBy(key, "horizon", "train", "fold").agg(F.count(F.lit(1)).alias("n"), sums.alias("g"))
+
+    def solve(batches):
+        for b in batches:
+            parts = []
+            for row in b.to_dict("records"):
+                full = np.zeros((m, m))
+                full[np.triu_indices(m)] = row.pop("g")
+                full += np.triu(full, 1).T
+                for label, xs in subsets.items():
+                    at = [0] + [1 + names.index(x) for x in xs]
+                    for ridge in ridges:
+                        a = full[np.ix_(at, at)] + ridge * np.diag([0.0] + [1.0] * len(xs))
+                        beta = np.zeros(m - 1)
+                        beta[at] = np.linalg.lstsq(a, full[at, -1], rcond=None)[0]
+                        parts.append({**row, "features": label, "ridge": ridge, "beta": beta})
+            yield pd.DataFrame(parts, columns=[key, "horizon", "train", "fold", "n", "features", "ridge", "beta"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    models = gram.mapInPandas(solve, f"{key} {kind}, horizon int, train int, fold int, n long, features string, ridge double, beta array<double>")
+    out = in_folds(long, every, "test_from", "test_to", [key, "horizon"]).join(models.drop("n"), [key, "horizon", "train", "fold"])
+    pred = F.col("beta")[0]
+    for k, x in enumerate(names):
+        pred = pred + F.col("beta")[k + 1] * c(x)
+    return out.select(key, "date", "horizon", "train", "features", "ridge", "fold", "y", pred.alias("pred"))
+
+
+def forecast_scores(out: DataFrame, keys: list[str]) -> DataFrame:
+    """n, ic, accuracy, r2, n_folds and folds_passed (folds with R squared above 0) by ``keys``."""
+    r2 = 1 - F.try_divide(F.sum(F.pow(F.col("y") - F.col("pred"), F.lit(2.0))), F.var_pop("y") * F.count("y"))
+    hit = F.when((F.signum("pred") == F.signum("y")) & (F.col("y") != 0), 1.0).otherwise(0.0)
+    by_fold = out.groupBy(*keys, "fold").agg(r2.alias("r2")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_folds"), F.sum(F.when(F.col("r2") > 0, 1).otherwise(0)).alias("folds_passed"))
+    return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("pred", "y").alias("ic"), F.avg(hit).alias("accuracy"), r2.alias("r2")).join(by_fold, keys)
+
+
+def ensembles(out: DataFrame, keys: list[str], least: int = 100) -> DataFrame:
+    """Forecasts of several horizons of one row -> mean, median and the mean weighted by max(ic, 0.01), of horizons with
+    more than ``least`` forecasts: (keys, date, mean, median, weighted). Forecasts count by row of their horizon."""
+    ic = out.groupBy(*keys, "horizon").agg(F.corr("pred", "y").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least).drop("n")
+    w = F.greatest(F.coalesce("ic", F.lit(0.0)), F.lit(0.01))
+    each = out.join(ic, [*keys, "horizon"]).withColumn("p", F.col("pred") / F.col("horizon"))
+    return each.groupBy(*keys, "date").agg(F.avg("p").alias("mean"), F.percentile("p", F.lit(0.5)).alias("median"), (F.sum(w * F.col("p")) / F.sum(w)).alias("weighted"), F.count(F.lit(1)).alias("n_horizons"))

@@ -356,23 +356,42 @@ def return_forecast_eval(spark, sf_dir):
     return by_fold.groupBy("symbol").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_folds"), F.sum((F.col("r2") > 0).cast("int")).alias("passed"), r(F.sum(F.col("hit") * F.col("n")) / F.sum("n"), 6).alias("accuracy"))
 
 
+SUBSETS = {"lags": ["l1", "l2"], "lags_mean": ["l1", "l2", "m20"]}
+
+
+def return_rows(spark, sf_dir):
+    """Returns over the next 1, 5 and 20 rows, with what is known before."""
+    w = X.by("symbol")
+    ahead = {f"y{h}": X.rolling(F.sum, "daily_return", w.rowsBetween(1, h), h) for h in (1, 5, 20)}
+    return rows_of(spark, sf_dir).withColumns(ahead | {"l1": F.col("daily_return"), "l2": F.lag("daily_return").over(w), "m20": F.avg("daily_return").over(X.last_n(w, 20))})
+
+
+def return_grid(spark, sf_dir):
+    """Three horizons, three training lengths, two sets of features and four penalties: 72 configurations in one job."""
+    return E.grid_forecasts(return_rows(spark, sf_dir), {1: "y1", 5: "y5", 20: "y20"}, SUBSETS, [250, 500, 1260], [0.0, 0.01, 0.1, 1.0])
+
+
 @query()
 def return_sweep(spark, sf_dir):
-    """Horizons and training lengths as a grid, one row of figures for each configuration and symbol."""
-    out = None
-    for h, t in ((1, 250), (5, 250), (5, 500)):
-        p = forecast(spark, sf_dir, h, t).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.corr("pred", "y"), 5).alias("ic"))
-        p = p.select(F.lit(h).alias("horizon"), F.lit(t).alias("train"), "symbol", "n", "ic")
-        out = p if out is None else out.unionByName(p)
-    return out
+    keys = ["horizon", "train", "features", "ridge", "symbol"]
+    got = E.forecast_scores(return_grid(spark, sf_dir), keys)
+    return got.select(*keys, "n", r("ic", 5).alias("ic"), r("accuracy", 6).alias("accuracy"), r("r2", 5).alias("r2"), "n_folds", "folds_passed")
+
+
+@query()
+def return_ensemble(spark, sf_dir):
+    """The horizons of one configuration combined by date: mean, median, weighted by skill."""
+    out = E.grid_forecasts(return_rows(spark, sf_dir), {1: "y1", 5: "y5", 20: "y20"}, {"lags_mean": SUBSETS["lags_mean"]}, [250], [0.01])
+    got = E.ensembles(out, ["symbol"])
+    return got.select("symbol", d().alias("date"), *(r(x).alias(x) for x in ("mean", "median", "weighted")), "n_horizons")
 
 
 @query()
 def robustness_runs(spark, sf_dir):
-    """The information coefficient around a base training length, classified."""
-    out = None
-    for t in (250, 200, 300):
-        p = forecast(spark, sf_dir, 1, t).groupBy("symbol").agg(F.corr("pred", "y").alias("metric_value"))
-        p = p.select("symbol", F.lit("train").alias("dimension"), "metric_value", F.lit(t == 250).alias("is_base"))
-        out = p if out is None else out.unionByName(p)
-    return E.robustness(out, ["symbol", "dimension"]).select("symbol", "dimension", r("base", 5).alias("base"), "n_probes", F.array_join("flags", ",").alias("flags"), "verdict")
+    """The information coefficient around a base configuration: training length and penalty are changed one by one."""
+    out = E.grid_forecasts(return_rows(spark, sf_dir), {1: "y1"}, {"lags_mean": SUBSETS["lags_mean"]}, [250, 200, 300], [0.01, 0.001, 0.1])
+    ic = out.groupBy("symbol", "train", "ridge").agg(F.corr("pred", "y").alias("metric_value"))
+    base, same_ridge, same_train = (F.col("train") == 250) & (F.col("ridge") == 0.01), F.col("ridge") == 0.01, F.col("train") == 250
+    dimensions = F.array_compact(F.array(F.when(same_ridge, F.lit("train")), F.when(same_train, F.lit("ridge"))))
+    runs = ic.select("symbol", "metric_value", base.alias("is_base"), F.explode(dimensions).alias("dimension"))
+    return E.robustness(runs, ["symbol", "dimension"]).select("symbol", "dimension", r("base", 5).alias("base"), "n_probes", F.array_join("flags", ",").alias("flags"), "verdict")
