@@ -235,7 +235,7 @@ def small_pairs(groups: DataFrame, threshold: int) -> DataFrame:
         return (x["node"] < y["node"]) & (x["root"] != y["root"]) & (x["s"] <= y["t"]) & (y["s"] <= x["t"]) & sizes
 
     each = F.transform("l", lambda x: F.transform(F.filter("l", lambda y: may(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
-    return listed.select(F.inline(F.array_distinct(F.flatten(each)))).distinct()
+    return listed.select(F.inline(F.flatten(each))).distinct()
 
 
 def promising(parts: DataFrame) -> DataFrame:
