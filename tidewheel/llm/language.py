@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import crf as C
 from .base import fold, hashed_sample, map_texts, text_or_empty
+from .near_dedup import mix
 
 SAMPLE_DOCS = 3000
 BUCKETS = 1 << 16
@@ -33,19 +34,41 @@ WORDS_AT_ONCE = 400_000
 CACHE = 200_000
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features; a word without letters has none."""
-    w = STRIP.sub("", word.lower())
-    if not w:
-        return []
-    names = ["w" + w, "p" + w[:2], "q" + w[:3], "s" + w[-2:], "t" + w[-3:]]
-    padded = f"<{w}>"
-    names += ["g" + padded[i : i + 3] for i in range(len(padded) - 2)]
-    return [1 + zlib.crc32(n.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) for n in names]
+U = np.uint64
+
+
+def _hashed(kind: int, *parts: np.ndarray) -> np.ndarray:
+    """Feature numbers from code points; 0 stands for a code point that isn't there."""
+    h = np.full(parts[0].shape, U(kind + 1))
+    for x in parts:
+        h = mix(h * U(0x9E3779B97F4A7C15) + x)
+    return (h % U(BUCKETS - 1)).astype(np.int64) + 1
 
 
 def feature_rows(words: list[str]) -> C.Features:
-    return C.listed([word_features(w) for w in words])
+    """Of each word in lower case, without what isn't a letter at its ends: the word itself, its first and last two and three
+    letters, and its trigrams with both ends marked. A word without letters has no features."""
+    cores = [STRIP.sub("", w.lower()) for w in words]
+    n = np.fromiter(map(len, cores), np.int64, len(cores))
+    cp = np.frombuffer("".join(f"<{w}>" for w in cores).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    size = n + 2
+    start = np.cumsum(size) - size
+    counts = np.where(n > 0, n + 5, 1)
+    base = np.cumsum(counts) - counts
+    flat = np.zeros(int(counts.sum()), np.int64)
+    own = np.flatnonzero(n > 0)
+    if not len(own):
+        return flat, counts
+    head, tail, m, none = start[own] + 1, start[own] + n[own], n[own], U(0)
+    within = np.arange(len(cp)) - np.repeat(start, size)
+    whole = np.add.reduceat(mix(cp + within.astype(U) * U(0xD6E8FEB86659FD93)), start)[own]
+    first, last = [np.where(m > k, cp[np.minimum(head + k, len(cp) - 1)], none) for k in range(3)], [np.where(m > k, cp[tail - k], none) for k in range(3)]
+    for k, f in enumerate((_hashed(0, whole), _hashed(1, *first[:2]), _hashed(2, *first), _hashed(3, *last[:2]), _hashed(4, *last))):
+        flat[base[own] + k] = f
+    at = np.flatnonzero(within < np.repeat(n, size))
+    word = np.repeat(np.arange(len(words)), n)
+    flat[base[word] + 5 + within[at]] = _hashed(5, cp[at], cp[at + 1], cp[at + 2])
+    return flat, counts
 
 
 def _stretches(seed: int) -> Callable[[], Callable[[list[str]], dict]]:
