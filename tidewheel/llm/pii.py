@@ -235,11 +235,15 @@ class Tagger:
         return out
 
 
+#: Letters by one of their case (ASCII ones apart from others, because spans end with ASCII), digits by 9.
+KIND = {c: ("Z" if chr(c).isupper() else "z") if c < 128 else ("É" if chr(c).isupper() else "é") for c in range(0x250) if chr(c).isalpha()} | {c: "9" for c in range(48, 58)}
+
+
 class WordTables:
     """What words add to their own label scores and to those beside them: a row for each combination of features.
 
-    Rows are found by word in a dictionary of bounded size. Words of ASCII-edged letters, nearly all words, have
-    features that follow from their case and length alone.
+    Rows are found by word in a dictionary of bounded size. Words without digits, nearly all words, have the features of
+    their kind, where every letter is replaced by one of its case.
     """
 
     def __init__(self, tagger: Tagger, limit: int = 300_000):
@@ -249,17 +253,16 @@ class WordTables:
         self.cue_no = {c: i for i, c in enumerate(names)}
         w = tagger.crf.weights
         self.cues = np.array([[w[tagger.number.get(f"q:{a}:{b}", 0)] for b in names] for a in names], np.float32)
-        self.plain: dict[tuple, int] = {}
+        self.plain: dict[str, int] = {}
 
     def row(self, word: str) -> int:
-        plain = None
-        if word.isalpha() and word[0].isascii() and word[-1].isascii() and word.lower() not in CUES:
-            case = 0 if word.islower() else 1 if len(word) > 1 and word[0].isupper() and word[1:].islower() else 2
-            plain = (case, min(len(word), 40)) if case < 2 else None
-            if plain in self.plain:
-                return self.plain[plain]
+        kind = word.translate(KIND)
+        low = word.lower()
+        plain = kind if "9" not in kind and low not in CUES else None
+        if plain in self.plain:
+            return self.plain[plain]
         own = word_features(word)
-        low = word.lower() if word.lower() in CUES else ""
+        low = low if low in CUES else ""
         key = (*own, low)
         if key not in self.rows:
             i = self.rows[key] = len(self.rows)
