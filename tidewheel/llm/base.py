@@ -34,13 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends here, and
     a lost executor costs no recomputation of what stands before. Shuffle files that only the
     written plan needed are released at once: Spark drops them when the driver collects its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewheel/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()
     written = spark.read.schema(df.schema).parquet(path)

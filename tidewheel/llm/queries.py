@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fuzzy_passages, language, lm, mixing, near_dedup, packing, pii, quality_rules, substrings
+from . import alignment, chat, exact_dedup, fuzzy_passages, language, lm, merkle, mixing, near_dedup, packing, pii, quality_rules, substrings
 from .base import table
 
 
@@ -52,5 +52,20 @@ def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_passages.fuzzy_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_exact_dedup, op4_near_dedup, op5_substrings, op6_mixing, op7_language, op8_quality_rules, op9_lm_scores, op10_fuzzy_passages)}
-SQL = {"op3_exact_dedup": exact_dedup.SQL}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.formatted(said.unionByName(chat.added(spark))))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_exact_dedup, op4_near_dedup, op5_substrings, op6_mixing, op7_language, op8_quality_rules, op9_lm_scores, op10_fuzzy_passages, op11_alignment, op12_merkle, op13_chat)}
+SQL = {"op3_exact_dedup": exact_dedup.SQL, "op12_merkle": merkle.SQL, "op13_chat": chat.SQL}
