@@ -51,3 +51,52 @@ def classify(x: Column | str, level: float, tolerance: float = 0.0) -> Column:
 
 def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(c(a), c(b))
+
+
+def ln_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for z > 0: Stirling's series eight above, less the factors between."""
+    s = z + 8
+    series = (s - 0.5) * F.ln(s) - s + 0.5 * math.log(2 * math.pi) + 1 / (12 * s) - 1 / (360 * F.pow(s, F.lit(3.0))) + 1 / (1260 * F.pow(s, F.lit(5.0))) - 1 / (1680 * F.pow(s, F.lit(7.0)))
+    for k in range(8):
+        series = series - F.ln(z + k)
+    return series
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, front to back; it settles after a number of steps that
+    grows with the root of the larger parameter."""
+    tiny = 1e-300
+
+    def off_zero(v: Column) -> Column:
+        return F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+
+    def turn(s: Column, factor: Column) -> Column:
+        low, high = off_zero(1 + factor * s["low"]), off_zero(1 + factor / s["high"])
+        return F.struct((1 / low).alias("low"), high.alias("high"), (s["value"] * high / low).alias("value"))
+
+    def step(s: Column, m: Column) -> Column:
+        # the turns share their inputs, so each is bound once by a one-element transform
+        even = m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))
+        return F.get(F.transform(F.array(turn(s, even)), lambda t: turn(t, odd)), F.lit(0))
+
+    first = 1 / off_zero(1 - (a + b) * x / (a + 1))
+    start = F.struct(first.alias("low"), F.lit(1.0).alias("high"), first.alias("value"))
+    steps = F.sequence(F.lit(1), F.ceil(30 + 6 * F.sqrt(F.greatest(a, b))).cast("int"))
+    return F.aggregate(F.transform(steps, lambda k: k.cast("double")), start, step, lambda s: s["value"])
+
+
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function for a, b > 0 and x from 0 to 1."""
+    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
+    low = x < (a + 1) / (a + b + 2)
+    # the side on which the fraction settles fast
+    value = front * _beta_fraction(F.when(low, a).otherwise(b), F.when(low, b).otherwise(a), F.when(low, x).otherwise(1 - x)) / F.when(low, a).otherwise(b)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(low, value).otherwise(1 - value)
+
+
+def correlation_p(r: Column | str, n: Column | str) -> Column:
+    """Two-sided p-value of a Pearson correlation of n pairs; 1 where there is no correlation or fewer than three pairs."""
+    r, n = c(r), c(n)
+    p = incomplete_beta((n.cast("double") - 2) / 2, F.lit(0.5), 1 - r * r)
+    return F.when(r.isNull() | F.isnan(r) | (n < 3), 1.0).when(F.abs(r) >= 1, 0.0).otherwise(p)

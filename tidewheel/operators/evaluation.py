@@ -8,20 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as X
-from ..functions.scalars import c
+from ..functions.scalars import c, correlation_p
 
 
 def numbered(df: DataFrame, key: str = "symbol", time: str = "date") -> DataFrame:
     return df.withColumn("i", F.row_number().over(X.by(key, time)) - 1)
 
 
-def folds(rows: DataFrame, train: int, test: int, embargo: int = 0, expanding: bool = False, key: str = "symbol") -> DataFrame:
-    """(key, fold, train_from, train_to, test_from, test_to): half-open row ranges; the last fold may be short."""
+def folds(rows: DataFrame, train: int, test: int, embargo: int = 0, expanding: bool = False, key: str = "symbol", step: int | None = None) -> DataFrame:
+    """(key, fold, train_from, train_to, test_from, test_to): half-open row ranges; the last fold may be short.
+    Folds start every ``step`` rows, else every ``test``; with a smaller step test ranges overlap."""
+    step = step or test
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > train + embargo)
-    k = F.ceil((F.col("n") - train - embargo) / test).cast("int")
+    k = F.ceil((F.col("n") - train - embargo) / step).cast("int")
     f = n.select(key, "n", F.explode(F.sequence(F.lit(0), k - 1)).alias("fold"))
-    start = F.lit(0) if expanding else F.col("fold") * test
-    at = F.col("fold") * test + train
+    start = F.lit(0) if expanding else F.col("fold") * step
+    at = F.col("fold") * step + train
     return f.select(key, "fold", start.cast("long").alias("train_from"), at.cast("long").alias("train_to"), (at + embargo).cast("long").alias("test_from"), F.least(at + embargo + test, "n").cast("long").alias("test_to"))
 
 
@@ -89,6 +91,13 @@ def predicted(rows: DataFrame, folds: DataFrame, models: DataFrame, x: list[str]
     return own.withColumn("pred", pred)
 
 
+def finite(metrics: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``metrics`` with null in place of NaN and infinities, which compare as larger than any number."""
+    kinds = {"double", "float"}
+    bad = lambda n: F.isnan(n) | (F.abs(n) == float("inf"))
+    return metrics.withColumns({n: F.when(~bad(n), F.col(n)) for n in names if metrics.schema[n].dataType.simpleString() in kinds})
+
+
 def verdict(metrics: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``cleared`` and ``reasons``: a rule that can't be shown to hold fails."""
     reasons = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
@@ -127,7 +136,8 @@ RETURN = ("r2", "direction_accuracy", "folds_passed", "n_folds", "n_obs", "annua
 
 def skill_gate(metrics: DataFrame) -> DataFrame:
     """The volatility model's gate on the columns SKILL: it fails closed. Missing metrics are named; if none is missing,
-    implausible ones are; only then the rules are tested."""
+    implausible ones are; only then the rules are tested. NaN and infinities are missing."""
+    metrics = finite(metrics, SKILL)
     c_ = {n: F.col(n) for n in SKILL}
     whole = {n: F.floor(c_[n]) for n in ("folds_passed", "n_folds", "n_obs")}
     missing = F.array_compact(F.array(*(F.when(c_[n].isNull(), F.lit(f"missing {n}")) for n in sorted(SKILL))))
@@ -151,7 +161,8 @@ def skill_gate(metrics: DataFrame) -> DataFrame:
 
 
 def return_gate(metrics: DataFrame, cost_bps: float = 5.0) -> DataFrame:
-    """The return model's gate on the columns RETURN; a rule that can't be shown to hold fails."""
+    """The return model's gate on the columns RETURN; a rule that can't be shown to hold fails, as with NaN and infinities."""
+    metrics = finite(metrics, RETURN)
     folds = F.floor("n_folds")
     rules = {
         "r2": F.col("r2") > 0,
@@ -165,12 +176,13 @@ def return_gate(metrics: DataFrame, cost_bps: float = 5.0) -> DataFrame:
 
 
 def grid_forecasts(
-    rows: DataFrame, targets: dict[int, str], subsets: dict[str, list[str]], trains: list[int], ridges: list[float], test: int = 100, key: str = "symbol"
+    rows: DataFrame, targets: dict[int, str], subsets: dict[str, list[str]], trains: list[int], ridges: list[float], test: int = 100, key: str = "symbol", windows: tuple[str, ...] = ("rolling",)
 ) -> DataFrame:
-    """Out-of-sample rows of every configuration in one job: key, date, horizon, train, features, ridge, fold, y, pred.
+    """Out-of-sample rows of every configuration in one job: key, date, horizon, train, window, features, ridge, fold, y, pred.
 
     ``targets``: horizon -> column; ``subsets``: name -> columns. The Gram sums of a fold are made once, of all columns;
-    subsets and penalties only change the small systems that are solved. A horizon is also the embargo.
+    subsets and penalties only change the small systems that are solved. A horizon is also the embargo. Windows are rolling or expanding; sums of
+    expanding ones are running sums over stretches of ``test`` rows.
     """
     names = sorted({x for xs in subsets.values() for x in xs})
     each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), c(y).cast("double").alias("y")) for h, y in targets.items())))
@@ -182,8 +194,18 @@ def grid_forecasts(
             every = f if every is None else every.unionByName(f)
     cols = [F.lit(1.0), *map(c, names), F.col("y")]
     m = len(cols)
-    sums = F.array(*(F.sum(cols[a] * cols[b]) for a in range(m) for b in range(a, m)))
-    gram = in_folds(long, every, "train_from", "train_to", [key, "horizon"]).groupBy(key, "horizon", "train", "fold").agg(F.count(F.lit(1)).alias("n"), sums.alias("g"))
+    pairs = [cols[a] * cols[b] for a in range(m) for b in range(a, m)]
+    by = [key, "horizon", "train", "fold"]
+    gram = None
+    if "rolling" in windows:
+        gram = in_folds(long, every, "train_from", "train_to", [key, "horizon"]).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*map(F.sum, pairs)).alias("g")).withColumn("window", F.lit("rolling"))
+    if "expanding" in windows:
+        length = F.explode(F.array(*map(F.lit, trains))).alias("train")
+        own = long.select("*", length).withColumn("fold", F.when(F.col("i") < F.col("train"), 0).otherwise(F.floor((F.col("i") - F.col("train")) / test) + 1).cast("int"))
+        parts = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(p).alias(f"g{k}") for k, p in enumerate(pairs)))
+        upto = X.upto(X.W.partitionBy(key, "horizon", "train").orderBy("fold"))
+        grown = parts.select(*by, F.sum("n").over(upto).alias("n"), F.array(*(F.sum(f"g{k}").over(upto) for k in range(len(pairs)))).alias("g"), F.lit("expanding").alias("window"))
+        gram = grown if gram is None else gram.unionByName(grown)
 
     def solve(batches):
         for b in batches:
@@ -199,15 +221,15 @@ def grid_forecasts(
                         beta = np.zeros(m - 1)
                         beta[at] = np.linalg.lstsq(a, full[at, -1], rcond=None)[0]
                         parts.append({**row, "features": label, "ridge": ridge, "beta": beta})
-            yield pd.DataFrame(parts, columns=[key, "horizon", "train", "fold", "n", "features", "ridge", "beta"])
+            yield pd.DataFrame(parts, columns=[key, "horizon", "train", "fold", "n", "window", "features", "ridge", "beta"])
 
     kind = rows.schema[key].dataType.simpleString()
-    models = gram.mapInPandas(solve, f"{key} {kind}, horizon int, train int, fold int, n long, features string, ridge double, beta array<double>")
-    out = in_folds(long, every, "test_from", "test_to", [key, "horizon"]).join(models.drop("n"), [key, "horizon", "train", "fold"])
+    models = gram.mapInPandas(solve, f"{key} {kind}, horizon int, train int, fold int, n long, window string, features string, ridge double, beta array<double>")
+    out = in_folds(long, every, "test_from", "test_to", [key, "horizon"]).join(models.drop("n"), by)
     pred = F.col("beta")[0]
     for k, x in enumerate(names):
         pred = pred + F.col("beta")[k + 1] * c(x)
-    return out.select(key, "date", "horizon", "train", "features", "ridge", "fold", "y", pred.alias("pred"))
+    return out.select(key, "date", "horizon", "train", "window", "features", "ridge", "fold", "y", pred.alias("pred"))
 
 
 def forecast_scores(out: DataFrame, keys: list[str]) -> DataFrame:
@@ -225,3 +247,133 @@ def ensembles(out: DataFrame, keys: list[str], least: int = 100) -> DataFrame:
     w = F.greatest(F.coalesce("ic", F.lit(0.0)), F.lit(0.01))
     each = out.join(ic, [*keys, "horizon"]).withColumn("p", F.col("pred") / F.col("horizon"))
     return each.groupBy(*keys, "date").agg(F.avg("p").alias("mean"), F.percentile("p", F.lit(0.5)).alias("median"), (F.sum(w * F.col("p")) / F.sum(w)).alias("weighted"), F.count(F.lit(1)).alias("n_horizons"))
+
+
+def evaluated(rows: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
+    """All metrics of forecasts by ``keys`` (horizon among them). ``rows``: keys, date, y, pred, vol (for the regimes, may be null).
+
+    Returns over several rows overlap, so Sharpe ratio and alpha take every horizon-th row of the key. A correlation that is undefined
+    counts as 0 with a p-value of 1. Accuracy in a regime is that of the rows in the lower, middle or upper third of vol. Keys with
+    fewer than ``least`` forecasts are left out.
+    """
+    own = rows.where("y is not null and pred is not null")
+    w = X.W.partitionBy(*keys).orderBy("date")
+    own = own.withColumns({"s": F.signum("pred") * F.col("y"), "j": F.row_number().over(w) - 1, "turned": F.abs(F.col("pred") - F.lag("pred").over(w))})
+    third = own.groupBy(*keys).agg(F.percentile("vol", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("cut"), F.count("vol").alias("n_vol"), F.count(F.lit(1)).alias("n_own"))
+    own = own.join(third, keys)
+    # with fewer rows than a horizon all of them count
+    strided = F.when((F.col("j") % F.col("horizon") == 0) | (F.col("n_own") < F.col("horizon")), F.col("s"))
+    hit = F.when((F.signum("pred") == F.signum("y")) & (F.col("y") != 0), 1.0).otherwise(0.0)
+    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
+    regimes = {"low": F.col("vol") <= F.col("cut")[0], "medium": (F.col("vol") > F.col("cut")[0]) & (F.col("vol") <= F.col("cut")[1]), "high": F.col("vol") > F.col("cut")[1]}
+    got = own.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.corr("pred", "y").alias("ic"), F.avg(hit).alias("direction_accuracy"), share(F.col("y") > 0).alias("positive_target_rate"),
+        share(F.col("pred") > 0).alias("positive_prediction_rate"), share(F.col("y") < 0).alias("down"), F.avg(strided).alias("m"), F.stddev_pop(strided).alias("sd"), F.count(strided).alias("n_strided"), F.avg("turned").alias("turnover"),
+        *(F.avg(F.when(test & (F.col("n_vol") >= 6), hit)).alias(f"direction_accuracy_{k}") for k, test in regimes.items()),
+    ).where(F.col("n") >= least)
+    ic = F.when(F.isnan("ic"), None).otherwise(F.col("ic"))
+    got = got.withColumns({"ic_pvalue": correlation_p(ic, "n"), "ic": F.coalesce(ic, F.lit(0.0))})
+    baseline = F.greatest("positive_target_rate", "down")
+    sharpe = F.when((F.col("n_strided") > 1) & (F.col("sd") > 0), F.col("m") / F.col("sd") * F.sqrt(252.0 / F.col("horizon")))
+    return got.select(
+        *keys, "n", "ic", "ic_pvalue", "direction_accuracy", baseline.alias("baseline_direction_accuracy"), (F.col("direction_accuracy") - baseline).alias("direction_edge"),
+        "positive_target_rate", "positive_prediction_rate", *(f"direction_accuracy_{k}" for k in regimes), sharpe.alias("sharpe"), (F.signum("ic") * F.pow("ic", F.lit(2.0))).alias("r2"),
+        (F.col("m") * 252 / F.col("horizon")).alias("annualised_alpha"), (sharpe - 0.0005 * F.coalesce("turnover", F.lit(0.0))).alias("turnover_adjusted_sharpe"),
+    )
+
+
+def fold_counts(out: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """(keys, n_models, mean_train_rows, n_folds, folds_passed): a fold passes with forecasts that go with the target;
+    folds with fewer than ``least`` targets are not judged."""
+    by_fold = out.groupBy(*keys, "fold").agg(F.count("y").alias("k"), F.corr("pred", "y").alias("ic"), F.max("n_train").alias("n_train"))
+    judged = F.col("k") >= least
+    good = judged & ~F.isnan("ic") & (F.col("ic") > 0)
+    return by_fold.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_models"), F.floor(F.avg("n_train")).alias("mean_train_rows"), F.count(F.when(judged, 1)).alias("n_folds"), F.count(F.when(good, 1)).alias("folds_passed"))
+
+
+PENALTIES = (0.1, 1.0, 10.0, 100.0)
+
+
+def nested_ridge(rows: DataFrame, folds: DataFrame, x: list[str], y: str, penalties: tuple[float, ...] = PENALTIES, splits: int = 3, least: int = 60, key: str = "symbol") -> DataFrame:
+    """(key, fold, n, ridge, inner_mse, coefficients): each fold's penalty is chosen inside its training rows only.
+
+    The training rows are cut into ``splits + 1`` stretches. An inner fold trains on all stretches before the one it tests, so its Gram sums are
+    running sums of theirs, and its squared error follows from the sums of the tested stretch: rows are read once whatever the grid. Folds
+    with fewer than ``least`` rows take the first penalty. ``rows`` has the number i of rows without nulls in ``x`` and ``y``.
+    """
+    cols = [F.lit(1.0), *map(c, x), c(y)]
+    m = len(cols)
+    size = F.floor((F.col("train_to") - F.col("train_from")) / (splits + 1))
+    at = F.col("i") - F.col("train_from") - (F.col("train_to") - F.col("train_from") - splits * size)
+    own = in_folds(rows, folds, "train_from", "train_to", key).withColumn("part", F.when(at < 0, 0).otherwise(F.floor(at / size) + 1).cast("int"))
+    sums = F.array(*(F.sum(cols[a] * cols[b]) for a in range(m) for b in range(a, m)))
+    parts = own.groupBy(key, "fold", "part").agg(F.count(F.lit(1)).alias("n"), sums.alias("g"))
+    gram = parts.groupBy(key, "fold").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", "n", "g"))).alias("parts"))  # splits + 1 rows
+
+    def solve(batches):
+        upper = np.triu_indices(m)
+        shape = np.diag([0.0] + [1.0] * (m - 2))
+
+        def fitted(full: np.ndarray, penalty: float) -> np.ndarray:
+            return np.linalg.lstsq(full[:-1, :-1] + penalty * shape, full[:-1, -1], rcond=None)[0]
+
+        for b in batches:
+            out = []
+            for n, own in zip(b["n"], b["parts"], strict=True):
+                each = []
+                for p in own:
+                    full = np.zeros((m, m))
+                    full[upper] = p["g"]
+                    each.append((p["n"], full + np.triu(full, 1).T))
+                running = np.cumsum([g for _, g in each], axis=0)
+                best, loss = penalties[0], np.nan
+                if n >= least and len(each) == splits + 1:
+                    losses = []
+                    for penalty in penalties:
+                        total = 0.0
+                        for k in range(splits):
+                            residual = np.append(-fitted(running[k], penalty), 1.0)
+                            total += residual @ each[k + 1][1] @ residual / each[k + 1][0]
+                        losses.append(total / splits)
+                    best, loss = penalties[int(np.argmin(losses))], min(losses)
+                out.append((best, loss, fitted(running[-1], best)))
+            got = b[[key, "fold", "n"]].copy()
+            got["ridge"], got["inner_mse"], got["coefficients"] = [o[0] for o in out], [o[1] for o in out], [o[2] for o in out]
+            yield got
+
+    kind = rows.schema[key].dataType.simpleString()
+    return gram.mapInPandas(solve, f"{key} {kind}, fold int, n long, ridge double, inner_mse double, coefficients array<double>")
+
+
+#: Where a metric shows no skill.
+NO_SKILL = {"r2": 0.0, "oos_r2": 0.0, "ic": 0.0, "direction_accuracy": 0.5, "qlike_skill_ratio": 1.0}
+
+
+def fragility(runs: DataFrame, keys: list[str], swing: float = 0.05, least: int = 1) -> DataFrame:
+    """Runs around a base -> (keys, dimension, metric, base, n_probes, lo, hi, mean, swing, flags, verdict).
+
+    ``runs``: keys, dimension ('base' for the base run), probe, metric, value (null where it has none), cleared (the gate's outcome, null where it has none).
+    Flags: gate_flip (a probe's gate differs from the base's; of a dimension), sign_flip (a probe on the other side of NO_SKILL), large_swing (a probe further
+    than ``swing`` from the base), no_base, no_probes. Hard flags make a pair fragile, missing runs inconclusive.
+    """
+    base = runs.where("dimension = 'base'").groupBy(*keys, "metric").agg(F.max("value").alias("base"), F.max("cleared").alias("base_cleared"))
+    gate = runs.where("dimension = 'base'").groupBy(*keys).agg(F.max("cleared").alias("base_gate"))
+    none = F.lit(None).cast("double")
+    for name, level in NO_SKILL.items():
+        none = F.when(F.col("metric") == name, level).otherwise(none)
+    probes = runs.where("dimension <> 'base'").join(gate, keys, "left").join(base.drop("base_cleared"), [*keys, "metric"], "left").withColumn("level", none)
+    v = F.col("value")
+    got = probes.groupBy(*keys, "dimension", "metric").agg(
+        F.max("base").alias("base"), F.count("value").alias("n_probes"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"),
+        F.max(F.abs(v - F.col("base"))).alias("swing"), F.bool_or((F.col("base") - F.col("level")) * (v - F.col("level")) < 0).alias("crossed"), F.bool_or(F.col("cleared") != F.col("base_gate")).alias("flipped"),
+    )
+    # a flipped gate is the dimension's, whichever metric shows it
+    flipped = F.max(F.coalesce("flipped", F.lit(False))).over(X.W.partitionBy(*keys, "dimension"))
+    no = F.lit(False)
+    flags = F.array_compact(F.array(
+        F.when(flipped, "gate_flip"), F.when(F.col("base").isNull(), "no_base"), F.when(F.coalesce("crossed", no), "sign_flip"),
+        F.when(F.coalesce(F.col("swing") > swing, no), "large_swing"), F.when(F.col("base").isNotNull() & (F.col("n_probes") < least), "no_probes"),
+    ))
+    got = got.withColumn("flags", flags).drop("crossed", "flipped")
+    has = lambda *names: F.arrays_overlap("flags", F.array(*map(F.lit, names)))
+    return got.withColumn("verdict", F.when(has("gate_flip", "sign_flip", "large_swing"), "fragile").when(has("no_base", "no_probes"), "inconclusive").otherwise("robust"))

@@ -169,11 +169,6 @@ def predictions(spark, sf_dir):
     return daily(spark, sf_dir).select("symbol", "date", F.lag("daily_return").over(X.by("symbol")).alias("pred"), F.col("daily_return").alias("actual"), "vol_20d")
 
 
-@query(f"select symbol, count(*) as n, round(corr(pred, actual), 6) as ic from ({PRED}) p where pred is not null and actual is not null group by symbol", ("daily",))
-def ic(spark, sf_dir):
-    return predictions(spark, sf_dir).where("pred is not null and actual is not null").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.corr("pred", "actual"), 6).alias("ic"))
-
-
 @query(
     f"""select symbol, round(avg(case when sign(pred) = sign(actual) and actual <> 0 then 1.0 else 0.0 end), 8) as accuracy, round(greatest(avg(case when actual > 0 then 1.0 else 0.0 end), avg(case when actual < 0 then 1.0 else 0.0 end)), 8) as baseline
  from ({PRED}) p where pred is not null and actual is not null group by symbol""",
@@ -578,11 +573,6 @@ def order_by(spark, sf_dir):
     return bars.prices(spark, sf_dir).orderBy("symbol", "date").select("symbol", d().alias("date"), r("close").alias("close"))
 
 
-@query("select user_id, event_id, round(value, 8) as value from (select *, row_number() over (partition by user_id order by value desc, event_id) as rn from events) e where rn <= 10")
-def top_k_importance(spark, sf_dir):
-    return series.latest_per_key(bars.scan(spark, sf_dir, "events"), ["user_id"], [F.col("value").desc(), F.col("event_id")], 10).select("user_id", "event_id", r("value").alias("value"))
-
-
 @query(f"select symbol, round(ic, 6) as ic from (select symbol, corr(pred, actual) as ic from ({PRED}) p group by symbol) x order by ic desc limit 5", ("daily",))
 def sweep_top_k(spark, sf_dir):
     return predictions(spark, sf_dir).groupBy("symbol").agg(F.corr("pred", "actual").alias("ic")).orderBy(F.col("ic").desc()).limit(5).select("symbol", r("ic", 6).alias("ic"))

@@ -292,7 +292,7 @@ def boot(spark, sf_dir):
     return P.resampled(boot_dates(spark, sf_dir), REPS, SEED)
 
 
-SH = "select rep, strategy, avg(daily_return) / nullif(stddev_samp(daily_return), 0) * sqrt(252.0) as s from boot b group by 1, 2"
+SH = "select rep, strategy, coalesce(avg(daily_return) / nullif(stddev_samp(daily_return), 0), 0) * sqrt(252.0) as s from boot b group by 1, 2"
 
 
 @query(with_boot(f"select strategy, round(quantile_cont(s, 0.05), 5) as lo, round(quantile_cont(s, 0.95), 5) as hi, count(*) as n_boot from ({SH}) x group by strategy"), ("strat",))
@@ -408,12 +408,6 @@ def skill_verdict(spark, sf_dir):
     return got.select("symbol", "cleared", reasons.alias("reasons"))
 
 
-@query("select symbol, 'base' as probe, 5 as horizon from (select distinct symbol from prices) s union all select symbol, 'down', 4 from (select distinct symbol from prices) s union all select symbol, 'up', 6 from (select distinct symbol from prices) s", ("prices",))
-def perturbation_grid(spark, sf_dir):
-    steps = F.array(*(F.struct(F.lit(n).alias("probe"), F.lit(h).alias("horizon")) for n, h in (("base", 5), ("down", 4), ("up", 6))))
-    return bars.prices(spark, sf_dir).select("symbol").distinct().select("symbol", F.inline(steps))
-
-
 RUNS = "select user_id, event_id % 3 as dimension, event_id, case when event_type = 'error' then null when user_id % 2 = 0 then value else value - 5 end as v, row_number() over (partition by user_id, event_id % 3 order by event_id) = 1 as is_base from events"
 
 

@@ -101,7 +101,7 @@ EX = f"""select strategy, date, avg(daily_return) as ex from (select case when s
 @query(
     f"""with ex as materialized ({EX}), pairs as materialized (select s.strategy, s.date, s.daily_return as inc, e.ex from strat s join ex e on e.strategy = s.strategy and e.date = s.date),
  common as materialized (select date, row_number() over (order by date) - 1 as i from (select date from pairs group by date having count(*) = 3) z), size as materialized (select cast(count(*) as bigint) as n from common),
- draws as materialized ({boot_sql(N)}), s as (select b.rep, p.strategy, avg(p.inc) / nullif(stddev_samp(p.inc), 0) * sqrt(252.0) - avg(p.ex) / nullif(stddev_samp(p.ex), 0) * sqrt(252.0) as d from draws b join common c on c.i = b.i join pairs p on p.date = c.date group by 1, 2)
+ draws as materialized ({boot_sql(N)}), s as (select b.rep, p.strategy, coalesce(avg(p.inc) / nullif(stddev_samp(p.inc), 0), 0) * sqrt(252.0) - coalesce(avg(p.ex) / nullif(stddev_samp(p.ex), 0), 0) * sqrt(252.0) as d from draws b join common c on c.i = b.i join pairs p on p.date = c.date group by 1, 2)
  select strategy, round(quantile_cont(d, 0.05), 5) as diff_lo, round(quantile_cont(d, 0.95), 5) as diff_hi, count(*) as n_boot from s group by strategy""",
     ("strat",),
 )
@@ -134,7 +134,8 @@ def vol_forecast_value(spark, sf_dir):
  from (select *, row_number() over (partition by symbol order by date desc) as rn from daily where daily_return is not null) x group by symbol) y""",
     ("daily",),
 )
-def latest_forecast(spark, sf_dir):
+def calibration_bounds(spark, sf_dir):
+    """The calibration of a forecast, shown on the last return as the forecast."""
     rows = daily(spark, sf_dir).where("daily_return is not null").withColumn("rn", F.row_number().over(W.partitionBy("symbol").orderBy(F.col("date").desc())))
     got = rows.groupBy("symbol").agg(F.max_by("daily_return", "date").alias("pred"), F.avg("daily_return").alias("m"), F.stddev_samp(F.when(F.col("rn") <= 60, F.col("daily_return"))).alias("sd"))
     bound = F.greatest(F.lit(0.05), 1.5 * F.coalesce("sd", F.lit(0.15)))
@@ -190,43 +191,6 @@ def return_verdict(spark, sf_dir):
     return got.select("symbol", "cleared", F.array_join("reasons", ",").alias("reasons"))
 
 
-def lagged(spark, sf_dir):
-    w = X.by("symbol")
-    rows = rows_of(spark, sf_dir)
-    return rows.withColumns({"y": F.lead("vol_20d").over(w), "h1": F.col("vol_20d"), "h5": F.avg("vol_20d").over(X.last_n(w, 5)), "h22": F.avg("vol_20d").over(X.last_n(w, 22)), "l1": F.col("daily_return")})
-
-
-CONFIGS = [(f"train{t}_ridge{a}", t, a) for t in (250, 500) for a in (0.0, 0.1)]
-
-
-def swept(spark, sf_dir):
-    """Every configuration's out-of-sample rows: fold tables are tables, so a sweep is one job for each penalty."""
-    rows, names, out = lagged(spark, sf_dir), ["h1", "h5", "h22"], None
-    for name, size, ridge in CONFIGS:
-        f = E.folds(rows, size, 100, 1)
-        p = E.predicted(rows, f, E.least_squares(rows, f, names, "y", ridge=ridge), names).where("y is not null and pred is not null").select(F.lit(name).alias("config"), "symbol", "date", "fold", "y", "pred")
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-def skill(p):
-    m = F.avg("y").over(W.partitionBy("config", "symbol"))
-    sq = lambda c: F.sum(F.pow(F.col("y") - F.col(c), F.lit(2.0)))
-    return p.withColumn("m", m).groupBy("config", "symbol").agg(F.count(F.lit(1)).alias("n"), r(1 - F.try_divide(sq("pred"), sq("m")), 5).alias("oos_r2"), r(F.corr("pred", "y"), 5).alias("ic"))
-
-
-@query()
-def research_sweep(spark, sf_dir):
-    return skill(swept(spark, sf_dir)).withColumn("cleared", F.coalesce(F.col("oos_r2") >= 0.1, F.lit(False)))
-
-
-@query()
-def tune_grid(spark, sf_dir):
-    """The best configuration of each symbol by out-of-sample R squared."""
-    got = skill(swept(spark, sf_dir))
-    return series.latest_per_key(got, ["symbol"], [F.col("oos_r2").desc_nulls_last(), F.col("config")])
-
-
 METRICS = ("oos_r2", "qlike", "baseline_qlike", "qlike_skill_ratio", "holdout_oos_r2", "holdout_qlike", "holdout_qlike_skill_ratio")
 
 
@@ -278,31 +242,6 @@ def panel_run(spark, sf_dir):
     return out
 
 
-def boosted(spark, sf_dir):
-    """Gradient-boosted trees on volatility features, fitted on rows before 1999 of all symbols."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    names = ["h1", "h5", "h22", "l1"]
-    rows = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="skip").transform(lagged(spark, sf_dir).where("y is not null and h22 is not null"))
-    model = GBTRegressor(featuresCol="x", labelCol="y", predictionCol="pred", maxIter=8, maxDepth=3, seed=42).fit(rows.where("date < date '1999-01-01'"))
-    return model, rows.where("date >= date '1999-01-01'"), names
-
-
-@query()
-def gb_volatility(spark, sf_dir):
-    model, test, _ = boosted(spark, sf_dir)
-    return model.transform(test).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.corr("pred", "y"), 3).alias("ic"))
-
-
-@query()
-def feature_importance(spark, sf_dir):
-    model, test, names = boosted(spark, sf_dir)
-    weights = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]
-    n = test.agg(F.count(F.lit(1)).alias("n_test"))
-    return spark.createDataFrame(weights, "feature string, importance double").crossJoin(F.broadcast(n)).select("feature", r("importance", 4).alias("importance"), "n_test")  # one row
-
-
 @query()
 def shrink_covariance(spark, sf_dir):
     return P.shrunk_covariances(trailing(spark, sf_dir)).select(d("rebalance").alias("rebalance"), "a", "b", r("cov").alias("cov"))
@@ -346,16 +285,6 @@ def lasso_forecast(spark, sf_dir):
     return p.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.corr("pred", "y"), 4).alias("ic"))
 
 
-@query()
-def return_forecast_eval(spark, sf_dir):
-    """Walk-forward return forecasts: accuracy, information coefficient and the share of folds with R squared above 0."""
-    p = forecast(spark, sf_dir, 5, 500)
-    m = F.avg("y").over(W.partitionBy("symbol", "fold"))
-    sq = lambda c: F.sum(F.pow(F.col("y") - F.col(c), F.lit(2.0)))
-    by_fold = p.withColumn("m", m).groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(sq("pred"), sq("m"))).alias("r2"), F.avg((F.signum("pred") == F.signum("y")).cast("double")).alias("hit"))
-    return by_fold.groupBy("symbol").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_folds"), F.sum((F.col("r2") > 0).cast("int")).alias("passed"), r(F.sum(F.col("hit") * F.col("n")) / F.sum("n"), 6).alias("accuracy"))
-
-
 SUBSETS = {"lags": ["l1", "l2"], "lags_mean": ["l1", "l2", "m20"]}
 
 
@@ -384,14 +313,3 @@ def return_ensemble(spark, sf_dir):
     out = E.grid_forecasts(return_rows(spark, sf_dir), {1: "y1", 5: "y5", 20: "y20"}, {"lags_mean": SUBSETS["lags_mean"]}, [250], [0.01])
     got = E.ensembles(out, ["symbol"])
     return got.select("symbol", d().alias("date"), *(r(x).alias(x) for x in ("mean", "median", "weighted")), "n_horizons")
-
-
-@query()
-def robustness_runs(spark, sf_dir):
-    """The information coefficient around a base configuration: training length and penalty are changed one by one."""
-    out = E.grid_forecasts(return_rows(spark, sf_dir), {1: "y1"}, {"lags_mean": SUBSETS["lags_mean"]}, [250, 200, 300], [0.01, 0.001, 0.1])
-    ic = out.groupBy("symbol", "train", "ridge").agg(F.corr("pred", "y").alias("metric_value"))
-    base, same_ridge, same_train = (F.col("train") == 250) & (F.col("ridge") == 0.01), F.col("ridge") == 0.01, F.col("train") == 250
-    dimensions = F.array_compact(F.array(F.when(same_ridge, F.lit("train")), F.when(same_train, F.lit("ridge"))))
-    runs = ic.select("symbol", "metric_value", base.alias("is_base"), F.explode(dimensions).alias("dimension"))
-    return E.robustness(runs, ["symbol", "dimension"]).select("symbol", "dimension", r("base", 5).alias("base"), "n_probes", F.array_join("flags", ",").alias("flags"), "verdict")
