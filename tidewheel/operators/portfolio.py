@@ -11,19 +11,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import windows as X
+from .series import asof_multi
 
 #: The modulus and multipliers of the counter-based mix.
 P, A1, A2 = 2147483647, 48271, 69621
 
 
-def calendar_align(asset: DataFrame, spine: DataFrame, value: str = "daily_return") -> DataFrame:
-    """A series on its own calendar -> returns on the spine's dates: wealth is carried forward and
-    returns compound over the dates between. ``spine``: date; the first date's return is null."""
-    w = W.orderBy("date")
-    grown = asset.select("date", X.wealth(F.coalesce(value, F.lit(0.0)), w).alias("wealth"))
-    on = spine.select("date", F.lit(1).alias("on")).join(grown, "date", "full_outer")
-    filled = on.withColumn("wealth", X.ffill("wealth", w)).where("on = 1")
-    return filled.select("date", X.pct_change("wealth", w).alias(value))
+def calendar_align(assets: DataFrame, spine: DataFrame, value: str = "daily_return", key: str = "symbol") -> DataFrame:
+    """Series on their own calendars -> returns on the spine's dates, for any number of keys in one pass: (key, date, value).
+
+    Wealth is carried forward and returns compound over the dates between; a key's first date with wealth, and dates before it, have a null
+    return. ``spine``: date. A row that repeats a key's date counts once. Work is dealt by key; the calendar goes to all keys as one row.
+    """
+    w = W.partitionBy(key).orderBy("date")
+    once = assets.groupBy(key, "date").agg(F.first(value).alias(value))
+    grown = once.select(key, "date", X.wealth(F.coalesce(value, F.lit(0.0)), w).alias("wealth"), F.lit(False).alias("on"))
+    days = spine.distinct().agg(F.array_sort(F.collect_list("date")).alias("days"))  # a calendar: one row
+    dense = once.select(key).distinct().crossJoin(F.broadcast(days)).select(key, F.explode("days").alias("date"), F.lit(None).cast("double").alias("wealth"), F.lit(True).alias("on"))
+    filled = grown.unionByName(dense).withColumn("wealth", F.last("wealth", ignorenulls=True).over(X.upto(W.partitionBy(key).orderBy("date", "on"))))
+    return filled.where("on").select(key, "date", X.pct_change("wealth", w).alias(value))
+
+
+def common_start(panel: DataFrame, key: str = "symbol", value: str = "daily_return") -> DataFrame:
+    """The rows from the date on by which every key has a value."""
+    first = panel.where(F.col(value).isNotNull()).groupBy(key).agg(F.min("date").alias("f")).agg(F.max("f").alias("start"))
+    return panel.crossJoin(F.broadcast(first)).where("date >= start").drop("start")  # one row
+
+
+def window_panel(daily: DataFrame, rule: str, added: str, floor: Column | None = None, spine: DataFrame | None = None, key: str = "symbol", value: str = "daily_return") -> DataFrame:
+    """(key, date, value) of a window. Rules: ``without``: all keys but ``added``, from the latest of their first dates on;
+    ``floor``: the same keys from ``floor`` on; ``with``: these and ``added``, aligned to the spine, from ``floor`` on, without its
+    leading dates. An unknown rule, or no floor where one is needed, gives all keys but ``added``, from the start.
+    """
+    rest = daily.where(F.col(key) != added).select(key, "date", value)
+    if rule == "without":
+        first = rest.groupBy(key).agg(F.min("date").alias("f")).agg(F.max("f").alias("start"))
+        return rest.crossJoin(F.broadcast(first)).where("date >= start").drop("start")  # one row
+    if floor is None or rule not in ("floor", "with"):
+        return rest
+    rest = rest.where(F.col("date") >= floor)
+    if rule == "floor":
+        return rest
+    one = calendar_align(daily.where(F.col(key) == added), spine if spine is not None else rest.select("date"), value, key)
+    return rest.unionByName(one.where(F.col(value).isNotNull() & (F.col("date") >= floor)))
 
 
 def calendar_gaps(rows: DataFrame, spine: DataFrame, key: str = "symbol", value: str = "daily_return") -> DataFrame:
@@ -166,13 +196,62 @@ def fixed_weights(window: DataFrame, weights: dict[str, float]) -> DataFrame:
     return held.withColumn("weight", F.coalesce(F.element_at(table, F.col("symbol")), F.lit(0.0)))
 
 
-def solved_weights(window: DataFrame, kind: str) -> DataFrame:
-    """risk_parity or max_sharpe weights: one small problem for each rebalance, all in parallel."""
+def known_at(rebalances: DataFrame, panel: DataFrame, value: str = "mu", key: str = "symbol") -> DataFrame:
+    """(rebalance, key, value): for every rebalance and key the last value of the panel on that date or before. A forecast is dated
+    by the last row that it has seen and a rebalance takes effect on the next date, so nothing later enters."""
+    at = rebalances.select(F.col("rebalance").alias("date")).distinct()
+    days = at.agg(F.array_sort(F.collect_list("date")).alias("days"))  # the rebalance dates: one row
+    left = panel.select(key).distinct().crossJoin(F.broadcast(days)).select(key, F.explode("days").alias("date"))
+    found = asof_multi(left, panel, {value: F.col(value)}, keys=[key])
+    return found.where(F.col(value).isNotNull()).select(F.col("date").alias("rebalance"), key, value)
+
+
+def blended(window: DataFrame, mu: DataFrame, weight: DataFrame | None = None) -> DataFrame:
+    """(rebalance, symbol, mu): the forecast where the rebalance has one, else the window's mean; with ``weight`` (rebalance, forecast_weight)
+    the forecast's share of a blend of both. A rebalance on which a symbol lacks a forecast takes the means of all."""
+    prior = window.groupBy("rebalance", "symbol").agg(F.avg("daily_return").alias("prior"))
+    got = prior.join(mu, ["rebalance", "symbol"], "left").withColumn("whole", F.count("mu").over(W.partitionBy("rebalance")) == F.count(F.lit(1)).over(W.partitionBy("rebalance")))
+    share = F.lit(1.0)
+    if weight is not None:
+        got, share = got.join(weight.select("rebalance", "forecast_weight"), "rebalance", "left"), F.coalesce("forecast_weight", F.lit(0.0))
+    return got.select("rebalance", "symbol", F.when(F.col("whole"), share * F.col("mu") + (1 - share) * F.col("prior")).otherwise(F.col("prior")).alias("mu"))
+
+
+def gate_weights(forecasts: DataFrame, rebalances: DataFrame, horizon: int, least: int = 20) -> DataFrame:
+    """(rebalance, n, forecast_skill, forecast_weight): how much better than the mean of what they were trained on the forecasts were whose targets are known at the
+    rebalance: 1 less the ratio of squared errors, from 0 to 1; the weight is the skill, 0 with fewer than ``least`` forecasts.
+
+    ``forecasts``: symbol, date, y, pred, train_mean. A target is known ``horizon`` rows of the symbol later.
+    """
+    known = F.lead("date", horizon).over(X.by("symbol"))
+    sq = lambda c: F.pow(F.col("y") - F.col(c), F.lit(2.0))
+    days = forecasts.withColumn("known", known).where("known is not null and y is not null").groupBy(F.col("known").alias("date")).agg(F.sum(sq("pred")).alias("e"), F.sum(sq("train_mean")).alias("b"), F.count(F.lit(1)).alias("k"))
+    # running sums over one row for each date, met by the rebalances as of their own
+    w = X.upto(W.orderBy("date"))
+    sums = days.select("date", *(F.sum(c).over(w).alias(c) for c in ("e", "b", "k")))
+    at = rebalances.select("rebalance").distinct().withColumnRenamed("rebalance", "date")
+    got = asof_multi(at, sums, {c: F.col(c) for c in ("e", "b", "k")})
+    skill = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.try_divide("e", "b"))), F.lit(0.0))
+    return got.select(F.col("date").alias("rebalance"), F.coalesce("k", F.lit(0)).alias("n"), skill.alias("forecast_skill")).withColumn("forecast_weight", F.when(F.col("n") >= least, F.col("forecast_skill")).otherwise(0.0))
+
+
+def solved_weights(window: DataFrame, kind: str, mu: DataFrame | None = None) -> DataFrame:
+    """risk_parity or max_sharpe weights: one small problem for each rebalance, all in parallel. ``mu`` (rebalance, symbol, mu)
+    gives the expected returns of max_sharpe, else they are the window's means."""
+    given = mu is not None
+    if given:
+        window = window.join(mu.select("rebalance", "symbol", "mu"), ["rebalance", "symbol"])
 
     def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         names, s, wide = _matrix(part)
         x = wide.to_numpy()
-        w = _risk_parity(s) if kind == "risk_parity" else _max_sharpe(shrunk(x), x.mean(axis=0))
+        if len(x) < 2:
+            w = np.full(len(names), 1 / len(names))
+        elif kind == "risk_parity":
+            w = _risk_parity(s)
+        else:
+            expected = part.groupby("symbol").mu.first()[names].to_numpy() if given else x.mean(axis=0)
+            w = _max_sharpe(shrunk(x), expected)
         return pd.DataFrame({"rebalance": key[0], "symbol": names, "weight": w})
 
     return window.groupBy("rebalance").applyInPandas(solve, "rebalance date, symbol string, weight double")

@@ -93,6 +93,29 @@ def boundaries(df: DataFrame, keys: list[str], label: str, time: str = "date") -
     return df.withColumn("previous", F.lag(label).over(w)).where(c("previous").isNotNull() & (c("previous") != c(label)))
 
 
+def thinned(events: DataFrame, keys: list[str], gap: int, time: str = "date") -> DataFrame:
+    """Greedy thinning of dated events, the earliest first: an event stays if it is ``gap`` days or more after the last one that stayed.
+
+    Which events stay depends on all before, so a key's dates are folded in order, as day numbers; only dates are gathered, and only of events (change points,
+    not rows). Of one day's events only
+    the first can stay, so equal days are folded once. ``gap`` 0 keeps everything.
+    """
+    if gap <= 0:
+        return events
+    day = F.datediff(c(time), F.lit("1970-01-01").cast("date"))
+    days = events.select(*keys, day.alias("__day")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("__day")).alias("days"))
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        stays = s["last"].isNull() | (x - s["last"] >= gap)
+        return F.struct(F.when(stays, x).otherwise(s["last"]).alias("last"), F.when(stays, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"))
+
+    kept = days.select(*keys, F.explode(F.aggregate("days", start, step, lambda s: s["kept"])).alias("__day"))
+    first = F.row_number().over(W.partitionBy(*keys, "__day").orderBy(time))
+    marked = events.withColumn("__day", day)
+    return marked.join(kept, [*keys, "__day"], "left_semi").withColumn("__nth", first).where("__nth = 1").drop("__day", "__nth")
+
+
 def pairs(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """(a, b, time, x, y) for keys a < b that have a value at the same time."""
     own = df.where(c(value).isNotNull())

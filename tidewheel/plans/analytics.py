@@ -153,9 +153,9 @@ def max_drawdown(spark, sf_dir):
     return got.select("strategy", r("m", 6).alias("max_drawdown"), r(F.try_divide("g", F.abs("m")), 5).alias("calmar"))
 
 
-@query("select symbol, round(sum(daily_return) / 3, 8) as contribution, round(1.0 / 3, 8) as risk_share from daily where symbol in ('Brand#1', 'Brand#2', 'Brand#3') and daily_return is not null group by symbol", ("daily",))
+@query("select symbol, round(s / count(*) over (), 8) as contribution, round(1.0 / count(*) over (), 8) as risk_share from (select symbol, sum(daily_return) as s from daily where daily_return is not null group by symbol) x", ("daily",))
 def attribution_equal_weight(spark, sf_dir):
-    rows = daily(spark, sf_dir).where("symbol in ('Brand#1', 'Brand#2', 'Brand#3') and daily_return is not null")
+    rows = daily(spark, sf_dir).where("daily_return is not null")
     got = rows.groupBy("symbol").agg(F.sum("daily_return").alias("s"))
     n = F.count(F.lit(1)).over(W.partitionBy())
     return got.select("symbol", r(F.col("s") / n).alias("contribution"), r(F.lit(1.0) / n).alias("risk_share"))
@@ -266,11 +266,6 @@ def qlike_skill_ratio(spark, sf_dir):
     return folds.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_folds"), F.sum(F.when(F.col("q") < F.col("b"), 1).otherwise(0)).alias("passed"), r(F.avg("q") / F.nullif(F.avg("b"), F.lit(0.0)), 6).alias("ratio"))
 
 
-@query("select strategy, round(avg(case when date >= date '1998-01-01' then daily_return end), 8) as mean_weight, count(*) as n from strat group by strategy", ("strat",))
-def ml_gate_mean_weight(spark, sf_dir):
-    return strategies(spark, sf_dir).groupBy("strategy").agg(r(F.avg(F.when(F.col("date") >= "1998-01-01", F.col("daily_return")))).alias("mean_weight"), F.count(F.lit(1)).alias("n"))
-
-
 @query(
     """select x.event_type, round(base, 6) as base, round(lo, 6) as lo, round(hi, 6) as hi, round(mean, 6) as mean, round(greatest(abs(hi - base), abs(lo - base)), 6) as swing, n from (select event_type, min(value) as lo, max(value) as hi, avg(value) as mean, count(*) as n from events group by 1) x
  join (select event_type, arg_min(value, event_id) as base from events group by 1) b on x.event_type = b.event_type"""
@@ -486,6 +481,21 @@ def regime_boundaries(spark, sf_dir):
     return series.boundaries(series.quantile_labels(daily(spark, sf_dir)), ["symbol"], "regime").select("symbol", d().alias("date"), "previous", "regime")
 
 
+BOUNDS = f"select symbol, date, previous, regime from (select *, lag(regime) over (partition by symbol order by date) as previous from ({QCUT}) q) x where previous is not null and previous <> regime"
+
+
+@query(
+    f"""with recursive b as materialized (select *, row_number() over (partition by symbol order by date) as k from ({BOUNDS}) y),
+ kept as (select symbol, date, k from b where k = 1 union all select n.symbol, n.date, n.k from kept t join lateral (select * from b where b.symbol = t.symbol and b.date >= t.date + interval 365 day order by b.date limit 1) n on true)
+ select b.symbol, cast(b.date as varchar) as date, previous, regime from b join kept on kept.symbol = b.symbol and kept.k = b.k""",
+    ("daily",),
+)
+def regime_boundaries_thinned(spark, sf_dir):
+    """Boundaries at least 365 days apart: each symbol's first one, then always the first that is far enough from the one kept before."""
+    found = series.boundaries(series.quantile_labels(daily(spark, sf_dir)), ["symbol"], "regime")
+    return series.thinned(found, ["symbol"], 365).select("symbol", d().alias("date"), "previous", "regime")
+
+
 @query(
     f"""select symbol, regime, cast(min(date) as varchar) as start, cast(max(date) as varchar) as stop, count(*) as n_rows from (select *, sum(new) over (partition by symbol order by date) as run from (select *, case when regime <> lag(regime) over (partition by symbol order by date)
  then 1 else 0 end as new from ({QCUT}) q) x) y group by symbol, run, regime""",

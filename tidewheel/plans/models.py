@@ -10,10 +10,11 @@ from ..functions.scalars import correlation_p
 from ..operators import boosting as BT
 from ..operators import evaluation as E
 from ..operators import features as FT
+from ..operators import portfolio as P
 from ..operators import series
 from ..operators import volatility as V
 from .analytics import PRED, predictions
-from .portfolios import NUM, rows_of
+from .portfolios import NUM, rows_of, trailing, universe
 from .registry import d, daily, query, r
 from .research import METRICS, vol_rows
 
@@ -146,6 +147,60 @@ def ic(spark, sf_dir):
     return got.select("symbol", "n", r("ic", 6).alias("ic"), r(correlation_p("ic", "n"), 6).alias("p_value"))
 
 
+# --- forecasts that drive weights ---------------------------------------------------------------------
+
+MU_HORIZON = 20
+
+
+def mu_forecasts(spark, sf_dir):
+    """Boosted forecasts of the next 20 rows of every symbol: 252 rows of training, 252 of test, rolling."""
+    return BT.walk_forward(featured(spark, sf_dir), {MU_HORIZON: f"y{MU_HORIZON}"}, DEFAULT)
+
+
+def ml_window(spark, sf_dir):
+    """Returns of all symbols on one calendar, their trailing windows, and each rebalance's expected daily returns."""
+    returns = universe(spark, sf_dir)
+    window = trailing(spark, sf_dir, returns)
+    panel = mu_forecasts(spark, sf_dir).select("symbol", "date", (F.col("pred") / MU_HORIZON).alias("mu"))
+    return returns, window, P.blended(window, P.known_at(window, panel))
+
+
+@query()
+def ml_mu_panel(spark, sf_dir):
+    """The forecast panel: every symbol and date with the expected daily return of the next 20 rows."""
+    return mu_forecasts(spark, sf_dir).select("symbol", d().alias("date"), r(F.col("pred") / MU_HORIZON).alias("mu"))
+
+
+@query()
+def weights_max_sharpe_ml(spark, sf_dir):
+    """Maximum Sharpe ratio with the forecasts known at each rebalance as expected returns, where all symbols have one, else the window's means."""
+    _, window, mu = ml_window(spark, sf_dir)
+    return P.solved_weights(window, "max_sharpe", mu).select(d("rebalance").alias("rebalance"), "symbol", r("weight", 6).alias("weight"))
+
+
+@query()
+def ml_portfolio_returns(spark, sf_dir):
+    """The backtest of these weights: net return of each date."""
+    returns, window, mu = ml_window(spark, sf_dir)
+    got = P.backtest(returns, P.solved_weights(window, "max_sharpe", mu))
+    return got.groupBy(d().alias("date")).agg(r(F.first("net_return")).alias("net_return"))
+
+
+def gate(spark, sf_dir):
+    return P.gate_weights(mu_forecasts(spark, sf_dir), trailing(spark, sf_dir).select("rebalance"), MU_HORIZON)
+
+
+@query()
+def ml_gate_series(spark, sf_dir):
+    """The skill of the forecasts known at each rebalance against the mean of their training rows, and the weight that they earn."""
+    return gate(spark, sf_dir).select(F.lit("long").alias("window_id"), d("rebalance").alias("date"), "n", r("forecast_skill", 6).alias("forecast_skill"), r("forecast_weight", 6).alias("forecast_weight"))
+
+
+@query()
+def ml_gate_mean_weight(spark, sf_dir):
+    return gate(spark, sf_dir).groupBy(F.lit("long").alias("window_id")).agg(r(F.avg("forecast_weight"), 6).alias("mean_weight"), F.count(F.lit(1)).alias("n"))
+
+
 # --- robustness ----------------------------------------------------------------------------------
 
 #: Probes around the base, declared before any run: a training length 100 shorter and longer, the horizon above, expanding windows.

@@ -12,9 +12,10 @@ from ..operators import features as FT
 from ..operators import performance as PF
 from ..operators import portfolio as P
 from ..operators import series
-from ..sources import bars
-from ..streaming import incremental
-from .registry import d, daily, query, r, strategies
+from ..sources import bars, landing
+from ..streaming import incremental, live
+from ..streaming.incremental import scratch, shared_folder
+from .registry import calendar, d, daily, query, r, strategies
 
 B = lambda n: f"(partition by symbol order by date rows between {n} preceding and 1 preceding)"
 L = lambda n: f"(partition by symbol order by date rows between {n - 1} preceding and current row)"
@@ -65,24 +66,24 @@ def drop_constant_columns(spark, sf_dir):
 
 # --- portfolios ----------------------------------------------------------------------------------
 
-UNI = "select symbol, date, daily_return from daily where symbol in ('Brand#1', 'Brand#2', 'Brand#3') and daily_return is not null"
-FULL = f"select u.* from ({UNI}) u join (select date from ({UNI}) v group by date having count(*) = 3) f on f.date = u.date"
+#: All symbols on one calendar, from the latest of their first returns on.
+FULL = "select symbol, date, daily_return from aligned where date >= (select max(f) from (select min(date) as f from aligned where daily_return is not null group by symbol) z)"
+UNI = "select symbol, date, daily_return from daily where daily_return is not null"
+
+
+def aligned(spark, sf_dir):
+    x = daily(spark, sf_dir)
+    return P.calendar_align(x, calendar(x))
 
 
 def universe(spark, sf_dir):
-    rows = daily(spark, sf_dir).where("symbol in ('Brand#1', 'Brand#2', 'Brand#3')").select("symbol", "date", "daily_return")
-    return P.complete_dates(rows)
+    """All symbols on one calendar, from the latest of their first returns on; written once, as plans read it several times."""
+    return landing.written(P.common_start(aligned(spark, sf_dir)), scratch(shared_folder(spark), "universe"))
 
 
-@query(
-    """select cast(date as varchar) as date, round(w / nullif(lag(w) over (order by date), 0) - 1, 8) as daily_return from (select s.date, arg_max(a.wealth, a.date) as w from (select date from daily where symbol = 'Brand#1' and extract(dow from date) between 1 and 5) s
- left join (select date, exp(sum(ln(1 + coalesce(daily_return, 0))) over (order by date)) as wealth from daily where symbol = 'Brand#5') a on a.date <= s.date group by s.date) x""",
-    ("daily",),
-)
+@query("select symbol, cast(date as varchar) as date, round(daily_return, 8) as daily_return from aligned", ("aligned",))
 def calendar_align(spark, sf_dir):
-    x = daily(spark, sf_dir)
-    spine = x.where("symbol = 'Brand#1' and weekday(date) < 5").select("date")
-    return P.calendar_align(x.where("symbol = 'Brand#5'"), spine).select(d().alias("date"), r("daily_return").alias("daily_return"))
+    return aligned(spark, sf_dir).select("symbol", d().alias("date"), r("daily_return").alias("daily_return"))
 
 
 @query(
@@ -97,16 +98,31 @@ def calendar_gap_report(spark, sf_dir):
     return P.calendar_gaps(x, x.where("symbol = 'Brand#11'").select("date"))
 
 
-@query("select symbol, cast(date as varchar) as date, round(daily_return, 8) as daily_return from daily where symbol in ('Brand#1', 'Brand#2', 'Brand#3') and date >= (select max(f) from (select min(date) as f from daily where symbol in ('Brand#1', 'Brand#2', 'Brand#3') group by symbol) x)", ("daily",))
+#: The symbol that a window adds, and the date on which windows with a floor begin.
+ADDED, FLOOR = "Brand#5", "1996-06-01"
+REST = f"select symbol, date, daily_return from daily where symbol <> '{ADDED}'"
+
+
+@query(
+    f"""select 'without' as rule, symbol, cast(date as varchar) as date, round(daily_return, 8) as daily_return from ({REST}) a where date >= (select max(f) from (select min(date) as f from ({REST}) b group by symbol) z)
+ union all select 'floor', symbol, cast(date as varchar), round(daily_return, 8) from ({REST}) c where date >= date '{FLOOR}'
+ union all select 'with', symbol, cast(date as varchar), round(daily_return, 8) from ({REST}) e where date >= date '{FLOOR}'
+ union all select 'with', symbol, cast(date as varchar), round(daily_return, 8) from aligned where symbol = '{ADDED}' and date >= date '{FLOOR}' and daily_return is not null""",
+    ("aligned",),
+)
 def window_panel(spark, sf_dir):
-    x = daily(spark, sf_dir).where("symbol in ('Brand#1', 'Brand#2', 'Brand#3')")
-    start = x.groupBy("symbol").agg(F.min("date").alias("f")).agg(F.max("f").alias("start"))
-    return x.crossJoin(F.broadcast(start)).where("date >= start").select("symbol", d().alias("date"), r("daily_return").alias("daily_return"))  # one row
+    """The three windows: all symbols but one from the latest common start, from a floor, and with that one aligned to the calendar."""
+    x = daily(spark, sf_dir)
+    out = None
+    for rule in ("without", "floor", "with"):
+        one = P.window_panel(x, rule, ADDED, F.lit(FLOOR).cast("date"), calendar(x)).select(F.lit(rule).alias("rule"), "symbol", d().alias("date"), r("daily_return").alias("daily_return"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"select cast(date as varchar) as date, round(avg(daily_return), 8) as daily_return, count(*) as n from ({UNI}) u group by date", ("daily",))
 def equal_weight_returns(spark, sf_dir):
-    x = daily(spark, sf_dir).where("symbol in ('Brand#1', 'Brand#2', 'Brand#3') and daily_return is not null")
+    x = daily(spark, sf_dir).where("daily_return is not null")
     return P.equal_weight(x).select(d().alias("date"), r("daily_return").alias("daily_return"), "n")
 
 
@@ -117,7 +133,7 @@ def rebalances(spark, sf_dir):
     return P.rebalance_dates(universe(spark, sf_dir), 60, "quarter")
 
 
-@query(f"select cast(date as varchar) as date from ({REB}) x", ("daily",))
+@query(f"select cast(date as varchar) as date from ({REB}) x", ("aligned",))
 def rebalance_dates(spark, sf_dir):
     return rebalances(spark, sf_dir).select(d().alias("date"))
 
@@ -126,16 +142,17 @@ TRAIL = f"""select q.date as rebalance, f.symbol, f.date, f.daily_return from ({
  join (select date, row_number() over (order by date) as k from (select distinct date from ({FULL}) a) b) m on m.k between n.k - 60 and n.k - 1 join ({FULL}) f on f.date = m.date"""
 
 
-def trailing(spark, sf_dir):
-    return P.trailing(universe(spark, sf_dir), rebalances(spark, sf_dir).select("date"), 60)
+def trailing(spark, sf_dir, returns=None):
+    returns = universe(spark, sf_dir) if returns is None else returns
+    return P.trailing(returns, P.rebalance_dates(returns, 60, "quarter").select("date"), 60)
 
 
-@query(f"select cast(rebalance as varchar) as rebalance, symbol, count(*) as n, cast(min(date) as varchar) as first_date from ({TRAIL}) t group by 1, 2", ("daily",))
+@query(f"select cast(rebalance as varchar) as rebalance, symbol, count(*) as n, cast(min(date) as varchar) as first_date from ({TRAIL}) t group by 1, 2", ("aligned",))
 def trailing_window(spark, sf_dir):
     return trailing(spark, sf_dir).groupBy(d("rebalance").alias("rebalance"), "symbol").agg(F.count(F.lit(1)).alias("n"), d(F.min("date")).alias("first_date"))
 
 
-@query(f"select cast(x.rebalance as varchar) as rebalance, x.symbol as a, y.symbol as b, round(covar_samp(x.daily_return, y.daily_return), 8) as cov from ({TRAIL}) x join ({TRAIL}) y on x.rebalance = y.rebalance and x.date = y.date and x.symbol <= y.symbol group by 1, 2, 3", ("daily",))
+@query(f"select cast(x.rebalance as varchar) as rebalance, x.symbol as a, y.symbol as b, round(covar_samp(x.daily_return, y.daily_return), 8) as cov from ({TRAIL}) x join ({TRAIL}) y on x.rebalance = y.rebalance and x.date = y.date and x.symbol <= y.symbol group by 1, 2, 3", ("aligned",))
 def covariance_per_rebalance(spark, sf_dir):
     return P.covariances(trailing(spark, sf_dir)).select(d("rebalance").alias("rebalance"), "a", "b", r("cov").alias("cov"))
 
@@ -143,7 +160,7 @@ def covariance_per_rebalance(spark, sf_dir):
 INV = f"select rebalance, symbol, v / sum(v) over (partition by rebalance) as weight from (select rebalance, symbol, 1 / sqrt(greatest(var_samp(daily_return), 1e-12)) as v from ({TRAIL}) t group by 1, 2) x"
 
 
-@query(f"select cast(rebalance as varchar) as rebalance, symbol, round(weight, 8) as weight from ({INV}) w", ("daily",))
+@query(f"select cast(rebalance as varchar) as rebalance, symbol, round(weight, 8) as weight from ({INV}) w", ("aligned",))
 def weights_inverse_vol(spark, sf_dir):
     return P.inverse_vol_weights(trailing(spark, sf_dir)).select(d("rebalance").alias("rebalance"), "symbol", r("weight").alias("weight"))
 
@@ -151,13 +168,13 @@ def weights_inverse_vol(spark, sf_dir):
 @query(
     f"""select cast(rebalance as varchar) as rebalance, symbol, round(case when k = 0 then 1.0 / n when s > 0 then 1.0 / k else 0.0 end, 8) as weight from (select *, count(*) over (partition by rebalance) as n, sum(case when s > 0 then 1 else 0 end) over (partition by rebalance) as k
  from (select rebalance, symbol, sum(daily_return) as s from ({TRAIL}) t group by 1, 2) x) y""",
-    ("daily",),
+    ("aligned",),
 )
 def weights_tsmom(spark, sf_dir):
     return P.momentum_weights(trailing(spark, sf_dir)).select(d("rebalance").alias("rebalance"), "symbol", r("weight").alias("weight"))
 
 
-@query(f"select distinct cast(rebalance as varchar) as rebalance, symbol, round(1.0 / 3, 8) as weight from ({TRAIL}) t", ("daily",))
+@query(f"select cast(rebalance as varchar) as rebalance, symbol, round(1.0 / count(*) over (partition by rebalance), 8) as weight from (select distinct rebalance, symbol from ({TRAIL}) t) u", ("aligned",))
 def weights_equal(spark, sf_dir):
     w = trailing(spark, sf_dir).select("rebalance", "symbol").distinct()
     return w.select(d("rebalance").alias("rebalance"), "symbol", r(1.0 / F.count(F.lit(1)).over(W.partitionBy("rebalance"))).alias("weight"))
@@ -181,7 +198,8 @@ select date, symbol, value / sum(value) over (partition by date) as held, r, reb
 
 
 def tested(spark, sf_dir):
-    return P.backtest(universe(spark, sf_dir), P.inverse_vol_weights(trailing(spark, sf_dir)))
+    returns = universe(spark, sf_dir)
+    return P.backtest(returns, P.inverse_vol_weights(trailing(spark, sf_dir, returns)))
 
 
 @query(
@@ -189,13 +207,13 @@ def tested(spark, sf_dir):
  turn as (select rebalance, sum(0.5 * abs(w - coalesce(p, 0)) * 0.0005) as cost from (select *, lag(dr) over (partition by symbol order by rebalance) as p from drift) z group by 1),
  firsts as (select rebalance, min(date) as first_date from bt group by 1)
  select cast(b.date as varchar) as date, round(sum(b.held * b.r) - max(case when b.date = f.first_date then t.cost else 0 end), 8) as net_return from bt b join turn t on t.rebalance = b.rebalance join firsts f on f.rebalance = b.rebalance group by b.date""",
-    ("daily",),
+    ("aligned",),
 )
 def walk_forward_backtest(spark, sf_dir):
     return tested(spark, sf_dir).groupBy(d().alias("date")).agg(r(F.first("net_return")).alias("net_return"))
 
 
-@query(f"select cast(date as varchar) as date, symbol, round(held * r, 8) as contribution, round(held, 8) as weight from ({BT}) b", ("daily",))
+@query(f"select cast(date as varchar) as date, symbol, round(held * r, 8) as contribution, round(held, 8) as weight from ({BT}) b", ("aligned",))
 def contributions(spark, sf_dir):
     return tested(spark, sf_dir).select(d().alias("date"), "symbol", r("contribution").alias("contribution"), r("weight").alias("weight"))
 
@@ -206,7 +224,7 @@ def contributions(spark, sf_dir):
  g as (select date, symbol, held * r as c, sum(held * r) over (partition by date) as total from bt)
  select symbol, round(sum(c), 6) as contribution_to_return, round(covar_samp(c, total) / nullif(var_samp(total), 0), 6) as contribution_to_risk from g group by symbol
  union all select '(costs)', round(-cost, 6), 0.0 from turn""",
-    ("daily",),
+    ("aligned",),
 )
 def attribution_full(spark, sf_dir):
     return P.attribution(tested(spark, sf_dir)).select("symbol", r("contribution_to_return", 6).alias("contribution_to_return"), r("contribution_to_risk", 6).alias("contribution_to_risk"))
@@ -215,14 +233,14 @@ def attribution_full(spark, sf_dir):
 FIXED = {"Brand#1": 0.5, "Brand#2": 0.3, "Brand#3": 0.2}
 
 
-@query(f"select distinct cast(rebalance as varchar) as rebalance, symbol, case symbol when 'Brand#1' then 0.5 when 'Brand#2' then 0.3 else 0.2 end as weight from ({TRAIL}) t", ("daily",))
+@query(f"select distinct cast(rebalance as varchar) as rebalance, symbol, case symbol when 'Brand#1' then 0.5 when 'Brand#2' then 0.3 when 'Brand#3' then 0.2 else 0.0 end as weight from ({TRAIL}) t", ("aligned",))
 def weights_fixed(spark, sf_dir):
     return P.fixed_weights(trailing(spark, sf_dir), FIXED).select(d("rebalance").alias("rebalance"), "symbol", "weight")
 
 
 def signals(spark, sf_dir):
     w = X.by("symbol")
-    x = daily(spark, sf_dir).where("symbol in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#6', 'Brand#7') and daily_return is not null")
+    x = daily(spark, sf_dir).where("daily_return is not null")
     return x.select("date", "symbol", "daily_return", F.lag("daily_return").over(w).alias("mu"), X.rolling(F.stddev_samp, "daily_return", X.last_n(w, 21), 5).alias("sigma"))
 
 
@@ -240,7 +258,7 @@ def ml_tilt_returns(spark, sf_dir):
 )
 def ml_regime_returns(spark, sf_dir):
     """Levered by the sign of the quarter before: 1.2 capped at 1.0, 0.8 in a falling one."""
-    e = P.equal_weight(daily(spark, sf_dir).where("symbol in ('Brand#1', 'Brand#2', 'Brand#3') and daily_return is not null"))
+    e = P.equal_weight(daily(spark, sf_dir).where("daily_return is not null"))
     w = W.orderBy("date").rowsBetween(-63, -1)
     s = F.when(F.count("daily_return").over(w) >= 20, F.sum("daily_return").over(w))
     lever = F.when(s.isNull(), 1.0).when(s > 0, F.least(F.lit(1.2), F.lit(1.0))).otherwise(0.8)
@@ -487,3 +505,40 @@ def incremental_load(spark, sf_dir):
     incremental.incremental_load(spark, landing, t, ["event_type", "day"], incremental.scratch(base, "state"))
     return t.read().select("event_type", "day", "event_id")
 
+
+@query("select cast(event_id % 3 as bigint) as batch_id, count(*) as rows, 'ok' as status from events group by 1")
+def load_audit(spark, sf_dir):
+    """The audit of three loads, each by a stream of its own with the same checkpoint: a third of the events each."""
+    base = incremental.shared_folder(spark)
+    e = bars.scan(spark, sf_dir, "events").select("event_type", F.to_date("ts").cast("string").alias("day"), "ts", "event_id")
+    landed, table, state = (incremental.scratch(base, n) for n in ("landing", "table", "state"))
+    for k in range(3):
+        e.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(landed)
+        t = incremental.ParquetTable(spark, table, e.schema, [F.col("ts").desc(), F.col("event_id").desc()])
+        audit = incremental.incremental_load(spark, landed, t, ["event_type", "day"], state)
+    return audit.select("batch_id", "rows", "status")
+
+
+#: Events arrive up to two days after their time, every 20th 45 days late; deliveries are fifths of the table's span.
+TICKS = """select *, least(4, floor((epoch(ts) - t0 + 86400 * case when event_id % 20 = 0 then 45 else event_id % 3 end) / ((t1 - t0 + 1) / 5))) as delivery from events, (select epoch(min(ts)) as t0, epoch(max(ts)) as t1 from events) z where value is not null"""
+
+
+@query(
+    f"""with ticks as materialized ({TICKS}), sent as materialized (select delivery, max(epoch(ts)) as top from ticks group by 1),
+ kept as (select t.*, epoch(date_trunc('day', ts)) + 86400 as day_end from ticks t where epoch(date_trunc('day', ts)) + 86400 > coalesce((select max(top) - 172800 from sent s where s.delivery < t.delivery), -1e18))
+ select event_type, cast(cast(ts as date) as varchar) as day, round(arg_min(value, (ts, event_id)), 8) as open, round(max(value), 8) as high, round(min(value), 8) as low, round(arg_max(value, (ts, event_id)), 8) as close, count(*) as n
+ from kept where day_end <= (select max(top) - 172800 from sent) group by 1, 2"""
+)
+def live_bars(spark, sf_dir):
+    """Daily bars of a stream in five deliveries, restarted for each: later ticks of an open day supersede, ticks of closed days are dropped."""
+    base = incremental.shared_folder(spark)
+    e = bars.scan(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    span = e.agg(F.unix_micros(F.min("ts")).alias("t0"), F.unix_micros(F.max("ts")).alias("t1"))
+    delay = F.when(F.col("event_id") % 20 == 0, 45).otherwise(F.col("event_id") % 3) * F.lit(86_400_000_000)
+    part = F.least(F.lit(4), F.floor((F.unix_micros("ts") - F.col("t0") + delay) / ((F.col("t1") - F.col("t0") + 1_000_000) / 5)))
+    sent = e.crossJoin(F.broadcast(span)).withColumn("delivery", part).drop("t0", "t1")  # one row
+    landed, sink, state = (incremental.scratch(base, n) for n in ("ticks", "bars", "bars-state"))
+    for k in range(5):
+        sent.where(F.col("delivery") == k).drop("delivery").coalesce(1).write.mode("append").parquet(landed)
+        got = live.publish(spark, landed, e.schema, sink, state, ["event_type"], "ts", "value", "event_id")
+    return got.select("event_type", d("day").alias("day"), *(r(c).alias(c) for c in ("open", "high", "low", "close")), "n")

@@ -26,8 +26,14 @@ from (select case when symbol in ('Brand#1', 'Brand#2', 'Brand#3') then 'equal_w
  from daily where symbol in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#7', 'Brand#8', 'Brand#11', 'Brand#12') and daily_return is not null and extract(dow from date) between 1 and 5) u
 group by strategy, date
 """
-CTES = {"prices": bars.PRICES, "macro": bars.MACRO, "market": bars.MARKET, "annual": bars.ANNUAL, "daily": DAILY, "strat": STRAT}
-NEEDS = {"daily": ("prices", "daily"), "strat": ("prices", "daily", "strat")}
+#: All symbols on one calendar, the weekdays on which anything but fx trades: wealth is carried over the dates between.
+ALIGNED = """
+select symbol, date, w / nullif(lag(w) over (partition by symbol order by date), 0) - 1 as daily_return
+from (select k.symbol, c.date, a.wealth as w from (select distinct symbol from daily) k cross join (select distinct date from daily where asset_class <> 'fx' and extract(dow from date) between 1 and 5) c
+ asof left join (select symbol, date, exp(sum(ln(1 + coalesce(daily_return, 0))) over (partition by symbol order by date)) as wealth from daily) a on a.symbol = k.symbol and a.date <= c.date) s
+"""
+CTES = {"prices": bars.PRICES, "macro": bars.MACRO, "market": bars.MARKET, "annual": bars.ANNUAL, "daily": DAILY, "aligned": ALIGNED, "strat": STRAT}
+NEEDS = {"daily": ("prices", "daily"), "aligned": ("prices", "daily", "aligned"), "strat": ("prices", "daily", "strat")}
 UNIVERSE = {"equal_weight": ["Brand#1", "Brand#2", "Brand#3"], "tilt": ["Brand#7", "Brand#8"], "regime": ["Brand#11", "Brand#12"]}
 
 
@@ -55,6 +61,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.daily(bars.prices(spark, sf_dir))
 
 
+def calendar(rows: DataFrame) -> DataFrame:
+    """The weekdays on which anything but fx trades."""
+    return rows.where("asset_class <> 'fx' and weekday(date) < 5").select("date").distinct()
+
+
 def strategies(spark: SparkSession, sf_dir: str, without: tuple[str, ...] = ()) -> DataFrame:
     """(window_id, strategy, date, daily_return) of the stand-in strategies, ``without`` some symbols."""
     label = F.lit(None).cast("string")

@@ -16,7 +16,7 @@ from ..operators import volatility as V
 from ..sources import bars, landing
 from ..streaming.incremental import scratch, shared_folder
 from .analytics import DRAW
-from .portfolios import NUM, REPS, SEED, N, boot_dates, boot_sql, rows_of, trailing, with_boot
+from .portfolios import NUM, REPS, SEED, SH, N, boot_dates, boot_sql, rows_of, trailing, with_boot
 from .registry import d, daily, query, r, strategies
 
 
@@ -71,11 +71,6 @@ def fct_asset_daily(spark, sf_dir):
     return daily(spark, sf_dir).select("symbol", "asset_class", d().alias("date"), r("close").alias("close"), "volume", "source", r("daily_return").alias("daily_return"), r("vol_20d").alias("vol_20d"), r(F.col("ma_50") + 1e-9, 6).alias("ma_50"))  # off the ties
 
 
-@query("select window_id, cast(date as varchar) as date, round(avg(daily_return), 8) as forecast_skill, count(*) as n from strat group by 1, 2", ("strat",))
-def ml_gate_series(spark, sf_dir):
-    return strategies(spark, sf_dir).groupBy("window_id", d().alias("date")).agg(r(F.avg("daily_return")).alias("forecast_skill"), F.count(F.lit(1)).alias("n"))
-
-
 BR = "select rep, strategy, exp(sum(ln(1 + daily_return)) * 252 / count(*)) - 1 as g from boot group by 1, 2"
 
 
@@ -313,3 +308,42 @@ def return_ensemble(spark, sf_dir):
     out = E.grid_forecasts(return_rows(spark, sf_dir), {1: "y1", 5: "y5", 20: "y20"}, {"lags_mean": SUBSETS["lags_mean"]}, [250], [0.01])
     got = E.ensembles(out, ["symbol"])
     return got.select("symbol", d().alias("date"), *(r(x).alias(x) for x in ("mean", "median", "weighted")), "n_horizons")
+
+
+# --- marts passed through, with their contracts ------------------------------------------------------
+
+BLOCK = 21
+SHARPE = "coalesce(avg(daily_return) / nullif(stddev_samp(daily_return), 0), 0) * sqrt(252.0)"
+
+
+@query(
+    with_boot(f"""select 'long' as window_id, o.strategy, round(o.sharpe, 5) as sharpe, round(b.lo, 5) as sharpe_lo, round(b.hi, 5) as sharpe_hi, o.n_obs, b.n_boot, 90 as ci_pct, {BLOCK} as block_days
+ from (select strategy, {SHARPE} as sharpe, count(*) as n_obs from returns group by 1) o join (select strategy, quantile_cont(s, 0.05) as lo, quantile_cont(s, 0.95) as hi, count(*) as n_boot from ({SH}) x group by 1) b on b.strategy = o.strategy"""),
+    ("strat",),
+)
+def fct_portfolio_strategy_stats(spark, sf_dir):
+    """Sharpe ratio of each strategy on the common dates with its bootstrap interval; one row for each window and strategy, lo <= hi."""
+    rows = boot_dates(spark, sf_dir)
+    own = rows.groupBy("strategy").agg(PF.sharpe("daily_return").alias("sharpe"), F.count(F.lit(1)).alias("n_obs"))
+    drawn = P.resampled(rows, REPS, SEED).groupBy("rep", "strategy").agg(PF.sharpe("daily_return").alias("s"))
+    got = own.join(P.interval(drawn, ["strategy"], "s"), "strategy")
+    return got.select(F.lit("long").alias("window_id"), "strategy", r("sharpe", 5).alias("sharpe"), r("lo", 5).alias("sharpe_lo"), r("hi", 5).alias("sharpe_hi"), "n_obs", "n_boot", F.lit(90).alias("ci_pct"), F.lit(BLOCK).alias("block_days"))
+
+
+@query(
+    with_boot(f"""select 'long' as window_id, x.strategy as strategy_a, y.strategy as strategy_b, round(max(p.sharpe), 5) as sharpe_a, round(max(q.sharpe), 5) as sharpe_b, round(max(p.sharpe) - max(q.sharpe), 5) as sharpe_diff, round(quantile_cont(x.s - y.s, 0.05), 5) as diff_lo, round(quantile_cont(x.s - y.s, 0.95), 5) as diff_hi,
+ quantile_cont(x.s - y.s, 0.05) > 0 or quantile_cont(x.s - y.s, 0.95) < 0 as distinguishable from ({SH}) x join ({SH}) y on x.rep = y.rep and x.strategy < y.strategy
+ join (select strategy, {SHARPE} as sharpe from returns group by 1) p on p.strategy = x.strategy join (select strategy, {SHARPE} as sharpe from returns group by 1) q on q.strategy = y.strategy group by x.strategy, y.strategy"""),
+    ("strat",),
+)
+def fct_portfolio_strategy_pairs(spark, sf_dir):
+    """Differences of Sharpe ratios with intervals on the same draws; distinguishable where the interval leaves out zero."""
+    rows = boot_dates(spark, sf_dir)
+    own = rows.groupBy("strategy").agg(PF.sharpe("daily_return").alias("sharpe"))
+    drawn = P.resampled(rows, REPS, SEED).groupBy("rep", "strategy").agg(PF.sharpe("daily_return").alias("s"))
+    diff = series.pairs(drawn, "strategy", "rep", "s").withColumn("d", F.col("x") - F.col("y"))
+    got = P.interval(diff, ["a", "b"], "d").join(own.select(F.col("strategy").alias("a"), F.col("sharpe").alias("sa")), "a").join(own.select(F.col("strategy").alias("b"), F.col("sharpe").alias("sb")), "b")
+    return got.select(
+        F.lit("long").alias("window_id"), F.col("a").alias("strategy_a"), F.col("b").alias("strategy_b"), r("sa", 5).alias("sharpe_a"), r("sb", 5).alias("sharpe_b"), r(F.col("sa") - F.col("sb"), 5).alias("sharpe_diff"),
+        r("lo", 5).alias("diff_lo"), r("hi", 5).alias("diff_hi"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("distinguishable"),
+    )

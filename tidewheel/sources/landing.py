@@ -119,3 +119,9 @@ def export_snapshot(tables: dict[str, DataFrame], path: str, partitions: int | N
         fs.delete(place, True)
         fs.rename(tmp, place)
     return spark.createDataFrame(list(zip(tables, counts, strict=True)), "table string, rows long")
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a Parquet table at ``path``: what several plans read is computed once."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
