@@ -106,12 +106,10 @@ class Pair:
         if len(self.known) > HELD:
             self.old, self.known = self.known, {}
         known = self.known
-        missing = set().union(*cut).difference(known)
-        # whole texts one by one, words together
-        self.learn([s for s in missing if len(s) <= 1000])
-        for s in missing:
-            if len(s) > 1000:
-                self.learn([s])
+        self.learn(list(set().union(*(c for c in cut if len(c) > 1)).difference(known)))
+        for c in cut:  # texts that are one stretch stand for themselves only when they stand alone
+            if len(c) == 1 and c[0] not in known:
+                self.learn(c)
         out: list[tuple[bytes, bytes] | None] = []
         for c in cut:
             parts = [known[s] for s in c]
@@ -129,6 +127,8 @@ class Walk:
 
     def __init__(self, ends_a: np.ndarray, ends_b: np.ndarray):
         self.ends_a, self.ends_b, self.n_a, self.n_b = ends_a, ends_b, len(ends_a), len(ends_b)
+        if self.n_a and ends_a[-1] != ends_b[-1]:
+            raise ValueError("both sides must cover the same bytes")
         parts: list[int] = []
         # what stands behind the last ends differs, so no probe passes them
         a, b = [*ends_a.tolist(), -1], [*ends_b.tolist(), -2]
