@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,43 +57,53 @@ def ratio(a: Column | str, b: Column | str) -> Column:
 def ln_gamma(z: Column) -> Column:
     """Logarithm of the gamma function for z > 0: Stirling's series eight above, less the factors between."""
     s = z + 8
-    series = (s - 0.5) * F.ln(s) - s + 0.5 * math.log(2 * math.pi) + 1 / (12 * s) - 1 / (360 * F.pow(s, F.lit(3.0))) + 1 / (1260 * F.pow(s, F.lit(5.0))) - 1 / (1680 * F.pow(s, F.lit(7.0)))
+    series = (s - 0.5) * F.ln(s) - s + 0.5 * math.log(2 * math.pi) + 1 / (12 * s) - 1 / (360 * F.pow(s, F.lit(3.0))) + 1 / (1260 * F.pow(s, F.lit(5.0))) - 1 / (1680 * F.pow(s, F.lit(7.0))) + 1 / (1188 * F.pow(s, F.lit(9.0)))
     for k in range(8):
         series = series - F.ln(z + k)
     return series
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    """The continued fraction of the incomplete beta function, front to back; it settles after a number of steps that
-    grows with the root of the larger parameter."""
-    tiny = 1e-300
+    """The continued fraction of the incomplete beta function, front to back, with two factors for each step; it settles
+    after a number of steps that grows with the root of the larger parameter."""
 
-    def off_zero(v: Column) -> Column:
-        return F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+    def factors(k: Column) -> Column:
+        even = k * (b - k) * x / ((a - 1 + 2 * k) * (a + 2 * k))
+        odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 1 + 2 * k))
+        return F.array(even, odd)
 
     def turn(s: Column, factor: Column) -> Column:
-        low, high = off_zero(1 + factor * s["low"]), off_zero(1 + factor / s["high"])
-        return F.struct((1 / low).alias("low"), high.alias("high"), (s["value"] * high / low).alias("value"))
+        # the product lags by one turn, so that no part is made twice
+        return F.struct(F.try_divide(F.lit(1.0), 1 + factor * s["low"]).alias("low"), (1 + F.try_divide(factor, s["high"])).alias("high"), (s["value"] * s["low"] * s["high"]).alias("value"))
 
-    def step(s: Column, m: Column) -> Column:
-        # the turns share their inputs, so each is bound once by a one-element transform
-        even = m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))
-        return F.get(F.transform(F.array(turn(s, even)), lambda t: turn(t, odd)), F.lit(0))
-
-    first = 1 / off_zero(1 - (a + b) * x / (a + 1))
-    start = F.struct(first.alias("low"), F.lit(1.0).alias("high"), first.alias("value"))
+    start = F.struct(F.try_divide(F.lit(1.0), 1 - (a + b) * x / (a + 1)).alias("low"), F.lit(1.0).alias("high"), F.lit(1.0).alias("value"))
     steps = F.sequence(F.lit(1), F.ceil(30 + 6 * F.sqrt(F.greatest(a, b))).cast("int"))
-    return F.aggregate(F.transform(steps, lambda k: k.cast("double")), start, step, lambda s: s["value"])
+    every = F.flatten(F.transform(steps, lambda k: bound(k.cast("double"), factors)))
+    return F.aggregate(every, start, turn, lambda s: s["value"] * s["low"] * s["high"])
 
 
 def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
     """The regularised incomplete beta function for a, b > 0 and x from 0 to 1."""
-    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
-    low = x < (a + 1) / (a + b + 2)
-    # the side on which the fraction settles fast
-    value = front * _beta_fraction(F.when(low, a).otherwise(b), F.when(low, b).otherwise(a), F.when(low, x).otherwise(1 - x)) / F.when(low, a).otherwise(b)
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(low, value).otherwise(1 - value)
+
+    def value(q: Column) -> Column:
+        a, b, x = q["a"], q["b"], q["x"]
+        front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
+        part = front * _beta_fraction(a, b, x) / a
+        return F.when(q["turned"], 1 - part).otherwise(part)
+
+    def sided(q: Column) -> Column:
+        # the side on which the fraction settles fast
+        low = q["x"] < (q["a"] + 1) / (q["a"] + q["b"] + 2)
+        one = F.struct(q["a"].alias("a"), q["b"].alias("b"), q["x"].alias("x"), F.lit(False).alias("turned"))
+        other = F.struct(q["b"].alias("a"), q["a"].alias("b"), (1 - q["x"]).alias("x"), F.lit(True).alias("turned"))
+        return F.when(q["x"] <= 0, 0.0).when(q["x"] >= 1, 1.0).otherwise(bound(F.when(low, one).otherwise(other), value))
+
+    return bound(F.struct(a.alias("a"), b.alias("b"), x.alias("x")), sided)
 
 
 def correlation_p(r: Column | str, n: Column | str) -> Column:
@@ -100,3 +111,9 @@ def correlation_p(r: Column | str, n: Column | str) -> Column:
     r, n = c(r), c(n)
     p = incomplete_beta((n.cast("double") - 2) / 2, F.lit(0.5), 1 - r * r)
     return F.when(r.isNull() | F.isnan(r) | (n < 3), 1.0).when(F.abs(r) >= 1, 0.0).otherwise(p)
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation as an aggregate; null where one side doesn't vary."""
+    both = c(x).isNotNull() & c(y).isNotNull()
+    return F.try_divide(F.covar_pop(c(x), c(y)), F.stddev_pop(F.when(both, c(x))) * F.stddev_pop(F.when(both, c(y))))

@@ -207,12 +207,11 @@ def forecasts(rows: DataFrame, groups: list[str], x: list[str], how: Boost | Non
     how = how or Boost()
     columns = [*groups, *keep, "i", "y"]
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in columns) + ", n_train long, train_mean double, pred double"
-    names = [*columns, "n_train", "train_mean", "pred"]
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         got = _split(part, x, least)
         if got is None or got[1].empty:
-            return pd.DataFrame({k: [] for k in names})
+            return part[columns].iloc[:0].assign(n_train=0, train_mean=0.0, pred=0.0)
         _, test, a, y = got
         model = Model(a, y, tuned(a, y, how) if tune else how)
         return test[columns].assign(n_train=len(y), train_mean=y.mean(), pred=model.predict(_matrix(test, x)))
@@ -264,7 +263,7 @@ def importances(rows: DataFrame, groups: list[str], x: list[str], how: Boost | N
     def measure(part: pd.DataFrame) -> pd.DataFrame:
         got = _split(part.assign(role="train"), x, least)
         if got is None:
-            return pd.DataFrame({k: [] for k in [*groups, "feature", "importance"]})
+            return part[groups].iloc[:0].assign(feature="", importance=0.0)
         train, _, a, y = got
         model = Model(a, y, how)
         spread = ((y - y.mean()) ** 2).sum()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as X
-from ..functions.scalars import c, correlation_p
+from ..functions.scalars import c, correlation, correlation_p
 
 
 def numbered(df: DataFrame, key: str = "symbol", time: str = "date") -> DataFrame:
@@ -237,13 +237,13 @@ def forecast_scores(out: DataFrame, keys: list[str]) -> DataFrame:
     r2 = 1 - F.try_divide(F.sum(F.pow(F.col("y") - F.col("pred"), F.lit(2.0))), F.var_pop("y") * F.count("y"))
     hit = F.when((F.signum("pred") == F.signum("y")) & (F.col("y") != 0), 1.0).otherwise(0.0)
     by_fold = out.groupBy(*keys, "fold").agg(r2.alias("r2")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_folds"), F.sum(F.when(F.col("r2") > 0, 1).otherwise(0)).alias("folds_passed"))
-    return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("pred", "y").alias("ic"), F.avg(hit).alias("accuracy"), r2.alias("r2")).join(by_fold, keys)
+    return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("pred", "y").alias("ic"), F.avg(hit).alias("accuracy"), r2.alias("r2")).join(by_fold, keys)
 
 
 def ensembles(out: DataFrame, keys: list[str], least: int = 100) -> DataFrame:
     """Forecasts of several horizons of one row -> mean, median and the mean weighted by max(ic, 0.01), of horizons with
     more than ``least`` forecasts: (keys, date, mean, median, weighted). Forecasts count by row of their horizon."""
-    ic = out.groupBy(*keys, "horizon").agg(F.corr("pred", "y").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least).drop("n")
+    ic = out.groupBy(*keys, "horizon").agg(correlation("pred", "y").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least).drop("n")
     w = F.greatest(F.coalesce("ic", F.lit(0.0)), F.lit(0.01))
     each = out.join(ic, [*keys, "horizon"]).withColumn("p", F.col("pred") / F.col("horizon"))
     return each.groupBy(*keys, "date").agg(F.avg("p").alias("mean"), F.percentile("p", F.lit(0.5)).alias("median"), (F.sum(w * F.col("p")) / F.sum(w)).alias("weighted"), F.count(F.lit(1)).alias("n_horizons"))
@@ -267,7 +267,7 @@ def evaluated(rows: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
     share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
     regimes = {"low": F.col("vol") <= F.col("cut")[0], "medium": (F.col("vol") > F.col("cut")[0]) & (F.col("vol") <= F.col("cut")[1]), "high": F.col("vol") > F.col("cut")[1]}
     got = own.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("pred", "y").alias("ic"), F.avg(hit).alias("direction_accuracy"), share(F.col("y") > 0).alias("positive_target_rate"),
+        F.count(F.lit(1)).alias("n"), correlation("pred", "y").alias("ic"), F.avg(hit).alias("direction_accuracy"), share(F.col("y") > 0).alias("positive_target_rate"),
         share(F.col("pred") > 0).alias("positive_prediction_rate"), share(F.col("y") < 0).alias("down"), F.avg(strided).alias("m"), F.stddev_pop(strided).alias("sd"), F.count(strided).alias("n_strided"), F.avg("turned").alias("turnover"),
         *(F.avg(F.when(test & (F.col("n_vol") >= 6), hit)).alias(f"direction_accuracy_{k}") for k, test in regimes.items()),
     ).where(F.col("n") >= least)
@@ -285,7 +285,7 @@ def evaluated(rows: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
 def fold_counts(out: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """(keys, n_models, mean_train_rows, n_folds, folds_passed): a fold passes with forecasts that go with the target;
     folds with fewer than ``least`` targets are not judged."""
-    by_fold = out.groupBy(*keys, "fold").agg(F.count("y").alias("k"), F.corr("pred", "y").alias("ic"), F.max("n_train").alias("n_train"))
+    by_fold = out.groupBy(*keys, "fold").agg(F.count("y").alias("k"), correlation("pred", "y").alias("ic"), F.max("n_train").alias("n_train"))
     judged = F.col("k") >= least
     good = judged & ~F.isnan("ic") & (F.col("ic") > 0)
     return by_fold.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_models"), F.floor(F.avg("n_train")).alias("mean_train_rows"), F.count(F.when(judged, 1)).alias("n_folds"), F.count(F.when(good, 1)).alias("folds_passed"))

@@ -51,8 +51,10 @@ def logs(names: tuple[str, ...] = HAR) -> list[Column]:
     return [F.ln(F.greatest(F.col(n), F.lit(FLOOR))) for n in names]
 
 
-def fitted(rows: DataFrame, by: list[str], ridge: float = 0.0, lasso: float = 0.0) -> DataFrame:
-    """(by, part, n, coefficients) from all rows of the group whose part is smaller."""
+def fitted(rows: DataFrame, by: list[str], ridge: float = 0.0, lasso: float = 0.0, models: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(by, part, n, coefficients) from all rows of the group whose part is smaller. With ``models`` (name -> ridge, lasso) there is a row for
+    each of them, with its name in ``model``: the sums are made once."""
+    many = models or {"": (ridge, lasso)}
     cols = [F.lit(1.0), *logs(), F.ln(F.greatest("y", F.lit(FLOOR)))]
     m = len(cols)
     names = [f"g{k}" for k in range(m * (m + 1) // 2)]
@@ -63,18 +65,20 @@ def fitted(rows: DataFrame, by: list[str], ridge: float = 0.0, lasso: float = 0.
 
     def solve(batches):
         for b in batches:
-            out = []
-            for g in b["g"]:
-                full = np.zeros((m, m))
-                full[np.triu_indices(m)] = g
-                full += np.triu(full, 1).T
-                a = full[:-1, :-1] + ridge * np.diag([0.0] + [1.0] * (m - 2))
-                beta = np.linalg.lstsq(a, full[:-1, -1], rcond=None)[0]
-                out.append(soft_descent(a, full[:-1, -1], lasso * full[0, 0], beta) if lasso else beta)
-            yield b.drop(columns="g").assign(coefficients=out)
+            for name, (l2, l1) in many.items():
+                out = []
+                for g in b["g"]:
+                    full = np.zeros((m, m))
+                    full[np.triu_indices(m)] = g
+                    full += np.triu(full, 1).T
+                    a = full[:-1, :-1] + l2 * np.diag([0.0] + [1.0] * (m - 2))
+                    beta = np.linalg.lstsq(a, full[:-1, -1], rcond=None)[0]
+                    out.append(soft_descent(a, full[:-1, -1], l1 * full[0, 0], beta) if l1 else beta)
+                yield b.drop(columns="g").assign(coefficients=out, model=name)
 
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*by, "part"])
-    return sums.mapInPandas(solve, f"{schema}, n long, coefficients array<double>")
+    got = sums.mapInPandas(solve, f"{schema}, n long, coefficients array<double>, model string")
+    return got if models else got.drop("model")
 
 
 def log_forecast(c: str = "coefficients") -> Column:
@@ -86,9 +90,10 @@ def log_forecast(c: str = "coefficients") -> Column:
 
 def smeared(rows: DataFrame, models: DataFrame, by: list[str]) -> DataFrame:
     """``models`` with smear: the mean of exp(residual) over the rows that each was fitted on."""
-    use = models.select(*by, F.col("part").alias("__part"), "coefficients")
+    also = ["model"] if "model" in models.columns else []
+    use = models.select(*by, F.col("part").alias("__part"), "coefficients", *also)
     res = rows.join(use, by).where("part < __part").withColumn("e", F.exp(F.ln(F.greatest("y", F.lit(FLOOR))) - log_forecast()))
-    return models.join(res.groupBy(*by, F.col("__part").alias("part")).agg(F.avg("e").alias("smear")), [*by, "part"])
+    return models.join(res.groupBy(*by, F.col("__part").alias("part"), *also).agg(F.avg("e").alias("smear")), [*by, "part", *also])
 
 
 def qlike(actual: str, pred: str) -> Column:
@@ -102,7 +107,15 @@ def forecasts(rows: DataFrame, ridge: float = 0.0, lasso: float = 0.0, regime: s
     ``base``: the EWMA of volatility up to the row, over the trainable rows before it. With a ``regime`` column, a row
     takes the model of its own regime where that has ``least`` rows, else the model of all.
     """
-    own = ewma(parted(rows, folds), "symbol", "gk_vol").withColumnRenamed("ewma", "base")
+    return parted_forecasts(with_base(parted(rows, folds)), ridge, lasso, regime, least)
+
+
+def with_base(rows: DataFrame) -> DataFrame:
+    return ewma(rows, "symbol", "gk_vol").withColumnRenamed("ewma", "base")
+
+
+def parted_forecasts(own: DataFrame, ridge: float = 0.0, lasso: float = 0.0, regime: str | None = None, least: int = 30) -> DataFrame:
+    """``forecasts`` of rows that have their part and base."""
     models = smeared(own, fitted(own, ["symbol"], ridge, lasso), ["symbol"])
     out = own.where("part > 0").join(models.select("symbol", "part", "coefficients", "smear"), ["symbol", "part"])
     pred = F.exp(log_forecast()) * F.col("smear")
@@ -114,6 +127,26 @@ def forecasts(rows: DataFrame, ridge: float = 0.0, lasso: float = 0.0, regime: s
     return out.withColumn("pred", pred).select("symbol", "date", "slice", "part", "n_dev", "y", "pred", "base")
 
 
+def swept(rows: DataFrame, horizons: tuple[int, ...], folds: tuple[int, ...], models: dict[str, tuple[float, float]], regime: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows and out-of-sample forecasts of a whole grid: each horizon and number of folds is a key of its own (symbol|horizon|folds), so one pass makes
+    all their sums, and every model (and the one by ``regime``) is solved from the same sums. The forecasts' key ends with the model's name."""
+    own = None
+    for h in horizons:
+        cut = sliced(rows, horizon=h)
+        for k in folds:
+            one = parted(cut, k).withColumn("symbol", F.concat_ws("|", "symbol", F.lit(str(h)), F.lit(str(k))))
+            own = one if own is None else own.unionByName(one)
+    own = with_base(own)
+    fit = smeared(own, fitted(own, ["symbol"], models=models), ["symbol"])
+    out = own.where("part > 0").join(fit.select("symbol", "part", "model", "coefficients", "smear"), ["symbol", "part"])
+    columns = ["date", "slice", "part", "n_dev", "y", "pred", "base"]
+    out = out.withColumn("pred", F.exp(log_forecast()) * F.col("smear")).select(F.concat_ws("|", "symbol", "model").alias("symbol"), *columns)
+    if regime:
+        by = parted_forecasts(own, regime=regime)
+        out = out.unionByName(by.select(F.concat_ws("|", "symbol", F.lit("rv_har_regime")).alias("symbol"), *columns))
+    return own, out
+
+
 def scores(out: DataFrame, folds: int = 5) -> DataFrame:
     """The metrics of each symbol: n_obs, oos_r2, qlike, baseline_qlike, qlike_skill_ratio, n_folds, folds_passed, and the same
     of the holdout."""

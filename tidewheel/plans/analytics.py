@@ -219,12 +219,17 @@ def r2(spark, sf_dir):
 
 
 @query(
-    f"""select symbol, round(avg(sign(pred) * actual) * 252, 8) as alpha, round(avg(abs(pred - prev)), 8) as turnover from (select *, lag(pred) over (partition by symbol order by date) as prev from ({PRED}) p where pred is not null and actual is not null) x group by symbol""",
+    f"""select symbol, round(avg(case when i % 5 = 0 then s end) * 252 / 5, 8) as alpha, round(avg(abs(pred - prev)), 8) as turnover, round(avg(case when i % 5 = 0 then s end) / nullif(stddev_pop(case when i % 5 = 0 then s end), 0) * sqrt(252.0 / 5) - 0.0005 * avg(abs(pred - prev)), 6) as turnover_adjusted_sharpe
+ from (select *, sign(pred) * actual as s, lag(pred) over (partition by symbol order by date) as prev, row_number() over (partition by symbol order by date) - 1 as i from ({PRED}) p where pred is not null and actual is not null) x group by symbol""",
     ("daily",),
 )
 def annualised_alpha(spark, sf_dir):
-    p = predictions(spark, sf_dir).where("pred is not null and actual is not null").withColumn("prev", F.lag("pred").over(X.by("symbol")))
-    return p.groupBy("symbol").agg(r(F.avg(F.signum("pred") * F.col("actual")) * 252).alias("alpha"), r(F.avg(F.abs(F.col("pred") - F.col("prev")))).alias("turnover"))
+    """Alpha and Sharpe ratio less the cost of turning, of every fifth day: a forecast's horizon is its stride."""
+    w = X.by("symbol")
+    p = predictions(spark, sf_dir).where("pred is not null and actual is not null").withColumns({"turned": F.abs(F.col("pred") - F.lag("pred").over(w)), "i": F.row_number().over(w) - 1})
+    s = F.when(F.col("i") % 5 == 0, F.signum("pred") * F.col("actual"))
+    sharpe = F.try_divide(F.avg(s), F.stddev_pop(s)) * F.sqrt(F.lit(252.0 / 5))
+    return p.groupBy("symbol").agg(r(F.avg(s) * 252 / 5).alias("alpha"), r(F.avg("turned")).alias("turnover"), r(sharpe - 0.0005 * F.avg("turned"), 6).alias("turnover_adjusted_sharpe"))
 
 
 VOLS = "select symbol, date, lag(vol_20d) over (partition by symbol order by date) / sqrt(252.0) as p, vol_20d / sqrt(252.0) as a from daily"

@@ -6,12 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import windows as X
-from ..functions.scalars import correlation_p
+from ..functions.scalars import correlation, correlation_p
 from ..operators import boosting as BT
 from ..operators import evaluation as E
 from ..operators import features as FT
 from ..operators import portfolio as P
-from ..operators import series
 from ..operators import volatility as V
 from .analytics import PRED, predictions
 from .portfolios import NUM, rows_of, trailing, universe
@@ -76,11 +75,7 @@ def overlapping_windows(spark, sf_dir):
 @query()
 def gb_volatility(spark, sf_dir):
     """Boosted trees on the volatility features in the five expanding folds and the locked holdout of vol_backtest: the same metrics."""
-    own = V.parted(V.sliced(vol_rows(spark, sf_dir)))
-    tests = F.explode(F.sequence(F.greatest(F.lit(1), F.col("part")), F.lit(6)))
-    rows = series.ewma(own, "symbol", "gk_vol").withColumnRenamed("ewma", "base").withColumn("test", tests)
-    rows = rows.withColumns({"role": F.when(F.col("part") == F.col("test"), "test").otherwise("train"), "i": F.row_number().over(W.partitionBy("symbol", "test").orderBy("date")).cast("long")})
-    out = BT.forecasts(rows.where("part <= test"), ["symbol", "test"], ["gk_vol", *V.HAR], BT.Boost(rounds=100, depth=3), keep=("date", "slice", "part", "n_dev", "base"))
+    out = boosted_parts(V.with_base(V.parted(V.sliced(vol_rows(spark, sf_dir)))), BT.Boost(rounds=100, depth=3))
     return V.scores(out).select("symbol", F.col("n_obs").cast("long").alias("n_obs"), "n_folds", "folds_passed", "holdout_n_obs", *(r(m, 6).alias(m) for m in METRICS))
 
 
@@ -94,7 +89,7 @@ def tune_grid(spark, sf_dir):
     models = E.nested_ridge(rows, f, DEFAULT, "y")
     out = E.predicted(rows, f, models, DEFAULT)
     chosen = models.groupBy("symbol").agg(*(F.count(F.when(F.col("ridge") == p, 1)).alias(f"chose_{str(p).replace('.', '_')}") for p in E.PENALTIES))
-    got = out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.corr("pred", "y").alias("ic"), (1 - F.try_divide(F.sum(F.pow(F.col("y") - F.col("pred"), F.lit(2.0))), F.var_pop("y") * F.count("y"))).alias("r2"))
+    got = out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), correlation("pred", "y").alias("ic"), (1 - F.try_divide(F.sum(F.pow(F.col("y") - F.col("pred"), F.lit(2.0))), F.var_pop("y") * F.count("y"))).alias("r2"))
     return got.join(chosen, "symbol").select("symbol", "n", r("ic", 5).alias("ic"), r("r2", 5).alias("r2"), *[c for c in chosen.columns if c != "symbol"])
 
 
@@ -143,10 +138,52 @@ def latest_forecast(spark, sf_dir):
 )
 def ic(spark, sf_dir):
     """The information coefficient with its two-sided p-value (in SQL: Simpson's rule on the density of the coefficient)."""
-    got = predictions(spark, sf_dir).where("pred is not null and actual is not null").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.corr("pred", "actual").alias("ic"))
+    got = predictions(spark, sf_dir).where("pred is not null and actual is not null").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), correlation("pred", "actual").alias("ic"))
     return got.select("symbol", "n", r("ic", 6).alias("ic"), r(correlation_p("ic", "n"), 6).alias("p_value"))
 
 
+PENALTIES = (0.01, 0.1, 1.0)
+VOL_MODELS = {"rv_har": (0.0, 0.0)} | {f"rv_ridge {a}": (a, 0.0) for a in PENALTIES} | {f"rv_lasso {a}": (0.0, a) for a in PENALTIES}
+
+
+def boosted_parts(own, how):
+    """Forecasts by boosted trees of rows with their part: each part by a model of all rows before it."""
+    tests = F.explode(F.sequence(F.greatest(F.lit(1), F.col("part")), F.col("most")))
+    rows = own.withColumn("most", F.max("part").over(W.partitionBy("symbol"))).withColumn("test", tests)
+    rows = rows.withColumns({"role": F.when(F.col("part") == F.col("test"), "test").otherwise("train"), "i": F.row_number().over(W.partitionBy("symbol", "test").orderBy("date")).cast("long")})
+    return BT.forecasts(rows, ["symbol", "test"], ["gk_vol", *V.HAR], how, keep=("date", "slice", "part", "n_dev", "base"))
+
+
+@query()
+def research_sweep(spark, sf_dir):
+    """Nine volatility models by two horizons and two numbers of folds for every symbol, with metrics and the gate. Runs with fewer than 60
+    rows to train and test are skipped; linear models of one horizon and number of folds share their sums."""
+    own, out = V.swept(vol_rows(spark, sf_dir), (5, 10), (5, 10), VOL_MODELS, "regime")
+    gb = boosted_parts(own, BT.Boost(rounds=100, depth=3))
+    out = out.unionByName(gb.select(F.concat_ws("|", "symbol", F.lit("rv_gb")).alias("symbol"), "date", "slice", "part", "n_dev", "y", "pred", "base"))
+    name = F.split("symbol", "\\|")
+    got = E.skill_gate(V.scores(out).withColumn("n_folds", name[2].cast("int"))).where("n_obs >= 60")
+    return got.select(
+        name[0].alias("symbol"), name[3].alias("model"), name[1].cast("int").alias("horizon"), name[2].cast("int").alias("n_splits"), F.col("n_obs").cast("long").alias("n_obs"), "folds_passed",
+        *(r(m, 6).alias(m) for m in ("oos_r2", "qlike_skill_ratio", "holdout_oos_r2", "holdout_qlike_skill_ratio")), "cleared",
+    )
+
+
+@query()
+def holdout_readout(spark, sf_dir):
+    """The locked holdout's own metrics, whose targets are made inside it, of the log-space model."""
+    got = V.scores(V.forecasts(V.sliced(vol_rows(spark, sf_dir))))
+    return got.where("holdout_n_obs > 0").select("symbol", "holdout_n_obs", *(r(m, 6).alias(m) for m in METRICS if m.startswith("holdout")))
+
+
+@query()
+def har_coefficients(spark, sf_dir):
+    """The log-space cascade's coefficients in every expanding fold and before the holdout."""
+    own = V.parted(V.sliced(vol_rows(spark, sf_dir)))
+    c = F.col("coefficients")
+    return V.fitted(own, ["symbol"]).select("symbol", "part", "n", *(r(c[k], 6).alias(n) for k, n in enumerate(("intercept", "day", "week", "month"))))
+
+
 # --- forecasts that drive weights ---------------------------------------------------------------------
 
 MU_HORIZON = 20

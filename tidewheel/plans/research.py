@@ -16,7 +16,7 @@ from ..operators import volatility as V
 from ..sources import bars, landing
 from ..streaming.incremental import scratch, shared_folder
 from .analytics import DRAW
-from .portfolios import NUM, REPS, SEED, SH, N, boot_dates, boot_sql, rows_of, trailing, with_boot
+from .portfolios import BT, NUM, REPS, SEED, SH, N, boot_dates, boot_sql, rows_of, tested, trailing, with_boot
 from .registry import d, daily, query, r, strategies
 
 
@@ -252,16 +252,6 @@ def check_effect(spark, sf_dir):
     return C.pair_consistent(p, "close", "open", "diff", "lo", "hi", "flag", 0.0004).select("symbol", d().alias("date"))
 
 
-@query(
-    f"""select symbol, count(*) as n, round(corr(l, vol_20d), 5) as ic from (select *, lag(vol_20d) over (partition by symbol order by date) as l from (select *, count(*) over (partition by symbol) as n_rows from ({NUM}) x) y) z
- where i >= n_rows - least(252, floor(n_rows * 0.2)) and l is not null and vol_20d is not null group by symbol""",
-    ("daily",),
-)
-def holdout_readout(spark, sf_dir):
-    rows = E.holdout(rows_of(spark, sf_dir)).withColumn("l", F.lag("vol_20d").over(X.by("symbol"))).where("slice = 'holdout' and l is not null and vol_20d is not null")
-    return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r(F.corr("l", "vol_20d"), 5).alias("ic"))
-
-
 def returns_ahead(spark, sf_dir, horizon: int):
     w = X.by("symbol")
     y = X.rolling(F.sum, "daily_return", w.rowsBetween(1, horizon), horizon)
@@ -347,3 +337,43 @@ def fct_portfolio_strategy_pairs(spark, sf_dir):
         F.lit("long").alias("window_id"), F.col("a").alias("strategy_a"), F.col("b").alias("strategy_b"), r("sa", 5).alias("sharpe_a"), r("sb", 5).alias("sharpe_b"), r(F.col("sa") - F.col("sb"), 5).alias("sharpe_diff"),
         r("lo", 5).alias("diff_lo"), r("hi", 5).alias("diff_hi"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("distinguishable"),
     )
+
+
+@query(
+    f"""with bt as materialized ({BT}), ends as (select rebalance, symbol, arg_max(after, date) as e, max(weight) as w from bt group by 1, 2), drift as (select rebalance, symbol, w, e / sum(e) over (partition by rebalance) as dr from ends),
+ turn as (select sum(0.5 * abs(w - coalesce(p, 0)) * 0.0005) as cost from (select *, lag(dr) over (partition by symbol order by rebalance) as p from drift) z),
+ g as (select date, symbol, held * r as c, sum(held * r) over (partition by date) as total from bt), gross as (select sum(c) as s from g)
+ select 'long' as window_id, 'inverse_vol' as strategy, symbol, round(sum(c), 6) as contribution_to_return, round(covar_samp(c, total) / nullif(var_samp(total), 0), 6) as contribution_to_risk, round(any_value(s), 6) as strategy_gross_return from g, gross group by symbol
+ union all select 'long', 'inverse_vol', '(costs)', round(-cost, 6), 0.0, round(s, 6) from turn, gross""",
+    ("aligned",),
+)
+def fct_performance_attribution(spark, sf_dir):
+    """Attribution of a strategy with its gross return, to which the symbols' contributions sum; costs have a row of their own."""
+    got = P.attribution(tested(spark, sf_dir))
+    gross = got.where("symbol <> '(costs)'").agg(F.sum("contribution_to_return").alias("gross"))
+    out = got.crossJoin(F.broadcast(gross))  # one row
+    return out.select(F.lit("long").alias("window_id"), F.lit("inverse_vol").alias("strategy"), "symbol", r("contribution_to_return", 6).alias("contribution_to_return"), r("contribution_to_risk", 6).alias("contribution_to_risk"), r("gross", 6).alias("strategy_gross_return"))
+
+
+@query(
+    f"""with ex as materialized ({EX}), pairs as materialized (select s.strategy, s.date, s.daily_return as inc, e.ex from strat s join ex e on e.strategy = s.strategy and e.date = s.date),
+ common as materialized (select date, row_number() over (order by date) - 1 as i from (select date from pairs group by date having count(*) = 3) z), size as materialized (select cast(count(*) as bigint) as n from common),
+ draws as materialized ({boot_sql(N)}), s as (select b.rep, p.strategy, coalesce(avg(p.inc) / nullif(stddev_samp(p.inc), 0), 0) * sqrt(252.0) - coalesce(avg(p.ex) / nullif(stddev_samp(p.ex), 0), 0) * sqrt(252.0) as d from draws b join common c on c.i = b.i join pairs p on p.date = c.date group by 1, 2),
+ own as (select p.strategy, coalesce(avg(p.inc) / nullif(stddev_samp(p.inc), 0), 0) * sqrt(252.0) as a, coalesce(avg(p.ex) / nullif(stddev_samp(p.ex), 0), 0) * sqrt(252.0) as b, count(*) as n_obs from pairs p join common c on c.date = p.date group by 1)
+ select o.strategy, round(any_value(b), 5) as sharpe_ex, round(any_value(a), 5) as sharpe_inc, round(any_value(a - b), 5) as sharpe_diff, round(quantile_cont(d, 0.05), 5) as diff_lo, round(quantile_cont(d, 0.95), 5) as diff_hi,
+ quantile_cont(d, 0.05) > 0 or quantile_cont(d, 0.95) < 0 as distinguishable, any_value(n_obs) as n_obs, count(*) as n_boot, 90 as ci_pct from s join own o on o.strategy = s.strategy group by o.strategy""",
+    ("strat",),
+)
+def fct_portfolio_added_effect(spark, sf_dir):
+    """Each strategy with and without one symbol on common dates: Sharpe ratios, their difference and its paired interval."""
+    inc = strategies(spark, sf_dir).select("strategy", "date", "daily_return")
+    ex = strategies(spark, sf_dir, LEFT_OUT).select("strategy", "date", F.col("daily_return").alias("ex"))
+    both = inc.join(ex, ["strategy", "date"])
+    common = both.join(both.groupBy("date").agg(F.count(F.lit(1)).alias("k")).where("k = 3").select("date"), "date", "left_semi")
+    own = common.groupBy("strategy").agg(PF.sharpe("ex").alias("sharpe_ex"), PF.sharpe("daily_return").alias("sharpe_inc"), F.count(F.lit(1)).alias("n_obs"))
+    drawn = P.resampled(common, REPS, SEED).groupBy("rep", "strategy").agg((PF.sharpe("daily_return") - PF.sharpe("ex")).alias("d"))
+    got = own.join(P.interval(drawn, ["strategy"], "d"), "strategy")
+    return got.select(
+        "strategy", r("sharpe_ex", 5).alias("sharpe_ex"), r("sharpe_inc", 5).alias("sharpe_inc"), r(F.col("sharpe_inc") - F.col("sharpe_ex"), 5).alias("sharpe_diff"), r("lo", 5).alias("diff_lo"), r("hi", 5).alias("diff_hi"),
+        ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("distinguishable"), "n_obs", "n_boot", F.lit(90).alias("ci_pct"),
+    )
