@@ -51,7 +51,7 @@ def test_few_rows_are_all_medium(spark):
 
 def test_calendar_fold_over_a_weekend(spark):
     spine = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (4, 5, 8)], "date date")
-    asset = spark.createDataFrame([(dt.date(2024, 1, d), 0.1) for d in (5, 6, 7, 8)], "date date, daily_return double")
+    asset = spark.createDataFrame([(dt.date(2024, 1, d), 0.1) for d in (5, 6, 7, 8)], "date date, daily_return double").withColumn("symbol", F.lit("a"))
     got = [r["daily_return"] for r in portfolio.calendar_align(asset, spine).orderBy("date").collect()]
     assert got[0] is None and got[-1] == pytest.approx(0.331)
 

@@ -6,6 +6,8 @@ running sum over the parts before it. Only the small systems are solved in numpy
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -127,16 +129,17 @@ def parted_forecasts(own: DataFrame, ridge: float = 0.0, lasso: float = 0.0, reg
     return out.withColumn("pred", pred).select("symbol", "date", "slice", "part", "n_dev", "y", "pred", "base")
 
 
-def swept(rows: DataFrame, horizons: tuple[int, ...], folds: tuple[int, ...], models: dict[str, tuple[float, float]], regime: str | None = None) -> tuple[DataFrame, DataFrame]:
+def swept(rows: DataFrame, horizons: tuple[int, ...], folds: tuple[int, ...], models: dict[str, tuple[float, float]], regime: str | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Rows and out-of-sample forecasts of a whole grid: each horizon and number of folds is a key of its own (symbol|horizon|folds), so one pass makes
-    all their sums, and every model (and the one by ``regime``) is solved from the same sums. The forecasts' key ends with the model's name."""
+    all their sums, and every model (and the one by ``regime``) is solved from the same sums. The forecasts' key ends with the model's name.
+    ``keep`` may write the rows, which are read several times."""
     own = None
     for h in horizons:
         cut = sliced(rows, horizon=h)
         for k in folds:
             one = parted(cut, k).withColumn("symbol", F.concat_ws("|", "symbol", F.lit(str(h)), F.lit(str(k))))
             own = one if own is None else own.unionByName(one)
-    own = with_base(own)
+    own = keep(with_base(own))
     fit = smeared(own, fitted(own, ["symbol"], models=models), ["symbol"])
     out = own.where("part > 0").join(fit.select("symbol", "part", "model", "coefficients", "smear"), ["symbol", "part"])
     columns = ["date", "slice", "part", "n_dev", "y", "pred", "base"]

@@ -12,6 +12,8 @@ from ..operators import evaluation as E
 from ..operators import features as FT
 from ..operators import portfolio as P
 from ..operators import volatility as V
+from ..sources import landing
+from ..streaming.incremental import scratch, shared_folder
 from .analytics import PRED, predictions
 from .portfolios import NUM, rows_of, trailing, universe
 from .registry import d, daily, query, r
@@ -21,6 +23,11 @@ HORIZONS = (1, 5, 20)
 DEFAULT = FT.names("default")
 
 
+def kept(df):
+    """``df`` written once below the shared folder: several plans read it."""
+    return landing.written(df, scratch(shared_folder(df.sparkSession), "rows"))
+
+
 def ahead(column: str, horizon: int):
     """The sum over the next rows, where all of them are there."""
     return X.rolling(F.sum, column, X.by("symbol").rowsBetween(1, horizon), horizon)
@@ -75,7 +82,7 @@ def overlapping_windows(spark, sf_dir):
 @query()
 def gb_volatility(spark, sf_dir):
     """Boosted trees on the volatility features in the five expanding folds and the locked holdout of vol_backtest: the same metrics."""
-    out = boosted_parts(V.with_base(V.parted(V.sliced(vol_rows(spark, sf_dir)))), BT.Boost(rounds=100, depth=3))
+    out = boosted_parts(kept(V.with_base(V.parted(V.sliced(vol_rows(spark, sf_dir))))), BT.Boost(rounds=100, depth=3), F.lit(6))
     return V.scores(out).select("symbol", F.col("n_obs").cast("long").alias("n_obs"), "n_folds", "folds_passed", "holdout_n_obs", *(r(m, 6).alias(m) for m in METRICS))
 
 
@@ -93,15 +100,6 @@ def tune_grid(spark, sf_dir):
     return got.join(chosen, "symbol").select("symbol", "n", r("ic", 5).alias("ic"), r("r2", 5).alias("r2"), *[c for c in chosen.columns if c != "symbol"])
 
 
-@query()
-def tuned_forecast(spark, sf_dir):
-    """The boosted forecast of the next 20 rows with parameters chosen inside each fold's training rows: metrics by symbol."""
-    rows = featured(spark, sf_dir)
-    out = BT.walk_forward(rows, {20: "y20"}, DEFAULT, train=504, test=504, tune=True)
-    own = out.join(rows.select("symbol", "date", "vol"), ["symbol", "date"])
-    return rounded(E.evaluated(own, ["symbol", "horizon"]).join(E.fold_counts(out, ["symbol", "horizon"]), ["symbol", "horizon"]), ["symbol", "horizon"])
-
-
 def latest_rows(spark, sf_dir, train=252):
     """The last rows of each symbol with a known target, in order."""
     w = W.partitionBy("symbol").orderBy(F.col("date").desc())
@@ -146,21 +144,19 @@ PENALTIES = (0.01, 0.1, 1.0)
 VOL_MODELS = {"rv_har": (0.0, 0.0)} | {f"rv_ridge {a}": (a, 0.0) for a in PENALTIES} | {f"rv_lasso {a}": (0.0, a) for a in PENALTIES}
 
 
-def boosted_parts(own, how):
-    """Forecasts by boosted trees of rows with their part: each part by a model of all rows before it."""
-    tests = F.explode(F.sequence(F.greatest(F.lit(1), F.col("part")), F.col("most")))
-    rows = own.withColumn("most", F.max("part").over(W.partitionBy("symbol"))).withColumn("test", tests)
+def boosted_parts(own, how, last):
+    """Forecasts by boosted trees of rows with their part: each part up to ``last`` by a model of all rows before it."""
+    tests = F.explode(F.sequence(F.greatest(F.lit(1), F.col("part")), last))
+    rows = own.withColumn("test", tests)
     rows = rows.withColumns({"role": F.when(F.col("part") == F.col("test"), "test").otherwise("train"), "i": F.row_number().over(W.partitionBy("symbol", "test").orderBy("date")).cast("long")})
     return BT.forecasts(rows, ["symbol", "test"], ["gk_vol", *V.HAR], how, keep=("date", "slice", "part", "n_dev", "base"))
 
 
 @query()
 def research_sweep(spark, sf_dir):
-    """Nine volatility models by two horizons and two numbers of folds for every symbol, with metrics and the gate. Runs with fewer than 60
+    """Seven linear volatility models by two horizons and two numbers of folds for every symbol, with metrics and the gate. Runs with fewer than 60
     rows to train and test are skipped; linear models of one horizon and number of folds share their sums."""
-    own, out = V.swept(vol_rows(spark, sf_dir), (5, 10), (5, 10), VOL_MODELS, "regime")
-    gb = boosted_parts(own, BT.Boost(rounds=100, depth=3))
-    out = out.unionByName(gb.select(F.concat_ws("|", "symbol", F.lit("rv_gb")).alias("symbol"), "date", "slice", "part", "n_dev", "y", "pred", "base"))
+    _, out = V.swept(kept(vol_rows(spark, sf_dir)), (5, 10), (5, 10), VOL_MODELS, keep=kept)
     name = F.split("symbol", "\\|")
     got = E.skill_gate(V.scores(out).withColumn("n_folds", name[2].cast("int"))).where("n_obs >= 60")
     return got.select(
@@ -280,15 +276,17 @@ def return_runs(spark, sf_dir):
 
 
 def vol_runs(spark, sf_dir):
-    """The same of the volatility model."""
-    rows, out = vol_rows(spark, sf_dir), None
-    for dimension, probe, how in runs(VOL_BASE, VOL_PROBES):
-        made = V.forecasts(V.sliced(rows, least=how["least"], horizon=how["horizon"]), folds=how["folds"])
-        got = E.skill_gate(V.scores(made, how["folds"]))
-        long = F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("oos_r2", "qlike_skill_ratio", "folds_passed"))))
-        one = got.select("symbol", F.lit(dimension).alias("dimension"), F.lit(probe).alias("probe"), "cleared", long)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The same of the volatility model: every run's rows have a key of their own, so all runs are one pass."""
+    rows, own = kept(vol_rows(spark, sf_dir)), None
+    every = runs(VOL_BASE, VOL_PROBES)
+    for dimension, probe, how in every:
+        one = V.parted(V.sliced(rows, least=how["least"], horizon=how["horizon"]), how["folds"])
+        one = one.withColumn("symbol", F.concat_ws("|", "symbol", F.lit(dimension), F.lit(probe), F.lit(str(how["folds"]))))
+        own = one if own is None else own.unionByName(one)
+    name = F.split("symbol", "\\|")
+    got = E.skill_gate(V.scores(V.parted_forecasts(kept(V.with_base(own)))).withColumn("n_folds", name[3].cast("int")))
+    long = F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("oos_r2", "qlike_skill_ratio", "folds_passed"))))
+    return got.select(name[0].alias("symbol"), name[1].alias("dimension"), name[2].alias("probe"), "cleared", long)
 
 
 def reported(runs_):
