@@ -248,3 +248,20 @@ def test_empty_tables(empty, spark):
     assert alignment.aligned(empty, A, B, sent_rows=-1).count() == 0
     assert merkle.manifest(empty).count() == 0
     assert chat.digest(chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_labeller_gives_back_every_labelled_kind():
+    """The labels of its own training rows come out, those with even numbers among them."""
+    import collections
+
+    from tidewheel.llm import pii
+
+    rows = pii.LABELLED.strip().split("\n")
+    tagger = pii.Tagger(rows)
+    want, got = collections.Counter(), collections.Counter()
+    for words, labels in pii.parse_labelled(rows):
+        found = {k for k, *_ in tagger.spans([" ".join(words)])[0]}
+        for kind in set(labels) - {"O"}:
+            want[kind] += 1
+            got[kind] += kind in found
+    assert len(want) >= 5 and all(got[k] >= 0.9 * n for k, n in want.items()), (want, got)

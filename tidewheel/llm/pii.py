@@ -226,7 +226,7 @@ class Tagger:
             i, base, line = lines[k]
             own = best[starts[k] : starts[k] + n[k]]
             found = list(WORD.finditer(line))
-            for j in np.flatnonzero(own & (np.concatenate([[0], own[:-1]]) != own)):
+            for j in np.flatnonzero((own > 0) & (np.concatenate([[0], own[:-1]]) != own)):
                 e = j
                 while e + 1 < len(own) and own[e + 1] == own[j]:
                     e += 1
