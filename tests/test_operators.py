@@ -259,3 +259,38 @@ def test_grid_of_configurations_against_single_fits(spark):
         label = "one" if features == ["x1"] else "both"
         both = got.where((F.col("train") == train) & (F.col("features") == label) & (F.col("ridge") == ridge)).join(want, ["symbol", "date", "fold"], "full_outer").toPandas()
         assert len(both) == want.count() and np.allclose(both.pred, both.want)
+
+
+def test_snapshot_is_published_whole_or_not_at_all(spark, tmp_path):
+    path, rows = str(tmp_path / "public"), spark.range(5).toDF("v")
+    landing.export_snapshot({"a": rows, "b": rows}, path)
+    bad = rows.select(F.raise_error(F.lit("no")).cast("long").alias("v"))
+    with pytest.raises(Exception, match="no"):
+        landing.export_snapshot({"a": spark.range(9).toDF("v"), "b": bad}, path)
+    with pytest.raises(ValueError, match="more than 10"):
+        landing.export_snapshot({"a": spark.range(9).toDF("v")}, path, max_bytes=10)
+    assert landing.snapshot_table(spark, path, "a").count() == 5
+    assert [p.name for p in (tmp_path / "public").iterdir()] == ["snapshot-000000001"]
+    for n in (6, 7, 8):
+        landing.export_snapshot({"a": spark.range(n).toDF("v")}, path)
+    assert sorted(p.name for p in (tmp_path / "public").iterdir()) == ["snapshot-000000003", "snapshot-000000004"]
+    assert landing.snapshot_table(spark, path, "_manifest").collect()[0].asDict() == {"table": "a", "rows": 8}
+
+
+def test_stored_tables_are_made_and_widened_once(spark, tmp_path):
+    name, schema = "tidewheel_test_ensured", spark.createDataFrame([], "k string, V double, more long").schema
+    spark.createDataFrame([("a", 1.0)], "k string, v double").write.option("path", str(tmp_path / "t")).format("parquet").saveAsTable(name)
+    try:
+        assert landing.ensure_tables(spark, {name: schema, f"{name}_new": schema}, str(tmp_path)) == {name: ["more"], f"{name}_new": ["k", "V", "more"]}
+        assert landing.ensure_tables(spark, {name: schema, f"{name}_new": schema}, str(tmp_path)) == {name: [], f"{name}_new": []}
+        assert [tuple(r) for r in spark.table(name).collect()] == [("a", 1.0, None)]
+        assert spark.table(f"{name}_new").count() == 0
+    finally:
+        for n in (name, f"{name}_new"):
+            spark.sql(f"drop table if exists {n}")
+
+
+def test_metrics_table_sorts_and_fills(spark):
+    rows = [("return_x", "a", "ic", 0.1), ("return_x", "b", "ic", 0.2), ("return_x", "c", "r2", 0.5), ("vol_x", "d", "ic", 0.9), ("return_x", "e", "ic", 0.2), ("return_x", "e", "direction_accuracy", 0.6)]
+    got = evaluation.metrics_table(spark.createDataFrame(rows, "model string, symbol string, metric string, value double"), ("ic", "direction_accuracy", "r2"))
+    assert [tuple(r) for r in got.collect()] == [("e", 0.2, 0.6, None), ("b", 0.2, None, None), ("a", 0.1, None, None), ("c", None, None, 0.5)]

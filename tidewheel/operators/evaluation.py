@@ -377,3 +377,10 @@ def fragility(runs: DataFrame, keys: list[str], swing: float = 0.05, least: int
     got = got.withColumn("flags", flags).drop("crossed", "flipped")
     has = lambda *names: F.arrays_overlap("flags", F.array(*map(F.lit, names)))
     return got.withColumn("verdict", F.when(has("gate_flip", "sign_flip", "large_swing"), "fragile").when(has("no_base", "no_probes"), "inconclusive").otherwise("robust"))
+
+
+def metrics_table(metrics: DataFrame, names: tuple[str, ...], prefix: str = "return_") -> DataFrame:
+    """(model, symbol, metric, value) of the models that begin with ``prefix`` -> symbol and a column for each name, null where a symbol has no such
+    metric; the highest correlation first, then the highest accuracy, nulls last. A metric that stands twice counts with its greater value."""
+    wide = metrics.where(F.col("model").startswith(prefix)).groupBy("symbol").pivot("metric", list(names)).agg(F.max("value"))
+    return wide.select("symbol", *names).orderBy(F.desc_nulls_last("ic"), F.desc_nulls_last("direction_accuracy"))

@@ -256,30 +256,6 @@ def qlike(spark, sf_dir):
     return vols(spark, sf_dir).groupBy("symbol").agg(r(F.avg(rho - F.ln(rho) - 1)).alias("qlike"))
 
 
-@query(
-    f"""select symbol, count(*) as n_folds, cast(sum(case when q < b then 1 else 0 end) as bigint) as passed, round(avg(q) / nullif(avg(b), 0), 6) as ratio from (select symbol, extract(year from date) as fold, avg({RHO} - ln({RHO}) - 1) as q,
- avg(power(greatest(l, 0.002), 2) / power(greatest(a, 0.002), 2) - ln(power(greatest(l, 0.002), 2) / power(greatest(a, 0.002), 2)) - 1) as b from (select *, lag(p, 5) over (partition by symbol order by date) as l from ({VOLS}) v where p is not null and a is not null) w where l is not null group by 1, 2) x group by symbol""",
-    ("daily",),
-)
-def qlike_skill_ratio(spark, sf_dir):
-    def loss(c):
-        rho = F.pow(F.greatest(c, F.lit(0.002)), F.lit(2.0)) / F.pow(F.greatest("a", F.lit(0.002)), F.lit(2.0))
-        return F.avg(rho - F.ln(rho) - 1)
-
-    v = vols(spark, sf_dir).withColumn("l", F.lag("p", 5).over(X.by("symbol"))).where("l is not null")
-    folds = v.groupBy("symbol", F.year("date").alias("fold")).agg(loss("p").alias("q"), loss("l").alias("b"))
-    return folds.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_folds"), F.sum(F.when(F.col("q") < F.col("b"), 1).otherwise(0)).alias("passed"), r(F.avg("q") / F.nullif(F.avg("b"), F.lit(0.0)), 6).alias("ratio"))
-
-
-@query(
-    """select x.event_type, round(base, 6) as base, round(lo, 6) as lo, round(hi, 6) as hi, round(mean, 6) as mean, round(greatest(abs(hi - base), abs(lo - base)), 6) as swing, n from (select event_type, min(value) as lo, max(value) as hi, avg(value) as mean, count(*) as n from events group by 1) x
- join (select event_type, arg_min(value, event_id) as base from events group by 1) b on x.event_type = b.event_type"""
-)
-def robustness_aggregate(spark, sf_dir):
-    got = bars.scan(spark, sf_dir, "events").groupBy("event_type").agg(F.min_by("value", "event_id").alias("base"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
-    swing = F.greatest(F.abs(F.col("hi") - F.col("base")), F.abs(F.col("lo") - F.col("base")))
-    return got.select("event_type", *(r(c, 6).alias(c) for c in ("base", "lo", "hi", "mean")), r(swing, 6).alias("swing"), "n")
-
 
 @query("select user_id, case when bool_or(v = 'fragile') then 'fragile' when bool_and(v = 'robust') then 'robust' else 'inconclusive' end as verdict from (select user_id, case event_type when 'error' then 'fragile' when 'click' then 'unknown' else 'robust' end as v from events) e group by user_id")
 def overall_verdict(spark, sf_dir):
@@ -602,14 +578,6 @@ def rank_best_worst(spark, sf_dir):
     return p.groupBy("regime").agg(F.max_by("strategy", "ann_return").alias("best"), F.min_by("strategy", "ann_return").alias("worst"))
 
 
-@query(
-    """select user_id, round(max(case when event_type = 'click' then v end), 6) as click, round(max(case when event_type = 'view' then v end), 6) as view from (select user_id, event_type, avg(value) as v from events group by 1, 2) e group by user_id
- order by click desc nulls last, view desc nulls last"""
-)
-def performance_table(spark, sf_dir):
-    wide = bars.scan(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(r(F.avg("value"), 6))
-    return wide.orderBy(F.desc_nulls_last("click"), F.desc_nulls_last("view"))
-
 
 @query("select symbol, 'a' as part from prices where symbol < 'Brand#2' union all select symbol, null from prices where symbol >= 'Brand#2'", ("prices",))
 def union_by_name(spark, sf_dir):

@@ -35,12 +35,6 @@ def missing_table_as_empty(spark, sf_dir):
     return absent.select("symbol", d().alias("date"), "close").unionByName(n)
 
 
-@query("select symbol, cast(date as varchar) as date, round(close, 8) as close, cast(null as varchar) as loaded_by from prices where symbol = 'Brand#2'", ("prices",))
-def ensure_schema(spark, sf_dir):
-    p = bars.prices(spark, sf_dir).where("symbol = 'Brand#2'").select("symbol", "date", "close")
-    canonical = spark.createDataFrame([], "symbol string, date date, close double, loaded_by string")
-    return canonical.unionByName(p, allowMissingColumns=True).select("symbol", d().alias("date"), r("close").alias("close"), "loaded_by")
-
 
 @query(
     "select symbol, cast(date as varchar) as date, round(close, 8) as close from prices where close is not null",

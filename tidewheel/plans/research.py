@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import windows as X
 from ..operators import contracts as C
@@ -27,7 +30,29 @@ def folder(spark) -> str:
 
 @query("select 'macro' as \"table\", count(*) as rows from macro union all select 'prices', count(*) from prices", ("prices", "macro"))
 def export_snapshot(spark, sf_dir):
-    return landing.export_snapshot({"macro": bars.macro(spark, sf_dir), "prices": bars.prices(spark, sf_dir)}, folder(spark))
+    """A snapshot of one table is followed by one of both; the rows are the second one's manifest, read back."""
+    path, tables = folder(spark), {"macro": bars.macro(spark, sf_dir), "prices": bars.prices(spark, sf_dir)}
+    landing.export_snapshot({"macro": tables["macro"]}, path)
+    landing.export_snapshot(tables, path)
+    return landing.snapshot_table(spark, path, "_manifest")
+
+
+@query("select symbol, cast(date as varchar) as date, round(close, 8) as close, cast(null as varchar) as loaded_by from prices union all select 'audit', null, cast(0 as double), 'run_id,status,rows'", ("prices",))
+def ensure_schema(spark, sf_dir):
+    """A stored table without ``loaded_by`` gets that column, a table that is absent is made: the rows of the first, and how many rows and which columns the second has."""
+    path, run = folder(spark), uuid.uuid4().hex
+    prices, audit = f"tidewheel_prices_{run}", f"tidewheel_audit_{run}"
+    stored = bars.prices(spark, sf_dir).select("symbol", "date", "close")
+    stored.write.option("path", f"{path}/{prices}").format("parquet").saveAsTable(prices)
+    wanted = {prices: T.StructType([*stored.schema, T.StructField("loaded_by", T.StringType())]), audit: T.StructType.fromDDL("run_id string, status string, rows long")}
+    landing.ensure_tables(spark, wanted, path)
+    landing.ensure_tables(spark, wanted, path)
+    made = spark.table(audit)
+    n = made.agg(F.count(F.lit(1)).cast("double").alias("close")).select(F.lit("audit").alias("symbol"), F.lit(None).cast("string").alias("date"), "close", F.lit(",".join(made.columns)).alias("loaded_by"))
+    got = spark.table(prices).select("symbol", d().alias("date"), r("close").alias("close"), "loaded_by").unionByName(n)
+    for name in wanted:
+        spark.sql(f"drop table {name}")  # the files stay, and the frame reads them
+    return got
 
 
 @query("select symbol, count(*) as n from prices where asset_class = 'fx' group by symbol", ("prices",))

@@ -96,29 +96,76 @@ def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> Data
     return spark.table(name).select(*(F.col(f.name).cast(f.dataType) for f in schema))
 
 
-def export_snapshot(tables: dict[str, DataFrame], path: str, partitions: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """Writes each table as Parquet beside its place, then renames it there, and returns the manifest: table, rows.
-
-    A failed write leaves the last snapshot of a table. ``partitions``: files of each table; ``max_bytes``: a snapshot
-    that is larger is not published.
+def ensure_tables(spark: SparkSession, tables: dict[str, T.StructType], folder: str) -> dict[str, list[str]]:
+    """Catalog tables with these schemas: one that is absent is created empty below ``folder``, one that is there gets the columns that it lacks
+    (null in its rows, which stay where they are; only the catalog changes). Returns the added columns of each table, all of them for a new one.
+    Names are compared as the session does; a column that is there keeps its type. Called again it changes nothing."""
+    added = {}
+    for name, schema in tables.items():
+        if not spark.catalog.tableExists(name):
+            spark.catalog.createTable(name, path=f"{folder}/{name}", source="parquet", schema=schema)
+            added[name] = schema.fieldNames()
+            continue
+        fold = str.lower if spark.conf.get("spark.sql.caseSensitive") == "false" else str
+        there = {fold(c) for c in spark.table(name).columns}
+        lacking = [f for f in schema if fold(f.name) not in there]
+        if lacking:
+            spark.sql(f"alter table {name} add columns ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in lacking)})")
+        added[name] = [f.name for f in lacking]
+    return added
+
+
+def _files(spark: SparkSession, path: str):
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    return to, to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def snapshots(spark: SparkSession, path: str) -> list[str]:
+    """The published snapshots below ``path``, oldest first."""
+    to, fs = _files(spark, path)
+    if not fs.exists(to(path)):
+        return []
+    return sorted(f"{path}/{s.getPath().getName()}" for s in fs.listStatus(to(path)) if s.getPath().getName().startswith("snapshot-"))
+
+
+def snapshot_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the newest snapshot."""
+    return spark.read.parquet(f"{snapshots(spark, path)[-1]}/{name}")
+
+
+def export_snapshot(tables: dict[str, DataFrame], path: str, partitions: int | None = None, max_bytes: int | None = None, keep: int = 2) -> DataFrame:
+    """Publishes all tables together and returns the manifest: table, rows.
+
+    The tables and their manifest (table ``_manifest``) are written below a name that readers don't look at; one rename to ``snapshot-<number>`` publishes them, so a
+    reader finds either the whole new snapshot or the one before, and a failure at any point leaves that one in place. Of the snapshots the last ``keep`` stay.
+    ``partitions``: files of each table; ``max_bytes``: a snapshot that is larger is not published. One writer at a time, on a file system that renames
+    folders at once: where another writer took the number first, the rename is refused and this is an error.
     """
-    counts, staged = [], []
-    for name, df in tables.items():
-        spark, tmp = df.sparkSession, f"{path}/.{name}-{uuid.uuid4().hex}"
-        (df.coalesce(partitions) if partitions else df).write.parquet(tmp)
-        to = spark._jvm.org.apache.hadoop.fs.Path
-        fs = to(tmp).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        staged.append((fs, to(tmp), to(f"{path}/{name}")))
-        counts.append(spark.read.schema(df.schema).parquet(tmp).agg(F.count(F.lit(1)).alias("rows")).first()["rows"])
-    size = sum(fs.getContentSummary(tmp).getLength() for fs, tmp, _ in staged)
-    if max_bytes is not None and size > max_bytes:
-        for fs, tmp, _ in staged:
-            fs.delete(tmp, True)
-        raise ValueError(f"the snapshot has {size} bytes, more than {max_bytes}")
-    for fs, tmp, place in staged:
-        fs.delete(place, True)
-        fs.rename(tmp, place)
-    return spark.createDataFrame(list(zip(tables, counts, strict=True)), "table string, rows long")
+    if not tables:
+        raise ValueError("a snapshot has at least one table")
+    spark = next(iter(tables.values())).sparkSession
+    staged = f"{path}/.staged-{uuid.uuid4().hex}"
+    to, fs = _files(spark, path)
+    try:
+        counts = []
+        for name, df in tables.items():
+            (df.coalesce(partitions) if partitions else df).write.parquet(f"{staged}/{name}")
+            counts.append((name, spark.read.schema(df.schema).parquet(f"{staged}/{name}").count()))
+        manifest = spark.createDataFrame(counts, "table string, rows long")
+        manifest.coalesce(1).write.parquet(f"{staged}/_manifest")
+        size = fs.getContentSummary(to(staged)).getLength()
+        if max_bytes is not None and size > max_bytes:
+            raise ValueError(f"the snapshot has {size} bytes, more than {max_bytes}")
+        before = snapshots(spark, path)
+        number = int(before[-1].rsplit("-", 1)[1]) + 1 if before else 1
+        place = to(f"{path}/snapshot-{number:09d}")
+        if fs.exists(place) or not fs.rename(to(staged), place):
+            raise OSError(f"{place.toString()} was not published")
+    finally:
+        fs.delete(to(staged), True)  # nothing is left of it once it has been published
+    for old in snapshots(spark, path)[:-keep]:
+        fs.delete(to(old), True)
+    return manifest
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
