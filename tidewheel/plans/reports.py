@@ -9,10 +9,10 @@ from ..operators import evaluation as E
 from ..operators import series
 from ..operators import volatility as V
 from .analytics import VOLS, vols
-from .models import ahead, runs
+from .models import ahead, kept, runs
 from .registry import daily, query, r
 
-#: Pairs that a line needs.
+#: Pairs that a line is fitted on, at least.
 LEAST = 60
 #: One knob changed at a time, declared before any run.
 LINE_BASE = {"train": 252, "horizon": 1}
@@ -24,10 +24,19 @@ def known(x: str, horizon: int) -> F.Column:
     return X.rolling(F.sum, x, X.by("symbol").rowsBetween(1 - horizon, 0), horizon)
 
 
+def sums(horizon: int) -> dict[str, F.Column]:
+    """Running sums of the pairs (return, return of the rows after it) that are known at a row: one step a row, whatever the training length."""
+    x, y = F.col(f"x{horizon}"), F.col(f"k{horizon}")
+    terms = {"n": F.lit(1.0), "x": x, "y": y, "xy": x * y, "xx": x * x}
+    so_far = X.by("symbol").rowsBetween(X.W.unboundedPreceding, 0)
+    return {f"{name}_{horizon}": F.sum(F.when(x.isNotNull() & y.isNotNull(), v).otherwise(0.0)).over(so_far) for name, v in terms.items()}
+
+
 def line(horizon: int, train: int) -> F.Column:
-    """The forecast of the next rows' return: the least-squares line on today's return, over the last ``train`` pairs whose return is known today."""
-    x, y, last = F.col(f"x{horizon}"), F.col(f"k{horizon}"), X.last_n(X.by("symbol"), train)
-    return F.when(F.regr_count(y, x).over(last) >= LEAST, F.regr_intercept(y, x).over(last) + F.regr_slope(y, x).over(last) * F.col("daily_return"))
+    """The forecast of the next rows' return: the least-squares line on today's return, over the last ``train`` rows' pairs."""
+    n, x, y, xy, xx = (F.col(f"{c}_{horizon}") - F.coalesce(F.lag(f"{c}_{horizon}", train).over(X.by("symbol")), F.lit(0.0)) for c in ("n", "x", "y", "xy", "xx"))
+    slope = F.try_divide(n * xy - x * y, n * xx - x * x)
+    return F.when(n >= LEAST, F.try_divide(y - slope * x, n) + slope * F.col("daily_return"))
 
 
 def line_runs(spark, sf_dir, every: list[tuple[str, str, dict]]):
@@ -36,6 +45,7 @@ def line_runs(spark, sf_dir, every: list[tuple[str, str, dict]]):
     horizons = sorted({c["horizon"] for *_, c in every})
     rows = daily(spark, sf_dir).where("daily_return is not null").select("symbol", "date", "daily_return")
     rows = rows.withColumns({f"x{h}": F.lag("daily_return", h).over(w) for h in horizons} | {f"k{h}": known("daily_return", h) for h in horizons} | {f"y{h}": ahead("daily_return", h) for h in horizons})
+    rows = rows.withColumns({k: v for h in horizons for k, v in sums(h).items()})
     rows = rows.withColumns({f"p{h}_{t}": line(h, t) for h, t in sorted({(c["horizon"], c["train"]) for *_, c in every})})
     each = F.array(*(F.struct(F.lit(a).alias("dimension"), F.lit(b).alias("probe"), F.lit(c["horizon"]).alias("horizon"), F.col(f"y{c['horizon']}").alias("y"), F.col(f"p{c['horizon']}_{c['train']}").alias("pred")) for a, b, c in every))
     return rows.select("symbol", "date", F.inline(each)).withColumn("vol", F.lit(None).cast("double"))
@@ -61,7 +71,7 @@ TABLE = ("ic", "direction_accuracy", "baseline_direction_accuracy", "direction_e
 )
 def performance_table(spark, sf_dir):
     """Metrics of the fitted line as rows of (model, symbol, metric, value), and the table that a reader sees of them."""
-    got = E.evaluated(line_runs(spark, sf_dir, runs(LINE_BASE, {})), ["symbol", "horizon"]).withColumnRenamed("n", "n_obs")
+    got = E.evaluated(kept(line_runs(spark, sf_dir, runs(LINE_BASE, {}))), ["symbol", "horizon"]).withColumnRenamed("n", "n_obs")
     each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in TABLE))
     wide = E.metrics_table(got.select(F.lit("return_line").alias("model"), "symbol", F.inline(each)), TABLE)
     return wide.select("symbol", *(r(m, 5 if m == "sharpe" else 6).alias(m) for m in TABLE))
@@ -80,9 +90,9 @@ LONG_SQL = " union all ".join(f"select symbol, dimension, '{m}' as metric, {'sig
 )
 def robustness_aggregate(spark, sf_dir):
     """Base, least, greatest and mean value and the largest move from the base, of the probes of each dimension and metric."""
-    got = E.evaluated(line_runs(spark, sf_dir, runs(LINE_BASE, LINE_PROBES)), ["symbol", "dimension", "probe", "horizon"])
+    got = E.evaluated(kept(line_runs(spark, sf_dir, runs(LINE_BASE, LINE_PROBES))), ["symbol", "dimension", "probe", "horizon"])
     each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in REPORTED))
-    out = E.fragility(got.select("symbol", "dimension", "probe", F.lit(None).cast("boolean").alias("cleared"), F.inline(each)), ["symbol"])
+    out = E.fragility(kept(got.select("symbol", "dimension", "probe", F.lit(None).cast("boolean").alias("cleared"), F.inline(each))), ["symbol"])
     return out.select("symbol", "dimension", "metric", *(r(c, 6).alias(c) for c in ("base", "lo", "hi", "mean")), r("swing", 6).alias("spread"), "n_probes")
 
 
