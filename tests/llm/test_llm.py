@@ -220,6 +220,20 @@ def test_packing_carries_little(spark):
     assert len(got) == 500 and (got.groupby("sequence_id").length.sum() <= 50).all()
 
 
+@pytest.mark.parametrize("load", [1000, 7])
+def test_packing_merges_open_bins_as_items(spark, load):
+    """Bins of 20 of 100 places in 23 nodes: the tree fills bins with five of them, each a run of rows that stays together."""
+    schema = "closed boolean, node long, rows array<long>, lengths array<long>, offsets array<long>"
+    bins = [(False, k % 23, [2 * k, 2 * k + 1], [15, 5], [0, 15]) for k in range(115)] + [(True, 0, [999], [100], [0])]
+    closed, rest = packing.merge_tree(spark.createDataFrame(bins, schema), 100, 0, load, 4)
+    done = [r for t in closed for r in t.collect()]
+    every = done + rest.collect()
+    assert sorted(x for b in every for x in b.rows) == [*range(230), 999]
+    assert all(sum(b.lengths) <= 100 and b.offsets == [sum(b.lengths[:k]) for k in range(len(b.lengths))] for b in every)
+    assert all(b.rows[k + 1] == b.rows[k] + 1 for b in every if len(b.rows) > 1 for k in range(0, len(b.rows), 2))
+    assert len(every) == 24 if load == 1000 else len(every) <= 30  # 23 and the one that was full
+
+
 def test_packing_keeps_every_open_bin(spark):
     """A stretch of items of 60 % of a bin, whose partners of 40 % lie in other partitions."""
     items = spark.range(800).select(F.col("id").alias("row"), F.when(F.col("id") < 400, 30).otherwise(20).cast("long").alias("length")).repartitionByRange(8, "row")

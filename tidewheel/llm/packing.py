@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Texts become token pieces of at most ``capacity`` ids. Every partition packs its pieces best-fit
-(longest first) and emits the bins that are nearly full. All other bins are opened again: in each round
-their pieces are dealt by hash over nodes of bounded size and packed best-fit, and what has become nearly
-full is emitted, until one node is left or a round saves next to nothing. No task grows with the input, no
-bin leaves half full while pieces that fill it are left elsewhere, and no piece is dropped.
+(longest first) and emits the bins that are nearly full. All other bins climb a tree: each node takes the
+underfull bins of its children as items, packs them best-fit and emits what has become nearly full. Bins that
+are more than half full never fit together, so what is left at the root is opened: in further rounds the
+pieces are dealt by hash over nodes of bounded size and packed again, until one node is left or a round saves
+next to nothing. No task grows with the input and no piece is dropped.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,55 +174,81 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-BIN = "closed boolean, rows array<long>, lengths array<long>, offsets array<long>"
+BIN = "closed boolean, node long, rows array<long>, lengths array<long>, offsets array<long>"
 
 
-def _pack(part: pd.DataFrame, capacity: int, slack: int) -> pd.DataFrame:
-    """Bins of the pieces that one node meets; nearly full ones are closed."""
-    rows, sizes = part["row"].to_numpy(), part["length"].to_numpy()
+def _bins(sizes: np.ndarray, rows: list[np.ndarray], lengths: list[np.ndarray], node: int, capacity: int, slack: int) -> pd.DataFrame:
+    """Items of these sizes, each a run of rows with their lengths, as best-fit bins of a node; nearly full ones are closed."""
     out = []
     for b in best_fit(sizes, capacity):
-        n = sizes[b]
-        out.append((bool(n.sum() >= capacity - slack), rows[b], n, np.cumsum(n) - n))
-    return pd.DataFrame(out, columns=["closed", "rows", "lengths", "offsets"])
+        n = np.concatenate([lengths[i] for i in b])
+        out.append((bool(n.sum() >= capacity - slack), node, np.concatenate([rows[i] for i in b]), n, np.cumsum(n) - n))
+    return pd.DataFrame(out, columns=["closed", "node", "rows", "lengths", "offsets"])
+
+
+def _pack(part: pd.DataFrame, node: int, capacity: int, slack: int) -> pd.DataFrame:
+    """Bins of single pieces."""
+    rows, sizes = part["row"].to_numpy(), part["length"].to_numpy()
+    each = np.arange(len(sizes) + 1)
+    return _bins(sizes, [rows[a : a + 1] for a in each], [sizes[a : a + 1] for a in each], node, capacity, slack)
 
 
-def _packs(capacity: int, slack: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def packs(part: pd.DataFrame) -> pd.DataFrame:
-        return _pack(part, capacity, slack)
+def merge_tree(bins: DataFrame, capacity: int, slack: int, load: int, fan_in: int) -> tuple[list[DataFrame], DataFrame]:
+    """(tables of closed bins, the bins that are still open at the root): up a tree of ``fan_in`` over the nodes, the open bins of a node's children are
+    items of one best-fit round. A node with more than ``load`` of them is several, dealt by hash, so no task grows with the input."""
 
-    return packs
+    def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        lengths = list(part["lengths"])
+        return _bins(np.array([n.sum() for n in lengths]), list(part["rows"]), lengths, int(key[0]), capacity, slack)
+
+    every = []
+    while True:
+        every.append(bins.where("closed"))
+        rest = bins.where("not closed")
+        up = rest.withColumn("node", F.floor(F.col("node") / fan_in))
+        top, most = rest.groupBy("node").agg(F.count(F.lit(1)).alias("n")).groupBy(F.floor(F.col("node") / fan_in)).agg(F.max("node").alias("top"), F.sum("n").alias("n")).agg(F.max("top"), F.max("n")).first()
+        if not top:  # one node, or no open bin
+            return every, rest
+        salt = F.pmod(F.xxhash64(F.col("rows")[0]), F.lit(-(-most // load)))
+        bins = materialize(up.groupBy("node", salt.alias("salt")).applyInPandas(merged, BIN), "bins")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, slack: tuple[int, ...] = SLACK, carry: int = CARRY, fan_in: int = FAN_IN) -> DataFrame:
     """(row, length) -> (row, sequence_id, offset): a place for every row.
 
-    Rows are numbers that occur once, lengths are from 1 to ``capacity``. The pieces of all bins that
-    aren't nearly full take part in each round, dealt by hash over nodes of about ``carry * fan_in`` pieces, so
-    that each node meets all sizes. Rounds end with a single node, or when one saves less than ``LEAST_GAIN`` of
+    Rows are numbers that occur once, lengths are from 1 to ``capacity``. Partitions pack best-fit, open bins are merged as items up
+    a tree (``merge_tree``). What is open at its root can't be merged any further and is opened: in rounds its pieces are dealt by hash over nodes of about
+    ``carry * fan_in`` pieces, so that each node meets all sizes. Rounds end with a single node, or when one saves less than ``LEAST_GAIN`` of
     the bins. An empty table gives an empty result.
     """
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _pack(batch, capacity, slack[0])
+            yield _pack(batch, TaskContext.get().partitionId(), capacity, slack[0])
+
+    def opened(room: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        def packs(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            return _pack(part, int(key[0]), capacity, room)
 
-    bins = materialize(items.select("row", "length").mapInPandas(first, BIN), "bins")
-    every, level, load = [], 0, carry * fan_in
+        return packs
+
+    load = carry * fan_in
+    every, rest = merge_tree(materialize(items.select("row", "length").mapInPandas(first, BIN), "bins"), capacity, slack[0], load, fan_in)
+    level = 0
     while True:
-        every.append(bins.where("closed"))
-        rest = bins.where("not closed")
         n_open, n_pieces = rest.agg(F.count(F.lit(1)), F.sum(F.size("rows"))).first()
         if not n_open or level and (nodes == 1 or not gained):
             break
         level, nodes, room = level + 1, -(-n_pieces // load), slack[min(level + 1, len(slack) - 1)]
         pieces = rest.select(F.inline(F.arrays_zip(F.col("rows").alias("row"), F.col("lengths").alias("length"))))
         pieces = pieces.withColumn("node", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(nodes)))
-        bins = materialize(pieces.groupBy("node").applyInPandas(_packs(capacity, room), BIN), "bins")
+        bins = materialize(pieces.groupBy("node").applyInPandas(opened(room), BIN), "bins")
         merged = n_open - bins.count()
         gained = merged >= n_open * LEAST_GAIN
         if merged < 0:  # the round before was better
             break
+        every.append(bins.where("closed"))
+        rest = bins.where("not closed")
     every.append(rest)
     every = reduce(DataFrame.unionByName, every)
     # a sequence's number is its smallest row, which no other sequence has
