@@ -70,8 +70,10 @@ def by_id(df):
     return df.toPandas().set_index("doc_id")
 
 
-def test_exact_dedup(docs, rows):
-    got = by_id(exact_dedup.exact_dedup(docs, bits=1))
+@pytest.mark.parametrize("hot", [exact_dedup.HOT, 1])
+def test_exact_dedup(docs, rows, hot):
+    got = by_id(exact_dedup.exact_dedup(docs, bits=1, hot=hot))
+    assert len(got) == len(rows)
     norm = {r[0]: WS.sub(" ", r[1] or "") for r in rows}
     groups = collections.defaultdict(list)
     for i, t in norm.items():

@@ -22,6 +22,8 @@ from . import bitmaps
 from .base import WS, materialize, text_or_empty
 
 KEY = ["text_sha256", "check", "length"]
+#: Texts with more copies are hot: there are fewer of them than rows / HOT, whatever the table.
+HOT = 1_000_000
 
 
 def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,17 +58,24 @@ def merge_runs(digests: DataFrame, bits: int = 3) -> DataFrame:
             return runs.select(F.lower(F.hex("digest")).alias("text_sha256"), "check", "length", "keep_id", "group_size")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty, and all empty texts are copies of each other. Rows that repeat an
     id and its text are all marked as kept if that id is the smallest; ``drop_copies`` leaves one.
-    A null id never wins against another id. An empty table gives an empty result. Other columns
+    A null id never wins against another id. Rows of texts with more than ``hot`` copies are joined
+    by broadcast, so no task gets all rows of such a text. An empty table gives an empty result. Other columns
     of ``docs`` are not read, whatever their names.
     """
     digests = materialize(digest_runs(docs, id_col, text_col), "digests")
-    merged = merge_runs(digests, bits)
-    return digests.drop("run").join(merged, KEY).select(
+    merged = materialize(merge_runs(digests, bits), "merged")
+    digests, many = digests.drop("run"), F.col("group_size") > hot
+    every = digests.join(merged.where(~many), KEY)
+    top = merged.where(many)
+    if not top.isEmpty():
+        # rows of hot texts meet their few digests where they are; only the others are shuffled by digest
+        every = digests.join(F.broadcast(top.select(KEY)), KEY, "left_anti").join(merged.where(~many), KEY).unionByName(digests.join(F.broadcast(top), KEY))
+    return every.select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -134,7 +134,7 @@ def quality_rules(
     """One row for each document: its signals, base_failed, kept and the rules that it failed.
 
     ``labels``: doc_id and quality (1: good). Null and empty texts have no words and fail the base
-    rule. Null strata form a stratum of their own. Labels without a document, null labels and
+    rule. A null stratum is the stratum of the empty string. Labels without a document, null labels and
     documents without a label set no cutoff; repeated labels of a document count once, as good
     only if all say so. Other columns are not read.
     """
