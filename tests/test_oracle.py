@@ -38,7 +38,7 @@ SOME = [
     "features_extended", "features_medium", "features_vol", "drop_constant_columns", "weights_fixed", "calendar_gap_report", "bootstrap_sharpe", "bootstrap_return_pairs", "paired_window_effect",
     "overlapping_windows", "ic", "calendar_align", "window_panel", "regime_boundaries_thinned", "annualised_alpha", "fct_performance_attribution", "live_bars", "load_audit", "walk_forward_backtest",
     "skill_verdict", "return_verdict", "forecast_fan", "normalise_worldbank", "check_effect", "check_excludes_warmup", "reset_tables", "export_snapshot",
-    "ensure_schema", "performance_table", "robustness_aggregate", "qlike_skill_ratio",
+    "ensure_schema", "performance_table", "robustness_aggregate", "overall_verdict", "qlike_skill_ratio",
 ]
 
 

@@ -257,13 +257,6 @@ def qlike(spark, sf_dir):
 
 
 
-@query("select user_id, case when bool_or(v = 'fragile') then 'fragile' when bool_and(v = 'robust') then 'robust' else 'inconclusive' end as verdict from (select user_id, case event_type when 'error' then 'fragile' when 'click' then 'unknown' else 'robust' end as v from events) e group by user_id")
-def overall_verdict(spark, sf_dir):
-    v = F.when(F.col("event_type") == "error", "fragile").when(F.col("event_type") == "click", "unknown").otherwise("robust")
-    e = bars.scan(spark, sf_dir, "events").select("user_id", v.alias("v"))
-    return e.groupBy("user_id").agg(F.when(F.bool_or(F.col("v") == "fragile"), "fragile").when(F.bool_and(F.col("v") == "robust"), "robust").otherwise("inconclusive").alias("verdict"))
-
-
 # --- windows -------------------------------------------------------------------------------------
 
 

@@ -82,18 +82,37 @@ RUNS_SQL = " union all ".join(f"select '{a}' as dimension, '{b}' as probe, * fro
 LONG_SQL = " union all ".join(f"select symbol, dimension, '{m}' as metric, {'sign(ic) * ic * ic' if m == 'r2' else m} as v from got" for m in REPORTED)
 
 
+RUNS_CTE = f"with got as materialized ({METRICS_SQL.format(keys='symbol, dimension, probe', rows=RUNS_SQL)}), long as ({LONG_SQL})"
+PAIRED = "long p left join long b on b.dimension = 'base' and b.symbol = p.symbol and b.metric = p.metric where p.dimension <> 'base'"
+
+
+def line_fragility(spark, sf_dir):
+    """Every dimension and metric of the fitted line against its base run."""
+    got = E.evaluated(kept(line_runs(spark, sf_dir, runs(LINE_BASE, LINE_PROBES))), ["symbol", "dimension", "probe", "horizon"])
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in REPORTED))
+    return E.fragility(kept(got.select("symbol", "dimension", "probe", F.lit(None).cast("boolean").alias("cleared"), F.inline(each))), ["symbol"])
+
+
 @query(
-    f"""with got as materialized ({METRICS_SQL.format(keys="symbol, dimension, probe", rows=RUNS_SQL)}), long as ({LONG_SQL})
- select p.symbol, p.dimension, p.metric, round(max(b.v), 6) as base, round(min(p.v), 6) as lo, round(max(p.v), 6) as hi, round(avg(p.v), 6) as mean, round(max(abs(p.v - b.v)), 6) as spread, count(p.v) as n_probes
- from long p left join long b on b.dimension = 'base' and b.symbol = p.symbol and b.metric = p.metric where p.dimension <> 'base' group by 1, 2, 3""",
+    f"""{RUNS_CTE} select p.symbol, p.dimension, p.metric, round(max(b.v), 6) as base, round(min(p.v), 6) as lo, round(max(p.v), 6) as hi, round(avg(p.v), 6) as mean, round(max(abs(p.v - b.v)), 6) as spread, count(p.v) as n_probes from {PAIRED} group by 1, 2, 3""",
     ("daily",),
 )
 def robustness_aggregate(spark, sf_dir):
     """Base, least, greatest and mean value and the largest move from the base, of the probes of each dimension and metric."""
-    got = E.evaluated(kept(line_runs(spark, sf_dir, runs(LINE_BASE, LINE_PROBES))), ["symbol", "dimension", "probe", "horizon"])
-    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in REPORTED))
-    out = E.fragility(kept(got.select("symbol", "dimension", "probe", F.lit(None).cast("boolean").alias("cleared"), F.inline(each))), ["symbol"])
-    return out.select("symbol", "dimension", "metric", *(r(c, 6).alias(c) for c in ("base", "lo", "hi", "mean")), r("swing", 6).alias("spread"), "n_probes")
+    return line_fragility(spark, sf_dir).select("symbol", "dimension", "metric", *(r(c, 6).alias(c) for c in ("base", "lo", "hi", "mean")), r("swing", 6).alias("spread"), "n_probes")
+
+
+@query(
+    f"""{RUNS_CTE}, judged as (select p.symbol, p.dimension, p.metric, case when bool_or((b.v - level) * (p.v - level) < 0) or max(abs(p.v - b.v)) > 0.05 then 'fragile' when max(b.v) is null or count(p.v) < 1 then 'inconclusive' else 'robust' end as v
+ from (select *, case metric {" ".join(f"when '{m}' then {E.NO_SKILL[m]}" for m in REPORTED if m in E.NO_SKILL)} end as level from long) p left join long b on b.dimension = 'base' and b.symbol = p.symbol and b.metric = p.metric where p.dimension <> 'base' group by 1, 2, 3)
+ select symbol, case when bool_or(v = 'fragile') then 'fragile' when bool_and(v = 'robust') then 'robust' else 'inconclusive' end as verdict, count(*) as n_judged from judged group by symbol""",
+    ("daily",),
+)
+def overall_verdict(spark, sf_dir):
+    """A symbol's verdict over all dimensions and metrics of the fitted line: one fragile makes it fragile, only all robust make it robust."""
+    v = F.col("verdict")
+    worst = F.when(F.bool_or(v == "fragile"), "fragile").when(F.bool_and(v == "robust"), "robust").otherwise("inconclusive")
+    return line_fragility(spark, sf_dir).groupBy("symbol").agg(worst.alias("overall"), F.count(F.lit(1)).alias("n_judged")).withColumnRenamed("overall", "verdict")
 
 
 FOLDS = 5
