@@ -34,7 +34,7 @@ def rows(pdf, columns):
 SOME = [
     "fct_market_macro", "recession_probit", "asof_join", "upsert", "normalise_prices", "normalise_macro", "calendar_reindex", "full_outer_diff", "regime_performance", "correlation_matrix",
     "source_freshness", "regime_directional_accuracy", "rolling_skew", "label_regimes", "regime_runs", "ewma", "yoy_change", "features_default", "features_mom_rev", "features_macro",
-    "walk_forward_split", "bootstrap_indices", "robustness_classify", "check_not_null", "incremental_load", "unpivot_metrics", "provenance_flag",
+    "walk_forward_split", "bootstrap_indices", "robustness_classify", "sweep_top_k", "check_not_null", "incremental_load", "unpivot_metrics", "provenance_flag",
     "features_extended", "features_medium", "features_vol", "drop_constant_columns", "weights_fixed", "calendar_gap_report", "bootstrap_sharpe", "bootstrap_return_pairs", "paired_window_effect",
     "overlapping_windows", "ic", "calendar_align", "window_panel", "regime_boundaries_thinned", "annualised_alpha", "fct_performance_attribution", "live_bars", "load_audit", "walk_forward_backtest",
     "skill_verdict", "return_verdict", "forecast_fan", "normalise_worldbank", "check_effect", "check_excludes_warmup", "reset_tables", "export_snapshot",

@@ -176,9 +176,10 @@ def return_gate(metrics: DataFrame, cost_bps: float = 5.0) -> DataFrame:
 
 
 def grid_forecasts(
-    rows: DataFrame, targets: dict[int, str], subsets: dict[str, list[str]], trains: list[int], ridges: list[float], test: int = 100, key: str = "symbol", windows: tuple[str, ...] = ("rolling",)
+    rows: DataFrame, targets: dict[int, str], subsets: dict[str, list[str]], trains: list[int], ridges: list[float], test: int = 100, key: str = "symbol", windows: tuple[str, ...] = ("rolling",), unknown: bool = False
 ) -> DataFrame:
     """Out-of-sample rows of every configuration in one job: key, date, horizon, train, window, features, ridge, fold, y, pred.
+    With ``unknown`` also rows of test parts without a target.
 
     ``targets``: horizon -> column; ``subsets``: name -> columns. The Gram sums of a fold are made once, of all columns;
     subsets and penalties only change the small systems that are solved. A horizon is also the embargo. Windows are rolling or expanding; sums of
@@ -186,7 +187,8 @@ def grid_forecasts(
     """
     names = sorted({x for xs in subsets.values() for x in xs})
     each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), c(y).cast("double").alias("y")) for h, y in targets.items())))
-    long = rows.dropna("any", subset=names).select(key, "date", "i", *names, each.alias("t")).select("*", "t.*").drop("t").where("y is not null")
+    tested = rows.dropna("any", subset=names).select(key, "date", "i", *names, each.alias("t")).select("*", "t.*").drop("t")
+    long = tested.where("y is not null")
     every = None
     for h in targets:
         for n in trains:
@@ -225,7 +227,7 @@ def grid_forecasts(
 
     kind = rows.schema[key].dataType.simpleString()
     models = gram.mapInPandas(solve, f"{key} {kind}, horizon int, train int, fold int, n long, window string, features string, ridge double, beta array<double>")
-    out = in_folds(long, every, "test_from", "test_to", [key, "horizon"]).join(models.drop("n"), by)
+    out = in_folds(tested if unknown else long, every, "test_from", "test_to", [key, "horizon"]).join(models.drop("n"), by)
     pred = F.col("beta")[0]
     for k, x in enumerate(names):
         pred = pred + F.col("beta")[k + 1] * c(x)

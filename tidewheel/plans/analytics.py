@@ -557,11 +557,6 @@ def order_by(spark, sf_dir):
     return bars.prices(spark, sf_dir).orderBy("symbol", "date").select("symbol", d().alias("date"), r("close").alias("close"))
 
 
-@query(f"select symbol, round(ic, 6) as ic from (select symbol, corr(pred, actual) as ic from ({PRED}) p group by symbol) x order by ic desc limit 5", ("daily",))
-def sweep_top_k(spark, sf_dir):
-    return predictions(spark, sf_dir).groupBy("symbol").agg(F.corr("pred", "actual").alias("ic")).orderBy(F.col("ic").desc()).limit(5).select("symbol", r("ic", 6).alias("ic"))
-
-
 @query(
     f"""select regime, arg_max(strategy, ann) as best, arg_min(strategy, ann) as worst from (select s.strategy, g.regime, avg(s.daily_return) as ann from strat s join ({REGIMES}) g on g.date = s.date group by 1, 2) x group by regime""",
     ("strat",),

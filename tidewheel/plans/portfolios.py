@@ -426,20 +426,6 @@ def skill_verdict(spark, sf_dir):
     return got.select("symbol", "cleared", reasons.alias("reasons"))
 
 
-RUNS = "select user_id, event_id % 3 as dimension, event_id, case when event_type = 'error' then null when user_id % 2 = 0 then value else value - 5 end as v, row_number() over (partition by user_id, event_id % 3 order by event_id) = 1 as is_base from events"
-
-
-@query(
-    f"""select user_id, dimension, case when base is null or k = 0 then 'inconclusive' when coalesce(smax <> smin, false) or coalesce(vmax - vmin > 0.05, false) then 'fragile' else 'robust' end as verdict from (select user_id, dimension, max(case when is_base then v end) as base, count(case when not is_base then v end) as k,
- max(case when not is_base then sign(v) end) as smax, min(case when not is_base then sign(v) end) as smin, max(case when not is_base then v end) as vmax, min(case when not is_base then v end) as vmin from ({RUNS}) r group by 1, 2) x"""
-)
-def robustness_classify(spark, sf_dir):
-    e = bars.scan(spark, sf_dir, "events").withColumn("dimension", F.col("event_id") % 3)
-    v = F.when(F.col("event_type") == "error", None).when(F.col("user_id") % 2 == 0, F.col("value")).otherwise(F.col("value") - 5)
-    first = F.row_number().over(W.partitionBy("user_id", "dimension").orderBy("event_id")) == 1
-    return E.robustness(e.select("user_id", "dimension", v.alias("metric_value"), first.alias("is_base")), ["user_id", "dimension"]).select("user_id", "dimension", "verdict")
-
-
 # --- contracts -----------------------------------------------------------------------------------
 
 

@@ -102,9 +102,40 @@ def robustness_aggregate(spark, sf_dir):
     return line_fragility(spark, sf_dir).select("symbol", "dimension", "metric", *(r(c, 6).alias(c) for c in ("base", "lo", "hi", "mean")), r("swing", 6).alias("spread"), "n_probes")
 
 
+LEVEL = " ".join(f"when '{m}' then {E.NO_SKILL[m]}" for m in REPORTED if m in E.NO_SKILL)
+
+
+@query(
+    f"""{RUNS_CTE} select symbol, dimension, metric, concat_ws(',', case when base is null then 'no_base' end, case when crossed then 'sign_flip' end, case when swing > 0.05 then 'large_swing' end, case when base is not null and n < 1 then 'no_probes' end) as flags,
+ case when coalesce(crossed, false) or coalesce(swing > 0.05, false) then 'fragile' when base is null or n < 1 then 'inconclusive' else 'robust' end as verdict
+ from (select p.symbol, p.dimension, p.metric, max(b.v) as base, count(p.v) as n, max(abs(p.v - b.v)) as swing, bool_or((b.v - level) * (p.v - level) < 0) as crossed from (select *, case metric {LEVEL} end as level from long) p
+ left join long b on b.dimension = 'base' and b.symbol = p.symbol and b.metric = p.metric where p.dimension <> 'base' group by 1, 2, 3) x""",
+    ("daily",),
+)
+def robustness_classify(spark, sf_dir):
+    """Flags and verdict of each dimension and metric of the fitted line's runs."""
+    return line_fragility(spark, sf_dir).select("symbol", "dimension", "metric", F.array_join("flags", ",").alias("flags"), "verdict")
+
+
+#: Every training length with every horizon.
+SWEEP = [("sweep", f"{h}_{t}", {"train": t, "horizon": h}) for h in (1, 2, 5) for t in (126, 252, 504)]
+SWEEP_SQL = " union all ".join(f"select {c['horizon']} as horizon, {c['train']} as train, * from ({line_sql(c['horizon'], c['train'])}) r{k}" for k, (_, _, c) in enumerate(SWEEP))
+
+
+@query(
+    f"""select symbol, horizon, train, round(ic, 6) as ic, round(direction_accuracy, 6) as direction_accuracy, n as n_obs from ({METRICS_SQL.format(keys="symbol, horizon, train", rows=SWEEP_SQL)}) x order by x.ic desc nulls last, symbol, horizon, train limit 10""",
+    ("daily",),
+)
+def sweep_top_k(spark, sf_dir):
+    """The ten configurations of the fitted line with the highest correlation, of all symbols, horizons and training lengths."""
+    got = E.evaluated(kept(line_runs(spark, sf_dir, SWEEP)), ["symbol", "probe", "horizon"]).withColumn("train", F.split("probe", "_")[1].cast("int"))
+    best = got.orderBy(F.desc_nulls_last("ic"), "symbol", "horizon", "train").limit(10)
+    return best.select("symbol", "horizon", "train", r("ic", 6).alias("ic"), r("direction_accuracy", 6).alias("direction_accuracy"), F.col("n").alias("n_obs"))
+
+
 @query(
     f"""{RUNS_CTE}, judged as (select p.symbol, p.dimension, p.metric, case when bool_or((b.v - level) * (p.v - level) < 0) or max(abs(p.v - b.v)) > 0.05 then 'fragile' when max(b.v) is null or count(p.v) < 1 then 'inconclusive' else 'robust' end as v
- from (select *, case metric {" ".join(f"when '{m}' then {E.NO_SKILL[m]}" for m in REPORTED if m in E.NO_SKILL)} end as level from long) p left join long b on b.dimension = 'base' and b.symbol = p.symbol and b.metric = p.metric where p.dimension <> 'base' group by 1, 2, 3)
+ from (select *, case metric {LEVEL} end as level from long) p left join long b on b.dimension = 'base' and b.symbol = p.symbol and b.metric = p.metric where p.dimension <> 'base' group by 1, 2, 3)
  select symbol, case when bool_or(v = 'fragile') then 'fragile' when bool_and(v = 'robust') then 'robust' else 'inconclusive' end as verdict, count(*) as n_judged from judged group by symbol""",
     ("daily",),
 )

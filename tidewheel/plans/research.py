@@ -247,21 +247,6 @@ def vol_gate(spark, sf_dir):
     return got.select("symbol", "cleared", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query()
-def panel_run(spark, sf_dir):
-    """Forecasts for every symbol and horizon as one table: mu is the forecast over the horizon."""
-    out = None
-    for h in (1, 5, 20):
-        rows = rows_of(spark, sf_dir)
-        w = X.by("symbol")
-        rows = rows.withColumns({"y": X.rolling(F.sum, "daily_return", w.rowsBetween(1, h), h), "l1": F.col("daily_return"), "m20": F.avg("daily_return").over(X.last_n(w, 20))})
-        f = E.folds(rows, 500, 250, h)
-        p = E.predicted(rows, f, E.least_squares(rows, f, ["l1", "m20"], "y", ridge=0.01), ["l1", "m20"]).where("pred is not null")
-        p = p.select("symbol", d().alias("date"), F.lit(h).alias("horizon"), r(F.col("pred") / h).alias("mu"))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
 @query()
 def shrink_covariance(spark, sf_dir):
     return P.shrunk_covariances(trailing(spark, sf_dir)).select(d("rebalance").alias("rebalance"), "a", "b", r("cov").alias("cov"))
@@ -310,6 +295,13 @@ def return_grid(spark, sf_dir):
     return E.grid_forecasts(return_rows(spark, sf_dir), {1: "y1", 5: "y5", 20: "y20"}, SUBSETS, [250, 500, 1260], [0.0, 0.01, 0.1, 1.0])
 
 
+@query()
+def panel_run(spark, sf_dir):
+    """Forecasts for every symbol and horizon as one table: mu is the forecast over the horizon, also for the last rows, whose returns aren't known."""
+    out = E.grid_forecasts(return_rows(spark, sf_dir), {1: "y1", 5: "y5", 20: "y20"}, {"last_mean": ["l1", "m20"]}, [500], [0.01], test=250, unknown=True)
+    return out.where("pred is not null").select("symbol", d().alias("date"), "horizon", r(F.col("pred") / F.col("horizon")).alias("mu"))
+
+
 @query()
 def return_sweep(spark, sf_dir):
     keys = ["horizon", "train", "features", "ridge", "symbol"]
