@@ -399,6 +399,21 @@ def test_lm_base_scores(docs, rows, most):
         assert r.base_score == pytest.approx(sum(math.log10((count[t] + 1) / (total + len(count) + 1)) for t in ts)) and r.score < 0
 
 
+def test_lm_scores_are_the_same_however_many_words_are_sent(docs):
+    """Frequent words are told in the scoring tasks and all others by a join: one formula for both."""
+    one, other = (by_id(lm.lm_scores(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, hot_words=most, least_docs=20)) for most in (10**6, 0))
+    assert np.allclose(one.score, other.loc[one.index].score, rtol=1e-9, atol=0) and (one.n_known == other.loc[one.index].n_known).all()
+
+
+def test_lm_sums_up_a_tree(spark, monkeypatch):
+    """Changes of more tasks than one group takes are summed up a tree."""
+    monkeypatch.setattr(lm, "TASK_DOCS", 2)
+    texts = [(i, " ".join(f"w{(i * 7 + k) % 13}" for k in range(20))) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = lm.lm_scores(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).toPandas()
+    assert len(got) == 60 and np.isfinite(got.score).all() and got.score.sum() > 2 * got.base_score.sum()
+
+
 def test_lm_windows_are_causal_and_sum_to_one():
     rng = np.random.default_rng(1)
     size = 40
@@ -520,6 +535,31 @@ def test_fuzzy_passages_of_a_mosaic(spark):
     assert (101, 100, 5, 85) in got
 
 
+def test_fuzzy_passages_between_parts(spark):
+    """Parts of a passage in documents before and between its two whole copies; a seed's batches may be cut anywhere."""
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    whole = words(80)
+    rows = [(k + i, words(20) + whole[10 * i - 10 : 10 * i + 20] + words(20)) for k in (0, 149) for i in range(1, 7)]
+    rows += [(100, words(30) + whole + words(10)), (201, words(5) + whole + words(40))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = [(r["doc_id"], r["other_id"], r["start"], r["stop"], r["other_start"]) for r in fuzzy_passages.fuzzy_passages(df).collect()]
+    assert (201, 100, 5, 85, 30) in got
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_fuzzy_partners_against_brute_force(size):
+    rng = random.Random(size)
+    rows = sorted((rng.randrange(6), rng.randrange(40), k, rng.randrange(4)) for k in range(400))
+    want = set()
+    for k, (seed, doc, pos, context) in enumerate(rows):
+        for alike in ([r for r in rows[:k] if r[0] == seed], [r for r in rows[:k] if (r[0], r[3]) == (seed, context)]):
+            want |= {(doc, r[1], pos, r[2]) for r in alike[:1] + alike[-1:] if r[1] < doc}
+    frame = pd.DataFrame(rows, columns=["seed", "doc", "pos", "context"])
+    got = [tuple(r) for part in fuzzy_passages._matched(frame.iloc[k : k + size] for k in range(0, len(rows), size)) for r in part.itertuples(index=False)]
+    assert set(got) == want and len(set(got)) == len(got)
+
+
 def test_fuzzy_passages_recall(spark):
     """Against brute force: every planted copy of 40 to 120 words with up to 20 % of the words replaced; 0.9 at least are found."""
     rng = random.Random(21)
