@@ -414,6 +414,26 @@ def test_lm_sums_up_a_tree(spark, monkeypatch):
     assert len(got) == 60 and np.isfinite(got.score).all() and got.score.sum() > 2 * got.base_score.sum()
 
 
+def test_lm_trains_on_the_whole_fold(spark, monkeypatch):
+    """Every text of the training fold reaches the training, once over all rounds, and no other."""
+    read, parts, whole = [], [], lm.trained
+    df = spark.createDataFrame([(i, f"a{i} b c{i} d " * 9) for i in range(400)], "doc_id long, text string")
+
+    def spy(texts, n_docs, *args, **how):
+        read.append((texts.count(), texts.select("u").distinct().count(), n_docs))
+        where = type(texts).where
+        monkeypatch.setattr(type(texts), "where", lambda d, c: parts.append(where(d, c)) or parts[-1])
+        model = whole(texts, n_docs, *args, **how)
+        monkeypatch.setattr(type(texts), "where", where)
+        parts[:] = [p.count() for p in parts]
+        return model
+
+    monkeypatch.setattr(lm, "trained", spy)
+    lm.lm_scores(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, least_docs=20).count()
+    fold_size = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(400))
+    assert read == [(fold_size, fold_size, fold_size)] and len(parts) == lm.ROUNDS and sum(parts) == fold_size
+
+
 def test_lm_windows_are_causal_and_sum_to_one():
     rng = np.random.default_rng(1)
     size = 40
