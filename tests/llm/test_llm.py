@@ -200,6 +200,27 @@ def test_substrings(docs, rows, hot, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_substrings_part_hot_names(spark, monkeypatch):
+    """A core with many contexts is parted by the bytes beside it: only a half that is as common is spread by window, and nothing is lost."""
+    monkeypatch.setattr(substrings, "HOT_CONTEXTS", 8)
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    core, twin = letters(40), letters(90)
+    texts = [letters(60) + core + letters(60) for _ in range(40)] + [twin[:25] + core + twin[65:], letters(40) + twin[:25] + core + twin[65:] + letters(40)]
+    tables = {}
+    write = substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df, tag, **how: tables.setdefault(tag, write(df, tag, **how)))
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    got = {(r["doc"], k) for r in substrings.repeated_spans(own, None).collect() for k in range(r["start"], r["stop"])}
+    first, want = {}, set()
+    for i, x in enumerate(texts):
+        for k in range(len(x) - 49):
+            if first.setdefault(x[k : k + 50], i) < i:
+                want |= {(i, k + j) for j in range(50)}
+    assert got == want and want
+    assert tables["open-places"].where("n_ctx > 8").count() > 30 and tables["windows"].count() == 0
+
+
 def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 

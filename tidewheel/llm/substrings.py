@@ -14,8 +14,9 @@ in thirteen is sampled instead of two in three.
    name repeat its whole context.
 3. Where a first name has several second names, the other suffixes (windows that start before
    the sampled place) are merged in: they are sorted by their first ``width`` bytes within the first
-   name, and equal neighbours compared. Bytes are read for these places alone. First names with very many contexts are
-   spread by window.
+   name, and equal neighbours compared. Bytes are read for these places alone. Of first names with very many contexts every
+   window has half of what it holds beside the core on the left or on the right of it: contexts that agree in that half
+   are merged by themselves. Only where these are very many, too, the windows of that half are spread.
 
 Names are hashes of 64 bits, with a check of 32 more for second names.
 """
@@ -36,7 +37,7 @@ from .base import forget, materialize, text_or_empty
 
 WIDTH = 50
 CORE = 32
-#: First names with more contexts than this are merged by window over all tasks.
+#: First names with more contexts than this are parted by the bytes beside the core; parts that have more still, by window.
 HOT_CONTEXTS = 1000
 CHUNK = 1 << 19
 #: Documents that are summed up before rows leave a task.
@@ -315,21 +316,36 @@ def _merge_windows(width: int) -> Callable[[Batches], Batches]:
 
 
 def _spread_windows(width: int) -> Callable[[Batches], Batches]:
-    """(h, key, doc, start): every window of a hot first name's contexts."""
+    """(h, key, doc, start): the windows of a hot half's contexts."""
     side = width - CORE
+    half = -(-side // 2)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                h, doc, pos, left, right = (part[c].to_numpy() for c in ("h", "doc", "pos", "left", "right"))
+                h, doc, pos, left, right, on_left = (part[c].to_numpy() for c in ("h", "doc", "pos", "left", "right", "on_left"))
                 for a, key in _window_hashes(part["bytes"].tolist(), width):
-                    ok = (left >= a) & (right >= side - a)
+                    ok = (left >= a) & (right >= side - a) & (on_left == (a >= half))
                     yield pd.DataFrame({"h": h[ok], "key": key[ok].view(np.int64), "doc": doc[ok], "start": pos[ok] - a})
 
     return run
 
 
+def halves(opened: DataFrame, width: int) -> DataFrame:
+    """Contexts of hot first names, each with the half of a window's other bytes on the left of the core and with that on the right: h names
+    core and half, n_ctx how many rows have them. A window that starts at least half before the core has the left half whole, any
+    other the right one. Halves of one document are dropped."""
+    side = width - CORE
+    half = -(-side // 2)
+    beside = F.when(F.col("on_left"), F.substring("bytes", side - half + 1, half)).otherwise(F.substring("bytes", side + CORE + 1, half))
+    reach = F.when(F.col("on_left"), F.col("left")).otherwise(F.col("right"))
+    both = opened.withColumn("on_left", F.explode(F.array(F.lit(True), F.lit(False)))).where(reach >= half)
+    both = both.withColumn("h", F.xxhash64("h", "on_left", beside)).drop("n_ctx")
+    sizes = both.groupBy("h").agg(F.count(F.lit(1)).alias("n_ctx"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    return both.join(sizes.select("h", "n_ctx"), "h")
+
+
 def copies(own: DataFrame) -> DataFrame:
     """(doc, n): documents whose whole text a document with a smaller id has, too."""
     named = own.select("doc_id", F.sha2("text", 256).alias("name"), F.octet_length("text").alias("n"))
@@ -365,8 +381,10 @@ def repeated_spans(own: DataFrame, gone: DataFrame | None, width: int = WIDTH) -
     opened = own.mapInArrow(_open_places(width, skip, names, contexts), "ctx long, chk long, doc long, place long, bytes binary")
     opened = opened.join(several.hint("merge"), ["ctx", "chk"]).where("doc = least")
     opened = materialize(opened.select("h", "n_ctx", "doc", pos.alias("pos"), reach[0].alias("left"), reach[1].alias("right"), "bytes"), "open-places")
-    few = opened.where(F.col("n_ctx") <= HOT_CONTEXTS).repartition("h").sortWithinPartitions("h").mapInPandas(_merge_windows(width), SPANS)
-    many = opened.where(F.col("n_ctx") > HOT_CONTEXTS).select("h", "doc", "pos", "left", "right", "bytes").repartition(F.xxhash64("doc", "pos"))
+    parted = materialize(halves(opened.where(F.col("n_ctx") > HOT_CONTEXTS), width), "halves")
+    merged = ("h", "doc", "pos", "left", "right", "bytes")
+    few = opened.where(F.col("n_ctx") <= HOT_CONTEXTS).select(*merged).unionByName(parted.where(F.col("n_ctx") <= HOT_CONTEXTS).select(*merged)).repartition("h").sortWithinPartitions("h").mapInPandas(_merge_windows(width), SPANS)
+    many = parted.where(F.col("n_ctx") > HOT_CONTEXTS).select(*merged, "on_left").repartition(F.xxhash64("doc", "pos"))
     many = materialize(many.mapInPandas(_spread_windows(width), "h long, key long, doc long, start long"), "windows")
     shared = many.groupBy("h", "key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     many = many.join(shared, ["h", "key"]).where("doc > least").select("doc", "start", (F.col("start") + width).alias("stop"))
