@@ -189,7 +189,7 @@ def predict(docs: DataFrame, model: C.Crf, id_col: str = "doc_id", text_col: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS rows of labels
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_texts(own, LABELS, _predict(shared), at_once=10_000)
+    return map_texts(own, LABELS, _predict(shared), at_once=2_500)
 
 
 def recognised(docs: DataFrame, model: C.Crf, least: float, text_col: str = "text") -> DataFrame:
@@ -207,7 +207,7 @@ def recognised(docs: DataFrame, model: C.Crf, least: float, text_col: str = "tex
 
         return run
 
-    return map_texts(docs, "__stays boolean", flag, text_col, keep_text=True, at_once=10_000).where("__stays").drop("__stays")
+    return map_texts(docs, "__stays boolean", flag, text_col, keep_text=True, at_once=2_500).where("__stays").drop("__stays")
 
 
 def fit_training_fold(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> C.Crf:
