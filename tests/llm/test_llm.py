@@ -176,6 +176,14 @@ def test_near_dedup_rows_with_null_and_repeated_ids(spark):
     assert found == [(-1, -1, True), (-1, -1, True), (-1, 7, False), (7, 7, True), (7, 7, True), (7, 7, True), (9, 9, True), (2**53 + 1, 7, False)]
 
 
+def test_near_dedup_differences_leave_in_parts():
+    """A batch of pairs isn't held with all its differences."""
+    own = [np.arange(k, k + 30, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for k in range(2500)]
+    pairs = pd.DataFrame({"a": 0, "b": np.arange(2500), "members_a": own[0], "members_b": own, "more": True})
+    got = list(near_dedup._compare(80)(iter([pairs])))
+    assert max(map(len, got)) <= 1000 and np.concatenate([g["b"] for g in got]).tolist() == list(range(2500))
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)]
     random.Random(1).shuffle(chain)
