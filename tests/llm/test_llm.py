@@ -596,17 +596,26 @@ def test_fuzzy_passages_between_parts(spark):
     assert (201, 100, 5, 85, 30) in got
 
 
-@pytest.mark.parametrize("size", [1, 3, 1000])
-def test_fuzzy_partners_against_brute_force(size):
-    rng = random.Random(size)
-    rows = sorted((rng.randrange(6), rng.randrange(40), k, rng.randrange(4)) for k in range(400))
-    want = set()
-    for k, (seed, doc, pos, context) in enumerate(rows):
-        for alike in ([r for r in rows[:k] if r[0] == seed], [r for r in rows[:k] if (r[0], r[3]) == (seed, context)]):
-            want |= {(doc, r[1], pos, r[2]) for r in alike[:1] + alike[-1:] if r[1] < doc}
-    frame = pd.DataFrame(rows, columns=["seed", "doc", "pos", "context"])
-    got = [tuple(r) for part in fuzzy_passages._matched(frame.iloc[k : k + size] for k in range(0, len(rows), size)) for r in part.itertuples(index=False)]
-    assert set(got) == want and len(set(got)) == len(got)
+@pytest.mark.parametrize("listed", [1, 1000])
+def test_fuzzy_passages_of_all_pairs(spark, monkeypatch, listed):
+    """Every pair of edited copies is linked, however many documents share the seeds; a copy of a whole text has a row to the smallest one."""
+    monkeypatch.setattr(fuzzy_passages, "LISTED", listed)
+    rng = random.Random(13)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    whole, rows = words(90), []
+    for i in range(12):
+        copy = list(whole)
+        for at in rng.sample(range(90), 7):
+            copy[at] = words(1)[0]
+        rows.append((i * 50, " ".join(words(10) + copy + words(10))))
+    rows.append((1000, rows[3][1].upper().replace(" ", "\n", 5)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = [i for i, _ in rows[:-1]]
+    every = {(d, e) for d in ids for e in ids if d > e} | {(1000, 150)}
+    found = lambda **k: {(r["doc_id"], r["other_id"]) for r in fuzzy_passages.fuzzy_passages(df, **k).collect()}
+    assert found() == every
+    # document 150 is a query because its copy 1000 is one
+    assert found(queries=F.col("doc_id") % 100 == 0) == {(d, e) for d, e in every if d % 100 == 0 or e % 100 == 0 or 150 in (d, e)}
 
 
 def test_fuzzy_passages_recall(spark):
