@@ -83,6 +83,13 @@ def test_exact_dedup(docs, rows, hot):
         assert (r.keep_id, r.group_size, bool(r.kept), r.text_sha256) == (min(groups[t]), len(groups[t]), min(groups[t]) == i, hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_drop_copies_runs_no_python(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c"), (4, "a\tb"), (None, "c")], "doc_id long, text string")
+    got = exact_dedup.drop_copies(df)
+    assert "Python" not in got._jdf.queryExecution().toString()
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
 def test_drop_copies_keeps_one_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, "a  b", "y"), (None, "c", "z")], "doc_id long, text string, keep_id string")
     got = exact_dedup.drop_copies(df)

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bitmaps
 from .base import WS, materialize, text_or_empty
 
 KEY = ["text_sha256", "check", "length"]
@@ -90,8 +89,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = materialize(exact_dedup(docs, id_col, text_col), "found")
     per = found.groupBy("doc_id").agg(F.max((~F.col("kept")).cast("int")).alias("some_go"), F.count(F.lit(1)).alias("n"))
     per = materialize(per.where("some_go = 1 or n > 1 or doc_id is null"), "ids")
-    # ids that stand for one row each, which goes, are told by bitmaps; all rows of other ids are looked at again
-    once = bitmaps.without(docs, per.where("doc_id is not null").select(F.col("doc_id").alias("id")), id_col).where(F.col(id_col).isNotNull())
+    # rows whose id stands for one row, which goes, are dropped; all rows of other ids are looked at again
+    gone = per.where("doc_id is not null").select(F.col("doc_id").alias("__id"))
+    once = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col].cast("long") == gone["__id"], "left_anti")
     again = per.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
     if again.isEmpty():
         return once
