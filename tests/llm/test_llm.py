@@ -198,6 +198,24 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1_000_000])
+def test_components_contract_what_a_task_reads(spark, monkeypatch, at_once):
+    """Edges around hubs are stars at once, in no round; whatever meets in a task, the components are right."""
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
+    tags, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, tag: tags.append(tag) or write(df, tag))
+    around = spark.createDataFrame([(5, b) for b in (9, 7, 8)] + [(20, 21)], "a long, b long").coalesce(1)
+    assert {tuple(r) for r in components.components(around).collect()} == {(5, 5), (7, 5), (8, 5), (9, 5), (20, 20), (21, 20)} and len(tags) == 1
+    rng = random.Random(at_once)
+    edges = [(rng.randrange(60) * 7 - 99, rng.randrange(60) * 7 - 99) for _ in range(45)]
+    want = {i: i for e in edges if e[0] != e[1] for i in e}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert {r["id"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
 @pytest.mark.parametrize("hot", [1000, 0])
 def test_substrings(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(substrings, "HOT_CONTEXTS", hot)
