@@ -488,6 +488,17 @@ def test_lm_trains_on_the_whole_fold(spark, monkeypatch):
     assert read == [(fold_size, fold_size, fold_size)] and len(parts) == lm.ROUNDS and sum(parts) == fold_size
 
 
+def test_lm_encodes_new_words_together():
+    """Subwords of words that no cache has come from one call of the tokenizer, and are those of each word alone."""
+    sub = lm.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    words = ["the", "it's", "'s", "x1y2", "...", "na\u00efve", "\u4f60\u597d", "\U0001f600", "antidisestablishmentarianism", "-", "3,000.5", "a" * 300]
+    alone = {w: np.array(sub.tokens.encode_ordinary(" " + w), "<u2").tobytes() for w in [*words, "a\u00a0b", "\u2028", "c\x1cd"]}
+    sub.known.make = None  # one word by itself is not encoded
+    assert sub.of(words) == [alone[w] for w in words] and sub.of(words[::-1]) == [alone[w] for w in words[::-1]]
+    other = lm.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert other.of(list(alone)) == list(alone.values())  # with other white space inside
+
+
 def test_lm_windows_are_causal_and_sum_to_one():
     rng = np.random.default_rng(1)
     size = 40
