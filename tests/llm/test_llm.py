@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -489,14 +490,21 @@ def test_lm_trains_on_the_whole_fold(spark, monkeypatch):
 
 
 def test_lm_encodes_new_words_together():
-    """Subwords of words that no cache has come from one call of the tokenizer, and are those of each word alone."""
+    """Subwords of many words come from one call of the tokenizer, and are those of each word alone."""
     sub = lm.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     words = ["the", "it's", "'s", "x1y2", "...", "na\u00efve", "\u4f60\u597d", "\U0001f600", "antidisestablishmentarianism", "-", "3,000.5", "a" * 300]
-    alone = {w: np.array(sub.tokens.encode_ordinary(" " + w), "<u2").tobytes() for w in [*words, "a\u00a0b", "\u2028", "c\x1cd"]}
-    sub.known.make = None  # one word by itself is not encoded
-    assert sub.of(words) == [alone[w] for w in words] and sub.of(words[::-1]) == [alone[w] for w in words[::-1]]
-    other = lm.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    assert other.of(list(alone)) == list(alone.values())  # with other white space inside
+    odd = [*words, "a\u00a0b", "\u2028", "c\x1cd", "e"]
+    alone = {w: sub.tokens.encode_ordinary(" " + w) for w in odd}
+
+    def parts(own):
+        ids, size = sub.of(own)
+        return [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+
+    assert parts(odd) == [alone[w] for w in odd]  # with other white space inside
+    calls, whole = [], sub.tokens
+    sub.tokens = types.SimpleNamespace(encode_to_numpy=lambda t: calls.append(t) or whole.encode_to_numpy(t))
+    assert parts(words) == [alone[w] for w in words] and parts(words[::-1]) == [alone[w] for w in words[::-1]] and len(calls) == 2
+    assert [len(x) for x in sub.of([])] == [0, 0]
 
 
 def test_lm_windows_are_causal_and_sum_to_one():
