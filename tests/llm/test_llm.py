@@ -508,7 +508,7 @@ def test_lm_encodes_new_words_together():
 
 
 def test_lm_scores_of_a_partition_without_words(spark):
-    df = spark.createDataFrame([(1, None), (2**60, ""), (None, "x y Z"), (None, "x y   q")], "doc_id long, text string").repartition(4, "text")
+    df = spark.createDataFrame([(1, None), (2**60, ""), (None, "x y z"), (None, "x\u00a0y z")], "doc_id long, text string").repartition(4, "text")
     got = lm.lm_scores(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     assert sorted(r["n_tokens"] for r in got) == [1, 1, 3, 4]
 
