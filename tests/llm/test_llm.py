@@ -157,6 +157,46 @@ def test_near_dedup_hot_family(spark, small):
     assert 5 < got.component_id.nunique() < 140
 
 
+def test_near_dedup_pairs_of_a_hot_family(spark, monkeypatch):
+    """Copies of one text that are mostly not alike: what is compared pair by pair grows with their number, not with its square."""
+    written, compared = near_dedup.materialize, {}
+
+    def counted(df, tag, **how):
+        out = written(df, tag, **how)
+        compared[tag] = compared.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    found = {}
+    for n in (100, 400):
+        rows = near_family(n, 3)
+        compared.clear()
+        got = by_id(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4))
+        assert {i: (r.n_shingles, r.component_id) for i, r in got.iterrows()} == reference_near(rows, 4)
+        found[n] = compared["pairs"]
+    assert found[400] < 8 * max(found[100], 25), found
+
+
+def test_ranked_prefixes_meet():
+    """The same as below for any order that is the hub's."""
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(4000):
+        base, order = np.arange(60, dtype=np.uint64), rng.random(75)
+        sets = []
+        for _ in range(3):
+            keep = base[rng.random(60) > rng.random() * 0.25]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(60, 75, rng.integers(0, 12)).astype(np.uint64)])))
+        hub, x, y = sets
+        rank = lambda lacked, alone, order=order: np.concatenate([order[lacked], order[alone]])
+        (ax, _, px), (ay, _, py) = near_dedup.prefix(hub, x, 80, rank), near_dedup.prefix(hub, y, 80, rank)
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 80 * (len(x) + len(y) - both) and not (ax and ay):
+            met += 1
+            assert len(np.intersect1d(px, py))
+    assert met > 100
+
+
 def test_prefixes_meet():
     """Sets that are alike and not both like the hub share an element of their prefixes."""
     rng = np.random.default_rng(0)
