@@ -759,6 +759,18 @@ def test_long_texts_and_repeated_rows(spark):
     assert scored.n_tokens.tolist().count(120_001) == 2
 
 
+def test_lm_learns_from_every_text(spark):
+    """Rounds that share the fold leave no text out: each text has a subword of its own, and all of these have other vectors afterwards."""
+    n, size = 120, 400
+    rows = [(int(k) * 7919, np.array([k, 200, 201, k, 202 + k % 5, size - 1], "<u2").tobytes()) for k in range(n)]
+    texts = spark.createDataFrame([(u, bytearray(ids)) for u, ids in rows], "u long, ids binary").repartition(3)
+    counts = np.bincount(np.concatenate([np.frombuffer(ids, "<u2") for _, ids in rows]), minlength=size).astype(float)
+    model = lm.trained(texts, n, counts, least_docs=10)
+    before = lm.untrained(model.klass.astype(int), counts).p["E"]
+    changed = (model.p["E"] != before).any(axis=1)
+    assert changed[:n].all() and not changed[n:200].any()
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     """Texts of a simple grammar: the model knows what follows what, the base only how often words are."""
     rng = random.Random(5)
